@@ -5,17 +5,52 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, secret_scan
+from . import bpe, exact_dedup, media, mixing, secret_scan, simhash, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def referred_urls(pages: DataFrame) -> DataFrame:
+    """The list that op3 applies: canonical URLs seen anywhere with a referral parameter (``ref=``)."""
+    referral = F.regexp_extract(F.coalesce("url", F.lit("")), r"\?([^#]*)", 1).rlike("(^|&)ref=")
+    return pages.where(referral).select(url_filter.canonical(F.col("url")).alias("canonical")).where("canonical != ''")
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    rules = spark.createDataFrame(url_filter.RULES, "host string, path string, verdict string")
+    return url_filter.judge_urls(pages, rules, referred_urls(pages))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    docs = _table(spark, sf_dir, "documents")
+    return bpe.encode_documents(docs, ranks, public_tokenizers.PATTERN, with_ids=False)
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.Mix(_table(spark, sf_dir, "documents")).shares()
+
+
+def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_columns(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature",
+        "digest", "length",
+    )
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan_secrets(_table(spark, sf_dir, "documents"))
     count = lambda k: F.expr(f"cast(size(filter(base, x -> x.kind = {k})) as bigint)")
@@ -30,11 +65,40 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_url_filter": op3_url_filter,
     "op4_exact_dedup": op4_exact_dedup,
+    "op6_byte_bpe": op6_byte_bpe,
+    "op7_simhash": op7_simhash,
+    "op8_mixing": op8_mixing,
+    "op9_media_columns": op9_media_columns,
     "op10_secret_scan": op10_secret_scan,
 }
 
 ORACLES = {
+    "op3_url_filter": """
+        WITH p AS (
+            SELECT page_id, url,
+                   translate(regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)', 1),
+                             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                   regexp_extract(coalesce(url, ''), '^(?s:.*?)://[^/?#]*([^?#]*)', 1) AS path
+            FROM pages),
+        c AS (
+            SELECT *, regexp_replace(host, '^(www|m)\\.', '') || regexp_replace(path, '(/|\\.html)$', '') AS canonical,
+                   regexp_matches(regexp_extract(coalesce(url, ''), '\\?([^#]*)', 1), '(^|&)ref=') AS referred
+            FROM p),
+        rules(rh, rp, rv) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'),
+                                     ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+        best AS (
+            SELECT host, path, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(rv, length(rh || rp)) AS rv
+            FROM (SELECT DISTINCT host, path FROM c), rules
+            WHERE (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp)
+            GROUP BY host, path),
+        listed AS (SELECT DISTINCT canonical FROM c WHERE referred AND canonical != '')
+        SELECT c.page_id, c.host, c.path, best.rule,
+               coalesce(best.rv, CASE WHEN c.host != '' AND listed.canonical IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict,
+               (c.host != '' AND listed.canonical IS NOT NULL) AS listed
+        FROM c LEFT JOIN best ON best.host = c.host AND best.path = c.path
+               LEFT JOIN listed ON listed.canonical = c.canonical""",
     "op4_exact_dedup": """
         SELECT doc_id,
                max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id,

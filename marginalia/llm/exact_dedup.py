@@ -41,8 +41,11 @@ def frequent_digests(digests: DataFrame, counters: int = COUNTERS) -> DataFrame:
     firsts = digests.groupBy(F.pmod(F.spark_partition_id(), F.lit(FIRST_LEVEL)).alias("_part")).agg(
         F.expr(f"approx_top_k_accumulate(prefix, {counters})").alias("_sketch")
     )
-    merged = firsts.agg(F.expr(f"approx_top_k_combine(_sketch, {counters})").alias("_sketch"))
-    found = merged.where("_sketch is not null").select(
+    # grouped by one value, since a task without rows would hand an empty summary to an ungrouped merge
+    merged = firsts.groupBy((F.col("_part") >= FIRST_LEVEL).alias("_all")).agg(
+        F.expr(f"approx_top_k_combine(_sketch, {counters})").alias("_sketch")
+    )
+    found = merged.select(
         F.explode(F.expr(f"approx_top_k_estimate(_sketch, {counters})")).alias("_hit")
     )
     return found.select(F.col("_hit.item").alias("prefix"))

@@ -1,0 +1,50 @@
+"""A parser for pages whose dropped or hidden elements nest: an Arrow UDF over the standard library's parser."""
+
+from __future__ import annotations
+
+from html.parser import HTMLParser
+
+import pandas as pd
+from pyspark.sql import functions as F
+
+from .text import BLOCK_TAGS, DROPPED_TAGS, VOID_TAGS
+
+
+def visible_text(html: str | None) -> str:
+    """The text of what is not dropped or hidden, with a line break at each block tag's start and end."""
+    blocks, dropped, void = set(BLOCK_TAGS), set(DROPPED_TAGS), {*VOID_TAGS, "br"}
+    out: list[str] = []
+    stack: list[tuple[str, bool]] = []  # open tags, and whether what they hold is out
+
+    class Walk(HTMLParser):
+        def handle_starttag(self, tag, attrs):
+            a = {k: (v or "") for k, v in attrs}
+            style = a.get("style", "").lower().replace(" ", "")
+            gone = tag in dropped or tag.startswith("ix:hidden") or "hidden" in a or a.get("aria-hidden", "").lower() == "true"
+            gone = gone or "display:none" in style or "visibility:hidden" in style or bool(stack and stack[-1][1])
+            if tag in blocks and not gone:
+                out.append("\n")
+            if tag not in void:
+                stack.append((tag, gone))
+
+        def handle_endtag(self, tag):
+            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
+            if at is not None:
+                gone = stack[at][1]
+                del stack[at:]
+                if tag in blocks and not gone:
+                    out.append("\n")
+
+        def handle_data(self, data):
+            if not (stack and stack[-1][1]):
+                out.append(data)
+
+    walk = Walk(convert_charrefs=True)
+    walk.feed(html or "")
+    walk.close()
+    return "".join(out)
+
+
+@F.pandas_udf("string")
+def strip_markup_nested(html: pd.Series) -> pd.Series:
+    return html.map(visible_text)

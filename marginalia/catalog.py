@@ -214,7 +214,7 @@ def q_resolve_category(spark, sf_dir):
 def sentence_queries(spark, sf_dir):
     """An annotation for each sentence: in capitals with curly quotes, or with another tail, or without its first letters."""
     s, n = sentences(spark, sf_dir), F.col("sentence_idx") % 3
-    text = F.when(n == 0, F.concat(F.upper("text"), F.lit("  "))).when(n == 1, F.concat(F.substring("text", 1, 100), F.lit(" qq"))).otherwise(F.expr("substring(text, 5)"))
+    text = F.when(n == 0, F.concat(F.translate("text", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), F.lit("  "))).when(n == 1, F.concat(F.substring("text", 1, 100), F.lit(" qq"))).otherwise(F.expr("substring(text, 5)"))
     return s, s.select("doc_id", "sentence_idx", text.alias("sentence"))
 
 
@@ -264,7 +264,7 @@ def q_frame_rows(spark, sf_dir):
     for mode in evaluate.FILTERS:
         f = frame(spark, sf_dir, mode)
         part = f.groupBy(F.lit(mode).alias("mode"), F.substring_index("anchor_id", "_", 2).rlike("^unmatched").alias("unmatched")).agg(
-            F.count(F.lit(1)).alias("n"), F.count_if("size(human_categories) = 0").alias("without_human"), F.sum(F.size("ai_categories")).alias("ai_labels"))
+            F.count(F.lit(1)).alias("n"), F.count_if(F.size("human_categories") == 0).alias("without_human"), F.sum(F.size("ai_categories")).alias("ai_labels"))
         out = part if out is None else out.unionByName(part)
     return out
 

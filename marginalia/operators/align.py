@@ -27,33 +27,30 @@ def resolve_category(rows: DataFrame, taxonomy: DataFrame) -> DataFrame:
 def find_anchors(queries: DataFrame, sentences: DataFrame, key_col: str = "sentence") -> DataFrame:
     """(doc_id, key) -> sentence_idx, anchor_id, stage for the distinct keys of ``queries`` that match.
 
-    Each stage sees only what the one before left.  The first two are equi-joins on digests of keys and prefixes; the last
-    compares within a document, blocked by bands of length (lengths differ by at most half, so neighbours in
-    a scale of ratio 1.5 suffice).  Of several sentences the first in the document holds.
+    The first two stages are equi-joins, on keys and on prefixes; what neither finds is compared within its document, blocked by
+    bands of length (lengths differ by at most half, so neighbours in a scale of ratio 1.5 suffice).  Of several
+    sentences the first in the document holds.
     """
-    digest = lambda c: F.xxhash64(c)
     keyed = sentences.select("doc_id", "sentence_idx", match_key(F.col("text")).alias("k")).where("k != ''")
     asked = queries.select("doc_id", match_key(F.col(key_col)).alias("key")).where("key != ''").distinct()
+    head = lambda c: F.when(F.length(c) >= PREFIX, F.substring(c, 1, PREFIX))
+    by_key = keyed.groupBy("doc_id", F.col("k").alias("key")).agg(F.min("sentence_idx").alias("i1"))
+    by_head = keyed.where(F.length("k") >= PREFIX).groupBy("doc_id", head("k").alias("head")).agg(F.min("sentence_idx").alias("i2"))
+    tried = asked.join(by_key, ["doc_id", "key"], "left").withColumn("head", F.when(F.col("i1").isNull(), head("key")))
+    tried = tried.join(by_head, ["doc_id", "head"], "left").drop("head")
 
-    first = F.min("sentence_idx").alias("sentence_idx")
-    exact = asked.join(keyed, (asked.doc_id == keyed.doc_id) & (digest(F.col("key")) == digest(F.col("k"))) & (F.col("key") == F.col("k")))
-    exact = exact.groupBy(asked.doc_id, "key").agg(first).withColumn("stage", F.lit("exact"))
+    index, stage = F.coalesce("i1", "i2"), F.when(F.col("i1").isNotNull(), "exact").otherwise("prefix")
+    found = tried.where(index.isNotNull()).select("doc_id", "key", index.alias("sentence_idx"), stage.alias("stage"))
 
-    rest = asked.join(exact, ["doc_id", "key"], "left_anti")
-    head = lambda c: F.substring(F.col(c), 1, PREFIX)
-    long_q, long_s = rest.where(F.length("key") >= PREFIX), keyed.where(F.length("k") >= PREFIX)
-    prefix = long_q.join(long_s, (long_q.doc_id == long_s.doc_id) & (head("key") == head("k")))
-    prefix = prefix.groupBy(long_q.doc_id, "key").agg(first).withColumn("stage", F.lit("prefix"))
-
-    left = rest.join(prefix, ["doc_id", "key"], "left_anti").where(F.length("key") > LEAST)
+    left = tried.where(index.isNull() & (F.length("key") > LEAST)).select("doc_id", "key")
     band = lambda c: F.floor(F.log(F.length(c)) / F.log(F.lit(RATIO))).cast("int")
     left = left.withColumn("band", F.explode(F.array(band("key") - 1, band("key"), band("key") + 1)))
     near = keyed.where(F.length("k") > LEAST).withColumn("band", band("k"))
     a, b = F.length("key"), F.length("k")
     inside = F.contains(F.col("k"), F.col("key")) | F.contains(F.col("key"), F.col("k"))
     part = left.join(near, ["doc_id", "band"]).where((F.greatest(a, b) <= RATIO * F.least(a, b)) & inside)
-    part = part.groupBy("doc_id", "key").agg(first).withColumn("stage", F.lit("containment"))
-    return exact.unionByName(prefix).unionByName(part).withColumn("anchor_id", F.format_string("s-%05d", "sentence_idx"))
+    part = part.groupBy("doc_id", "key").agg(F.min("sentence_idx").alias("sentence_idx")).withColumn("stage", F.lit("containment"))
+    return found.unionByName(part).withColumn("anchor_id", F.format_string("s-%05d", "sentence_idx"))
 
 
 def classify_anchor(ai: Column, a: Column, b: Column) -> Column:

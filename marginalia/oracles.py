@@ -214,7 +214,7 @@ ANNOTATIONS = """
                               WHEN subcategory NOT IN (SELECT subcategory FROM tax) THEN 'dropped_unknown_subcategory' ELSE 'kept' END AS reason FROM ann)"""
 
 ASKED = f"""
-    asked AS (SELECT doc_id, sentence_idx, CASE sentence_idx % 3 WHEN 0 THEN upper(text) || '  ' WHEN 1 THEN substring(text, 1, 100) || ' qq' ELSE substring(text, 5) END AS sentence FROM s),
+    asked AS (SELECT doc_id, sentence_idx, CASE sentence_idx % 3 WHEN 0 THEN translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') || '  ' WHEN 1 THEN substring(text, 1, 100) || ' qq' ELSE substring(text, 5) END AS sentence FROM s),
     keyed AS (SELECT doc_id, sentence_idx, k FROM (SELECT doc_id, sentence_idx, lower({_key('text')}) AS k FROM s) WHERE k != ''),
     q AS (SELECT DISTINCT doc_id, key FROM (SELECT doc_id, lower({_key('sentence')}) AS key FROM asked) WHERE key != ''),
     e AS (SELECT q.doc_id, key, min(sentence_idx) AS sentence_idx, 'exact' AS stage FROM q JOIN keyed ON q.doc_id = keyed.doc_id AND key = k GROUP BY ALL),
@@ -312,12 +312,12 @@ ORACLES = {
         FROM r LEFT JOIN names ON r.kind = names.kind AND lower(raw) = sub GROUP BY 1, 2, 3""",
     "align_cascade": _sentences("SELECT doc_id, key, sentence_idx, stage, printf('s-%05d', sentence_idx) AS anchor_id FROM found", ASKED),
     "align_cards": _sentences(_ALL_COUNTS, ASKED, f"""
-        both AS (SELECT doc_id, 'ai' AS side, NULL AS coder, 'c1' AS category, sentence, true AS card FROM asked WHERE sentence_idx % 2 = 0
+        sides AS (SELECT doc_id, 'ai' AS side, NULL AS coder, 'c1' AS category, sentence, true AS card FROM asked WHERE sentence_idx % 2 = 0
                  UNION ALL SELECT doc_id, 'human', CASE WHEN sentence_idx % 4 = 0 THEN 'A' ELSE 'B' END,
                  CASE WHEN sentence_idx % 3 = 0 THEN '(unresolved)' ELSE 'c1' END, sentence, sentence_idx % 5 != 0 AND trim(sentence, ' ') != '' FROM asked WHERE sentence_idx % 4 != 3),
-        cards AS (SELECT both.doc_id, side, coder, category, found.sentence_idx AS anchor_id FROM (SELECT *, lower({_key('sentence')}) AS key FROM both) both
-                  LEFT JOIN found ON both.doc_id = found.doc_id AND both.key = found.key WHERE card)""",
-        "people AS (SELECT doc_id, count(*) AS human_total, count(*) FILTER (coder = 'A') AS human_a_total, count(*) FILTER (coder = 'B') AS human_b_total FROM both WHERE side = 'human' GROUP BY doc_id)", _COUNTS),
+        cards AS (SELECT sides.doc_id, side, coder, category, found.sentence_idx AS anchor_id FROM (SELECT *, lower({_key('sentence')}) AS key FROM sides) sides
+                  LEFT JOIN found ON sides.doc_id = found.doc_id AND sides.key = found.key WHERE card)""",
+        "people AS (SELECT doc_id, count(*) AS human_total, count(*) FILTER (coder = 'A') AS human_a_total, count(*) FILTER (coder = 'B') AS human_b_total FROM sides WHERE side = 'human' GROUP BY doc_id)", _COUNTS),
     "anchor_sources": f"""WITH {CARDS}, {_COUNTS} SELECT doc_id, anchor_id, CASE WHEN ai AND a AND b THEN 'ai_and_both' WHEN ai AND a THEN 'ai_and_a' WHEN ai AND b THEN 'ai_and_b' WHEN ai THEN 'ai'
         WHEN a AND b THEN 'coders_both' WHEN a THEN 'coder_a' ELSE 'coder_b' END AS source FROM sources""",
     "align_counts": f"WITH {CARDS}, {_PEOPLE}, {_COUNTS} {_ALL_COUNTS}",

@@ -1 +1,10 @@
-"""marginalia: document-annotation analytics on Spark DataFrames."""
+"""marginalia: document-annotation analytics on Spark DataFrames.
+
+The package's functions are pickled by value, so that Python workers need no copy of it on their path.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

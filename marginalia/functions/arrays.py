@@ -28,10 +28,8 @@ def running_starts(lengths: str) -> str:
     total = f"(a, b) -> array_append(a, element_at(a, -1) + aggregate(slice({lengths}, b * {BLOCK} + 1, {BLOCK}), 0, (t, x) -> t + x))"
     base = f"aggregate({blocks}, array(0), {total})"
     own = f"aggregate(slice({lengths}, i - i % {BLOCK} + 1, i % {BLOCK}), 0, (t, x) -> t + x)"
-    return (
-        f"case when size({lengths}) > 0 then transform(arrays_zip({lengths}, flatten(transform({base}, "
-        f"b -> array_repeat(b, {BLOCK})))), (z, i) -> z['1'] + {own}) else array() end"
-    )
+    spread = f"slice(flatten(transform({base}, b -> array_repeat(b, {BLOCK}))), 1, size({lengths}))"
+    return f"case when size({lengths}) > 0 then transform({spread}, (z, i) -> z + {own}) else array() end"
 
 
 def sorted_join(column: str) -> str:

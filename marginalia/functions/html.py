@@ -6,6 +6,7 @@ from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .text import BLOCK_TAGS, DROPPED_TAGS, VOID_TAGS
 
@@ -45,6 +46,6 @@ def visible_text(html: str | None) -> str:
     return "".join(out)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def strip_markup_nested(html: pd.Series) -> pd.Series:
     return html.map(visible_text)

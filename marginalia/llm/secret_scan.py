@@ -22,6 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import computed
 from .shared import pruned, stored
 
 # Fixed values of the contract: patterns of the three base kinds.
@@ -33,6 +34,7 @@ RUN = r"[A-Za-z0-9+/_-]{20,}"
 KINDS = ("assign", "access", "hex", "random")
 
 FDR = 0.1
+LEAST_P = 1e-4  # no run below it is reported, whatever its class's cut
 BINS = 20
 BLOCK = 64
 # The alphabets in the order of their digits.
@@ -51,14 +53,14 @@ def _find(df: DataFrame, kind: str, pattern: str) -> DataFrame:
     rx = _q(pattern)
     m, g, step, base = f"_m_{kind}", f"_g_{kind}", f"_l_{kind}", f"_b_{kind}"
     df = df.withColumn(m, F.expr(f"regexp_extract_all(_text, {rx}, 0)"))
-    df = df.withColumn(g, F.expr(f"case when size({m}) > 0 then split(_text, {rx}) end"))
     # step[i]: the gap before match i with match i - 1, so that its running sum is where i starts
-    df = df.withColumn(
-        step,
-        F.expr(
-            f"case when size({m}) > 0 then transform({m}, (x, i) -> char_length({g}[i]) + "
-            f"case when i > 0 then char_length({m}[i - 1]) else 0 end) end"
-        ),
+    steps = f"transform({m}, (x, i) -> char_length({g}[i]) + case when i > 0 then char_length({m}[i - 1]) else 0 end)"
+    df = computed(
+        df,
+        **{
+            g: f"case when size({m}) > 0 then split(_text, {rx}) end",
+            step: f"case when size({m}) > 0 then {steps} end",
+        },
     )
     blocks = f"sequence(0, cast((size({m}) - 1) div {BLOCK} as int))"
     df = df.withColumn(
@@ -178,7 +180,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
     found = stored(df.select("_id", F.expr(f"array_sort(concat({base}))").alias("_base"), "_c"), "spans")
     cuts = length_cuts(found, fdr)
-    keep = " or ".join(f"(x.cell = {cell} and x.p >= {cut!r})" for cell, cut in sorted(cuts.items())) or "false"
+    keep = " or ".join(f"(x.cell = {cell} and x.p >= {max(cut, LEAST_P)!r})" for cell, cut in sorted(cuts.items())) or "false"
     extra = f"transform(filter(_c, x -> {keep}), x -> named_struct('s', x.s, 'kind', 3, 'e', x.e))"
     return found.select(
         F.col("_id").alias(id_col),

@@ -11,6 +11,7 @@ The tables hold no annotations, so deterministic stand-ins take their place, def
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +22,7 @@ from .operators.sentences import build_index
 from .plans import lifecycle
 from .plans.annotators import RuleAnnotator, annotations_of, parse_reply
 from .plans.strategies import Strategy
+from .sources.files import spread
 
 VOCABULARY = ["the", "tion", "ment", "schaft", "ciones"]
 EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
@@ -80,12 +82,14 @@ def event_resolutions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "ordinal", F.when(F.col("ordinal") % 8 == 0, "").otherwise("Risk · view · -; Mitigation · signup · - · S2").alias("final_tags"), (F.col("ordinal") % 12 == 0).alias("is_span"))
 
 
-def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return build_index(table(spark, sf_dir, "documents"))
+def sentences(spark: SparkSession, sf_dir: str, shared: bool = False) -> DataFrame:
+    """The sentence index; ``shared`` keeps it (in memory, else on disk) for queries with several consumers of it."""
+    found = build_index(spread(table(spark, sf_dir, "documents")))
+    return found.persist(StorageLevel.MEMORY_AND_DISK) if shared else found
 
 
 def phase_verdicts(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    s = sentences(spark, sf_dir).withColumn("n", F.length("text"))
+    s = sentences(spark, sf_dir, shared=True).withColumn("n", F.length("text"))
     seq = F.col("sentence_idx").alias("seq")
     has = lambda w: F.col("text").contains(w)
     base = ["doc_id", "anchor_id", seq]
@@ -139,7 +143,7 @@ def q_keyword_hits(spark, sf_dir):
 
 def q_coverage(spark, sf_dir):
     """The flagship: documents to sentences, hits, merged keyword windows and a summary per document."""
-    return plain(lifecycle.coverage(table(spark, sf_dir, "documents"), VOCABULARY, 2))
+    return plain(lifecycle.coverage(spread(table(spark, sf_dir, "documents")), VOCABULARY, 2))
 
 
 # --- chunks ----------------------------------------------------------------------------------------------------
@@ -147,7 +151,7 @@ def q_coverage(spark, sf_dir):
 
 def _ranges(name, with_hits=False, **params):
     def query(spark, sf_dir):
-        s = sentences(spark, sf_dir)
+        s = sentences(spark, sf_dir, shared=with_hits)
         hits = keywords.find_hits(s, ["ment", "ciones"]) if with_hits else None
         return plain(chunks.chunk_ranges(name, s, hits, **params).select("doc_id", "chunk", "lo", "hi"))
 
@@ -155,7 +159,7 @@ def _ranges(name, with_hits=False, **params):
 
 
 def q_chunk_texts(spark, sf_dir):
-    s = sentences(spark, sf_dir)
+    s = sentences(spark, sf_dir, shared=True)
     texts = chunks.chunk_texts(chunks.n_sentence(s, n_sentences=5, stride=3), s)
     return plain(texts.select("doc_id", "chunk_id", "lo", "hi", F.array_join("sentence_indices", ",").alias("indices"), "first_anchor", "last_anchor", "text"))
 
@@ -213,7 +217,7 @@ def q_resolve_category(spark, sf_dir):
 
 def sentence_queries(spark, sf_dir):
     """An annotation for each sentence: in capitals with curly quotes, or with another tail, or without its first letters."""
-    s, n = sentences(spark, sf_dir), F.col("sentence_idx") % 3
+    s, n = sentences(spark, sf_dir, shared=True), F.col("sentence_idx") % 3
     text = F.when(n == 0, F.concat(F.translate("text", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), F.lit("  "))).when(n == 1, F.concat(F.substring("text", 1, 100), F.lit(" qq"))).otherwise(F.expr("substring(text, 5)"))
     return s, s.select("doc_id", "sentence_idx", text.alias("sentence"))
 
@@ -452,7 +456,7 @@ RULES = [("tion", "Risk", "c1", "s1", None), ("ment", "Risk Mitigation", "c1", "
 
 def q_run_strategy(spark, sf_dir):
     """A whole run: blocks of 20 sentences, rule annotator, de-duplication, validation."""
-    run = lifecycle.run_strategy(table(spark, sf_dir, "documents"), Strategy("t", "t", "t", "n_sentence", {"n_sentences": 20, "stride": 15}), RuleAnnotator(RULES), small_taxonomy(spark))
+    run = lifecycle.run_strategy(spread(table(spark, sf_dir, "documents")), Strategy("t", "t", "t", "n_sentence", {"n_sentences": 20, "stride": 15}), RuleAnnotator(RULES), small_taxonomy(spark))
     return plain(run.annotations.groupBy("doc_id", "kind", "category", "subcategory", "strength").agg(F.count(F.lit(1)).alias("n")))
 
 

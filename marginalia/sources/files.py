@@ -37,6 +37,12 @@ def _csv(spark: SparkSession, path: str, schema: str, header: bool = True) -> Da
     return spark.read.schema(schema).options(header=header, multiLine=True, quote='"', escape='"', enforceSchema=True).csv(path)
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Deal a table of few row groups over all cores before work that is heavy for each row; a large table stays as it is."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -1,7 +1,7 @@
 """Media columns: content-addressed payloads in tar shards.
 
-A payload is stored once for each distinct content that a shard meets, as an 8-bit greyscale PNG of 64
-columns (lossless, deflated), under its SHA-256 as the member's name.  Rows carry digest, shard, offset
+A payload is stored once for each distinct content that a shard meets, as an 8-bit greyscale PNG of one
+row (lossless, deflated), under its SHA-256 as the member's name.  Rows carry digest, shard, offset
 and length.  Metadata columns come from range reads of the first 33 bytes of a stored form (PNG
 signature and IHDR chunk); features come from the whole form read back.
 
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .shared import pruned, scratch_path, stored
 
-COLUMNS = 64
+UNIT = 64
 SHARD_BYTES = 256 << 20
 HEADER = 33
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -39,7 +39,7 @@ SIGNATURE = b"\x89PNG\r\n\x1a\n"
 def payload_of(text: str | None) -> bytes:
     """The text in UTF-8 with zero bytes up to a positive multiple of 64."""
     raw = (text or "").encode()
-    return raw.ljust(max(COLUMNS, -(-len(raw) // COLUMNS) * COLUMNS), b"\0")
+    return raw.ljust(max(UNIT, -(-len(raw) // UNIT) * UNIT), b"\0")
 
 
 def _chunk(kind: bytes, body: bytes) -> bytes:
@@ -47,12 +47,9 @@ def _chunk(kind: bytes, body: bytes) -> bytes:
 
 
 def encode_png(payload: bytes) -> bytes:
-    """An 8-bit greyscale PNG, 64 samples a row, filter type 0."""
-    rows = np.frombuffer(payload, np.uint8).reshape(-1, COLUMNS)
-    lines = np.zeros((len(rows), COLUMNS + 1), np.uint8)
-    lines[:, 1:] = rows
-    head = struct.pack(">IIBBBBB", COLUMNS, len(rows), 8, 0, 0, 0, 0)
-    return SIGNATURE + _chunk(b"IHDR", head) + _chunk(b"IDAT", zlib.compress(lines.tobytes(), 6)) + _chunk(b"IEND", b"")
+    """An 8-bit greyscale PNG of one row, filter type 0: nothing comes between the samples, which deflates best."""
+    head = struct.pack(">IIBBBBB", len(payload), 1, 8, 0, 0, 0, 0)
+    return SIGNATURE + _chunk(b"IHDR", head) + _chunk(b"IDAT", zlib.compress(b"\0" + payload, 6)) + _chunk(b"IEND", b"")
 
 
 def read_header(head: bytes) -> tuple[int, int, int, int]:
@@ -99,14 +96,14 @@ class _Shard:
     """A tar file that is being written."""
 
     def __init__(self, folder: str):
-        self.name = f"shard-{uuid.uuid4().hex}.tar"
+        self.name = f"shard-{uuid.uuid4().hex[:16]}.tar"
         files, path = _filesystem(folder)
         files.create_dir(path, recursive=True)
         self.file, self.at, self.members = files.open_output_stream(f"{path}/{self.name}"), 0, {}
 
-    def add(self, digest: str, form: bytes) -> tuple[int, int]:
+    def add(self, digest: bytes, form: bytes) -> tuple[int, int]:
         if digest not in self.members:
-            info = tarfile.TarInfo(f"{digest}.png")
+            info = tarfile.TarInfo(f"{digest.hex()}.png")
             info.size = len(form)
             head = info.tobuf(tarfile.USTAR_FORMAT)
             self.file.write(head + form + bytes(-len(form) % 512))
@@ -129,7 +126,7 @@ def write_shards(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
                 part, rows = batch.slice(at, 256), []
                 for text in part.column(1).to_pylist():
                     payload = payload_of(text)
-                    digest = hashlib.sha256(payload).hexdigest()
+                    digest = hashlib.sha256(payload).digest()
                     if shard is None or shard.at > SHARD_BYTES:
                         if shard:
                             shard.close()
@@ -145,15 +142,23 @@ def write_shards(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
     rows = pruned(docs, _id=id_col, _text=text_col)
     kind = rows.schema["_id"].dataType.simpleString()
     names = ["_id", "n_bytes", "digest", "shard", "offset", "length"]
-    return rows.mapInArrow(run, f"_id {kind}, n_bytes bigint, digest string, shard string, offset bigint, length bigint")
+    return rows.mapInArrow(run, f"_id {kind}, n_bytes bigint, digest binary, shard string, offset bigint, length bigint")
+
+
+#: What reading back gives for each member, beside its digest and place.
+READ = [("width", "int"), ("height", "int"), ("bit_depth", "int"), ("payload_bytes", "bigint"), ("tail_crc32", "bigint"), ("media_sha256", "binary"), ("feature", "string")]
 
 
 def read_shards(members: DataFrame, folder: str) -> DataFrame:
-    """Read members (digest, shard, offset, length) back: header columns first, then the whole form."""
+    """Read members (digest, shard, offset, length) back: header columns first, then the whole form.
+
+    A payload whose digest is not its name fails the run: the digest that comes out is that of the bytes read.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, path = _filesystem(folder)
         name, file = None, None
+        arrow = {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary(), "string": pa.string()}
         for batch in batches:
             rows = []
             digests, shards, offsets, lengths = (c.to_pylist() for c in batch.columns)
@@ -165,28 +170,31 @@ def read_shards(members: DataFrame, folder: str) -> DataFrame:
                 width, height, depth, _ = read_header(file.read_at(HEADER, offset))
                 form = file.read_at(length, offset)
                 payload = decode_png(form)
-                rows.append((digest, width, height, depth, width * height * depth // 8, hashlib.sha256(payload).hexdigest(),
-                             zlib.crc32(payload[-COLUMNS:]), len(form), hashlib.sha256(form).hexdigest(), feature_of(payload, width, height)))
-            kinds = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            columns = [pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], k) for k in kinds]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+                if hashlib.sha256(payload).digest() != digest:
+                    raise ValueError(f"{shard} at {offset}: not what was stored")
+                rows.append((width, height, depth, width * height * depth // 8, zlib.crc32(payload[-UNIT:]), hashlib.sha256(form).digest(), feature_of(payload, width, height)))
+            columns = list(zip(*rows, strict=True)) if rows else [()] * len(READ)
+            found = [pa.array(list(c), arrow[kind]) for c, (_, kind) in zip(columns, READ, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *found], names=[*batch.schema.names, *(n for n, _ in READ)])
         if file:
             file.close()
 
-    names = ["digest", "width", "height", "bit_depth", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    kinds = "digest string, width int, height int, bit_depth int, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
+    kinds = "digest binary, shard string, offset bigint, length bigint, " + ", ".join(f"{n} {k}" for n, k in READ)
     return members.select("digest", "shard", "offset", "length").mapInArrow(run, kinds)
 
 
 def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, n_bytes, digest, shard, offset, length and the columns of :func:`read_shards`."""
-    spark = docs.sparkSession
-    folder = scratch_path(spark, "shards")
+    """One row per input row: id, n_bytes, payload_sha256, shard, offset, length, the columns of READ, media_bytes, media_sha256."""
+    folder = scratch_path(docs.sparkSession, "shards")
     rows = stored(write_shards(docs, folder, id_col, text_col), "places")
     place = F.min(F.struct("shard", "offset", "length")).alias("_at")
-    members = stored(rows.groupBy("digest").agg(place).select("digest", "_at.*"), "members")
+    members = rows.groupBy("digest").agg(place).select("digest", "_at.*")
     # a shard's members are read in order by few tasks: hashed by shard and a span of 64 MB
     span = F.floor(F.col("offset") / (64 << 20))
-    ordered = members.repartition("shard", span).sortWithinPartitions("shard", "offset")
-    read = stored(read_shards(ordered, folder), "media").join(members, "digest")
-    return rows.select(F.col("_id").alias(id_col), "n_bytes", "digest").join(read, "digest")
+    read = stored(read_shards(members.repartition("shard", span).sortWithinPartitions("shard", "offset"), folder), "media")
+    found = rows.select("_id", "n_bytes", "digest").join(read, "digest")
+    hexed = lambda c, name: F.lower(F.hex(c)).alias(name)
+    return found.select(
+        F.col("_id").alias(id_col), "n_bytes", hexed("digest", "payload_sha256"), "shard", "offset", "length",
+        *(n for n, _ in READ if n != "media_sha256"), F.col("length").alias("media_bytes"), hexed("media_sha256", "media_sha256"),
+    )

@@ -195,14 +195,16 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spans = pieces.groupBy("_id", "_row").agg(F.sort_array(F.collect_list(F.struct("_from", "_to", "_n"))).alias("_spans"))
     spans = spans.join(mix.rows.select("_row", "_size"), "_row")
     # documents that share an id and size share their plans in order
-    own = docs.withColumn("_own_size", F.expr(
+    own = docs.withColumn("_mix_size", F.expr(
         "cast(size(filter(split(coalesce(`%s`, ''), '[\\\\x20\\\\x09-\\\\x0D]+'), w -> w != '')) as bigint)" % text_col))
     turn = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(by[0]))
-    own = own.withColumn("_turn", turn(id_col, "_own_size"))
-    plan = spans.withColumn("_pturn", turn("_id", "_size"))
+    own = own.withColumn("_mix_turn", turn(F.col(f"`{id_col}`"), F.col("_mix_size")))
+    plan = spans.withColumn("_turn", turn(F.col("_id"), F.col("_size"))).select(
+        F.col("_id").alias("_mix_pid"), F.col("_size").alias("_mix_psize"), F.col("_turn").alias("_mix_pturn"), F.col("_spans").alias("_mix_spans")
+    )
     joined = own.join(
         plan,
-        F.col(f"`{id_col}`").eqNullSafe(F.col("_id")) & (F.col("_own_size") == F.col("_size")) & (F.col("_turn") == F.col("_pturn")),
+        F.col(f"`{id_col}`").eqNullSafe(F.col("_mix_pid")) & (F.col("_mix_size") == F.col("_mix_psize")) & (F.col("_mix_turn") == F.col("_mix_pturn")),
     )
     names, types = docs.columns, docs.schema
 
@@ -212,8 +214,8 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         word = re.compile(r"[^\x20\x09-\x0D]+")
         for batch in batches:
             rows, texts = [], []
-            plans = batch.column(batch.schema.get_field_index("_spans")).to_pylist()
-            sizes = batch.column(batch.schema.get_field_index("_own_size")).to_pylist()
+            plans = batch.column(batch.schema.get_field_index("_mix_spans")).to_pylist()
+            sizes = batch.column(batch.schema.get_field_index("_mix_size")).to_pylist()
             bodies = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
             for i, (spans, size, body) in enumerate(zip(plans, sizes, bodies, strict=True)):
                 ends = None
@@ -242,4 +244,4 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             ]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return joined.select(*(F.col(f"`{n}`") for n in names), "_spans", "_own_size").mapInArrow(run, types)
+    return joined.select(*(F.col(f"`{n}`") for n in names), "_mix_spans", "_mix_size").mapInArrow(run, types)

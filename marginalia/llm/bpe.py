@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 
 from .shared import pruned
 
-CACHE = 200_000
+CACHE = 100_000
 LONG = 64
 
 

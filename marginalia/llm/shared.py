@@ -48,6 +48,30 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def hash_sample(rows: DataFrame, n: int, of: int, column: str, seed: int) -> DataFrame:
+    """The ``n`` rows of about ``of`` with the least hashes of ``column``.
+
+    A cut on the hash leaves some 4 n rows before they are ordered, so that tasks do not each send n of theirs.
+    """
+    hashed = F.xxhash64(F.col(column), F.lit(seed))
+    if of > 4 * n:
+        rows = rows.where(hashed < F.lit(int(-(2**63) + 2**64 * (4 * n / of))))
+    return rows.orderBy(hashed, column).limit(n)
+
+
+#: Documents can be long, so an Arrow batch holds far fewer than the default 10,000 of them.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to ``BATCH_ROWS`` rows; a lower setting of the user's stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name, "10000"))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def pruned(docs: DataFrame, **columns: str) -> DataFrame:
     """Select the needed columns under private names, so that no other column can clash."""
+    small_batches(docs.sparkSession)
     return docs.select(*(F.col(f"`{old}`").alias(new) for new, old in columns.items()))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import pruned
+from .shared import hash_sample, pruned
 
 FOLDS = 4
 HELD_FOLD = 2
@@ -31,14 +31,13 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     """
     marked = labels.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{label}`").cast("int").alias("_y"))
     marked = marked.where("_id is not null and _y in (0, 1)").where(~held_out("_id"))
-    share = marked.agg(F.avg("_y")).first()[0]
-    order = (F.xxhash64("_id", F.lit(11)), F.col("_id"))
-    zeros, ones = (marked.where(F.col("_y") == y).orderBy(*order).limit(per_class) for y in (0, 1))
+    n = marked.agg(*(F.count_if(F.col("_y") == y) for y in (0, 1))).first()
+    zeros, ones = (hash_sample(marked.where(F.col("_y") == y), per_class, n[y], "_id", 11) for y in (0, 1))
     chosen = F.broadcast(zeros.unionAll(ones))  # at most 2 * per_class pairs of numbers
     rows = pruned(docs, _id=id_col, _text=text_col, **{f"_x{i}": c for i, c in enumerate(extra)}).join(chosen, "_id")
     found = rows.select("_id", F.coalesce("_text", F.lit("")).alias("_text"), "_y", *(f"_x{i}" for i in range(len(extra)))).collect()
     found.sort(key=lambda r: (zlib.crc32(str(r._id).encode()), r._id, r._text))
-    return [tuple(r)[1:] for r in found], float(share if share is not None else 0.5)
+    return [tuple(r)[1:] for r in found], n[1] / (n[0] + n[1]) if n[0] + n[1] else 0.5
 
 
 def prior_shift(y: np.ndarray, share: float) -> float:

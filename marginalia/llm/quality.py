@@ -129,7 +129,7 @@ class Model:
             return self
         rng, features, adam = np.random.default_rng(seed), Features(), Adam(self.w, 0.01)
         ready = [features.passages([t]) for t in texts]
-        epochs = max(epochs, -(-STEPS * BATCH // len(y)))
+        epochs = max(epochs, -(-STEPS // -(-len(y) // BATCH)))
         for epoch in range(epochs):
             adam.rate = 0.01 if epoch < epochs * 2 // 3 else 0.002
             order = rng.permutation(len(y))

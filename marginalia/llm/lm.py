@@ -10,10 +10,10 @@ Tokens: A-Z lower-cased, words between ASCII white space, then one end token.  E
 
 So P(word | past) = P(class | state) * P(word | class, state) sums to one over the corpus vocabulary with
 the unseen place.  The state is a GRU's.  Training is truncated backpropagation through ``STEPS`` tokens in numpy:
-the driver warms a model up on a bounded sample of documents (``WARM``); then every training document
-contributes ``WINDOWS`` consecutive windows, started at a hashed place, to a replica in each task, and the
-replicas' mean, weighted by tokens, is the model (summed in two levels, so that no task or the driver
-gathers all replicas).  Documents are scored whole: slots of a batch hold one document each, the state is carried
+the driver warms a model up on a bounded sample of whole documents (``WARM``, ``WARM_TOKENS``); then every training document
+goes whole, from its first word to its end token, through a replica in each task, and the replicas' mean,
+weighted by tokens, is the model (summed in two levels, so that no task or the driver gathers all replicas).
+Documents are scored whole: slots of a batch hold one document each, the state is carried
 from window to window, and a slot whose document ended takes the next one.
 
 Counts of words outside the ``KNOWN`` most frequent ones (at most ``KNOWN`` * ``WORD_BYTES`` bytes are
@@ -43,10 +43,10 @@ KNOWN, WORD_BYTES = 1 << 16, 64
 SIZE = 16
 STEPS = 16
 SLOTS = 512
-WINDOWS = 3
 SLICE = 512  # rows of a batch that are Python objects at a time
-GROUP = 3_000_000  # tokens laid into slots together when scoring: long documents run beside many others
+GROUP = 3_000_000  # tokens laid into slots together: long documents run beside many others
 WARM = 1500
+WARM_TOKENS = 1_000_000  # bounds the driver's work; the replicas see every document whatever its length
 WARM_PASSES = 3
 FLUSH = 200_000
 LEVELS = 32
@@ -175,7 +175,7 @@ class Network:
         np.add.at(g["X"], inputs.ravel(), dgates.reshape(-1, 3 * h))
         return g, last, -float((logp * weight).sum())
 
-    def train(self, documents: list[list[int]], rate: float, slots: int, passes: int = 1) -> int:
+    def train(self, documents: list[np.ndarray], rate: float, slots: int, passes: int = 1) -> int:
         """Truncated backpropagation over whole sequences laid into slots; returns the tokens seen."""
         adam, seen = Adam(self.w, rate), 0
         for _ in range(passes):
@@ -245,9 +245,9 @@ class Vocabulary:
         value = np.log10(np.array([n for _, n in known], dtype=np.float64) + 0.5).tolist()
         self.known = {w: (i if i < HEAD else HEAD + tail_class(w), v) for i, ((w, _), v) in enumerate(zip(known, value, strict=True))}
 
-    def symbols(self, words: list[bytes]) -> list[int]:
+    def symbols(self, words: list[bytes]) -> np.ndarray:
         get = self.known.get
-        return [found[0] if (found := get(w)) else HEAD + tail_class(w) for w in words]
+        return np.array([found[0] if (found := get(w)) else HEAD + tail_class(w) for w in words], np.int16)
 
     def document(self, words: list[bytes], floor: list[float]) -> tuple[np.ndarray, int, float, float, dict[bytes, int]]:
         """Symbols; known tokens and their sum of log10(c + 1/2); what tail words add to the model's score; the rest's counts.
@@ -311,13 +311,6 @@ def frequent_tokens(counts: DataFrame) -> list[tuple[bytes, int]]:
     return sorted(((bytes(r.token), r.n) for r in rows), key=lambda x: (-x[1], x[0]))
 
 
-def _training_piece(text: str | None) -> list[bytes]:
-    """Up to WINDOWS windows of a document's tokens, from a place hashed from its first word and length."""
-    words, want = tokens_of(text), WINDOWS * STEPS
-    at = crc32(words[0]) * 31 % (len(words) - want + 1) if len(words) > want else 0
-    return words[at : at + want]
-
-
 def average_replicas(rows: DataFrame, start: Network, vocabulary) -> Network:
     """Train a replica in each task from ``start`` and average them, weighted by tokens."""
     base = rows.sparkSession.sparkContext.broadcast(start.packed())
@@ -327,10 +320,17 @@ def average_replicas(rows: DataFrame, start: Network, vocabulary) -> Network:
         from pyspark import TaskContext
 
         words, network, seen = Vocabulary(vocabulary.value), Network().unpack(base.value.copy()), 0
+        ready: list[np.ndarray] = []
+        held = 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 4 * SLICE):
-                pieces = [words.symbols(_training_piece(t)) for t in batch.column(0).slice(at, 4 * SLICE).to_pylist()]
-                seen += network.train(pieces, 0.003, 128)
+            for at in range(0, batch.num_rows, SLICE):
+                ready += (words.symbols(tokens_of(t)) for t in batch.column(0).slice(at, SLICE).to_pylist())
+                held += sum(map(len, ready[-min(SLICE, batch.num_rows - at) :]))
+                if held > GROUP:
+                    seen += network.train(ready, 0.003, 128)
+                    ready, held = [], 0
+        if ready:
+            seen += network.train(ready, 0.003, 128)
         if seen:
             flat = (network.packed().astype(np.float64) - base.value) * seen
             for c, part in enumerate(np.array_split(flat, chunks)):
@@ -393,7 +393,12 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sample = hash_sample(learn.select("_id"), WARM, documents, "_id", 3)
     texts = learn.join(F.broadcast(sample), "_id", "left_semi").orderBy(F.xxhash64("_id", F.lit(3)), "_id", F.xxhash64("_text")).limit(WARM)
     vocabulary = Vocabulary(known.value)
-    warm = [vocabulary.symbols(_training_piece(r._text)) for r in texts.select("_text").collect()]
+    warm, room = [], WARM_TOKENS
+    for r in texts.select("_text").collect():
+        symbols = vocabulary.symbols(tokens_of(r._text))
+        if len(symbols) <= room:
+            warm.append(symbols)
+            room -= len(symbols)
     if warm:
         start.train(warm, 0.01, 64, WARM_PASSES)
     network = average_replicas(learn, start, known)

@@ -96,3 +96,19 @@ def test_the_model_beats_counts_where_context_tells(spark):
         rows.append((i, " ".join(rng.choice(own, 60))))
     got = lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).where("held_out").collect()
     assert sum(r.score for r in got) > sum(r.base_score for r in got) + 0.15 * 60 * len(got)
+
+
+def test_every_training_token_is_trained_on(spark, monkeypatch):
+    """Replicas see each document whole, words past any first windows and the end token included."""
+    held, stored = [], lm.stored
+
+    def kept(df, name):
+        held.append(stored(df, name))
+        return held[-1]
+
+    monkeypatch.setattr(lm, "stored", kept)
+    rows = [(f"a{i} b{i}",) for i in range(50)] + [(" ".join(f"w{k}" for k in range(700)),)]
+    docs = spark.createDataFrame(rows, "_text string").repartition(2)
+    known = spark.sparkContext.broadcast(lm.frequent_tokens(lm.count_tokens(docs)))
+    lm.average_replicas(docs, lm.Network(), known)
+    assert sum(r.n for r in held[0].where("c = 0").collect()) == sum(len(lm.tokens_of(t)) for (t,) in rows)

@@ -3,7 +3,7 @@
 1. Targets: sources by code point (null last) weigh 1, 2, 3, repeating, and share all words; a target
    stops at ``MAX_REPEAT`` times its source's size and the excess is shared again by weight.
 2. Each source's documents, in the order of a hash of their ids, are one stream of words, packed into
-   blocks of ``BLOCK`` words; a running sum over a few thousand document buckets gives each document's
+   blocks of ``BLOCK`` words (shorter ones in a source of few blocks, so that it too can come near its target); a running sum over a few thousand document buckets gives each document's
    place without bringing a source into one task.
 3. Each output shard draws the sources of its slots from a multinomial over what is still to be given,
    so that the shards' sum is each source's quota exactly.
@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from .shared import pruned, stored
 
 BLOCK = 128
+FEW = 32  # a source that would have fewer blocks has shorter ones: about BLOCK of them, of one word at least
 SHARDS = 64
 MAX_REPEAT = 3
 SEED = 20
@@ -58,6 +59,16 @@ def targets(sizes: list[int], weights: list[float], most: float = MAX_REPEAT) ->
     return goal
 
 
+def block_length(size: int, block: int = BLOCK) -> int:
+    """Words of a source's blocks."""
+    return block if size >= FEW * block else max(1, size // block)
+
+
+def slots_for(goal: float, size: int, blocks: int) -> int:
+    """Slots that hold ``goal`` words: a source's blocks hold size / blocks words on average, its last one included."""
+    return min(MAX_REPEAT * blocks, round(goal * blocks / size)) if size else 0
+
+
 def draw_shards(quota: np.ndarray, shards: int, seed: int = SEED) -> np.ndarray:
     """shards x sources slot counts: a multinomial for each shard over the quotas that are left."""
     left, out = quota.astype(np.int64).copy(), np.zeros((shards, len(quota)), dtype=np.int64)
@@ -96,7 +107,7 @@ class Mix:
 
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
                  block: int = BLOCK, shards: int = SHARDS, seed: int = SEED):
-        self.spark, self.block, self.seed, self.id_col = docs.sparkSession, block, seed, id_col
+        self.spark, self.seed, self.id_col = docs.sparkSession, seed, id_col
         rows = pruned(docs, _id=id_col, _text=text_col, _source=source_col)
         self.kind = rows.schema["_id"].dataType.simpleString()
         spaces = r"[\x20\x09-\x0D]+"
@@ -107,16 +118,17 @@ class Mix:
         self.names = [r._source for r in found]
         self.size = [r["size"] for r in found]
         self.goal = targets(self.size, [1.0 + i % 3 for i in range(len(found))])
-        self.blocks = [-(-s // block) for s in self.size]
-        quota = np.array([min(MAX_REPEAT * b, round(g / block)) for g, b in zip(self.goal, self.blocks, strict=True)], dtype=np.int64)
+        self.lengths = [block_length(s, block) for s in self.size]
+        self.blocks = [-(-s // n) for s, n in zip(self.size, self.lengths, strict=True)]
+        quota = np.array([slots_for(*x) for x in zip(self.goal, self.size, self.blocks, strict=True)], dtype=np.int64)
         self.draws = draw_shards(quota, shards, seed) if len(quota) and quota.sum() else np.zeros((shards, len(quota)), dtype=np.int64)
         self.buckets = max(1, sum(r["rows"] for r in found) // BUCKET_ROWS)
         places = [
             (i, name, int(size), float(goal), int(n))
-            for i, (name, size, goal, n) in enumerate(zip(self.names, self.size, self.goal, self.blocks, strict=True))
+            for i, (name, size, goal, n) in enumerate(zip(self.names, self.size, self.goal, self.lengths, strict=True))
         ]
         self.sources = F.broadcast(  # one row for each source
-            self.spark.createDataFrame(places, "_s int, _name string, _source_size long, _target double, _blocks long")
+            self.spark.createDataFrame(places, "_s int, _name string, _source_size long, _target double, _block long")
         )
 
     def slots(self) -> DataFrame:
@@ -148,7 +160,7 @@ class Mix:
     def placed(self) -> DataFrame:
         """Documents with their source's number and their first word's place in its stream (_at)."""
         named = self.sizes.join(self.sources, F.col("_source").eqNullSafe(F.col("_name")))
-        rows = named.select("_id", "_s", "_size", "_source_size", "_target", F.xxhash64("_id", F.lit(self.seed)).alias("_h"))
+        rows = named.select("_id", "_s", "_size", "_source_size", "_target", "_block", F.xxhash64("_id", F.lit(self.seed)).alias("_h"))
         rows = rows.withColumn("_bucket", F.pmod("_h", F.lit(self.buckets)))
         sums = rows.groupBy("_s", "_bucket").agg(F.sum("_size").alias("_sum"))
         sums = sums.withColumn("_before", F.sum("_sum").over(Window.partitionBy("_s").orderBy("_bucket")) - F.col("_sum"))
@@ -158,10 +170,10 @@ class Mix:
 
     def pieces(self) -> DataFrame:
         """A row for each document and block it has words in: what of it, and how often the mix takes it (_n)."""
-        b = self.block
+        b = F.col("_block")
         rows = stored(self.placed().withColumn("_row", F.monotonically_increasing_id()), "placed")
         cut = rows.where("_size > 0").select(
-            "_row", "_id", "_s", "_at", "_size", F.explode(F.expr(f"sequence(_at div {b}, (_at + _size - 1) div {b})")).alias("index")
+            "_row", "_id", "_s", "_at", "_size", "_block", F.explode(F.expr("sequence(_at div _block, (_at + _size - 1) div _block)")).alias("index")
         )
         first, last = F.greatest(F.col("index") * b, F.col("_at")), F.least((F.col("index") + 1) * b, F.col("_at") + F.col("_size"))
         cut = cut.select("_row", "_id", "_s", "index", (first - F.col("_at")).alias("_from"), (last - F.col("_at")).alias("_to"))

@@ -97,3 +97,20 @@ def test_odd_rows_and_empty_table(odd, empty):
     mixing.mixed_documents(odd).collect()
     assert mixing.Mix(empty).shares().count() == 0
     assert mixing.mixed_documents(empty).count() == 0
+
+
+def test_small_sources_come_near_their_targets(spark):
+    sizes = {"a": 3, "b": 21, "c": 40, "d": 64, "e": 100, "f": 400, "g": 1153, "h": 90_000, "i": 30_000}
+    rows = []
+    for s, n in sizes.items():
+        for at in range(0, n, 150):
+            rows.append((len(rows), " ".join(f"{s}{k}" for k in range(at, min(n, at + 150))), s))
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    totals, goal, name = Counter(), {}, {i: s for i, _, s in rows}
+    for r in mixing.Mix(df).shares().collect():
+        totals[name[r.doc_id]] += r.taken
+        goal[name[r.doc_id]] = r.target
+        assert r.taken <= 3 * r["size"]
+    for s, w in goal.items():
+        assert abs(totals[s] - w) <= max(1, 0.01 * w), (s, w, totals[s])
+    assert all(goal[s] == 3 * sizes[s] == totals[s] for s in "abcdefg")

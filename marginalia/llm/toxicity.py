@@ -9,8 +9,9 @@ places of the largest responses carry gradient, the backward pass is cheap.  One
 starts at the bucket's smoothed log-odds.  Training is Adam on a bounded labelled sample (``PER_CLASS`` of each class); log-odds are shifted
 to the share of ones among all labelled training rows.
 
-Thresholds are calibrated by language on the sample's scores (the cut that maximises F1 in that language,
-shrunk towards the common cut by ``SHRINK`` pseudo-documents); the score itself never sees the language.
+Thresholds are calibrated by language on the scores of all labelled training rows, counted by language, label and
+step of ``GRID`` (the cut that maximises F1 in that language, shrunk towards the common cut by ``SHRINK``
+pseudo-documents); only the network's fit is limited to the sample.  The score itself never sees the language.
 
 Defined results: null and empty texts have no words and get the score of all-padding input; every row comes
 back, repeated rows too; a language without labelled rows, null included, uses the common cut; without
@@ -19,6 +20,7 @@ labelled rows the score is the untrained 0.5 and the cut ``CUT``.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from zlib import crc32
 
 import numpy as np
@@ -26,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import Adam, held_out, prior_shift, score_documents, sigmoid, training_sample
+from .shared import stored
 
 BUCKETS = 1 << 16
 EMBEDDING = 8
@@ -40,6 +43,7 @@ BATCH = 64
 STEPS = 400  # at least so many, however small the sample
 CUT = 0.3
 SHRINK = 20
+GRID = np.linspace(0.05, 0.95, 19)
 CACHE = 400_000
 MARKS = b"""!"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"""
 
@@ -165,24 +169,29 @@ class Model:
                 adam.step(self.gradients([ids[i] for i in part], y[part]))
         self.shift, self.tables = prior_shift(y, share), self.responses()
         found = np.concatenate([self.of_ids(ids[at : at + 256]) for at in range(0, len(ids), 256)])
-        self.calibrate(found, y, langs)
+        self.calibrate((x, int(t), int(k), 1) for x, t, k in zip(langs, y, np.searchsorted(GRID, found, "right"), strict=True))
         return self
 
-    def calibrate(self, scores: np.ndarray, y: np.ndarray, langs: list) -> None:
-        grid = np.linspace(0.05, 0.95, 19)
-
-        def best(pick: np.ndarray) -> float:
-            s, t = scores[pick], y[pick]
-            f1 = [2 * (t * (s >= c)).sum() / max(1.0, t.sum() + (s >= c).sum()) for c in grid]
-            top = np.flatnonzero(np.isclose(f1, max(f1)))
-            return float(grid[top[np.argmin(np.abs(grid[top] - CUT))]])  # of equal cuts the one next to CUT
-
-        self.cut = best(np.ones(len(y), bool))
-        names = np.array([x if x is not None else "" for x in langs])
-        for lang in sorted({x for x in langs if x is not None}):
-            pick = names == lang
-            n = int(pick.sum())
-            self.cuts[lang] = (n * best(pick) + SHRINK * self.cut) / (n + SHRINK)
+    def calibrate(self, counts: Iterable[tuple[str | None, int, int, int]]) -> None:
+        """Cuts from (language, label, how many of GRID the score reaches, rows)."""
+        by: dict[str | None, np.ndarray] = {}
+        for lang, label, step, n in counts:
+            by.setdefault(lang, np.zeros((2, len(GRID) + 1)))[label, step] += n
+        total = sum(by.values(), np.zeros((2, len(GRID) + 1)))
+        self.cut, self.cuts = CUT, {}
+        if not total.sum(1).all():
+            return
+
+        def best(own: np.ndarray) -> float:
+            flagged = own[:, ::-1].cumsum(1)[:, ::-1][:, 1:]  # rows of each label whose score reaches each cut
+            f1 = 2 * flagged[1] / np.maximum(1.0, own[1].sum() + flagged.sum(0))
+            top = np.flatnonzero(np.isclose(f1, f1.max()))
+            return float(GRID[top[np.argmin(np.abs(GRID[top] - CUT))]])  # of equal cuts the one next to CUT
+
+        self.cut = best(total)
+        for lang in sorted(x for x in by if x is not None):
+            n = int(by[lang].sum())
+            self.cuts[lang] = (n * best(by[lang]) + SHRINK * self.cut) / (n + SHRINK)
 
     def of_ids(self, ids: list[list[int]]) -> np.ndarray:
         return sigmoid(self.logits(self.features(ids)).astype(np.float64) + self.shift)
@@ -206,6 +215,12 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
         return lambda texts: model.value.scores(words, texts)
 
     found = score_documents(docs.withColumn("_lang", F.col(f"`{lang_col}`")), scorer, id_col, text_col, keep=("_lang",))
+    found = stored(found, "scores")  # two consumers: the cuts and the rows themselves
+    marked = labels.select(F.col(f"`{id_col}`").alias("_lid"), F.col("`toxic`").cast("int").alias("_y"))
+    marked = marked.where("_lid is not null and _y in (0, 1)").where(~held_out("_lid"))
+    step = sum((F.col("_score") >= float(c)).cast("int") for c in GRID)
+    counts = found.join(marked, F.col("_id") == F.col("_lid")).groupBy("_lang", "_y", step.alias("_step")).count()
+    fitted.calibrate((r._lang, r._y, r._step, r["count"]) for r in counts.collect())  # at most 40 rows a language
     cut = F.lit(fitted.cut)
     for lang, value in fitted.cuts.items():
         cut = F.when(F.col("_lang") == lang, value).otherwise(cut)

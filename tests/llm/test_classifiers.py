@@ -102,3 +102,31 @@ def test_odd_rows_and_empty_tables(odd, empty, labels):
             rows = found.collect()
             assert len(rows) == table.count() and all(0 <= r.score <= 1 for r in rows)
         assert quality.keep_good(table, marks).columns == table.columns
+
+
+def test_cuts_come_from_all_labelled_training_rows(spark):
+    """The network is fitted on a few rows; a language's cut maximises F1 over all of its training rows."""
+    rng = np.random.default_rng(5)
+    rows, marks = [], []
+    for i in range(1200):
+        words, toxic = list(rng.choice(["alba", "bene", "cura", "dona", "esca"], 30)), i % 12 == 0
+        if toxic or i % 9 == 0:  # many clean documents hold the word too
+            words[7] = "vile"
+        rows.append((i, " ".join(words), "de" if i % 30 == 1 or i % 24 == 0 else "en"))
+        marks.append((i, int(toxic)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame(marks, "doc_id long, toxic int")
+    found = {r.doc_id: r for r in toxicity.score_toxicity(docs, labels, per_class=20).collect()}
+    truth, lang = dict(marks), {i: x for i, _, x in rows}
+
+    def best(pick):
+        s, t = np.array([found[i].score for i in pick]), np.array([truth[i] for i in pick])
+        f1 = np.array([2 * (t * (s >= c)).sum() / max(1, t.sum() + (s >= c).sum()) for c in toxicity.GRID])
+        top = toxicity.GRID[np.isclose(f1, f1.max())]
+        return top[np.argmin(np.abs(top - toxicity.CUT))]
+
+    train = [i for i in found if not found[i].held_out]
+    for name in ("de", "en"):
+        own = [i for i in train if lang[i] == name]
+        want = (len(own) * best(own) + toxicity.SHRINK * best(train)) / (len(own) + toxicity.SHRINK)
+        assert {round(found[i].lang_cut, 9) for i in found if lang[i] == name} == {round(want, 9)}

@@ -79,7 +79,7 @@ class Adam:
 
     def step(self, grads: dict[str, np.ndarray]) -> None:
         self.t += 1
-        scale = self.rate * np.sqrt(1 - 0.999**self.t) / (1 - 0.9**self.t)
+        scale = float(self.rate * (1 - 0.999**self.t) ** 0.5 / (1 - 0.9**self.t))  # a numpy scalar would make doubles of all
         for k, g in grads.items():
             self.m[k] += 0.1 * (g - self.m[k])
             self.v[k] += 0.001 * (g * g - self.v[k])

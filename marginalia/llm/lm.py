@@ -4,70 +4,115 @@ Tokens: A-Z lower-cased, words between ASCII white space, then one end token.  E
 
 * the ``HEAD`` most frequent training tokens are cut, in order of frequency, into classes of ``WIDTH``;
   inside such a class a softmax over its words is learnt;
-* every other word, seen or not, belongs to one of ``TAIL`` classes by a hash of its last letters and form; inside
+* every other word, seen or not, belongs to one of ``TAIL`` classes by its last letters and form; inside
   a tail class a word has the add-1/2 share of its count in the whole training corpus, and all words
   never seen share one further place.
 
 So P(word | past) = P(class | state) * P(word | class, state) sums to one over the corpus vocabulary with
 the unseen place.  The state is a GRU's.  Training is truncated backpropagation through ``STEPS`` tokens in numpy:
 the driver warms a model up on a bounded sample of whole documents (``WARM``, ``WARM_TOKENS``); then every training document
-goes whole, from its first word to its end token, through a replica in each task, and the replicas' mean,
-weighted by tokens, is the model (summed in two levels, so that no task or the driver gathers all replicas).
-Documents are scored whole: slots of a batch hold one document each, the state is carried
+goes whole, from its first word to its end token, through one of R replicas, and the replicas' mean, weighted by tokens,
+is the model.  R follows from the number of training tokens alone and a document's replica and place in it from a hash of its
+id and text, so the model does not hang on how the table is partitioned.  Replicas are summed in three levels, so that no task
+or the driver gathers all of them.  Documents are scored whole: slots of a batch hold one document each, the state is carried
 from window to window, and a slot whose document ended takes the next one.
 
+A text is cut into words once to count them and once more to write it as symbols (two bytes a token); replicas and scores
+read the symbols.  Cutting, counting and looking up are Arrow and numpy over whole batches, with no Python object for a token.
 Counts of words outside the ``KNOWN`` most frequent ones (at most ``KNOWN`` * ``WORD_BYTES`` bytes are
-broadcast) are joined by a shuffle on the word, one row for each document and distinct word.
+broadcast) are joined by a shuffle on the word, one row for each document and distinct word.  A word longer than ``WORD_BYTES``
+is represented by its digest everywhere, so that long words are known words like any other if they are frequent.
 
 Defined results: null text counts as empty, which is the end token alone; every row comes back, repeated rows
-too; without training rows N = V = 0, every token is unseen and the model is untrained.
+too (training rows that repeat id and text go to one replica); very long texts run beside many others and memory grows with a
+text's tokens, never with tokens times slots; without training rows, an empty table included, N = V = 0, every token is unseen
+and the model is untrained; other columns of any name are ignored.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import hashlib
 from collections.abc import Iterator
-from zlib import crc32
+from heapq import heapify, heapreplace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import Adam, held_out
-from .shared import hash_sample, pruned, stored
+from .shared import pruned, stored
 
 FOLDS, HELD_FOLD = 5, 1
 HEAD, WIDTH, TAIL = 2048, 64, 32
 KNOWN, WORD_BYTES = 1 << 16, 64
 SIZE = 16
 STEPS = 16
-SLOTS = 512
-SLICE = 512  # rows of a batch that are Python objects at a time
+SLOTS = 512  # documents side by side when texts are scored, and at most so many in training
+SCORE_STEPS = 64
 GROUP = 3_000_000  # tokens laid into slots together: long documents run beside many others
 WARM = 1500
 WARM_TOKENS = 1_000_000  # bounds the driver's work; the replicas see every document whatever its length
 WARM_PASSES = 3
-FLUSH = 200_000
+REPLICA_TOKENS = 4_000_000
+REPLICAS = (16, 1 << 14)  # at least and at most
+FLUSH = 400_000
 LEVELS = 32
-END = b"\n"  # no word can be a line break
+CHUNKS = 8
+END = b"\n"  # no word can be a line break, nor start with one
 
 CLASSES = HEAD // WIDTH + TAIL
 
 
-def tokens_of(text: str | None) -> list[bytes]:
-    """Words, then the end token."""
-    return [*(text or "").encode().lower().split(), END]
+def tail_classes(words: pa.Array) -> np.ndarray:
+    """0..TAIL-1 of each word by its last three letters, or by its last sign and length for words that end otherwise."""
+    n = len(words)
+    if not n:
+        return np.zeros(0, np.int64)
+    words = words.cast(pa.binary()) if words.type != pa.binary() else words
+    ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + n + 1].astype(np.int64)
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)[: ends[-1]]
+    data = np.append(data, np.uint8(0))  # where an empty word at the end would be read
+    start, stop = ends[:-1], ends[1:]
+    length = stop - start
+    back = lambda k: np.where(length >= k, data[np.maximum(stop - k, start)], 0).astype(np.int64)
+    one, two, three = back(1), back(2), back(3)
+    letter = lambda b: (b == 0) | ((b >= 97) & (b <= 122)) | ((b >= 65) & (b <= 90))
+    plain = (one >= 0x80) | (letter(one) & letter(two) & letter(three))
+    code = np.where(plain, three << 16 | two << 8 | one, 1 << 24 | one << 8 | np.minimum(length, 9)).astype(np.uint64)
+    return ((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % TAIL
+
+
+def words_of(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Codes of all words of the texts in order, the distinct words they stand for, and where each text's words begin (one more at the end)."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.string()), "")))
+    words, bounds = lists.flatten(), np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))])
+    coded = words.dictionary_encode()
+    codes, distinct = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.cast(pa.binary())
+    empty = pc.index(distinct, pa.scalar(b"", pa.binary())).as_py()
+    if empty >= 0:  # white space at either end leaves an empty piece
+        real = codes != empty
+        bounds = np.concatenate([[0], np.cumsum(real)])[bounds]
+        codes = codes[real]
+    if len(distinct) and (pc.max(pc.binary_length(distinct)).as_py() or 0) > WORD_BYTES:
+        distinct = pa.array([w if len(w) <= WORD_BYTES else END + hashlib.sha256(w).digest() for w in distinct.to_pylist()], pa.binary())
+    return codes, distinct, bounds.astype(np.int64)
 
 
-def tail_class(word: bytes) -> int:
-    """0..TAIL-1 by the last three bytes, or by the form of words with marks."""
-    last = word[-3:]
-    return crc32(last if last.isalpha() or last[-1:] >= b"\x80" else b"." + word[-1:] + bytes([min(len(word), 9)])) % TAIL
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += np.float32(1)
+    return np.reciprocal(x, out=x)
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return np.float32(1) / (np.float32(1) + np.exp(-x))
+def _add_rows(table: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
+    """table[rows] += values, where rows repeat."""
+    order = np.argsort(rows, kind="stable")
+    ranked = rows[order]
+    first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+    table[ranked[first]] += np.add.reduceat(values[order], first, axis=0)
 
 
 class Network:
@@ -95,84 +140,104 @@ class Network:
     def run(self, inputs: np.ndarray, fresh: np.ndarray, state: np.ndarray, keep: bool = False):
         """States before each of T x B symbols.  inputs: the symbols read before; fresh: where a document starts."""
         w, h, steps = self.w, SIZE, len(inputs)
-        R, N = w["R"], w["N"]
-        seen = np.empty((steps, state.shape[0], h), np.float32)
+        X, R, N = w["X"], w["R"], w["N"]
+        seen = np.empty((steps, state.shape[0], h), state.dtype)
         saved = []
         for t in range(steps):
-            gates = w["X"].take(inputs[t], axis=0)
+            gates = X.take(inputs[t], axis=0)
             gates[fresh[t]] = 0
-            state = np.where(fresh[t][:, None], np.float32(0), state)
-            zr = _sigmoid(gates[:, : 2 * h] + state @ R)
+            state = state.copy()
+            state[fresh[t]] = 0
+            zr = state @ R
+            zr += gates[:, : 2 * h]
+            zr = _sigmoid(zr)
             z, r = zr[:, :h], zr[:, h:]
             rs = r * state
-            n = np.tanh(gates[:, 2 * h :] + rs @ N)
+            n = rs @ N
+            n += gates[:, 2 * h :]
+            np.tanh(n, out=n)
             if keep:
                 saved.append((state, z, r, rs, n))
-            state = n + z * (state - n)
+            state = state - n
+            state *= z
+            state += n
             seen[t] = state
         return seen, state, saved
 
     def log_probs(self, states: np.ndarray, targets: np.ndarray, keep: bool = False):
         """Natural log P of each target's class and, for head words, of the word in it."""
-        w = self.w
-        classes = np.where(targets < HEAD, targets // WIDTH, targets - HEAD + HEAD // WIDTH)
+        w, heads = self.w, HEAD // WIDTH
+        targets = targets.astype(np.int64)
+        classes = np.where(targets < HEAD, targets // WIDTH, targets - HEAD + heads)
         # a state lies in -1..1, so logits are small and need no shift before exp
         logits = np.matmul(states, w["C"])
         logits += w["c"]
-        own = logits[np.arange(len(targets)), classes]
+        own = logits.ravel().take(np.arange(len(targets)) * CLASSES + classes)
         np.exp(logits, out=logits)
         total = logits @ np.ones(CLASSES, np.float32)
         out = own - np.log(total)
-        order = np.argsort(classes, kind="stable")
-        bounds = np.searchsorted(classes[order], np.arange(HEAD // WIDTH + 1))
+        order = np.argsort(classes.astype(np.int16), kind="stable")
+        bounds = np.searchsorted(classes.take(order), np.arange(heads + 1))
+        mine, places, logs = states.take(order[: bounds[-1]], axis=0), targets.take(order[: bounds[-1]]) % WIDTH, np.empty(bounds[-1], out.dtype)
         parts = []
-        for k in range(HEAD // WIDTH):
-            rows = order[bounds[k] : bounds[k + 1]]
-            if len(rows):
-                inner = np.matmul(states[rows], w["O"][k])
+        for k in range(heads):
+            a, b = bounds[k], bounds[k + 1]
+            if b > a:
+                inner = np.matmul(mine[a:b], w["O"][k])
                 inner += w["o"][k]
-                place = targets[rows] - k * WIDTH
-                own = inner[np.arange(len(rows)), place]
+                own = inner.ravel().take(np.arange(b - a) * WIDTH + places[a:b])
                 np.exp(inner, out=inner)
                 sums = inner @ np.ones(WIDTH, np.float32)
-                out[rows] += own - np.log(sums)
+                logs[a:b] = own - np.log(sums)
                 if keep:
-                    parts.append((k, rows, place, inner / sums[:, None]))
-        return (out, classes, logits / total[:, None], parts) if keep else out
+                    inner /= sums[:, None]
+                    parts.append((k, a, b, inner))
+        out[order[: bounds[-1]]] += logs
+        if not keep:
+            return out
+        logits /= total[:, None]
+        return out, classes, logits, (order, mine, places, parts)
 
     def gradients(self, inputs, targets, fresh, live, state):
         """Gradients of the window's mean loss over live places; the new state; the loss."""
         w, h, (steps, b) = self.w, SIZE, inputs.shape
         seen, last, saved = self.run(inputs, fresh, state, keep=True)
         flat, goal, on = seen.reshape(-1, h), targets.ravel(), live.ravel()
-        logp, classes, probs, parts = self.log_probs(flat, goal, keep=True)
-        weight = (on / max(1, on.sum())).astype(np.float32)
+        logp, classes, probs, (order, mine, places, parts) = self.log_probs(flat, goal, keep=True)
+        weight = (on / max(1, on.sum())).astype(flat.dtype)
         g = {k: np.zeros_like(v) for k, v in w.items()}
-        probs[np.arange(len(goal)), classes] -= 1
+        probs.ravel()[np.arange(len(goal)) * CLASSES + classes] -= 1
         probs *= weight[:, None]
-        g["C"], g["c"] = flat.T @ probs, probs.sum(0)
+        g["C"], g["c"] = flat.T @ probs, np.ones(len(goal), flat.dtype) @ probs
         dflat = probs @ w["C"].T
-        for k, rows, place, inner in parts:
-            inner[np.arange(len(rows)), place] -= 1
-            inner *= weight[rows][:, None]
-            g["O"][k], g["o"][k] = flat[rows].T @ inner, inner.sum(0)
-            dflat[rows] += inner @ w["O"][k].T
-        dseen, dstate = dflat.reshape(steps, b, h), np.zeros((b, h), np.float32)
-        dgates = np.empty((steps, b, 3 * h), np.float32)
+        ranked, dmine = weight.take(order[: len(mine)]), np.empty_like(mine)
+        for k, at, to, inner in parts:
+            inner.ravel()[np.arange(to - at) * WIDTH + places[at:to]] -= 1
+            inner *= ranked[at:to, None]
+            g["O"][k], g["o"][k] = mine[at:to].T @ inner, np.ones(to - at, flat.dtype) @ inner
+            dmine[at:to] = inner @ w["O"][k].T
+        dflat[order[: len(mine)]] += dmine
+        dseen, dstate = dflat.reshape(steps, b, h), np.zeros((b, h), flat.dtype)
+        dgates = np.empty((steps, b, 3 * h), flat.dtype)
+        Rt, Nt = np.ascontiguousarray(w["R"].T), np.ascontiguousarray(w["N"].T)
         for t in range(steps - 1, -1, -1):
             before, z, r, rs, n = saved[t]
+            dzr, dn = dgates[t, :, : 2 * h], dgates[t, :, 2 * h :]
             ds = dstate + dseen[t]
-            dn = ds * (1 - z) * (1 - n * n)
-            drs = dn @ w["N"].T
-            dz, dr = ds * (before - n) * z * (1 - z), drs * before * r * (1 - r)
-            dgates[t, :, :h], dgates[t, :, h : 2 * h], dgates[t, :, 2 * h :] = dz, dr, dn
-            dzr = dgates[t, :, : 2 * h]
+            keep = ds * z
+            np.multiply(ds - keep, 1 - n * n, out=dn)
+            drs = dn @ Nt
+            np.multiply((before - n) * keep, 1 - z, out=dzr[:, :h])
+            drs *= r
+            np.multiply(drs * before, 1 - r, out=dzr[:, h:])
             g["N"] += rs.T @ dn
             g["R"] += before.T @ dzr
-            dstate = ds * z + drs * r + dzr @ w["R"].T
+            dstate = dzr @ Rt
+            dstate += keep
+            dstate += drs
             dstate[fresh[t]] = 0
             dgates[t][fresh[t]] = 0
-        np.add.at(g["X"], inputs.ravel(), dgates.reshape(-1, 3 * h))
+        _add_rows(g["X"], inputs.ravel(), dgates.reshape(-1, 3 * h))
         return g, last, -float((logp * weight).sum())
 
     def train(self, documents: list[np.ndarray], rate: float, slots: int, passes: int = 1) -> int:
@@ -185,6 +250,18 @@ class Network:
                 seen += int(live.sum())
         return seen
 
+    def score(self, documents: list[np.ndarray]) -> np.ndarray:
+        """Natural log P of each sequence of symbols."""
+        out = np.zeros(len(documents))
+        for inputs, targets, fresh, live, number, state in windows(documents, SLOTS, SCORE_STEPS):
+            seen, state[:], _ = self.run(inputs, fresh, state)
+            flat, goal, own = seen.reshape(-1, SIZE), targets.ravel(), number.ravel()
+            if not live.all():
+                on = live.ravel()
+                flat, goal, own = flat[on], goal[on], own[on]
+            out += np.bincount(own, self.log_probs(flat, goal), minlength=len(documents))
+        return out
+
     def packed(self) -> np.ndarray:
         return np.concatenate([v.ravel() for v in self.w.values()])
 
@@ -196,273 +273,315 @@ class Network:
         return self
 
 
-def windows(documents: list[list[int]], slots: int, steps: int = STEPS):
+def windows(documents: list[np.ndarray], slots: int, steps: int = STEPS):
     """Lay documents into slots and cut time into windows.
 
     Yields inputs, targets, fresh (document starts), live, the documents' numbers (all steps x slots) and
     the state array, to be updated in place.  A slot takes the next document where one ends, so that few
-    places are idle whatever the lengths.
+    places are idle whatever the lengths; what is held grows with the tokens, however long one document is.
     """
     slots = max(1, min(slots, len(documents)))
-    lengths = sorted(range(len(documents)), key=lambda i: -len(documents[i]))
+    sizes = [len(d) for d in documents]
     load, queues = [(0, s) for s in range(slots)], [[] for _ in range(slots)]
-    from heapq import heapify, heapreplace
-
     heapify(load)
-    for i in lengths:  # longest first into the emptiest slot
+    for i in sorted(range(len(documents)), key=lambda i: -sizes[i]):  # longest first into the emptiest slot
         total, s = load[0]
         queues[s].append(i)
-        heapreplace(load, (total + len(documents[i]), s))
-    span = max((sum(len(documents[i]) for i in q) for q in queues), default=0)
-    span = -(-span // steps) * steps
-    ends = np.array([sum(len(documents[i]) for i in q) for q in queues])
-    queues = [queues[s] for s in np.argsort(-ends, kind="stable")]
-    ends = np.sort(ends)[::-1]
-    targets = np.zeros((span + 1, slots), np.int16)  # one step later than they are read
-    number = np.full((span, slots), -1, np.int32)
-    fresh = np.zeros((span, slots), bool)
-    fresh[:1] = True
-    for s, q in enumerate(queues):
-        at = 0
-        for i in q:
-            n = len(documents[i])
-            if n:
-                targets[at + 1 : at + n + 1, s] = documents[i]
-                number[at : at + n, s] = i
-                fresh[at, s] = True
-            at += n
-    state = np.zeros((slots, SIZE), np.float32)
-    for at in range(0, span, steps):
+        heapreplace(load, (total + sizes[i], s))
+    ends = np.array([sum(sizes[i] for i in q) for q in queues], np.int64)
+    order = np.argsort(-ends, kind="stable")
+    ends, placed = ends[order], [i for s in order for i in queues[s] if sizes[i]]
+    total = int(ends.sum())
+    if not total:
+        return
+    flat = np.concatenate([np.asarray(documents[i]) for i in placed]).astype(np.int16)
+    lengths = np.array([sizes[i] for i in placed])
+    number = np.repeat(np.array(placed, np.int32), lengths)
+    first = np.zeros(total, bool)
+    first[np.cumsum(lengths) - lengths] = True
+    starts = np.cumsum(ends) - ends
+    state, step = np.zeros((slots, SIZE), np.float32), np.arange(steps)[:, None]
+    for at in range(0, int(ends[0]), steps):
         width = int((ends > at).sum())  # slots that still have tokens come first
-        own = number[at : at + steps, :width]
-        yield targets[at : at + steps, :width], targets[at + 1 : at + steps + 1, :width], fresh[at : at + steps, :width], own >= 0, own, state[:width]
+        place = np.minimum(starts[:width] + at + step, total - 1)
+        live = at + step < ends[:width]
+        targets = np.where(live, flat[place], np.int16(0))
+        yield flat[np.maximum(place - 1, 0)], targets, first[place] & live, live, np.where(live, number[place], np.int32(-1)), state[:width]
+
+
+def slots_for(tokens: int) -> int:
+    """Documents side by side in training: fewer where there are few tokens, so that they give some steps yet."""
+    return int(min(SLOTS, max(8, tokens // 512)))
 
 
 class Vocabulary:
-    """Known words -> symbol and log10(count + 1/2).  Head words are their ranks; all others, known or not, their tail class."""
+    """Known words by frequency: their symbols (head words are their ranks, others their tail class) and log10(count + 1/2)."""
 
     def __init__(self, known: list[tuple[bytes, int]]):
-        value = np.log10(np.array([n for _, n in known], dtype=np.float64) + 0.5).tolist()
-        self.known = {w: (i if i < HEAD else HEAD + tail_class(w), v) for i, ((w, _), v) in enumerate(zip(known, value, strict=True))}
+        self.words = pa.array([w for w, _ in known], pa.binary())
+        self.value = np.log10(np.array([n for _, n in known], np.float64) + 0.5)
+        self.end = next((i for i, (w, _) in enumerate(known) if w == END), -1)
+        self.end_symbol = int(self.symbols_of(pa.array([END], pa.binary()))[0][0])
 
-    def symbols(self, words: list[bytes]) -> np.ndarray:
-        get = self.known.get
-        return np.array([found[0] if (found := get(w)) else HEAD + tail_class(w) for w in words], np.int16)
+    def symbols_of(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """A symbol for each word, and its place among the known words (-1: none)."""
+        at = pc.fill_null(pc.index_in(distinct, value_set=self.words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        return np.where((at >= 0) & (at < HEAD), at, HEAD + tail_classes(distinct)).astype(np.int16), at
 
-    def document(self, words: list[bytes], floor: list[float]) -> tuple[np.ndarray, int, float, float, dict[bytes, int]]:
-        """Symbols; known tokens and their sum of log10(c + 1/2); what tail words add to the model's score; the rest's counts.
+    def encode(self, texts: pa.Array, floor: np.ndarray) -> dict[str, pa.Array]:
+        """Columns for each text: symbols, n_tokens; known tokens and their sum of log10(c + 1/2) (base); what tail words add to
+        the model's score (model); the other words (rare) and how often each comes (times).
 
-        A tail word adds log10(c + 1/2) less its class's total (``floor``); for the rest the first comes with the join.
+        A tail word adds log10(c + 1/2) less its class's total (``floor``); for the rare the first comes with the join.
         """
-        get, symbol = self.known.get, {}
-        known, base, inner = 0, 0.0, 0.0
-        rare: dict[bytes, int] = {}
-        for word, n in Counter(words).items():
-            found = get(word)
-            if found is None:
-                k = tail_class(word)
-                rare[word] = n
-                inner -= n * floor[k]
-                symbol[word] = HEAD + k
-            else:
-                symbol[word] = found[0]
-                known += n
-                base += n * found[1]
-                if found[0] >= HEAD:
-                    inner += n * (found[1] - floor[found[0] - HEAD])
-        return np.fromiter(map(symbol.__getitem__, words), np.int16, len(words)), known, base, inner, rare
+        codes, distinct, bounds = words_of(texts)
+        n, (symbol, at) = len(texts), self.symbols_of(distinct)
+        known, tail = at >= 0, symbol >= HEAD
+        log = np.zeros(len(at))
+        log[known] = self.value[at[known]]
+        inner = np.where(tail, log - floor[np.where(tail, symbol - HEAD, 0)], 0.0) if len(at) else log
+        owner = np.repeat(np.arange(n), np.diff(bounds))
+        by_text = lambda x: np.bincount(owner, x[codes], minlength=n)
+        counted = float(self.end >= 0)
+        end_log = self.value[self.end] if self.end >= 0 else 0.0
+        end_inner = end_log - floor[self.end_symbol - HEAD] if self.end_symbol >= HEAD else 0.0
+        stream = np.empty(len(codes) + n, np.int16)
+        ends = bounds[1:] + np.arange(n)
+        stream[ends] = self.end_symbol
+        stream[np.arange(len(codes)) + owner] = symbol[codes]
+        odd = ~known[codes]
+        pairs, times = np.unique(owner[odd] * max(1, len(at)) + codes[odd], return_counts=True)
+        per_text = np.bincount(pairs // max(1, len(at)), minlength=n)
+        offsets = pa.array(np.concatenate([[0], np.cumsum(per_text)]), pa.int32())
+        own = pa.py_buffer(np.concatenate([[0], (ends + 1) * 2]).astype(np.int32).tobytes())
+        return {
+            "symbols": pa.Array.from_buffers(pa.binary(), n, [None, own, pa.py_buffer(stream.tobytes())]),
+            "n_tokens": pa.array(np.diff(bounds) + 1, pa.int64()),
+            "known": pa.array((by_text(known.astype(np.float64)) + counted).astype(np.int64)),
+            "base": pa.array(by_text(log) + end_log),
+            "model": pa.array(by_text(inner) + end_inner),
+            "rare": pa.ListArray.from_arrays(offsets, distinct.take(pa.array(pairs % max(1, len(at))))),
+            "times": pa.ListArray.from_arrays(offsets, pa.array(times, pa.int64())),
+        }
+
+
+def symbol_arrays(column: pa.Array) -> list[np.ndarray]:
+    """The sequences of a column of :meth:`Vocabulary.encode`'s symbols, without a copy."""
+    if not len(column):
+        return []
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+    return [data[a:b].view(np.int16) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
 
 def count_tokens(rows: DataFrame) -> DataFrame:
     """token -> n over rows (_text), counted in each task before the shuffle; memory is bounded by flushing."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
+        held: list[pa.Table] = []
 
-        def out() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["token", "n"])
+        def merged() -> pa.RecordBatch:
+            table = pa.concat_tables(held).group_by("token").aggregate([("n", "sum")]).select(["token", "n_sum"]).combine_chunks()
             held.clear()
-            return batch
+            return pa.RecordBatch.from_arrays([pa.concat_arrays(c.chunks) if c.num_chunks else pa.array([], c.type) for c in table.columns], names=["token", "n"])
 
+        texts = 0
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                for text in batch.column(0).slice(at, SLICE).to_pylist():
-                    held.update(tokens_of(text))
-                    if len(held) > FLUSH:
-                        yield out()
-        yield out()
+            codes, distinct, _ = words_of(batch.column(0))
+            texts += batch.num_rows
+            n = np.bincount(codes, minlength=len(distinct))
+            met = n > 0
+            held.append(pa.table({"token": distinct.filter(pa.array(met)), "n": pa.array(n[met], pa.int64())}))
+            if sum(t.num_rows for t in held) > FLUSH:
+                out = merged()
+                if out.num_rows > FLUSH // 2:
+                    yield out
+                else:
+                    held.append(pa.Table.from_batches([out]))
+        if texts:
+            held.append(pa.table({"token": pa.array([END], pa.binary()), "n": pa.array([texts], pa.int64())}))
+            yield merged()
 
     return rows.select("_text").mapInArrow(run, "token binary, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
 
 
 def frequent_tokens(counts: DataFrame) -> list[tuple[bytes, int]]:
-    """The most frequent tokens, at most ``KNOWN``, the most frequent first.
+    """The most frequent tokens, at most ``KNOWN``, the most frequent first; the end token is always one of them.
 
     A histogram of counts in narrow steps (some hundred rows) gives the least count to ask for, so that the driver
-    receives no more than it keeps, from however many tasks.  A step that would go beyond ``KNOWN`` is left out whole.
+    receives no more than it keeps, from however many tasks.  Of the step that would go beyond ``KNOWN`` the words with the
+    least hashes come in, by a histogram of hashes.
     """
-    short = counts.where(F.length("token") <= WORD_BYTES).withColumn("step", F.floor(F.log2("n") * 32).cast("int"))
-    room, least = KNOWN, None
-    for r in sorted(short.groupBy("step").count().collect(), key=lambda r: -r.step):
+    steps = counts.withColumn("step", F.floor(F.log2("n") * 32).cast("int")).withColumn("bin", F.shiftrightunsigned(F.xxhash64("token"), 52))
+    room, least = KNOWN - 1, None
+    chosen = F.col("token") == F.lit(END)
+    for r in sorted(steps.groupBy("step").count().collect(), key=lambda r: -r.step):
         if r["count"] > room:
+            bins, upto = steps.where(F.col("step") == r.step).groupBy("bin").count().collect(), -1  # at most 4,096 rows
+            for b in sorted(bins, key=lambda b: b.bin):
+                if b["count"] > room:
+                    break
+                room, upto = room - b["count"], b.bin
+            chosen |= (F.col("step") == r.step) & (F.col("bin") <= upto)
             break
         room, least = room - r["count"], r.step
-    rows = short.where(F.col("step") >= least).collect() if least is not None else []
+    if least is not None:
+        chosen |= F.col("step") >= least
+    rows = steps.where(chosen).select("token", "n").collect()
     return sorted(((bytes(r.token), r.n) for r in rows), key=lambda x: (-x[1], x[0]))
 
 
-def average_replicas(rows: DataFrame, start: Network, vocabulary) -> Network:
-    """Train a replica in each task from ``start`` and average them, weighted by tokens."""
-    base = rows.sparkSession.sparkContext.broadcast(start.packed())
-    size, chunks = len(start.packed()), 8
+PARTS = pa.schema([("b", pa.int64()), ("c", pa.int64()), ("n", pa.int64()), ("w", pa.binary())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
 
-        words, network, seen = Vocabulary(vocabulary.value), Network().unpack(base.value.copy()), 0
-        ready: list[np.ndarray] = []
-        held = 0
-        for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                ready += (words.symbols(tokens_of(t)) for t in batch.column(0).slice(at, SLICE).to_pylist())
-                held += sum(map(len, ready[-min(SLICE, batch.num_rows - at) :]))
-                if held > GROUP:
-                    seen += network.train(ready, 0.003, 128)
-                    ready, held = [], 0
-        if ready:
-            seen += network.train(ready, 0.003, 128)
-        if seen:
-            flat = (network.packed().astype(np.float64) - base.value) * seen
-            for c, part in enumerate(np.array_split(flat, chunks)):
-                group = TaskContext.get().partitionId() % LEVELS
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([group]), pa.array([c]), pa.array([seen]), pa.array([part.tobytes()], pa.binary())],
-                    schema=pa.schema([("g", pa.int64()), ("c", pa.int64()), ("n", pa.int64()), ("w", pa.binary())]),
-                )
-
-    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sums of the chunks of a task's rows, by group and chunk; few arrays are held."""
+def _summed(parts: DataFrame, by: int, tasks: int) -> DataFrame:
+    """Sums of the pieces (b, c, n, w) by b modulo ``by`` and by c, always in the same order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple[int, int], list] = {}
         for batch in batches:
-            for g, c, n, w in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                own = sums.setdefault((g, c), [0, 0.0])
+            for b, c, n, w in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                own = sums.setdefault((b % by, c), [0, 0.0])
                 own[0] += n
                 own[1] = own[1] + np.frombuffer(w, np.float64)
         if sums:
-            keys = list(sums)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in keys]), pa.array([k[1] for k in keys]), pa.array([sums[k][0] for k in keys]),
-                 pa.array([sums[k][1].tobytes() for k in keys], pa.binary())],
-                schema=pa.schema([("g", pa.int64()), ("c", pa.int64()), ("n", pa.int64()), ("w", pa.binary())]),
-            )
+            rows = [(b, c, n, w.tobytes()) for (b, c), (n, w) in sums.items()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), f.type) for x, f in zip(zip(*rows, strict=True), PARTS, strict=True)], schema=PARTS)
 
-    schema = "g bigint, c bigint, n bigint, w binary"
-    parts = rows.select("_text").mapInArrow(run, schema)
-    parts = parts.repartition(LEVELS, "g", "c").mapInArrow(added, schema)
-    found = stored(parts, "replicas").collect()  # at most LEVELS x chunks pieces of a model of fixed size
+    dealt = parts.repartition(tasks, F.col("b") % by, "c").sortWithinPartitions("b", "c")
+    return dealt.mapInArrow(run, "b bigint, c bigint, n bigint, w binary")
+
+
+def average_replicas(rows: DataFrame, start: Network, tokens: int) -> Network:
+    """Train replicas from ``start`` on rows (_key, _symbols) of ``tokens`` tokens in all and average them, weighted by tokens.
+
+    ``_key``: a hash that deals documents to replicas and orders them there.
+    """
+    base = rows.sparkSession.sparkContext.broadcast(start.packed())
+    size, count = len(start.packed()), min(max(REPLICAS[0], -(-tokens // REPLICA_TOKENS)), REPLICAS[1])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, network, seen, ready, held = None, None, 0, [], 0
+
+        def train() -> int:
+            return network.train(ready, 0.003, slots_for(held))
+
+        def out() -> Iterator[pa.RecordBatch]:
+            flat = (network.packed().astype(np.float64) - base.value) * seen
+            for c, part in enumerate(np.array_split(flat, CHUNKS)):
+                yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((bucket, c, seen, part.tobytes()), PARTS, strict=True)], schema=PARTS)
+
+        for batch in batches:
+            buckets = batch.column(0).to_pylist()
+            for b, symbols in zip(buckets, symbol_arrays(batch.column(1)), strict=True):
+                if b != bucket:
+                    if bucket is not None:
+                        seen += train()
+                        yield from out()
+                    bucket, network, seen, ready, held = b, Network().unpack(base.value), 0, [], 0
+                ready.append(symbols)
+                held += len(symbols)
+                if held > GROUP:
+                    seen += train()
+                    ready, held = [], 0
+        if bucket is not None:
+            seen += train()
+            yield from out()
+
+    own = rows.select(F.pmod("_key", F.lit(count)).cast("int").alias("_b"), "_key", "_symbols")
+    own = own.repartitionById(count, F.col("_b")).sortWithinPartitions("_b", "_key", "_symbols").select("_b", "_symbols")
+    parts = stored(own.mapInArrow(run, "b bigint, c bigint, n bigint, w binary"), "replicas")
+    found = _summed(_summed(parts, LEVELS, LEVELS), 1, CHUNKS).collect()  # CHUNKS pieces of a model of fixed size
     if not found:
         return start
-    flat, total = np.zeros(size), 0
-    for c, place in enumerate(np.array_split(np.arange(size), chunks)):
-        own = [r for r in found if r.c == c]
-        total = sum(r.n for r in own)
-        flat[place] = sum(np.frombuffer(r.w, np.float64) for r in own) / total
+    flat, total = np.zeros(size), sum(r.n for r in found if r.c == 0)
+    for c, place in enumerate(np.array_split(np.arange(size), CHUNKS)):
+        flat[place] = sum(np.frombuffer(r.w, np.float64) for r in found if r.c == c) / total
     return Network().unpack((base.value + flat).astype(np.float32))
 
 
+def warm_up(rows: DataFrame, network: Network) -> None:
+    """Train on whole documents of rows (_key, _symbols, n_tokens) in the order of their keys: ``WARM`` at most, ``WARM_TOKENS`` in all."""
+    n = rows.count()
+    if n > 4 * WARM:  # a cut on the hash, so that tasks do not each send WARM rows
+        rows = rows.where(F.col("_key") < F.lit(int(-(2**63) + 2**64 * (4 * WARM / n))))
+    first = rows.select("_key", "n_tokens").orderBy("_key", "n_tokens").limit(WARM).collect()
+    room, keys = WARM_TOKENS, []
+    for r in first:
+        if r.n_tokens <= room:
+            room -= r.n_tokens
+            keys.append(r._key)
+    if keys:
+        # rows that repeat id and text share a key: one of them is enough here
+        found = rows.where(F.col("_key").isin(keys)).groupBy("_key").agg(F.min("_symbols").alias("_symbols")).orderBy("_key").collect()
+        network.train([np.frombuffer(r._symbols, np.int16) for r in found], 0.01, 64, WARM_PASSES)
+
+
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     rows = pruned(docs, _id=id_col, _text=text_col).withColumn("_held", held_out("_id", FOLDS, HELD_FOLD))
-    learn = rows.where(~F.col("_held"))
 
-    counts = stored(count_tokens(learn), "counts")
+    counts = stored(count_tokens(rows.where(~F.col("_held"))), "counts")
     total = counts.agg(F.sum("n").alias("N"), F.count(F.lit(1)).alias("V")).first()
     N, V = int(total.N or 0), int(total.V)
-    known = spark.sparkContext.broadcast(frequent_tokens(counts))
+    known = frequent_tokens(counts)
+    words = spark.sparkContext.broadcast(known)
 
-    tail = tail_totals(counts, known)
+    tail_n, tail_v = tail_totals(counts, words)
     start = Network()
-    symbols = np.zeros(HEAD + TAIL, np.int64)
-    for i, (_, n) in enumerate(known.value[:HEAD]):
-        symbols[i] = n
-    for k, (n, _) in tail.items():
-        symbols[HEAD + k] = n
-    start.start_from(symbols)
-    documents = counts.where(F.col("token") == F.lit(END)).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    sample = hash_sample(learn.select("_id"), WARM, documents, "_id", 3)
-    texts = learn.join(F.broadcast(sample), "_id", "left_semi").orderBy(F.xxhash64("_id", F.lit(3)), "_id", F.xxhash64("_text")).limit(WARM)
-    vocabulary = Vocabulary(known.value)
-    warm, room = [], WARM_TOKENS
-    for r in texts.select("_text").collect():
-        symbols = vocabulary.symbols(tokens_of(r._text))
-        if len(symbols) <= room:
-            warm.append(symbols)
-            room -= len(symbols)
-    if warm:
-        start.train(warm, 0.01, 64, WARM_PASSES)
-    network = average_replicas(learn, start, known)
-
-    model = spark.sparkContext.broadcast(network.packed())
-    shares = np.array([[tail.get(k, (0, 0))[0], tail.get(k, (0, 0))[1]] for k in range(TAIL)], dtype=np.float64)
-    floor = np.log10(shares[:, 0] + 0.5 * (shares[:, 1] + 1)).tolist()  # log of a tail class's add-1/2 total
+    start.start_from(np.concatenate([np.array([n for _, n in known[:HEAD]] + [0] * (HEAD - len(known[:HEAD]))), tail_n]))
+    floor = np.log10(tail_n + 0.5 * (tail_v + 1))  # log of a tail class's add-1/2 total
     kind = rows.schema["_id"].dataType.simpleString()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        words, net = Vocabulary(known.value), Network().unpack(model.value)
-        row = TaskContext.get().partitionId() << 33
-        ready: list[np.ndarray] = []
-        parts: list[pa.RecordBatch] = []
-        held = 0
+        vocabulary, row = Vocabulary(words.value), TaskContext.get().partitionId() << 33
+        for batch in batches:
+            found = vocabulary.encode(batch.column(1), floor)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.arange(row, row + batch.num_rows)), batch.column(0), *batch.columns[2:], *found.values()],
+                names=["_row", "_id", "_held", "_key", *found],
+            )
+            row += batch.num_rows
+
+    columns = "symbols binary, n_tokens bigint, known bigint, base double, model double, rare array<binary>, times array<bigint>"
+    keyed = rows.select("_id", "_text", "_held", F.xxhash64("_id", F.xxhash64("_text")).alias("_key"))
+    first = stored(keyed.mapInArrow(encode, f"_row bigint, _id {kind}, _held boolean, _key bigint, {columns}"), "first")
+    learn = first.where(~F.col("_held")).select("_key", "n_tokens", F.col("symbols").alias("_symbols"))
+    warm_up(learn, start)
+    network = average_replicas(learn, start, N)
+    model = spark.sparkContext.broadcast(network.packed())
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net, parts, ready, held = Network().unpack(model.value), [], [], 0
 
         def out() -> Iterator[pa.RecordBatch]:
-            neural = np.zeros(len(ready))
-            for inputs, targets, fresh, _, number, state in windows(ready, SLOTS):
-                seen, last, _ = net.run(inputs, fresh, state)
-                state[:] = last
-                own = number.ravel()
-                on = own >= 0
-                neural += np.bincount(own[on], net.log_probs(seen.reshape(-1, SIZE)[on], targets.ravel()[on]), minlength=len(ready))
-            at = 0
+            neural, at = net.score(ready) / np.log(10), 0
             for part in parts:
-                score = neural[at : at + part.num_rows] / np.log(10) + part.column("model").to_numpy()
-                yield part.set_column(names.index("model"), "model", pa.array(score))
+                own = neural[at : at + part.num_rows] + part.column(part.num_columns - 1).to_numpy()
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(own)], names=part.schema.names)
                 at += part.num_rows
-            ready.clear()
-            parts.clear()
 
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                piece = batch.slice(at, SLICE)
-                found = [words.document(tokens_of(t), floor) for t in piece.column(1).to_pylist()]
-                symbols, n_known, base, inner, rare = zip(*found, strict=True)
-                ready += symbols
-                n, lengths = len(found), [len(s) for s in symbols]
-                held += sum(lengths)
-                parts.append(pa.RecordBatch.from_arrays([
-                    pa.array(np.arange(row, row + n)), piece.column(0), piece.column(2), pa.array(lengths, pa.int64()),
-                    pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(inner, pa.float64()),
-                    pa.array([list(x) for x in rare], pa.list_(pa.binary())), pa.array([list(x.values()) for x in rare], pa.list_(pa.int64())),
-                ], names=names))
-                row += n
-                if held > GROUP:
-                    yield from out()
-                    held = 0
+            ready += symbol_arrays(batch.column(0))
+            parts.append(pa.RecordBatch.from_arrays(batch.columns[1:], names=batch.schema.names[1:]))
+            held += sum(map(len, ready[-batch.num_rows :])) if batch.num_rows else 0
+            if held > GROUP:
+                yield from out()
+                parts, ready, held = [], [], 0
         yield from out()
 
-    names = ["_row", "_id", "_held", "n_tokens", "known", "base", "model", "rare", "times"]
-    schema = f"_row bigint, _id {kind}, _held boolean, n_tokens bigint, known bigint, base double, model double, rare array<binary>, times array<bigint>"
-    first = stored(rows.select("_id", "_text", "_held").mapInArrow(run, schema), "first")
-
-    rare = first.select("_row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("_row", F.col("r.rare").alias("token"), F.col("r.times").alias("t"))
-    met = rare.join(counts, "token", "left")
+    met = first.select("_row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("_row", F.col("r.rare").alias("token"), F.col("r.times").alias("t"))
+    met = met.join(counts, "token", "left")
     each = F.col("t") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)
     sums = met.groupBy("_row").agg(F.sum(each).alias("logs"), F.sum(F.when(F.col("n").isNotNull(), F.col("t")).otherwise(0)).alias("seen"))
     logs, seen = F.coalesce("logs", F.lit(0.0)), F.coalesce("seen", F.lit(0))
     base_total = float(np.log10(N + 0.5 * (V + 1)))
-    return first.drop("rare", "times").join(sums, "_row", "left").select(
+    schema = f"_row bigint, _id {kind}, _held boolean, n_tokens bigint, known bigint, base double, model double"
+    scored = first.select("symbols", "_row", "_id", "_held", "n_tokens", "known", "base", "model").mapInArrow(score, schema)
+    return scored.join(sums, "_row", "left").select(
         F.col("_id").alias(id_col),
         F.col("_held").alias("held_out"),
         "n_tokens",
@@ -473,19 +592,20 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def tail_totals(counts: DataFrame, known) -> dict[int, tuple[int, int]]:
-    """Tail class -> its tokens and its words, over all training tokens that are no head words."""
+def tail_totals(counts: DataFrame, known) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens and words of each tail class, over all training tokens that are no head words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head = {w for w, _ in known.value[:HEAD]}
-        n, v = np.zeros(TAIL, np.int64), np.zeros(TAIL, np.int64)
+        head, n, v = pa.array([w for w, _ in known.value[:HEAD]], pa.binary()), np.zeros(TAIL), np.zeros(TAIL)
         for batch in batches:
-            for word, times in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if word not in head:
-                    k = tail_class(word)
-                    n[k] += times
-                    v[k] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(TAIL)), pa.array(n), pa.array(v)], names=["k", "n", "v"])
+            rest = pc.invert(pc.is_in(batch.column(0), value_set=head))
+            k, times = tail_classes(batch.column(0).filter(rest)), batch.column(1).filter(rest).to_numpy()
+            n += np.bincount(k, times, minlength=TAIL)
+            v += np.bincount(k, minlength=TAIL)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(TAIL)), pa.array(n.astype(np.int64)), pa.array(v.astype(np.int64))], names=["k", "n", "v"])
 
     found = counts.select("token", "n").mapInArrow(run, "k bigint, n bigint, v bigint").groupBy("k").agg(F.sum("n").alias("n"), F.sum("v").alias("v"))
-    return {r.k: (r.n, r.v) for r in found.collect()}
+    n, v = np.zeros(TAIL, np.int64), np.zeros(TAIL, np.int64)
+    for r in found.collect():
+        n[r.k], v[r.k] = r.n, r.v
+    return n, v

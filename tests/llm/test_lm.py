@@ -1,7 +1,9 @@
+import hashlib
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from marginalia.llm import lm
@@ -107,8 +109,106 @@ def test_every_training_token_is_trained_on(spark, monkeypatch):
         return held[-1]
 
     monkeypatch.setattr(lm, "stored", kept)
-    rows = [(f"a{i} b{i}",) for i in range(50)] + [(" ".join(f"w{k}" for k in range(700)),)]
-    docs = spark.createDataFrame(rows, "_text string").repartition(2)
-    known = spark.sparkContext.broadcast(lm.frequent_tokens(lm.count_tokens(docs)))
-    lm.average_replicas(docs, lm.Network(), known)
-    assert sum(r.n for r in held[0].where("c = 0").collect()) == sum(len(lm.tokens_of(t)) for (t,) in rows)
+    rows = [f"a{i} b{i}" for i in range(50)] + [" ".join(f"w{k}" for k in range(700))]
+    docs = spark.createDataFrame([(t,) for t in rows], "_text string").repartition(2)
+    vocabulary = lm.Vocabulary(lm.frequent_tokens(lm.count_tokens(docs)))
+    symbols = vocabulary.encode(pa.array(rows), np.zeros(lm.TAIL))["symbols"].to_pylist()
+    tokens = sum(len(brute_tokens(t)) for t in rows)
+    table = spark.createDataFrame([(i * 7919, bytearray(x)) for i, x in enumerate(symbols)], "_key long, _symbols binary")
+    lm.average_replicas(table, lm.Network(), tokens)
+    assert sum(r.n for r in held[0].where("c = 0").collect()) == tokens
+
+
+def brute_tokens(text):
+    return [*(text or "").encode().lower().split(), b"\n"]
+
+
+def test_arrow_words_are_those_of_python(odd):
+    texts = [r.text for r in odd.collect()] + ["  a\x0bB\x0cc\x85\x1cd ", "Z" * 200 + " z", ""]
+    codes, distinct, bounds = lm.words_of(pa.array(texts))
+    for i, text in enumerate(texts):
+        got = [distinct[int(c)].as_py() for c in codes[bounds[i] : bounds[i + 1]]]
+        want = [w if len(w) <= lm.WORD_BYTES else b"\n" + hashlib.sha256(w).digest() for w in brute_tokens(text)[:-1]]
+        assert got == want
+
+
+def test_symbols_and_sums_equal_brute_force(spark):
+    rng = np.random.default_rng(6)
+    texts = [" ".join(f"w{int(rng.zipf(1.3)) % 5000}x" for _ in range(rng.integers(0, 90))) for _ in range(200)]
+    known = Counter(w for t in texts[:150] for w in brute_tokens(t)).most_common(900)
+    vocabulary, floor = lm.Vocabulary(known), rng.random(lm.TAIL)
+    found = {k: v.to_pylist() for k, v in vocabulary.encode(pa.array(texts), floor).items()}
+    table = dict(known)
+    place = {w: i for i, (w, _) in enumerate(known)}
+    for i, text in enumerate(texts):
+        words = brute_tokens(text)
+        symbols = [place[w] if place.get(w, lm.HEAD) < lm.HEAD else lm.HEAD + int(lm.tail_classes(pa.array([w]))[0]) for w in words]
+        assert np.frombuffer(found["symbols"][i], np.int16).tolist() == symbols and found["n_tokens"][i] == len(words)
+        assert found["known"][i] == sum(w in table for w in words)
+        assert found["base"][i] == pytest.approx(sum(np.log10(table[w] + 0.5) for w in words if w in table))
+        assert found["model"][i] == pytest.approx(sum((np.log10(table[w] + 0.5) if w in table else 0) - floor[s - lm.HEAD] for w, s in zip(words, symbols) if s >= lm.HEAD))
+        assert dict(zip(found["rare"][i], found["times"][i])) == dict(Counter(w for w in words if w not in table))
+
+
+def test_scores_do_not_depend_on_partitions(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, " ".join(rng.choice([f"v{k}" for k in range(300)], rng.integers(1, 80)))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    a, b = ({r.doc_id: r.score for r in lm.score_documents(docs.repartition(n)).collect()} for n in (2, 16))
+    assert a.keys() == b.keys() and all(a[i] == pytest.approx(b[i], rel=1e-5) for i in a)
+
+
+def test_vocabulary_of_very_many_words_of_like_count(spark, monkeypatch):
+    """A step of counts that goes beyond KNOWN comes in by hash; the vocabulary is never empty."""
+    monkeypatch.setattr(lm, "KNOWN", 500)
+    docs = spark.createDataFrame([(" ".join(f"w{i}_{k}" for k in range(100)),) for i in range(40)], "_text string")
+    known = lm.frequent_tokens(lm.count_tokens(docs))
+    assert 450 < len(known) <= 500 and known[0] == (b"\n", 40)
+
+
+def test_whole_score_equals_brute_force(spark, monkeypatch):
+    """One text after the other, one word at a time, from the model's own weights."""
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join(rng.choice([f"v{k}" for k in range(40)] + [f"r{i}"], rng.integers(0, 30)))) for i in range(120)]
+    kept = {}
+
+    def average(table, start, tokens, real=lm.average_replicas):
+        kept["net"] = real(table, start, tokens)
+        return kept["net"]
+
+    monkeypatch.setattr(lm, "average_replicas", average)
+    monkeypatch.setattr(lm, "HEAD", 64)
+    monkeypatch.setattr(lm, "WIDTH", 16)
+    monkeypatch.setattr(lm, "CLASSES", 4 + lm.TAIL)
+    monkeypatch.setattr(lm, "KNOWN", 80)
+    got = {r.doc_id: r.score for r in lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
+    c = Counter(w for i, t in rows if not held(i) for w in brute_tokens(t))
+    head = {w: i for i, (w, _) in enumerate(sorted(c.items(), key=lambda x: (-x[1], x[0]))[:64])}
+    tail = lambda w: int(lm.tail_classes(pa.array([w]))[0])
+    n, v = Counter(), Counter()
+    for w, k in c.items():
+        if w not in head:
+            n[tail(w)] += k
+            v[tail(w)] += 1
+    w = {k: x.astype(np.float64) for k, x in kept["net"].w.items()}
+    sig = lambda x: 1 / (1 + np.exp(-x))
+    soft = lambda x: x - np.log(np.exp(x).sum())
+    for i, text in rows:
+        state, before, score = np.zeros(lm.SIZE), None, 0.0
+        for word in brute_tokens(text):
+            gates = w["X"][before] if before is not None else np.zeros(3 * lm.SIZE)
+            zr = sig(gates[: 2 * lm.SIZE] + state @ w["R"])
+            z, r = zr[: lm.SIZE], zr[lm.SIZE :]
+            new = np.tanh(gates[2 * lm.SIZE :] + (r * state) @ w["N"])
+            state = new + z * (state - new)
+            classes = soft(state @ w["C"] + w["c"])
+            if word in head:
+                k, at = divmod(head[word], 16)
+                score += (classes[k] + soft(state @ w["O"][k] + w["o"][k])[at]) / np.log(10)
+                before = head[word]
+            else:
+                k = tail(word)
+                score += classes[4 + k] / np.log(10) + np.log10((c[word] + 0.5) / (n[k] + 0.5 * (v[k] + 1)))
+                before = 64 + k
+        assert got[i] == pytest.approx(score, rel=1e-4, abs=1e-3)

@@ -12,7 +12,7 @@
 Defined results: a null text counts as the empty text; every row comes back, repeated rows too; among
 equal texts the largest id stays, and rows that repeat that id with the same text are the same
 document, so all are marked kept (``drop_duplicates`` leaves one of them); null ids lose to any
-other; an empty table gives an empty result; other columns of any name are ignored.
+other; an empty table gives an empty result; texts of any length are hashed whole; other columns of any name are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import pruned, stored
+from .shared import fresh, pruned, stored, without
 
 COUNTERS = 2048
 HEAVY_ROWS = 64
@@ -91,9 +91,19 @@ def mark_duplicates(
 
 
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
-    """The rows of ``docs`` that stay, one for each text, with all their columns."""
-    marks = mark_duplicates(docs, id_col, text_col, **params)
-    stay = marks.where("kept").select(F.col(id_col).alias("_kid"), F.unhex("text_sha256").alias("_kdigest"))
-    tagged = docs.withColumn("_kdigest_own", digest_of(F.col(f"`{text_col}`")))
-    same = F.col(f"`{id_col}`").eqNullSafe(F.col("_kid")) & (F.col("_kdigest_own") == F.col("_kdigest"))
-    return tagged.join(stay, same, "left_semi").dropDuplicates([id_col, "_kdigest_own"]).drop("_kdigest_own")
+    """The rows of ``docs`` that stay, one for each text, with all their columns, whatever their names.
+
+    Texts are not shuffled: the rows that go are few and are named by (id, digest), see :func:`without`.  Only rows that repeat
+    the id and the text of one that stays pass a shuffle, which leaves one of them.
+    """
+    marks = stored(mark_duplicates(docs, id_col, text_col, **params).select(F.col(f"`{id_col}`").alias("_id"), F.unhex("text_sha256").alias("_digest"), "kept"), "marks")
+    own, gid, gdigest = fresh(docs, "_own_digest", "_gone_id", "_gone_digest")
+    named = lambda df: df.select(F.col("_id").alias(gid), F.col("_digest").alias(gdigest))
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col(gid)) & (F.col(own) == F.col(gdigest))
+    gone = stored(named(marks.where("not kept")), "gone")
+    repeated = stored(named(marks.where("kept").groupBy("_id", "_digest").count().where("count > 1")), "repeated")
+    left = without(docs.withColumn(own, digest_of(F.col(f"`{text_col}`"))), gone, same)
+    if not repeated.isEmpty():
+        once = without(left, repeated, same, "left_semi").dropDuplicates([id_col, own])
+        left = without(left, repeated, same).unionByName(once)
+    return left.drop(own)

@@ -1,22 +1,31 @@
-"""Scratch tables in the folder that all executors share (``spark.checkpoint.dir``)."""
+"""What the operators share: scratch tables in the folder that all executors share (``spark.checkpoint.dir``), and joins
+whose hot keys or small sides are kept out of shuffles."""
 
 from __future__ import annotations
 
 import atexit
+import re
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no checkpoint folder, as in tests.
+#: Used only where a local session names no checkpoint folder, as in tests.
 LOCAL_FALLBACK = "file:///tmp/checkpoints"
 
+_scopes: list[list[str]] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder as a URI; one is set only where there is none."""
+    """The session's checkpoint folder as a URI; one is set only where there is none, and only in a local session."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or LOCAL_FALLBACK)
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or LOCAL_FALLBACK)
     found = sc.getCheckpointDir()
     return found if "://" in found or found.startswith("file:") else f"file://{found}"
 
@@ -30,8 +39,10 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder below :func:`shared_dir`, removed when the driver ends."""
+    """A fresh folder below :func:`shared_dir`, removed with its scope, else when the driver ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    for scope in _scopes[-1:]:
+        scope.append(path)
     atexit.register(_remove, spark, path)
     return path
 
@@ -45,7 +56,70 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._scratch = path
+    return found
+
+
+def release(*frames: DataFrame) -> None:
+    """Remove the folders of stored frames that nothing reads any more."""
+    for df in frames:
+        path = getattr(df, "_scratch", None)
+        if path:
+            _remove(df.sparkSession, path)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Scratch that is made inside is removed at the end, but for the stored frames that are put into the list."""
+    keep: list[DataFrame] = []
+    _scopes.append([])
+    try:
+        yield keep
+    finally:
+        made, kept = _scopes.pop(), {getattr(df, "_scratch", None) for df in keep}
+        for path in made:
+            if path not in kept:
+                _remove(spark, path)
+            elif _scopes:
+                _scopes[-1].append(path)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names that ``df`` has not, in any case of letters."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+#: Keys that a join may take out of its shuffle, and rows that an anti-join may broadcast: a few dozen MB at most.
+HEAVY_KEYS = 1 << 14
+HEAVY_ROWS = 64
+SMALL_SIDE = 1 << 18
+
+
+def joined_by_key(rows: DataFrame, table: DataFrame, key: str, size: str) -> DataFrame:
+    """``rows`` joined to ``table``, which has one row for each key and in ``size`` how many rows have it.
+
+    Keys with at least ``HEAVY_ROWS`` rows and a ``HEAVY_KEYS``-th of all rows, so at most ``HEAVY_KEYS`` keys, are broadcast and
+    joined on the map side; no key of the shuffle is larger.
+    """
+    total = table.agg(F.sum(size)).first()[0] or 0
+    least = max(HEAVY_ROWS, -(-total // HEAVY_KEYS))
+    heavy = table.where(F.col(size) >= least).drop(size)
+    hot = rows.join(F.broadcast(heavy), key)
+    rest = rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(table.where(F.col(size) < least).drop(size), key)
+    return hot.unionByName(rest)
+
+
+def without(rows: DataFrame, gone: DataFrame, on, how: str = "left_anti") -> DataFrame:
+    """``rows`` without those that ``gone`` (stored) has; ``gone`` is broadcast if it has at most ``SMALL_SIDE`` rows, else both are shuffled."""
+    small = gone.count() <= SMALL_SIDE
+    return rows.join(F.broadcast(gone) if small else gone.hint("merge"), on, how)
 
 
 def hash_sample(rows: DataFrame, n: int, of: int, column: str, seed: int) -> DataFrame:

@@ -11,7 +11,8 @@ Links (at most 2 differing bits) are found among *distinct* fingerprints, so cop
    Hamming ball of radius 0 in the high and 1 in the low segment.  Of the low ball only flips from 0
    to 1 are probed: the other end of a pair at distance 1 makes up for the rest.
 2. Matches of a table key are verified by the complete distance.
-3. A key with more than ``KEY_ROWS`` rows (a large family of near copies) is not paired up.  Its
+3. A key with far more rows than chance brings (``KEY_ROWS``, and past some billion fingerprints ``KEY_LOAD`` times the mean
+   load of a key, so that a larger corpus does not leave the tables) is a large family of near copies and not paired up.  Its
    fingerprints go through an exact linear way instead: each emits the 65 words within distance 1 of it
    ("centres").  Fingerprints that share a centre are within distance 2 of each other, and any two
    within distance 2 share one; so linking each to its centre's smallest loses no connection, and a
@@ -20,7 +21,8 @@ Links (at most 2 differing bits) are found among *distinct* fingerprints, so cop
 Components of the links are contracted in rounds; each round is written to the shared scratch folder.
 
 Defined results: null text counts as empty; every row comes back, repeated rows too; null ids are kept
-and lose to any other as component id; an empty table gives an empty result.
+and lose to any other as component id; texts of any length are hashed whole; other columns of any name are ignored; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,11 +35,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import pruned, stored
+from .shared import fresh, joined_by_key, pruned, release, stored, without
 
 SHINGLE = 3
 SEED = 42
 KEY_ROWS = 32
+KEY_LOAD = 4
+PROBES = 17  # rows that a fingerprint has in the low table on average: itself and half of 32 flips
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -73,8 +77,14 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(run, f"_id {kind}, _fp bigint")
 
 
+def key_bound(n: int, key_rows: int = KEY_ROWS) -> int:
+    """Rows of a table key beyond which ``n`` distinct fingerprints leave it for the linear way."""
+    return max(key_rows, -(-KEY_LOAD * PROBES * n // (1 << 32)))
+
+
 def links(fps: DataFrame, key_rows: int = KEY_ROWS) -> DataFrame:
     """Edges (a, b) that connect all distinct fingerprints ``_fp`` within distance 2."""
+    key_rows = key_bound(fps.count(), key_rows)
     low = "(_fp & 4294967295)"
     high = "shiftrightunsigned(_fp, 32)"
     rows = fps.select(
@@ -128,9 +138,10 @@ def components(edges: DataFrame) -> DataFrame:
         moves.append(move)
         first = edges.join(move, F.col("a") == F.col("node")).select(F.col("root").alias("a"), "b")
         second = first.join(move, F.col("b") == F.col("node")).select("a", F.col("root").alias("b"))
-        edges = stored(
+        before, edges = edges, stored(
             second.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges"
         )
+        release(before)
     if not moves:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     labels = moves[0]
@@ -145,14 +156,15 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """One row per input row: id, fingerprint (16 hex digits), component_id."""
     rows = stored(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    fps = stored(rows.groupBy("_fp").agg(F.min("_id").alias("_rep")), "distinct")
+    fps = stored(rows.groupBy("_fp").agg(F.min("_id").alias("_rep"), F.count(F.lit(1)).alias("_n")), "distinct")
     roots = stored(components(links(fps.select("_fp"))), "roots")
     labelled = fps.join(roots, F.col("_fp") == F.col("node"), "left").select(
-        "_fp", "_rep", F.coalesce("root", "_fp").alias("_root")
+        "_fp", "_rep", "_n", F.coalesce("root", "_fp").alias("_root")
     )
-    least = labelled.groupBy("_root").agg(F.min("_rep").alias("_component"))
-    labelled = labelled.join(least, "_root").select("_fp", "_component")
-    return rows.join(labelled, "_fp").select(
+    least = labelled.groupBy("_root").agg(F.min("_rep").alias("_component"), F.count(F.lit(1)).alias("_members"))
+    labelled = stored(joined_by_key(labelled, least, "_root", "_members").select("_fp", "_component", "_n"), "components")
+    release(roots)
+    return joined_by_key(rows, labelled, "_fp", "_n").select(
         F.col("_id").alias(id_col),
         F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"),
         F.col("_component").alias("component_id"),
@@ -160,10 +172,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is their component's: one document of each group.
+    """The rows of ``docs`` whose id is their component's: one document of each group, with all columns, whatever their names.
 
-    Rows that share an id stay or go together.
+    Rows that share an id stay or go together.  Texts are not shuffled while the ids that go are few, see :func:`without`.
     """
-    found = near_duplicates(docs, id_col, text_col)
-    stay = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_kid")).distinct()
-    return docs.join(stay, F.col(f"`{id_col}`").eqNullSafe(F.col("_kid")), "left_semi")
+    found = near_duplicates(docs, id_col, text_col).select(F.col(f"`{id_col}`").alias("_id"), "component_id")
+    ids = found.groupBy("_id").agg(F.max(F.col("_id").eqNullSafe(F.col("component_id"))).alias("_stays"))
+    (name,) = fresh(docs, "_gone_id")
+    gone = stored(ids.where("not _stays").select(F.col("_id").alias(name)), "gone")
+    own = F.col(f"`{id_col}`")
+    left = without(docs.where(own.isNotNull()), gone.where(F.col(name).isNotNull()), own == F.col(name))
+    return left if not gone.where(F.col(name).isNull()).isEmpty() else left.unionByName(docs.where(own.isNull()))

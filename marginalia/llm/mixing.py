@@ -2,9 +2,9 @@
 
 1. Targets: sources by code point (null last) weigh 1, 2, 3, repeating, and share all words; a target
    stops at ``MAX_REPEAT`` times its source's size and the excess is shared again by weight.
-2. Each source's documents, in the order of a hash of their ids, are one stream of words, packed into
-   blocks of ``BLOCK`` words (shorter ones in a source of few blocks, so that it too can come near its target); a running sum over a few thousand document buckets gives each document's
-   place without bringing a source into one task.
+2. Each source's documents, in the order of a hash of id and text, are one stream of words, packed into
+   blocks of ``BLOCK`` words (shorter ones in a source of few blocks, so that it too can come near its target); running sums over
+   document buckets, in two levels, give each document's place without bringing a source into one task.
 3. Each output shard draws the sources of its slots from a multinomial over what is still to be given,
    so that the shards' sum is each source's quota exactly.
 4. The k-th slot of a source takes block P(k mod n) of its n blocks, where P is a pseudorandom
@@ -12,12 +12,13 @@
    before all others have come, so none comes more than ``MAX_REPEAT`` times.
 5. Slots are joined with blocks by (source, index) after they are counted by it.
 
-A source with a third of all rows is spread over its document buckets and blocks.  Sources are assumed
-to be few (a mixture's components); their sizes are the only thing the driver reads.
+A source with a third of all rows is spread over its document buckets and blocks, an id with a third of all rows by its texts.
+Sources are components of a mixture; their sizes are the only thing the driver reads, and more than ``SOURCES`` of them are refused.
 
 Defined results: a null text has no words; documents without words are never taken; null sources form a
-source of their own, the last; rows that repeat (id, source, size) count separately and share the
-stream's order at random only among themselves; an empty table, or one without words, takes nothing.
+source of their own, the last; rows are told apart by a number of their own, so rows that repeat an id each have their own share
+and their own plan (rows that repeat id, source and text alike are interchangeable); very long texts span many blocks; an empty
+table, or one without words, takes nothing; other columns of any name stay with their rows.
 """
 
 from __future__ import annotations
@@ -30,14 +31,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import pruned, stored
+from .shared import fresh, pruned, release, stored
 
 BLOCK = 128
 FEW = 32  # a source that would have fewer blocks has shorter ones: about BLOCK of them, of one word at least
 SHARDS = 64
 MAX_REPEAT = 3
 SEED = 20
-BUCKET_ROWS = 4096
+BUCKET_ROWS = 512
+SPAN = 4096  # buckets whose running sum one task makes
+SOURCES = 1 << 16
+WORDS = r"cast(size(filter(split(coalesce({}, ''), '[\\x20\\x09-\\x0D]+'), w -> w != '')) as bigint)"
 
 
 def targets(sizes: list[int], weights: list[float], most: float = MAX_REPEAT) -> list[float]:
@@ -106,14 +110,19 @@ class Mix:
     """A planned mixture: its documents' places, its blocks' counts and its documents' shares."""
 
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-                 block: int = BLOCK, shards: int = SHARDS, seed: int = SEED):
+                 block: int = BLOCK, shards: int = SHARDS, seed: int = SEED, row_col: str | None = None):
+        """``row_col``: a column that numbers the rows; without one they are numbered as they are first read."""
         self.spark, self.seed, self.id_col = docs.sparkSession, seed, id_col
-        rows = pruned(docs, _id=id_col, _text=text_col, _source=source_col)
-        self.kind = rows.schema["_id"].dataType.simpleString()
-        spaces = r"[\x20\x09-\x0D]+"
-        words = F.expr(f"size(filter(split(coalesce(_text, ''), '{spaces}'), w -> w != ''))".replace("\\", "\\\\"))
-        self.sizes = stored(rows.select("_id", "_source", words.cast("long").alias("_size")), "sizes")
-        found = self.sizes.groupBy("_source").agg(F.sum("_size").alias("size"), F.count(F.lit(1)).alias("rows")).collect()
+        rows = pruned(docs, _id=id_col, _text=text_col, _source=source_col, **({"_row": row_col} if row_col else {}))
+        rows = rows if row_col else rows.withColumn("_row", F.monotonically_increasing_id())
+        size = F.expr(WORDS.format("_text")).alias("_size")
+        order = F.xxhash64("_id", F.xxhash64("_text"), F.lit(seed)).alias("_h")
+        self.sizes = stored(rows.select("_row", "_id", "_source", size, order), "sizes")
+        by_source = stored(self.sizes.groupBy("_source").agg(F.sum("_size").alias("size"), F.count(F.lit(1)).alias("rows")), "sources")
+        if by_source.count() > SOURCES:
+            raise ValueError(f"more than {SOURCES} sources")
+        found = by_source.collect()
+        release(by_source)
         found.sort(key=lambda r: (r._source is None, r._source or ""))  # code points; null last
         self.names = [r._source for r in found]
         self.size = [r["size"] for r in found]
@@ -127,7 +136,7 @@ class Mix:
             (i, name, int(size), float(goal), int(n))
             for i, (name, size, goal, n) in enumerate(zip(self.names, self.size, self.goal, self.lengths, strict=True))
         ]
-        self.sources = F.broadcast(  # one row for each source
+        self.sources = F.broadcast(  # one row for each of at most SOURCES sources
             self.spark.createDataFrame(places, "_s int, _name string, _source_size long, _target double, _block long")
         )
 
@@ -160,18 +169,22 @@ class Mix:
     def placed(self) -> DataFrame:
         """Documents with their source's number and their first word's place in its stream (_at)."""
         named = self.sizes.join(self.sources, F.col("_source").eqNullSafe(F.col("_name")))
-        rows = named.select("_id", "_s", "_size", "_source_size", "_target", "_block", F.xxhash64("_id", F.lit(self.seed)).alias("_h"))
+        rows = named.select("_row", "_id", "_s", "_size", "_source_size", "_target", "_block", "_h")
         rows = rows.withColumn("_bucket", F.pmod("_h", F.lit(self.buckets)))
-        sums = rows.groupBy("_s", "_bucket").agg(F.sum("_size").alias("_sum"))
-        sums = sums.withColumn("_before", F.sum("_sum").over(Window.partitionBy("_s").orderBy("_bucket")) - F.col("_sum"))
-        within = Window.partitionBy("_s", "_bucket").orderBy("_h", "_id", "_size").rowsBetween(Window.unboundedPreceding, 0)
+        sums = rows.groupBy("_s", "_bucket").agg(F.sum("_size").alias("_sum")).withColumn("_span", F.floor(F.col("_bucket") / SPAN))
+        spans = sums.groupBy("_s", "_span").agg(F.sum("_sum").alias("_all"))
+        before = lambda c, by, order: F.sum(c).over(Window.partitionBy(*by).orderBy(order)) - F.col(c)
+        spans = spans.select("_s", "_span", before("_all", ["_s"], "_span").alias("_first"))
+        sums = sums.withColumn("_before", before("_sum", ["_s", "_span"], "_bucket")).join(spans, ["_s", "_span"])
+        sums = sums.select("_s", "_bucket", (F.col("_first") + F.col("_before")).alias("_before"))
+        within = Window.partitionBy("_s", "_bucket").orderBy("_h", "_id", "_size", "_row").rowsBetween(Window.unboundedPreceding, 0)
         rows = rows.withColumn("_in", F.sum("_size").over(within) - F.col("_size"))
-        return rows.join(sums.drop("_sum"), ["_s", "_bucket"]).withColumn("_at", F.col("_before") + F.col("_in")).drop("_bucket", "_h", "_in", "_before")
+        return rows.join(sums, ["_s", "_bucket"]).withColumn("_at", F.col("_before") + F.col("_in")).drop("_bucket", "_h", "_in", "_before")
 
     def pieces(self) -> DataFrame:
         """A row for each document and block it has words in: what of it, and how often the mix takes it (_n)."""
         b = F.col("_block")
-        rows = stored(self.placed().withColumn("_row", F.monotonically_increasing_id()), "placed")
+        rows = stored(self.placed(), "placed")
         cut = rows.where("_size > 0").select(
             "_row", "_id", "_s", "_at", "_size", "_block", F.explode(F.expr("sequence(_at div _block, (_at + _size - 1) div _block)")).alias("index")
         )
@@ -202,23 +215,17 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A document in several blocks may be taken in part.  Then the parts' text, from the first to past the
     last word of each, is joined by a line break; ``length_col`` follows the new text.
     """
-    mix = Mix(docs, id_col, text_col, source_col, **params)
+    row, plan_row, plan, size = fresh(docs, "_mix_row", "_mix_plan_row", "_mix_spans", "_mix_size")
+    whole = stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")  # a row's number holds for its share and its text
+    mix = Mix(whole, id_col, text_col, source_col, row_col=row, **params)
     pieces = mix.pieces().where("_n > 0")
-    spans = pieces.groupBy("_id", "_row").agg(F.sort_array(F.collect_list(F.struct("_from", "_to", "_n"))).alias("_spans"))
-    spans = spans.join(mix.rows.select("_row", "_size"), "_row")
-    # documents that share an id and size share their plans in order
-    own = docs.withColumn("_mix_size", F.expr(
-        "cast(size(filter(split(coalesce(`%s`, ''), '[\\\\x20\\\\x09-\\\\x0D]+'), w -> w != '')) as bigint)" % text_col))
-    turn = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(by[0]))
-    own = own.withColumn("_mix_turn", turn(F.col(f"`{id_col}`"), F.col("_mix_size")))
-    plan = spans.withColumn("_turn", turn(F.col("_id"), F.col("_size"))).select(
-        F.col("_id").alias("_mix_pid"), F.col("_size").alias("_mix_psize"), F.col("_turn").alias("_mix_pturn"), F.col("_spans").alias("_mix_spans")
-    )
-    joined = own.join(
-        plan,
-        F.col(f"`{id_col}`").eqNullSafe(F.col("_mix_pid")) & (F.col("_mix_size") == F.col("_mix_psize")) & (F.col("_mix_turn") == F.col("_mix_pturn")),
+    spans = pieces.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("_from", "_to", "_n"))).alias("_spans"))
+    plans = spans.join(mix.rows.select("_row", "_size"), "_row").select(
+        F.col("_row").alias(plan_row), F.col("_spans").alias(plan), F.col("_size").alias(size)
     )
+    joined = whole.join(plans, F.col(row) == F.col(plan_row))
     names, types = docs.columns, docs.schema
+    width, text_at = len(names), names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import re
@@ -226,10 +233,9 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         word = re.compile(r"[^\x20\x09-\x0D]+")
         for batch in batches:
             rows, texts = [], []
-            plans = batch.column(batch.schema.get_field_index("_mix_spans")).to_pylist()
-            sizes = batch.column(batch.schema.get_field_index("_mix_size")).to_pylist()
-            bodies = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
-            for i, (spans, size, body) in enumerate(zip(plans, sizes, bodies, strict=True)):
+            plans, sizes = batch.column(width).to_pylist(), batch.column(width + 1).to_pylist()
+            bodies = batch.column(text_at).to_pylist()
+            for i, (spans, n, body) in enumerate(zip(plans, sizes, bodies, strict=True)):
                 ends = None
                 for turn in range(1, MAX_REPEAT + 1):
                     parts: list[list[int]] = []
@@ -242,7 +248,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     if not parts:
                         break
                     rows.append(i)
-                    if parts == [[0, size]]:
+                    if parts == [[0, n]]:
                         texts.append(body)
                     else:
                         ends = ends or [m.span() for m in word.finditer(body)]
@@ -256,4 +262,4 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             ]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return joined.select(*(F.col(f"`{n}`") for n in names), "_mix_spans", "_mix_size").mapInArrow(run, types)
+    return joined.select(*(F.col(f"`{n}`") for n in names), plan, size).mapInArrow(run, types)

@@ -14,6 +14,7 @@ from .shared import hash_sample, pruned
 
 FOLDS = 4
 HELD_FOLD = 2
+SAMPLE_CHARS = 32_000_000  # of the texts that a classifier is fitted on, which the driver holds
 
 
 def held_out(id_col: str = "doc_id", folds: int = FOLDS, fold: int = HELD_FOLD) -> F.Column:
@@ -22,22 +23,42 @@ def held_out(id_col: str = "doc_id", folds: int = FOLDS, fold: int = HELD_FOLD)
     return F.crc32(text.cast("binary")) % folds == fold
 
 
+def calibration_fold(id_col: str) -> F.Column:
+    """Whether a labelled training row is kept from fitting however few there are: every fifth, by crc32 of the id as text."""
+    return F.crc32(F.concat(F.lit("cut "), F.col(f"`{id_col}`").cast("string")).cast("binary")) % 5 == 0
+
+
+def training_labels(labels: DataFrame, label: str, id_col: str = "doc_id") -> DataFrame:
+    """_id and _y (0 or 1) of the labelled rows that may be learnt from."""
+    marked = labels.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{label}`").cast("int").alias("_y"))
+    return marked.where("_id is not null and _y in (0, 1)").where(~held_out("_id"))
+
+
 def training_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, id_col: str = "doc_id",
-                    text_col: str = "text", extra: tuple[str, ...] = ()) -> tuple[list, float]:
+                    text_col: str = "text", spare: bool = False) -> tuple[list, float]:
     """At most ``per_class`` labelled training rows of each class, chosen by a hash of the id, and the share
     of ones among all labelled training rows.
 
-    Rows are (text, label, *extra).  The choice is made on ids alone, so texts are read for chosen rows only.
+    Rows are (id, text, label), one for each id (of several texts the one of least hash) and ``SAMPLE_CHARS`` characters in all:
+    ids and lengths are read first, and only the texts that fit are then sent.  ``spare`` leaves the calibration fold out.
     """
-    marked = labels.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{label}`").cast("int").alias("_y"))
-    marked = marked.where("_id is not null and _y in (0, 1)").where(~held_out("_id"))
+    marked = training_labels(labels, label, id_col)
     n = marked.agg(*(F.count_if(F.col("_y") == y) for y in (0, 1))).first()
-    zeros, ones = (hash_sample(marked.where(F.col("_y") == y), per_class, n[y], "_id", 11) for y in (0, 1))
-    chosen = F.broadcast(zeros.unionAll(ones))  # at most 2 * per_class pairs of numbers
-    rows = pruned(docs, _id=id_col, _text=text_col, **{f"_x{i}": c for i, c in enumerate(extra)}).join(chosen, "_id")
-    found = rows.select("_id", F.coalesce("_text", F.lit("")).alias("_text"), "_y", *(f"_x{i}" for i in range(len(extra)))).collect()
-    found.sort(key=lambda r: (zlib.crc32(str(r._id).encode()), r._id, r._text))
-    return [tuple(r)[1:] for r in found], n[1] / (n[0] + n[1]) if n[0] + n[1] else 0.5
+    pool = marked.where(~calibration_fold("_id")) if spare else marked
+    zeros, ones = (hash_sample(pool.where(F.col("_y") == y), per_class, n[y], "_id", 11) for y in (0, 1))
+    chosen = F.broadcast(zeros.unionAll(ones).groupBy("_id").agg(F.max("_y").alias("_y")))  # at most 2 * per_class pairs of numbers
+    rows = pruned(docs, _id=id_col, _text=text_col).select("_id", F.coalesce("_text", F.lit("")).alias("_text")).withColumn("_h", F.xxhash64("_text"))
+    met = rows.join(chosen, "_id").groupBy("_id", "_y").agg(F.min(F.struct("_h", F.char_length("_text").alias("n"))).alias("m"))
+    picked, room = {}, SAMPLE_CHARS
+    for r in sorted(met.collect(), key=lambda r: (zlib.crc32(str(r._id).encode()), r._id)):
+        if r.m.n <= room:
+            picked[r._id] = (r.m._h, r._y)
+            room -= r.m.n
+    if not picked:
+        return [], n[1] / (n[0] + n[1]) if n[0] + n[1] else 0.5
+    keys = rows.sparkSession.createDataFrame([(i, h) for i, (h, _) in picked.items()], rows.select("_id", "_h").schema)
+    texts = {r._id: r._text for r in rows.join(F.broadcast(keys), ["_id", "_h"]).groupBy("_id").agg(F.min("_text").alias("_text")).collect()}
+    return [(i, texts[i], y) for i, (_, y) in picked.items()], n[1] / (n[0] + n[1])
 
 
 def prior_shift(y: np.ndarray, share: float) -> float:
@@ -70,20 +91,24 @@ def score_documents(docs: DataFrame, score: Callable[[], Callable[[list[str]], n
 
 
 class Adam:
-    """Adam over a dict of float32 arrays."""
+    """Adam over a dict of float32 arrays.  A gradient may be (rows, values): then only those rows and their moments move."""
 
     def __init__(self, weights: dict[str, np.ndarray], rate: float):
         self.weights, self.rate, self.t = weights, rate, 0
         self.m = {k: np.zeros_like(v) for k, v in weights.items()}
         self.v = {k: np.zeros_like(v) for k, v in weights.items()}
 
-    def step(self, grads: dict[str, np.ndarray]) -> None:
+    def step(self, grads: dict) -> None:
         self.t += 1
         scale = float(self.rate * (1 - 0.999**self.t) ** 0.5 / (1 - 0.9**self.t))  # a numpy scalar would make doubles of all
         for k, g in grads.items():
-            self.m[k] += 0.1 * (g - self.m[k])
-            self.v[k] += 0.001 * (g * g - self.v[k])
-            self.weights[k] -= (scale * self.m[k] / (np.sqrt(self.v[k]) + 1e-8)).astype(np.float32)
+            at, g = g if isinstance(g, tuple) else (slice(None), g)
+            m, v = self.m[k][at], self.v[k][at]
+            m += 0.1 * (g - m)
+            v += 0.001 * (g * g - v)
+            if not isinstance(at, slice):
+                self.m[k][at], self.v[k][at] = m, v
+            self.weights[k][at] -= (scale * m / (np.sqrt(v) + 1e-8)).astype(np.float32)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

@@ -9,7 +9,8 @@ bounded labelled sample (``PER_CLASS`` documents of each class); log-odds are th
 ones among all labelled training rows.
 
 Defined results: null and empty texts are one empty passage; every row comes back, repeated rows too; without
-labelled rows the score is the untrained 0.5.  Inputs of a score: the text alone.
+labelled rows the score is the untrained 0.5; an empty table gives an empty result; very long texts are scored whole, passage by
+passage; other columns of any name are ignored, and :func:`keep_good` returns them as they are.  Inputs of a score: the text alone.
 """
 
 from __future__ import annotations
@@ -81,7 +82,7 @@ class Features:
 
 
 class Model:
-    """The encoder, the gate and the logistic layer; a plain dict of arrays, so that it is cheap to ship."""
+    """The encoder, the gate and the logistic layer.  Its ``state`` is a plain dict of arrays, which workers without this package can load."""
 
     def __init__(self, seed: int = 5):
         rng = np.random.default_rng(seed)
@@ -93,6 +94,16 @@ class Model:
         }
         self.shift = 0.0
 
+    @property
+    def state(self) -> dict:
+        return {"w": self.w, "shift": self.shift}
+
+    @classmethod
+    def of(cls, state: dict) -> "Model":
+        model = cls.__new__(cls)
+        model.w, model.shift = state["w"], state["shift"]
+        return model
+
     def forward(self, buckets, first, counts, bags) -> dict:
         w, n_words, n_bags = self.w, len(buckets), len(bags)
         n = np.diff(np.append(first, n_words))[:, None]
@@ -157,16 +168,16 @@ def joined(parts: list[tuple]) -> tuple:
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text") -> Model:
     rows, share = training_sample(docs, labels, "quality", per_class, id_col, text_col)
-    return Model().fit([r[0] for r in rows], np.array([r[1] for r in rows], dtype=np.float32), share)
+    return Model().fit([r[1] for r in rows], np.array([r[2] for r in rows], dtype=np.float32), share)
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_class: int = PER_CLASS) -> DataFrame:
     """One row per input row: id, held_out, score."""
-    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, per_class, id_col, text_col))
+    state = docs.sparkSession.sparkContext.broadcast(train(docs, labels, per_class, id_col, text_col).state)
 
     def scorer():
-        features = Features()
-        return lambda texts: model.value.scores(features, texts)
+        model, features = Model.of(state.value), Features()
+        return lambda texts: model.scores(features, texts)
 
     found = score_documents(docs, scorer, id_col, text_col)
     return found.select(F.col("_id").alias(id_col), held_out("_id").alias("held_out"), F.col("_score").alias("score"))
@@ -174,16 +185,17 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that score at least ``least``, with all their columns."""
-    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, id_col=id_col, text_col=text_col))  # train lowers the batches
+    state = docs.sparkSession.sparkContext.broadcast(train(docs, labels, id_col=id_col, text_col=text_col).state)  # train lowers the batches
+    at = docs.columns.index(text_col)
 
     def run(batches):
         import pyarrow.compute as pc
 
-        features = Features()
+        model, features = Model.of(state.value), Features()
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
-            for at in range(0, len(texts), 512):
-                scores = model.value.scores(features, [t or "" for t in texts[at : at + 512]])
-                yield batch.slice(at, 512).filter(pc.greater_equal(scores, least))
+            for start in range(0, batch.num_rows, 512):
+                part = batch.slice(start, 512)
+                scores = model.scores(features, [t or "" for t in part.column(at).to_pylist()])
+                yield part.filter(pc.greater_equal(scores, least))
 
     return docs.mapInArrow(run, docs.schema)

@@ -1,17 +1,24 @@
 """Media columns: content-addressed payloads in tar shards.
 
-A payload is stored once for each distinct content that a shard meets, as an 8-bit greyscale PNG of one
+A payload is stored once for each distinct content, as an 8-bit greyscale PNG of one
 row (lossless, deflated), under its SHA-256 as the member's name.  Rows carry digest, shard, offset
 and length.  Metadata columns come from range reads of the first 33 bytes of a stored form (PNG
 signature and IHDR chunk); features come from the whole form read back.
 
+1. One pass hashes the payloads (no text is kept: an id, a length and 32 bytes a row), and rows are counted by digest.
+2. A blocked Bloom filter of the digests that have several rows (``MAX_BLOCKS`` rows of 72 bytes at most, whatever the input) is
+   broadcast.  Texts that it does not hold are alone and go straight to their task's shard; the others, and the few that it holds by
+   mistake, are reduced to one text for each digest by a pre-aggregated shuffle, and then written.
+3. Members are read back in the order of their shards, and rows are joined to them by digest; digests of very many rows are joined
+   on the map side (see ``joined_by_key``), so that no task gathers a large group of copies.
+
 A task writes its own shards under names no other attempt uses, and what it wrote counts only by the index
 table in the shared scratch folder, so a lost executor or a second attempt leaves at most unread files.
-Where several shards hold one content, the least (shard, offset) is everybody's.  Shards are cut at
-``SHARD_BYTES``; a shard never holds more than its task's rows, and readers open shards by task.
+Shards are cut at ``SHARD_BYTES``; a shard never holds more than its task's rows, and readers open shards by task.
 
 Defined results: a null text is the empty payload (64 zero bytes); every row comes back, repeated rows
-too; equal texts get equal values; a text longer than a shard gets a shard of its own.
+too; equal texts get equal values; a text longer than a shard gets a shard of its own; an empty table gives an empty result; other
+columns of any name are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +35,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import pruned, scratch_path, stored
+from .shared import joined_by_key, pruned, release, scratch_path, stored
+from .url_filter import bloom_filter, passes_filter
 
 UNIT = 64
 SHARD_BYTES = 256 << 20
@@ -116,33 +124,47 @@ class _Shard:
         self.file.close()
 
 
-def write_shards(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Write payloads below ``folder``; one row per input row: _id, n_bytes, digest, shard, offset, length."""
+def payload_digests(texts: DataFrame) -> DataFrame:
+    """Adds n_bytes and digest (SHA-256 of the payload) to rows with ``_text``."""
+    raw = F.coalesce("_text", F.lit("")).cast("binary")
+    n = F.octet_length(raw)
+    padded = F.greatest(F.lit(UNIT), F.ceil(n / UNIT) * UNIT).cast("int")
+    return texts.withColumn("n_bytes", n.cast("long")).withColumn("digest", F.unhex(F.sha2(F.rpad(raw, padded, F.lit(b"\0")), 256)))
+
+
+def one_for_each(texts: DataFrame, sizes: DataFrame) -> DataFrame:
+    """_text: one row for each digest of ``texts`` (_text, digest); ``sizes``: digest, _rows."""
+    several = stored(sizes.where("_rows > 1").select("digest"), "several")
+    bloom, blocks = bloom_filter(several, several.count(), "digest")
+    bloom = stored(bloom, "bloom")
+    alone = passes_filter(texts, bloom, blocks, "digest", False).select("_text")
+    copies = passes_filter(texts, bloom, blocks, "digest", True).groupBy("digest").agg(F.first("_text").alias("_text"))
+    return alone.unionByName(copies.select("_text"))
+
+
+def write_shards(texts: DataFrame, folder: str, text_col: str = "text") -> DataFrame:
+    """Write the payloads of texts below ``folder``, once in a shard; one row for each: digest, shard, offset, length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = None
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part, rows = batch.slice(at, 256), []
-                for text in part.column(1).to_pylist():
+                for text in part.column(0).to_pylist():
                     payload = payload_of(text)
                     digest = hashlib.sha256(payload).digest()
                     if shard is None or shard.at > SHARD_BYTES:
                         if shard:
                             shard.close()
                         shard = _Shard(folder)
-                    known = shard.members.get(digest)
-                    place = known or shard.add(digest, encode_png(payload))
-                    rows.append((len((text or "").encode()), digest, shard.name, *place))
-                columns = [part.column(0), *(pa.array(list(c)) for c in zip(*rows, strict=True))]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+                    place = shard.members.get(digest) or shard.add(digest, encode_png(payload))
+                    rows.append((digest, shard.name, *place))
+                yield pa.RecordBatch.from_arrays([pa.array(list(c)) for c in zip(*rows, strict=True)], names=names)
         if shard:
             shard.close()
 
-    rows = pruned(docs, _id=id_col, _text=text_col)
-    kind = rows.schema["_id"].dataType.simpleString()
-    names = ["_id", "n_bytes", "digest", "shard", "offset", "length"]
-    return rows.mapInArrow(run, f"_id {kind}, n_bytes bigint, digest binary, shard string, offset bigint, length bigint")
+    names = ["digest", "shard", "offset", "length"]
+    return pruned(texts, _text=text_col).mapInArrow(run, "digest binary, shard string, offset bigint, length bigint")
 
 
 #: What reading back gives for each member, beside its digest and place.
@@ -186,13 +208,15 @@ def read_shards(members: DataFrame, folder: str) -> DataFrame:
 def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, n_bytes, payload_sha256, shard, offset, length, the columns of READ, media_bytes, media_sha256."""
     folder = scratch_path(docs.sparkSession, "shards")
-    rows = stored(write_shards(docs, folder, id_col, text_col), "places")
-    place = F.min(F.struct("shard", "offset", "length")).alias("_at")
-    members = rows.groupBy("digest").agg(place).select("digest", "_at.*")
+    texts = payload_digests(pruned(docs, _id=id_col, _text=text_col).withColumn("_text", F.coalesce("_text", F.lit(""))))
+    rows = stored(texts.select("_id", "n_bytes", "digest"), "digests")
+    sizes = stored(rows.groupBy("digest").agg(F.count(F.lit(1)).alias("_rows")), "sizes")
+    members = stored(write_shards(one_for_each(texts, sizes), folder, "_text"), "members")
     # a shard's members are read in order by few tasks: hashed by shard and a span of 64 MB
     span = F.floor(F.col("offset") / (64 << 20))
     read = stored(read_shards(members.repartition("shard", span).sortWithinPartitions("shard", "offset"), folder), "media")
-    found = rows.select("_id", "n_bytes", "digest").join(read, "digest")
+    found = joined_by_key(rows, stored(read.join(sizes, "digest"), "media-sizes"), "digest", "_rows")
+    release(members, read, sizes)
     hexed = lambda c, name: F.lower(F.hex(c)).alias(name)
     return found.select(
         F.col("_id").alias(id_col), "n_bytes", hexed("digest", "payload_sha256"), "shard", "offset", "length",

@@ -74,13 +74,14 @@ def bloom_filter(entries: DataFrame, n_entries: int, key: str = "_key") -> tuple
     return entries.groupBy(_block(key, blocks).alias("_block")).agg(*words), blocks
 
 
-def passes_filter(rows: DataFrame, bloom: DataFrame, blocks: int, key: str = "_key") -> DataFrame:
-    """The rows whose key may be in the filter."""
+def passes_filter(rows: DataFrame, bloom: DataFrame, blocks: int, key: str = "_key", passes: bool = True) -> DataFrame:
+    """The rows whose key may be in the filter, or, if not ``passes``, those whose key is not in it."""
     hit = F.lit(True)
     for w in range(8):
         hit &= F.call_function("shiftright", F.col(f"_w{w}"), _bit(key, w)).bitwiseAND(F.lit(1)) == 1
-    own = rows.withColumn("_block", _block(key, blocks))
-    return own.join(F.broadcast(bloom), "_block").where(hit).select(*rows.columns)
+    own = rows.withColumn("_block", _block(key, blocks)).join(F.broadcast(bloom), "_block", "left")
+    hit = F.coalesce(hit, F.lit(False))
+    return own.where(hit if passes else ~hit).select(*rows.columns)
 
 
 def judge_urls(

@@ -41,3 +41,17 @@ def test_shards_are_tar_files(odd, tmp_path):
                 if r.shard == name:
                     member = tar.getmember(f"{r.digest.hex()}.png")
                     assert (member.offset_data, member.size) == (r.offset, r.length)
+
+
+def test_equal_texts_are_stored_once(spark, tmp_path, monkeypatch):
+    import tarfile
+
+    monkeypatch.setattr(media, "scratch_path", lambda spark, name: f"file://{tmp_path}/shards")
+    docs = spark.createDataFrame([(i, "the same text" if i < 400 else f"text {i // 2}") for i in range(440)], "doc_id long, text string").repartition(8)
+    rows = media.media_columns(docs).collect()
+    names = []
+    for path in (tmp_path / "shards").glob("*.tar"):
+        with tarfile.open(path) as tar:
+            names += tar.getnames()
+    assert len(rows) == 440 and len({(r.shard, r.offset) for r in rows if r.doc_id < 400}) == 1
+    assert sorted(names) == sorted({f"{r.payload_sha256}.png" for r in rows})

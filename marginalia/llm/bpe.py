@@ -7,8 +7,8 @@ rank-driven byte-pair encoder does.  Pre-tokens (matches of a pattern) are encod
 decoded by the inverse mapping.  Nothing is trained.
 
 Defined results: null text counts as empty; an empty text has no ids; every row comes back, repeated
-rows too; other columns are ignored.  Memory: distinct pre-tokens are cached up to ``CACHE`` entries,
-then the cache starts anew.
+rows too; an empty table gives an empty result; very long texts are encoded whole; other columns of any name are ignored.  Memory:
+some thousand texts at a time, of a few million characters but for a single longer one.
 """
 
 from __future__ import annotations
@@ -18,13 +18,15 @@ import hashlib
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .shared import pruned
 
-CACHE = 100_000
-LONG = 64
+JOINED = 256  # pre-tokens that are one string for the model
+GAP = "\x01"
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -84,28 +86,69 @@ class Codec:
 
         self.tokens = tokens
         self.find = regex.compile(pattern).findall
-        self.table = {b: c for b, c in enumerate(byte_characters())}
+        self.table = {b: c for b, c in enumerate(byte_characters())} | {0xFF: GAP}  # no UTF-8 text has the byte 0xFF
         self.model = sentencepiece.SentencePieceProcessor(model_proto=serialised_model(tokens))
-        self.cache: dict[str, list[int]] = {}
+        self.decimals = pa.array([b"%d " % i for i in range(len(tokens))], pa.large_binary())
+        self.bytes = pa.array(tokens, pa.large_binary())
+
+    def pretokens(self, distinct: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pre-tokens end to end, and how many each has.
+
+        Some hundred are encoded as one string with gaps between them: a gap is no piece of the model, so nothing merges across it,
+        and it comes back as the unknown id.
+        """
+        parts = [b"\xff".join(t.encode() for t in distinct[i : i + JOINED]) + b"\xff" for i in range(0, len(distinct), JOINED)]
+        found = self.model.encode([p.decode("latin-1").translate(self.table) for p in parts], num_threads=1) if parts else []
+        flat = np.concatenate([np.array(f, np.int32) for f in found]) if found else np.zeros(0, np.int32)
+        gaps = np.flatnonzero(flat == len(self.tokens))
+        return flat[flat != len(self.tokens)], np.diff(np.concatenate([[-1], gaps])) - 1
 
     def encode(self, text: str) -> list[int]:
-        found = self.find(text)
-        cache = self.cache
-        new = list({t for t in found if t not in cache})
-        if len(cache) + len(new) > CACHE:
-            cache.clear()
-            new = list(set(found))
-        mapped = [t.encode().decode("latin-1").translate(self.table) for t in new]
-        own = dict(zip(new, self.model.encode(mapped, num_threads=1), strict=True)) if new else {}
-        cache.update((t, ids) for t, ids in own.items() if len(t) <= LONG)
-        ids: list[int] = []
-        for t in found:
-            ids += own[t] if t in own else cache[t]
-        return ids
+        return self.batch([text])["ids"][0].as_py()
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
+    def batch(self, texts: list[str]) -> dict[str, pa.Array]:
+        """n_tokens, ids_sha256, decoded_sha256 and ids of texts: equal pre-tokens are encoded once, and ids, their decimals and the
+        bytes that they stand for are laid end to end, with no Python object for an id."""
+        found = [self.find(t) for t in texts]
+        bounds = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int64)
+        coded = pa.array([t for f in found for t in f], pa.string()).dictionary_encode()
+        ids, sizes = self.pretokens(coded.dictionary.to_pylist())
+        own = pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int64()), pa.array(ids))
+        codes = coded.indices.to_numpy(zero_copy_only=False)
+        ends = np.concatenate([[0], np.cumsum(sizes[codes])])[bounds].astype(np.int64)  # of each text among all ids
+        ids = own.take(coded.indices).flatten()
+        return {
+            "n_tokens": pa.array(np.diff(ends), pa.int64()),
+            "ids_sha256": pa.array(digests(self.decimals.take(ids), ends, 1)),
+            "decoded_sha256": pa.array(digests(self.bytes.take(ids), ends, 0)),
+            "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), ids),
+        }
+
+
+def digests(pieces: pa.Array, bounds: np.ndarray, less: int) -> list[str]:
+    """SHA-256 of the pieces of each text end to end, without the last ``less`` bytes."""
+    if not len(pieces):
+        return [hashlib.sha256(b"").hexdigest()] * (len(bounds) - 1)
+    at = np.frombuffer(pieces.buffers()[1], np.int64)[pieces.offset : pieces.offset + len(pieces) + 1][bounds].tolist()
+    data = memoryview(pieces.buffers()[2] or b"")
+    return [hashlib.sha256(data[a : max(a, b - less)]).hexdigest() for a, b in zip(at, at[1:])]
+
+
+def pieces_of_batch(column: pa.Array, rows: int = 1024, chars: int = 1 << 22) -> Iterator[pa.Array]:
+    """Slices of a column of texts, of bounded rows and, but for a single long text, characters."""
+    lengths = pc.fill_null(pc.binary_length(column), 0).to_pylist()
+    start = held = 0
+    for i, n in enumerate(lengths):
+        if i > start and (i - start >= rows or held + n > chars):
+            yield column.slice(start, i - start)
+            start, held = i, 0
+        held += n
+    if len(lengths) > start:
+        yield column.slice(start)
+
 
 def encode_documents(
     docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True
@@ -115,21 +158,12 @@ def encode_documents(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(tokens.value, pattern)
-        sha = lambda b: hashlib.sha256(b).hexdigest()
-        names = list(map(str, range(len(tokens.value))))
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):  # bounds what is held as Python objects
-                part = batch.slice(at, 256)
-                encoded = [codec.encode(t or "") for t in part.column(1).to_pylist()]
-                columns = [
-                    part.column(0),
-                    pa.array([len(ids) for ids in encoded], pa.int64()),
-                    pa.array([sha(" ".join([names[i] for i in ids]).encode()) for ids in encoded]),
-                    pa.array([sha(codec.decode(ids)) for ids in encoded]),
-                ]
-                if with_ids:
-                    columns.append(pa.array(encoded, pa.list_(pa.int32())))
-                yield pa.RecordBatch.from_arrays(columns, names=out)
+            at = 0
+            for part in pieces_of_batch(batch.column(1)):
+                found = codec.batch([t or "" for t in part.to_pylist()])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), *(found[c] for c in out[1:])], names=out)
+                at += len(part)
 
     rows = pruned(docs, _id=id_col, _text=text_col)
     kind = rows.schema["_id"].dataType.simpleString()

@@ -37,11 +37,24 @@ def test_odd_texts(oracle, codec):
         assert codec.decode(ids) == text.encode()
 
 
-def test_cache_that_starts_anew(oracle, monkeypatch):
-    monkeypatch.setattr(bpe, "CACHE", 5)
+def test_batches_of_texts(oracle, monkeypatch):
+    monkeypatch.setattr(bpe, "JOINED", 3)
     codec = bpe.Codec(bpe.read_ranks(PATH), public_tokenizers.PATTERN)
-    for text in ["one two three four five six seven", "one eight nine ten two", "six seven " + "y" * 200]:
-        assert codec.encode(text) == oracle.encode_ordinary(text)
+    texts = ["one two three four five six seven", "", "one eight nine ten two", "six seven " + "y" * 200, "\x01 a\x01\x01b \x00", "ÿ\xff"]
+    found = codec.batch(texts)
+    assert found["ids"].to_pylist() == [oracle.encode_ordinary(t) for t in texts]
+    assert found["decoded_sha256"].to_pylist() == [sha256(t.encode()).hexdigest() for t in texts]
+    assert found["n_tokens"].to_pylist() == [len(oracle.encode_ordinary(t)) for t in texts]
+    assert codec.batch([])["ids"].to_pylist() == [] and codec.batch([""])["ids"].to_pylist() == [[]]
+
+
+def test_slices_of_bounded_size():
+    import pyarrow as pa
+
+    column = pa.array(["a" * n for n in (5, 1, 1, 30, 2, 2)] + [None] * 5)
+    parts = list(bpe.pieces_of_batch(column, rows=4, chars=8))
+    assert pa.concat_arrays(parts).equals(column) and all(len(p) <= 4 for p in parts)
+    assert all(len(p) == 1 or sum(len(t or "") for t in p.to_pylist()) <= 8 for p in parts)
 
 
 def test_documents(odd, empty, oracle):

@@ -7,12 +7,13 @@ blocked Bloom filter (512 bits a block, one bit in each of its eight words, so t
 row); candidates that pass it are joined exactly with the entries, which removes false positives.
 
 Bounds: the filter has at most ``MAX_BLOCKS`` rows of 72 bytes, whatever the lists' size (fuller blocks
-only let more candidates through to the exact join), and that bounds its broadcast.  The entries
-themselves are broadcast up to ``SMALL_LIST`` rows, else joined by a shuffle that splits hot keys.
+only let more candidates through to the exact join), and that bounds its broadcast.  Rules and list entries are each
+broadcast up to ``SMALL_LIST`` rows, else joined by hash partitions.  Each distinct URL is judged once, and pages with a very
+common URL get its verdict on the map side.
 
-Defined results: a null url, or one without ``://``, has an empty host and path and is allowed, unless
-listed; of several fitting rules the longest (host with path, then host) wins, block before allow at a
-full tie; every row comes back, repeated rows too; empty lists allow everything.
+Defined results: a null url, or one without ``://``, has an empty host and path and is allowed; of several fitting rules the
+longest (host with path, then host) wins, block before allow at a full tie; every row comes back, repeated rows too; urls of any
+length are judged whole; empty lists allow everything; an empty table gives an empty result; other columns of any name are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import pruned, stored
+from .shared import joined_by_key, pruned, stored
 
 MAX_BLOCKS = 1 << 17
 SMALL_LIST = 20_000
@@ -120,17 +121,24 @@ def judge_urls(
         for m in sorted(shape.lengths)
     ]
     whole = F.concat(F.lit("u "), canonical(F.col("_url")))
-    distinct = rows.where("_host != ''").select("_url", "_host", "_path").distinct()
+    # each url is judged once; those without a host are nobody's candidates and pass no join
+    distinct = stored(rows.where("_host != ''").groupBy("_url", "_host", "_path").agg(F.count(F.lit(1)).alias("_rows")), "urls")
     candidates = distinct.select("_url", F.explode(F.array_distinct(F.array_compact(F.array(whole, *prefixes)))).alias("_key"))
     bloom, blocks = bloom_filter(entries, n_entries)
-    possible = passes_filter(candidates, bloom, blocks)
-    exact = possible.join(F.broadcast(entries) if n_entries <= SMALL_LIST else entries, "_key")
+    possible = passes_filter(candidates, stored(bloom, "bloom"), blocks)
+    # the rules are few and broadcast; a long list is joined by hash partitions, without the rules' keys in its shuffle
+    small = lambda df, n: F.broadcast(df) if n <= SMALL_LIST else df.hint("shuffle_hash")
+    by_rule = possible.where(F.col("_key").startswith("r ")).join(small(entries.where("host is not null"), shape.n), "_key")
+    by_list = possible.where(F.col("_key").startswith("u ")).join(small(entries.where("host is null"), n_entries - shape.n), "_key")
+    exact = by_rule.unionByName(by_list)
     length = F.struct(F.char_length(F.concat("host", "path")), F.char_length("host"), F.col("verdict"))
     best = exact.groupBy("_url").agg(
         F.max_by(F.struct(F.concat("host", "path").alias("rule"), "verdict"), F.when(F.col("host").isNotNull(), length)).alias("_best"),
         F.max(F.col("host").isNull()).alias("_listed"),
     )
-    judged = rows.join(best, "_url", "left")
+    table = stored(distinct.select("_url", "_rows").join(best, "_url", "left"), "judged")
+    judged = joined_by_key(rows.where("_host != ''"), table, "_url", "_rows")
+    judged = judged.unionByName(rows.where("_host = ''"), allowMissingColumns=True)
     in_list = F.coalesce("_listed", F.lit(False))
     by_method = F.when(in_list, F.lit("block")).otherwise(F.lit("allow"))
     return judged.select(

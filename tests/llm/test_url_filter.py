@@ -59,3 +59,13 @@ def test_empty_tables(spark):
     assert url_filter.judge_urls(pages, rules, none).count() == 0
     some = spark.createDataFrame([(1, "https://x.com/fr/1")], "page_id long, url string")
     assert url_filter.judge_urls(some, rules, none).first().verdict == "allow"
+
+
+def test_long_urls_and_clashing_columns(spark):
+    urls = ["https://x.com/fr/" + "a" * 100_000, "https://" + "h." * 2000 + "com/de/", "https://x.net/" + "b" * 70_000] * 2 + ["https://x.com/de/1"] * 200
+    rows = [(i, u, "clash", "clash", 1, True) for i, u in enumerate(urls)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, _host string, _key string, _rows int, _listed boolean")
+    rules = spark.createDataFrame(url_filter.RULES, "host string, path string, verdict string")
+    listed = ["x.net/" + "b" * 70_000]
+    got = url_filter.judge_urls(pages, rules, spark.createDataFrame([(u,) for u in listed], "canonical string")).collect()
+    assert {r.page_id: tuple(r)[1:] for r in got} == {i: brute(u, listed) for i, u in enumerate(urls)}

@@ -1,7 +1,8 @@
 """Secrets by patterns and by a battery of randomness tests, with SQL functions only.
 
 Base spans come from three fixed patterns.  The battery looks at every run of 20 or more characters of
-the base64 alphabets that has a digit or changes case: the encoding (decimal, hex, base32, base62,
+the base64 alphabets that has a digit or changes case, and at runs of letters alone from ``LETTERS`` characters on (no test of this
+kind tells a shorter one from a long word): the encoding (decimal, hex, base32, letters or letters with digits of one case, base62,
 base64) is inferred from its characters, and three tests of the null hypothesis "uniform and
 independent over that alphabet" are made -- chi-squared uniformity, runs about the middle of the
 alphabet, lag-1 serial correlation -- and joined by Fisher's method into one p-value.
@@ -10,10 +11,10 @@ A short run of prose or of an identifier can pass such tests by lack of power, s
 are controlled by length: for each encoding and length class the p-values above 1/2 estimate how many
 runs are truly random (those are uniform on 0..1), and the class reports from the smallest cut at
 which the estimated share of others above the cut is at most ``FDR``.  The histogram behind it covers
-all rows and has at most 5 x 8 x 20 cells, which bounds what reaches the driver.
+all rows and has at most 9 x 8 x 20 cells, which bounds what reaches the driver.
 
 Defined results: null text counts as empty; an empty text has no spans and the digest of the empty
-string; every row comes back, repeated rows too; other columns are ignored.  Offsets are code points,
+string; every row comes back, repeated rows too; an empty table gives an empty result; other columns of any name are ignored.  Offsets are code points,
 half-open; positions are prefix sums in blocks, so that a text with very many matches stays linear.
 """
 
@@ -34,6 +35,7 @@ RUN = r"[A-Za-z0-9+/_-]{20,}"
 KINDS = ("assign", "access", "hex", "random")
 
 FDR = 0.1
+LETTERS = 40
 LEAST_P = 1e-4  # no run below it is reported, whatever its class's cut
 BINS = 20
 BLOCK = 64
@@ -41,6 +43,11 @@ BLOCK = 64
 DIGITS = "0123456789"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
+#: Characters of a run and the alphabet they mean, the narrowest first.
+ENCODINGS = (
+    ("[0-9]+", DIGITS), ("[0-9a-f]+|[0-9A-F]+", DIGITS + "abcdef"), ("[A-Z]+", UPPER), ("[a-z]+", LOWER), ("[A-Z2-7]+", UPPER + "234567"),
+    ("[A-Z0-9]+", DIGITS + UPPER), ("[a-z0-9]+", DIGITS + LOWER), ("[A-Za-z0-9]+", DIGITS + UPPER + LOWER), ("[A-Za-z0-9+/_-]+", UPPER + LOWER + DIGITS + "+/"),
+)
 
 
 def _q(pattern: str) -> str:
@@ -88,16 +95,10 @@ def _upper_tail(z: str) -> str:
 
 def _battery(df: DataFrame, runs: str) -> DataFrame:
     """Replace the array of (s, e, v) in ``runs`` by (s, e, cell, p): the length class and p-value."""
-    kept = f"filter({runs}, x -> x.v rlike '[0-9]' or x.v rlike '[a-z][A-Z]')"
-    enc = (
-        "case when x.v rlike '^[0-9]+$' then 0 when x.v rlike '^([0-9a-f]+|[0-9A-F]+)$' then 1 "
-        "when x.v rlike '^[A-Z2-7]+$' then 2 when x.v rlike '^[A-Za-z0-9]+$' then 3 else 4 end"
-    )
-    alphabet = (
-        f"case x.enc when 0 then '{DIGITS}' when 1 then '{DIGITS}abcdef' when 2 then '{UPPER}234567' "
-        f"when 3 then '{DIGITS}{UPPER}{LOWER}' else '{UPPER}{LOWER}{DIGITS}+/' end"
-    )
-    text = "case x.enc when 1 then lower(x.v) when 4 then translate(x.v, '-_', '+/') else x.v end"
+    kept = f"filter({runs}, x -> x.v rlike '[0-9]' or x.v rlike '[a-z][A-Z]' or char_length(x.v) >= {LETTERS})"
+    enc = "case " + " ".join(f"when x.v rlike '^({chars})$' then {i}" for i, (chars, _) in enumerate(ENCODINGS)) + " end"
+    alphabet = "case x.enc " + " ".join(f"when {i} then '{digits}'" for i, (_, digits) in enumerate(ENCODINGS)) + " end"
+    text = "case x.enc when 1 then lower(x.v) when 8 then translate(x.v, '-_', '+/') else x.v end"
     n = "cast(size(x.d) as double)"
     df = df.withColumn("_c", F.expr(f"transform({kept}, x -> named_struct('s', x.s, 'e', x.e, 'v', x.v, 'enc', {enc}))"))
     df = df.withColumn(
@@ -153,7 +154,7 @@ def length_cuts(found: DataFrame, fdr: float = FDR) -> dict[int, float]:
         found.select(F.explode("_c").alias("c"))
         .groupBy(F.col("c.cell").alias("cell"), F.least(F.lit(BINS - 1), F.floor(F.col("c.p") * BINS)).cast("int").alias("bin"))
         .count()
-        .collect()  # at most 40 cells x BINS rows
+        .collect()  # at most 72 cells x BINS rows
     )
     cuts: dict[int, float] = {}
     for cell in {r.cell for r in bins}:

@@ -1,5 +1,9 @@
-import random
 import re
+from collections import Counter
+
+import numpy as np
+import pytest
+import random
 from hashlib import sha256
 
 from marginalia.llm import secret_scan
@@ -50,3 +54,87 @@ def test_odd_rows_and_empty_table(odd, empty):
     assert found.count() == odd.count()
     assert secret_scan.scan_secrets(empty).count() == 0
     assert sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+def p_value(v):
+    """The battery for one run, straight from its definition."""
+    enc = next(i for i, (chars, _) in enumerate(secret_scan.ENCODINGS) if re.fullmatch(chars, v))
+    alphabet = secret_scan.ENCODINGS[enc][1]
+    v = v.lower() if enc == 1 else v.translate(str.maketrans("-_", "+/")) if enc == 8 else v
+    d, k = np.array([alphabet.index(c) for c in v], float), len(alphabet)
+    n = len(d)
+    tail = lambda z: 1 / (1 + np.exp(min(max(1.5976 * z + 0.070566 * z**3, -700), 700)))
+    chi = ((np.bincount(d.astype(int), minlength=k) - n / k) ** 2 / (n / k)).sum()
+    z_chi = ((chi / (k - 1)) ** (1 / 3) - (1 - 2 / (9 * (k - 1)))) / np.sqrt(2 / (9 * (k - 1)))
+    hi = d >= k / 2
+    runs, mu = 1 + (hi[1:] != hi[:-1]).sum(), 2 * hi.sum() * (n - hi.sum()) / n + 1
+    var = (mu - 1) * (mu - 2) / (n - 1)
+    z_runs = abs(runs - mu) / np.sqrt(var) if var > 0 else 8
+    e = d - d.mean()
+    z_ser = abs((e[1:] * e[:-1]).sum() / (e @ e) + 1 / n) * np.sqrt(n) if e.any() else 8
+    h = -(np.log(max(tail(z_chi), 1e-300)) + np.log(min(1, 2 * tail(z_runs))) + np.log(min(1, 2 * tail(z_ser))))
+    return enc * 8 + min(7, int(np.floor(np.log2(n / 20) * 2))), np.exp(-h) * (1 + h + h * h / 2)
+
+
+ALPHABETS = {"base62": secret_scan.DIGITS + secret_scan.UPPER + secret_scan.LOWER, "base64": secret_scan.ENCODINGS[8][1],
+             "base32": secret_scan.UPPER + "234567", "base36": secret_scan.DIGITS + secret_scan.LOWER}
+
+
+def planted(rng):
+    """Texts of prose, each with a random key, or with a long path, name, date or number that is none."""
+    prose = ["we", "send", "the", "report", "about", "growth", "and", "risk", "every", "week", "donaudampfschifffahrtsgesellschaft"]
+    bits = ["annual", "report", "user", "Account", "module", "Factory", "data", "config", "v2", "2024", "05", "12", "final", "Service"]
+    rows = []
+    for i in range(1600):
+        if i % 2:
+            alphabet = ALPHABETS[list(ALPHABETS)[i // 2 % 4]]
+            odd = "".join(rng.choice(list(alphabet), rng.integers(24, 65)))
+        else:
+            odd = ["/", "_", "-", ""][i // 2 % 4].join(rng.choice(bits, rng.integers(5, 9)))
+        words = list(rng.choice(prose, 20))
+        rows.append((i, " ".join([*words[:9], odd, *words[9:]]), odd if i % 2 else None))
+    return rows
+
+
+def test_p_values_equal_their_definition(spark):
+    rng = np.random.default_rng(1)
+    rows = planted(rng)[:400] + [(9000, "0" * 30, None), (9001, "ab" * 12 + "7", None), (9002, "Q" * 50, None)]
+    df = spark.createDataFrame([(i, t) for i, t, _ in rows], "_id long, _text string")
+    df = secret_scan._find(df, "run", secret_scan.RUN)
+    runs = {r._id: [x.v for x in r._f_run] for r in df.collect()}
+    seen = 0
+    for r in secret_scan._battery(df, "_f_run").collect():
+        tested = [v for v in runs[r._id] if re.search("[0-9]|[a-z][A-Z]", v) or len(v) >= secret_scan.LETTERS]
+        assert len(tested) == len(r._c)
+        for v, c in zip(tested, r._c):
+            cell, p = p_value(v)
+            assert c.cell == cell and c.p == pytest.approx(p, abs=1e-6)
+            seen += 1
+    assert seen > 300
+
+
+def test_cuts_equal_their_definition(spark):
+    rng = np.random.default_rng(2)
+    pairs = [(7, float(p)) for p in rng.random(300)] + [(7, 0.001)] * 200 + [(9, 0.01)] * 50
+    found = spark.createDataFrame([([{"cell": c, "p": p}],) for c, p in pairs], "_c array<struct<cell:int,p:double>>")
+    own = np.array([p for c, p in pairs if c == 7])
+    random = 2 * (own >= 0.5).sum()
+    want = next(b / 20 for b in range(11) if 1 - random * (1 - b / 20) / (own >= b / 20).sum() <= secret_scan.FDR)
+    assert secret_scan.length_cuts(found) == {7: want}
+
+
+def test_planted_keys_are_found_outside_of_base_spans(spark):
+    rows = planted(np.random.default_rng(3))
+    df = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    text, key = {i: t for i, t, _ in rows}, {i: k for i, _, k in rows}
+    hits = false = 0
+    recall = Counter()
+    for r in secret_scan.scan_secrets(df).collect():
+        for x in r.spans:
+            if x.kind == 3:
+                good = key[r.doc_id] is not None and text[r.doc_id][x.s : x.e] in key[r.doc_id]
+                hits, false = hits + good, false + (not good)
+                if good:
+                    recall[list(ALPHABETS)[r.doc_id // 2 % 4]] += 1
+    print("found", dict(recall), "of 200 each; false", false)
+    assert all(recall[k] >= 160 for k in ALPHABETS) and false <= 0.1 * (hits + false)

@@ -1,51 +1,97 @@
-"""A parser for pages whose dropped or hidden elements nest: an Arrow UDF over the standard library's parser."""
+"""Page source to text by the standard library's parser: an Arrow UDF for pages that regular expressions would misread."""
 
 from __future__ import annotations
 
 from html.parser import HTMLParser
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .text import BLOCK_TAGS, DROPPED_TAGS, VOID_TAGS
+from .text import BLOCK_TAGS, DROPPED_TAGS, ENTITIES, block_breaks, decode_entities, strip_markup, tidy
+
+# Elements without an end; what an open paragraph ends at; what ends at the next of its kind, and where that stops.
+NO_END = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr")
+ENDS_P = (*BLOCK_TAGS, "address", "aside", "center", "dl", "dt", "dd", "fieldset", "form", "hr", "nav", "ol", "pre", "table", "ul")
+ENDS_ITSELF = {"li": ("ul", "ol"), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",), "dt": ("dl",), "dd": ("dl",)}
 
 
 def visible_text(html: str | None) -> str:
-    """The text of what is not dropped or hidden, with a line break at each block tag's start and end."""
-    blocks, dropped, void = set(BLOCK_TAGS), set(DROPPED_TAGS), {*VOID_TAGS, "br"}
+    """The text of what is neither dropped nor hidden, entities decoded, with a line break at each block tag's start and end."""
+    blocks, dropped = set(BLOCK_TAGS) - {"br"}, set(DROPPED_TAGS)
     out: list[str] = []
-    stack: list[tuple[str, bool]] = []  # open tags, and whether what they hold is out
+    stack: list[tuple[str, bool]] = []  # open elements, and whether what they hold is out
+
+    def close(at: int) -> None:
+        while len(stack) > at:
+            tag, gone = stack.pop()
+            if tag in blocks and not gone:
+                out.append("\n")
+
+    def last(tags: tuple[str, ...], stops: tuple[str, ...] = ()) -> int | None:
+        for i in range(len(stack) - 1, -1, -1):
+            if stack[i][0] in tags:
+                return i
+            if stack[i][0] in stops:
+                return None
+        return None
 
     class Walk(HTMLParser):
         def handle_starttag(self, tag, attrs):
+            if tag in ENDS_P and tag != "br" and (at := last(("p",), ("td", "th", "button", "object"))) is not None:
+                close(at)
+            if tag in ENDS_ITSELF and (at := last((tag,), ENDS_ITSELF[tag])) is not None:
+                close(at)
             a = {k: (v or "") for k, v in attrs}
             style = a.get("style", "").lower().replace(" ", "")
-            gone = tag in dropped or tag.startswith("ix:hidden") or "hidden" in a or a.get("aria-hidden", "").lower() == "true"
+            gone = tag in dropped or tag.startswith("ix:hidden") or "hidden" in a or a.get("aria-hidden") == "true"
             gone = gone or "display:none" in style or "visibility:hidden" in style or bool(stack and stack[-1][1])
-            if tag in blocks and not gone:
+            if tag == "br" and not gone:
+                out.append("\n\n")
+            elif tag in blocks and not gone:
                 out.append("\n")
-            if tag not in void:
+            if tag not in NO_END:
                 stack.append((tag, gone))
 
         def handle_endtag(self, tag):
-            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
+            at = last((tag,))
             if at is not None:
-                gone = stack[at][1]
-                del stack[at:]
-                if tag in blocks and not gone:
-                    out.append("\n")
+                close(at)
 
         def handle_data(self, data):
             if not (stack and stack[-1][1]):
                 out.append(data)
 
     walk = Walk(convert_charrefs=True)
-    walk.feed(html or "")
+    source = html or ""
+    walk.feed(source[: source.rfind("<")] if source.rfind("<") > source.rfind(">") and source[source.rfind("<") + 1 :][:1] in _TAG_STARTS else source)
     walk.close()
+    close(0)
     return "".join(out)
 
 
+_TAG_STARTS = tuple("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ/!")  # an element that the source breaks off in is none
+
+
 @F.pandas_udf(StringType())
-def strip_markup_nested(html: pd.Series) -> pd.Series:
-    return html.map(visible_text)
+def parsed_text(html: pd.Series) -> pd.Series:
+    return html.map(visible_text, na_action="ignore")
+
+
+def is_plain(html: Column) -> Column:
+    """Whether regular expressions read the page as the parser does: all tags well-formed, nothing hidden, no element that
+    could nest among the dropped ones, no entity but the known ones."""
+    body = F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style)(\s[^<>]*)?>.*?</\1\s*>|<!doctype[^<>]*>", "")
+    names = "|".join(e.strip("&;") for e, _ in ENTITIES)
+    rest = F.regexp_replace(body, rf'</?[a-zA-Z][a-zA-Z0-9]*(\s+[a-zA-Z-]+(="[^"<>]*")?)*\s*>|&({names});', "")
+    odd = r"(?i)<(table|noscript|svg|figure|form|button|select|textarea|iframe|template|plaintext|xmp|object)\b|hidden|display|visibility"
+    return ~(rest.contains("<") | rest.contains("&") | html.rlike(odd))
+
+
+def extract_html(html: Column) -> Column:
+    """Page source to plain text: strip, break, decode, tidy.  Plain pages stay in the JVM, only the others go through the parser."""
+    html = F.coalesce(html, F.lit(""))
+    plain = is_plain(html)
+    native = decode_entities(block_breaks(strip_markup(html)))
+    return tidy(F.when(plain, native).otherwise(parsed_text(F.when(~plain, html))))

@@ -14,7 +14,7 @@ DROPPED_TAGS = ("script", "style", "noscript", "head", "meta", "link", "title",
 BLOCK_TAGS = ("p", "div", "section", "article", "header", "footer", "main", "li", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "br", "tr")
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&copy;", "©"),
             ("&reg;", "®"), ("&trade;", "™"), ("&ndash;", "–"), ("&mdash;", "—"), ("&rsquo;", "’"), ("&lsquo;", "‘"), ("&rdquo;", "”"),
-            ("&ldquo;", "“"), ("&bull;", "•"), ("&amp;", "&"))
+            ("&ldquo;", "“"), ("&bull;", "•"), ("&middot;", "·"), ("&amp;", "&"))
 SIGNS = ("‘’“”–— ", "''\"\"-- ")
 VOID_TAGS = ("meta", "link", "img", "input")
 
@@ -22,8 +22,7 @@ VOID_TAGS = ("meta", "link", "img", "input")
 def strip_markup(html: Column) -> Column:
     """Drop comments, the subtrees of tags without text, and elements hidden by attribute or style.
 
-    Regular expressions match an element up to its first end tag, which is exact unless a dropped element
-    nests one of its own name; :func:`strip_markup_nested` is the parser for such pages.
+    Regular expressions match an element up to its first end tag, which is exact on the pages that ``html.is_plain`` lets through.
     """
     out = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?s)<!--.*?-->", "")
     for tag in DROPPED_TAGS:
@@ -37,7 +36,8 @@ def strip_markup(html: Column) -> Column:
 
 
 def block_breaks(html: Column) -> Column:
-    """A line break for each block tag's start and end; other tags go."""
+    """A line break for each block tag's start and end, so two for a ``br``; other tags go."""
+    html = F.regexp_replace(html, r"(?i)<br(\s[^>]*)?/?>", "\n\n")
     out = F.regexp_replace(html, rf"(?i)</?({'|'.join(BLOCK_TAGS)})(\s[^>]*)?/?>", "\n")
     return F.regexp_replace(out, r"(?s)<[^>]*>", "")
 
@@ -51,6 +51,7 @@ def decode_entities(text: Column) -> Column:
 
 def tidy(text: Column) -> Column:
     """The ordered clean-up of extracted text: URLs, odd spaces, page numbers, broken lines, blank lines."""
+    # The clean-up patterns and their order.
     out = F.regexp_replace(text, "https?://[^\\s ]+", " ")
     out = F.replace(F.replace(out, F.lit(" "), F.lit(" ")), F.lit("​"), F.lit(""))
     out = F.regexp_replace(out, r"[ \t]{2,}", " ")
@@ -67,14 +68,9 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
-def extract_html(html: Column) -> Column:
-    """Page source to plain text: strip, break, decode, tidy."""
-    return tidy(decode_entities(block_breaks(strip_markup(html))))
-
-
 def normalize_text(text: Column) -> Column:
     """Straight quotes and dashes, marker words gone, single spaces, no space before ; - . , :"""
-    out = F.translate(F.coalesce(text, F.lit("")), *SIGNS)
+    out = F.translate(F.coalesce(text, F.lit("")), *SIGNS)  # fixed values: the signs and the patterns below
     out = F.regexp_replace(out, r"(?i)\s*AI_TERM\s*[×x*]\s*", " ")
     out = F.btrim(F.regexp_replace(out, r"\s+", " "))
     return F.regexp_replace(out, r"\s+([;\-.,:])", "$1")

@@ -74,10 +74,12 @@ def _html() -> str:
     out = "regexp_replace(coalesce(html, ''), '(?s)<!--.*?-->', '', 'g')"
     for tag in _STRIPPED:
         out = rf"regexp_replace({out}, '(?is)<{tag}(\s[^>]*)?>.*?</{tag}\s*>', '', 'g')"
+    out = rf"regexp_replace({out}, '(?i)<br(\s[^>]*)?/?>', chr(10) || chr(10), 'g')"
     out = rf"regexp_replace({out}, '(?i)</?({_BLOCKS})(\s[^>]*)?/?>', chr(10), 'g')"
-    out = f"regexp_replace({out}, '(?s)<[^>]*>', '', 'g')"
-    for name, sign in [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&apos;", "''"), ("&nbsp;", " "), ("&copy;", "©"), ("&amp;", "&")]:
+    out = f"regexp_replace({out}, '(?s)<[^>]*>|<[a-zA-Z/][^>]*$', '', 'g')"
+    for name, sign in [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&apos;", "''"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·")]:
         out = f"replace({out}, '{name}', '{sign}')"
+    out = f"regexp_replace({out}, '&amp;?', '&', 'g')"
     out = f"regexp_replace({out}, 'https?://[^\\s ]+', ' ', 'g')"
     out = f"replace(replace({out}, ' ', ' '), '​', '')"
     out = rf"regexp_replace({out}, '[ \t]{{2,}}', ' ', 'g')"
@@ -90,6 +92,20 @@ def _html() -> str:
     return rf"SELECT page_id, regexp_replace({out}, '^\s+|\s+$', '', 'g') AS text FROM pages"
 
 
+#: What a reader sees of the hand-written pages, set down by hand.
+HTML_TEXTS = {
+    "attributes": "kept\n\nend", "aria": "kept", "breaks": "Three\n\nFour\n\nfive", "broken line": "word, lower and\nUpper", "cell": "one\n\ntwo", "comment": "abc",
+    "entities": "’tis “so” été &lt; <b> AT&T R&D … &nosuch;", "hidden deep": "out", "hidden table cell": "kept", "ix": "7 kept", "less than": "a < b and c > d",
+    "links": "See now", "nested table": "a\n\nb", "no html": "plain text", "page numbers": "one\n\ntwo", "paragraphs without end": "one\n\ntwo\n\nthree", "scripts": "y",
+    "spaces": "a bc d\ne", "truncated": "one & two", "buttons": "kept",
+}
+
+
+def _html_cases() -> str:
+    rows = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in HTML_TEXTS.items())
+    return f"SELECT * FROM (VALUES {rows}) t(name, text)"
+
+
 def _label(x: str) -> str:
     return rf"regexp_replace(regexp_replace(coalesce({x}, ''), '[;\s]+$', ''), '^\s+|\s+$', '', 'g')"
 
@@ -276,6 +292,7 @@ def _few_shot() -> str:
 
 ORACLES = {
     "html_extract": _html(),
+    "html_cases": _html_cases(),
     "normalize_text": f"SELECT doc_id, {_key('text')} AS text, lower({_key('text')}) AS key, substring({_key('text')}, 1, 140) AS excerpt FROM documents",
     "labels_clean": rf"""WITH r AS (SELECT c_custkey, c_name, {_label(_RAW_LABEL)} AS label FROM customer)
         SELECT c_custkey, label, regexp_matches(label, '[;:]') AS has_parts,

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_label, doc_slug, extract_html, normalize_kind, to_strength
+from ..functions.html import extract_html
+from ..functions.text import clean_label, doc_slug, normalize_kind, to_strength
 
 TAXONOMY = "kind string, category string, subcategory string, description string"
 HITS = "doc_id string, sentence_idx int, anchor_id string, matched_terms array<string>"

@@ -11,7 +11,6 @@ The tables hold no annotations, so deterministic stand-ins take their place, def
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,10 +18,11 @@ from .functions import text as T
 from .functions.arrays import sorted_join
 from .functions.html import extract_html
 from .operators import agreement, align, annotations, chunks, diagnose, evaluate, feedback, keywords, phases, render, report
-from .operators.sentences import build_index
+from .operators.sentences import build_index, sentence_arrays
 from .plans import lifecycle
-from .plans.annotators import RuleAnnotator, annotations_of, parse_reply
-from .plans.strategies import Strategy
+from .plans.annotators import PhaseRules, RuleAnnotator, annotations_of, parse_reply
+from .plans.strategies import Strategy, get_strategy
+from .scratch import settled
 from .sources.files import spread
 
 VOCABULARY = ["the", "tion", "ment", "schaft", "ciones"]
@@ -83,21 +83,21 @@ def event_resolutions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "ordinal", F.when(F.col("ordinal") % 8 == 0, "").otherwise("Risk · view · -; Mitigation · signup · - · S2").alias("final_tags"), (F.col("ordinal") % 12 == 0).alias("is_span"))
 
 
-def sentences(spark: SparkSession, sf_dir: str, shared: bool = False) -> DataFrame:
-    """The sentence index; ``shared`` keeps it (in memory, else on disk) for queries with several consumers of it."""
-    found = build_index(spread(table(spark, sf_dir, "documents")))
-    return found.persist(StorageLevel.MEMORY_AND_DISK) if shared else found
+def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return build_index(spread(table(spark, sf_dir, "documents")))
 
 
 def phase_verdicts(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    s = sentences(spark, sf_dir, shared=True).withColumn("n", F.length("text"))
-    seq = F.col("sentence_idx").alias("seq")
+    """Stand-in verdicts; they hang on a text's length and letters, so that no text goes into them."""
     has = lambda w: F.col("text").contains(w)
+    found = sentences(spark, sf_dir).select("doc_id", "sentence_idx", "anchor_id", F.length("text").alias("n"), (has("th") | has("en")).alias("candidate"), has("on").alias("mention"))
+    s = settled(found.repartition("doc_id", "anchor_id"))  # what most joins are on
+    seq = F.col("sentence_idx").alias("seq")
     base = ["doc_id", "anchor_id", seq]
     return {
         "sentences": s,
-        "candidates": s.where(has("th") | has("en")).select(*base),
-        "mentions": s.where(has("on")).select(*base),
+        "candidates": s.where("candidate").select(*base),
+        "mentions": s.where("mention").select(*base),
         "passages": s.where(F.col("sentence_idx") % 7 == 0).select(
             "doc_id", F.col("sentence_idx").alias("passage"), F.format_string("s-%05d", F.col("sentence_idx") + 2).alias("start_anchor"),
             F.col("anchor_id").alias("end_anchor"), F.concat(F.lit("topic "), "sentence_idx").alias("topic_summary")),
@@ -182,7 +182,7 @@ def q_coverage(spark, sf_dir):
 
 def _ranges(name, with_hits=False, **params):
     def query(spark, sf_dir):
-        s = sentences(spark, sf_dir, shared=with_hits)
+        s = settled(sentences(spark, sf_dir).select("doc_id", "sentence_idx", "anchor_id", "text")) if with_hits else sentences(spark, sf_dir)
         hits = keywords.find_hits(s, ["ment", "ciones"]) if with_hits else None
         return plain(chunks.chunk_ranges(name, s, hits, **params).select("doc_id", "chunk", "lo", "hi"))
 
@@ -190,11 +190,29 @@ def _ranges(name, with_hits=False, **params):
 
 
 def q_chunk_texts(spark, sf_dir):
-    s = sentences(spark, sf_dir, shared=True)
+    arrays = sentence_arrays(spread(table(spark, sf_dir, "documents")))
+    texts = chunks.chunk_rows(arrays, "n_sentence", n_sentences=5, stride=3)
+    return plain(texts.select("doc_id", "chunk_id", "lo", "hi", F.array_join("sentence_indices", ",").alias("indices"), "first_anchor", "last_anchor", "text"))
+
+
+def q_chunk_texts_joined(spark, sf_dir):
+    """The same chunks by rows: ranges joined to sentences."""
+    s = settled(sentences(spark, sf_dir))
     texts = chunks.chunk_texts(chunks.n_sentence(s, n_sentences=5, stride=3), s)
     return plain(texts.select("doc_id", "chunk_id", "lo", "hi", F.array_join("sentence_indices", ",").alias("indices"), "first_anchor", "last_anchor", "text"))
 
 
+def _row_ranges(name, **params):
+    """A chunker's ranges from arrays; the SQL is that of the chunker by rows."""
+
+    def query(spark, sf_dir):
+        arrays = sentence_arrays(spread(table(spark, sf_dir, "documents")))
+        found = chunks.chunk_arrays(arrays, name, ["ment", "ciones"], **params)
+        return plain(found.select("doc_id", F.posexplode("_r").alias("chunk", "r")).select("doc_id", "chunk", "r.lo", "r.hi"))
+
+    return query
+
+
 def q_context_window(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
     rows = c.withColumn("line", F.concat("role", F.lit(": "), "text"))
@@ -248,7 +266,7 @@ def q_resolve_category(spark, sf_dir):
 
 def sentence_queries(spark, sf_dir):
     """An annotation for each sentence: in capitals with curly quotes, or with another tail, or without its first letters."""
-    s, n = sentences(spark, sf_dir, shared=True), F.col("sentence_idx") % 3
+    s, n = settled(sentences(spark, sf_dir)), F.col("sentence_idx") % 3
     text = F.when(n == 0, F.concat(F.translate("text", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), F.lit("  "))).when(n == 1, F.concat(F.substring("text", 1, 100), F.lit(" qq"))).otherwise(F.expr("substring(text, 5)"))
     return s, s.select("doc_id", "sentence_idx", text.alias("sentence"))
 
@@ -491,6 +509,16 @@ def q_run_strategy(spark, sf_dir):
     return plain(run.annotations.groupBy("doc_id", "kind", "category", "subcategory", "strength").agg(F.count(F.lit(1)).alias("n")))
 
 
+def _run_phases(version):
+    def query(spark, sf_dir):
+        """A phased workflow with every phase answered by rules."""
+        docs = spread(table(spark, sf_dir, "documents"))
+        run = lifecycle.run_strategy(docs, get_strategy(version), PhaseRules(RULES, about="on|en", passage="schaft|ment", idle="the"), small_taxonomy(spark))
+        return plain(run.annotations.groupBy("doc_id", "kind", "category", "subcategory", "strength").agg(F.count(F.lit(1)).alias("n")))
+
+    return query
+
+
 def q_parse_replies(spark, sf_dir):
     """Replies of all four states: answered, refused, cut off, empty."""
     d = table(spark, sf_dir, "orders")
@@ -508,7 +536,9 @@ QUERIES = {
     "html_extract": q_html_extract, "html_cases": q_html_cases, "normalize_text": q_normalize_text, "labels_clean": q_labels_clean, "sentence_index": q_sentence_index, "keyword_hits": q_keyword_hits,
     "coverage": q_coverage, "chunks_full": _ranges("full_doc"), "chunks_window": _ranges("keyword_window", True, window_sentences=3),
     "chunks_sentence": _ranges("keyword_per_sentence", True), "chunks_n20": _ranges("n_sentence", n_sentences=20), "chunks_n40": _ranges("n_sentence", n_sentences=40),
-    "chunks_overlap": _ranges("n_sentence", n_sentences=7, stride=4), "chunks_gaps": _ranges("n_sentence", n_sentences=3, stride=5), "chunk_texts": q_chunk_texts,
+    "chunks_overlap": _ranges("n_sentence", n_sentences=7, stride=4), "chunks_gaps": _ranges("n_sentence", n_sentences=3, stride=5), "chunk_texts": q_chunk_texts, "chunk_texts_joined": q_chunk_texts_joined,
+    "row_chunks_full": _row_ranges("full_doc"), "row_chunks_window": _row_ranges("keyword_window", window_sentences=3), "row_chunks_sentence": _row_ranges("keyword_per_sentence"),
+    "row_chunks_overlap": _row_ranges("n_sentence", n_sentences=7, stride=4),
     "context_window": q_context_window, "passage_members": q_passage_members, "dedupe_first": q_dedupe_first, "validate_reasons": q_validate_reasons,
     "validate_kept": q_validate_kept, "resolve_category": q_resolve_category, "align_cascade": q_align_cascade, "align_cards": q_align_cards,
     "anchor_sources": q_anchor_sources, "align_counts": q_align_counts, "label_frame": _label_frame("union"), "label_frame_both": _label_frame("intersection"),
@@ -520,5 +550,5 @@ QUERIES = {
     "sequential": q_sequential, "passage_aware": q_passage_aware, "diagnosis_passages": q_diagnosis_passages, "diagnosis_phases": q_diagnosis_phases,
     "loss_buckets": q_loss_buckets, "missed_anchors": q_missed_anchors, "few_shot": q_few_shot, "annotation_rows": q_annotation_rows,
     "paragraph_tokens": q_paragraph_tokens, "split_index": q_split_index, "experiment_log": q_experiment_log, "top_index": q_top_index, "ai_only": q_ai_only,
-    "run_strategy": q_run_strategy, "parse_replies": q_parse_replies,
+    "run_strategy": q_run_strategy, "run_sequential": _run_phases("sequential_batched"), "run_passage_aware": _run_phases("sequential_passage_aware"), "parse_replies": q_parse_replies,
 }

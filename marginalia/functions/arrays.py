@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLOCK = 64
 
 
-def computed(df: DataFrame, **columns: str) -> DataFrame:
-    """Add columns by SQL expressions that later ones may use within lambdas.
+def computed(df: DataFrame, **columns: str | Column) -> DataFrame:
+    """Add columns by expressions (SQL or Column) that later ones may use within lambdas.
 
     The optimizer would otherwise inline an expression into a lambda that names it once, and evaluate it for every
     element; a one-row generator keeps it where it is.
     """
-    for name, sql in columns.items():
-        df = df.select("*", F.explode(F.array(F.expr(sql))).alias(name))
+    for name, made in columns.items():
+        df = df.select("*", F.explode(F.array(F.expr(made) if isinstance(made, str) else made)).alias(name))
     return df
 
 

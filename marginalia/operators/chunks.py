@@ -1,6 +1,8 @@
 """Chunkers: ranges of sentences (doc_id, chunk, lo, hi), and their texts.
 
-Ranges are computed on positions alone; texts join ranges by (doc_id, sentence_idx), an equi-join, never by range.
+Two forms.  From sentences by rows: ranges are computed on positions alone, and texts join ranges by (doc_id, sentence_idx), an
+equi-join, never by range.  From arrays of sentences (:func:`chunk_rows`): hits, ranges and texts are made within the document's
+row, without a shuffle; whole runs use this form.
 """
 
 from __future__ import annotations
@@ -10,7 +12,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import chunk_id
+from ..functions.arrays import computed
+from ..functions.text import anchor_id, chunk_id
+from .keywords import pattern_of
 
 
 def _totals(sentences: DataFrame) -> DataFrame:
@@ -78,6 +82,49 @@ def chunk_texts(ranges: DataFrame, sentences: DataFrame) -> DataFrame:
     )
 
 
+def _array_ranges(name: str, **params) -> dict[str, str]:
+    """Columns that end in ``_r``, the ranges (lo, hi) of a document of ``_n`` sentences with hits at ``_h``; the same as the chunkers above."""
+    none = "cast(array() as array<struct<lo:int,hi:int>>)"
+    if name == "full_doc":
+        return {"_r": "array(named_struct('lo', 0, 'hi', _n - 1))"}
+    if name == "keyword_per_sentence":
+        return {"_r": "transform(_h, i -> named_struct('lo', i, 'hi', i))"}
+    if name == "n_sentence":
+        n = params.get("n_sentences", 20)
+        s = n if params.get("stride") is None else params["stride"]
+        starts = f"filter(sequence(0, _n - 1, {s}), x -> x = 0 or x - {s} + {n} < _n)"
+        return {"_r": f"transform({starts}, x -> named_struct('lo', x, 'hi', least(_n, x + {n}) - 1))" if n > 0 and s > 0 else none}
+    if name == "keyword_window":
+        w = params.get("window_sentences", 20)
+        # hits are in order, so a window begins where a hit's does not touch that of the hit before
+        first = f"j = 0 or greatest(0, i - {w}) > least(_n - 1, _h[j - 1] + {w}) + 1"
+        last = "_h[case when c + 1 < size(_f) then _f[c + 1] - 1 else size(_h) - 1 end]"
+        return {
+            "_f": f"filter(transform(_h, (i, j) -> case when {first} then j end), j -> j is not null)",
+            "_r": f"transform(_f, (j, c) -> named_struct('lo', greatest(0, _h[j] - {w}), 'hi', least(_n - 1, {last} + {w})))",
+        }
+    raise KeyError(name)
+
+
+def chunk_arrays(arrays: DataFrame, name: str, keywords: list[str] | None = None, word_boundary: bool = False, **params) -> DataFrame:
+    """Documents (doc_id, sentences) that have sentences, with _a (the sentences), _n (how many), _h (the hits' places) and _r (ranges)."""
+    df = computed(arrays.select("doc_id", "sentences"), _a="sentences").drop("sentences").where("size(_a) > 0")
+    hit = pattern_of(keywords, word_boundary) if keywords and any(k.strip() for k in keywords) else None
+    places = F.filter(F.transform("_a", lambda x, i: F.when(x["text"].rlike(hit), i)), lambda i: i.isNotNull()) if hit else "cast(array() as array<int>)"
+    return computed(df.withColumn("_n", F.size("_a")), _h=places, **_array_ranges(name, **params))
+
+
+def chunk_rows(arrays: DataFrame, name: str, keywords: list[str] | None = None, word_boundary: bool = False, **params) -> DataFrame:
+    """What :func:`chunk_texts` returns, made within each document's row."""
+    df = chunk_arrays(arrays, name, keywords, word_boundary, **params)
+    text = "array_join(transform(slice(_a, r.lo + 1, r.hi - r.lo + 1), x -> x.text), '\n')"
+    each = df.select("doc_id", F.posexplode(F.expr(f"transform(_r, r -> named_struct('lo', r.lo, 'hi', r.hi, 'text', {text}))")).alias("chunk", "c"))
+    return each.select(
+        "doc_id", chunk_id(F.col("chunk")).alias("chunk_id"), "c.lo", "c.hi", F.sequence("c.lo", "c.hi").alias("sentence_indices"),
+        anchor_id(F.col("c.lo")).alias("first_anchor"), anchor_id(F.col("c.hi")).alias("last_anchor"), "c.text",
+    )
+
+
 def context_window(rows: DataFrame, key: str, order: str, line: str, before: int = 8, after: int = 8) -> DataFrame:
     """Adds ``context``: the lines from ``before`` to ``after`` places about each row, its own marked by '>>'."""
     w = Window.partitionBy(key).orderBy(order).rowsBetween(-before, after)

@@ -30,14 +30,17 @@ def _labelled(sentences: DataFrame, kinds: DataFrame, risk_cats: DataFrame, mit_
     """The last phases: categories for each half, strength for mitigations.
 
     As a phase is asked about kept anchors of its half, verdicts on others are left out; a half without kept anchors asks nothing.
+    Texts come last, as ``sentence``; from sentences without a ``text`` column there is none, and no text is shuffled.
     """
-    text = sentences.select(*ID, F.col("text").alias("sentence"))
     half = lambda cats, kind: cats.join(kinds.where(F.col("kind") == kind).select(*ID).distinct(), ID, "left_semi").select(
         *ID, "seq", F.lit(kind).alias("kind"), "category", "subcategory"
     )
     risks = half(risk_cats, RISK).withColumn("strength", F.lit(None).cast("int"))
     mits = attach_strength(half(mit_cats, MITIGATION), strengths)
-    both = risks.unionByName(mits.select(*risks.columns)).join(text, ID)
+    both = risks.unionByName(mits.select(*risks.columns))
+    if "text" not in sentences.columns:
+        return both.select("doc_id", "anchor_id", "kind", "category", "subcategory", "strength", "seq")
+    both = both.join(sentences.select(*ID, F.col("text").alias("sentence")), ID)
     return both.select("doc_id", "anchor_id", "sentence", "kind", "category", "subcategory", "strength", "seq")
 
 

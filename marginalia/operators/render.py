@@ -9,6 +9,7 @@ from ..functions.arrays import computed, running_starts
 from ..functions.text import coder_name
 
 FAR = 10**9
+PIECE = 256
 # The view's classes of anchors by source.
 SOURCE_CLASS = {
     "ai": "source-ai", "coder_a": "source-coder-a", "coder_b": "source-coder-b", "coders_both": "source-coders-both",
@@ -35,7 +36,8 @@ def paragraph_tokens(docs: DataFrame, sentences: DataFrame, sources: DataFrame |
     """doc_id, para_idx, token_idx, is_sentence, anchor_id, text, source_class.
 
     Each sentence comes once, in the first paragraph it overlaps, clipped to it; what lies between is plain text.
-    Overlaps are found by an equi-join on blocks of 4,096 code points.
+    Overlaps are found by an equi-join on blocks of 4,096 code points.  Tokens meet their text once for each document: it is cut into
+    pieces of ``PIECE`` code points, and a token is made of the few that it touches, so that a long document stays linear.
     """
     size = 4096
     paras = paragraphs(docs, separator, id_col, text_col)
@@ -59,11 +61,14 @@ def paragraph_tokens(docs: DataFrame, sentences: DataFrame, sources: DataFrame |
         tokens = tokens.join(sources.select("doc_id", "anchor_id", "source"), ["doc_id", "anchor_id"], "left").withColumn("source_class", F.coalesce(cls, F.lit("")))
     else:
         tokens = tokens.withColumn("source_class", F.lit(""))
+    own = tokens.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("para_idx", "token_idx", "a", "b", "anchor_id", "source_class"))).alias("_tokens"))
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    rows = tokens.join(texts, "doc_id")
-    return rows.select(
-        "doc_id", "para_idx", "token_idx", F.col("anchor_id").isNotNull().alias("is_sentence"), "anchor_id",
-        F.expr("substring(_text, a + 1, b - a)").alias("text"), "source_class",
+    rows = computed(own.join(texts, "doc_id"), _pieces=f"regexp_extract_all(_text, '(?s).{{1,{PIECE}}}', 0)")
+    near = f"array_join(slice(_pieces, cast(t.a div {PIECE} as int) + 1, cast((t.b - 1) div {PIECE} - t.a div {PIECE} as int) + 1), '')"
+    cut = f"substring({near}, cast(t.a % {PIECE} as int) + 1, cast(t.b - t.a as int))"
+    each = rows.select("doc_id", F.explode(F.expr(f"transform(_tokens, t -> named_struct('t', t, 'text', {cut}))")).alias("x"))
+    return each.select(
+        "doc_id", "x.t.para_idx", "x.t.token_idx", F.col("x.t.anchor_id").isNotNull().alias("is_sentence"), "x.t.anchor_id", "x.text", "x.t.source_class",
     )
 
 

@@ -430,3 +430,19 @@ ORACLES = {
     "parse_replies": """SELECT o_orderkey AS doc_id, CASE o_orderkey % 4 WHEN 0 THEN 'refused' WHEN 1 THEN 'truncated' WHEN 2 THEN 'empty' ELSE 'ok' END AS status,
         CASE WHEN o_orderkey % 4 = 3 THEN 200000 END::BIGINT AS seq, CASE WHEN o_orderkey % 4 = 3 THEN o_orderpriority END AS sentence, CASE WHEN o_orderkey % 4 = 3 THEN 'Risk' END AS kind FROM orders""",
 }
+
+# the forms within a document's row have the results of the forms by rows
+ORACLES |= {"chunk_texts_joined": ORACLES["chunk_texts"], "row_chunks_full": ORACLES["chunks_full"], "row_chunks_window": ORACLES["chunks_window"],
+            "row_chunks_sentence": ORACLES["chunks_sentence"], "row_chunks_overlap": ORACLES["chunks_overlap"]}
+
+
+def _phased(kept: str, *ctes: str) -> str:
+    """Annotations of a phased run: what the phases keep, labelled by the first rule, once for each normalised sentence, valid labels only."""
+    has = lambda p: f"regexp_matches(text, '(?i)({p})')"
+    return _sentences(f"""SELECT doc_id, CASE r WHEN 1 THEN 'Risk' ELSE 'Risk Mitigation' END AS kind, 'c1' AS category, CASE r WHEN 1 THEN 's1' ELSE 's2' END AS subcategory,
+        CASE r WHEN 2 THEN 2 END::BIGINT AS strength, count(DISTINCT lower({_key('text')})) AS n FROM lab WHERE r <= 2 AND {kept} GROUP BY doc_id, r""",
+        f"""lab AS (SELECT *, CASE WHEN {has('tion')} THEN 1 WHEN {has('ment')} THEN 2 WHEN {has('schaft')} THEN 3 WHEN {has('ciones')} THEN 4 END AS r, {has('on|en')} AS about,
+                    {has('schaft|ment')} AS begins, {has('the')} AS idle, coalesce(lag({has('schaft|ment')}) OVER (PARTITION BY doc_id ORDER BY sentence_idx), false) AS follows FROM s)""", *ctes)
+
+
+ORACLES |= {"run_sequential": _phased("about"), "run_passage_aware": _phased("(begins OR follows OR about) AND NOT idle")}

@@ -66,6 +66,40 @@ class RuleAnnotator(Annotator):
         return chunks.select("doc_id", "chunk_id", reply.alias("raw_response"))
 
 
+class PhaseRules(RuleAnnotator):
+    """Answers every phase of a workflow by rules; the phase is the chunk's id.
+
+    ``about``: what makes a candidate or a mention; ``passage``: what begins a passage, which ends a sentence later; ``idle``: what the
+    context filter drops.  Kinds, categories and strengths are those of the first rule that a sentence matches.
+    """
+
+    def __init__(self, rules: list[tuple[str, str, str, str, int | None]], about: str, passage: str, idle: str):
+        super().__init__(rules)
+        self.about, self.passage, self.idle = (f"(?iu){x}" for x in (about, passage, idle))
+
+    def annotate(self, chunks: DataFrame, prompt: str = "") -> DataFrame:
+        named = r"(?s)^(?:target: )?\[(s-[0-9]+)\] (.*?)(?:\nsummary: .*)?$"
+        cut = lambda x: F.struct(F.regexp_extract(x, named, 1).alias("a"), F.regexp_extract(x, named, 2).alias("t"))
+        rows = chunks.withColumn("_x", F.transform(F.split("text", r"\n\n(?=target: \[s-[0-9]+\] )|\n(?=\[s-[0-9]+\] )"), cut))
+        rows = rows.withColumn("_x", F.filter(F.transform("_x", lambda x: F.struct(x["a"].alias("a"), x["t"].alias("t"), self.label(x["t"]).alias("l"))), lambda x: x["a"] != ""))
+        some = lambda pattern: F.filter("_x", lambda x: x["t"].rlike(pattern))
+        each = lambda xs, *cols: F.transform(xs, lambda x: F.struct(x["a"].alias("anchor_id"), *(x["l"][c].alias(c) for c in cols)))
+        met = F.filter("_x", lambda x: x["l"].isNotNull())
+        after = lambda i: F.coalesce(F.get("_x", i + 1)["a"], F.get("_x", i)["a"])
+        begun = F.filter(F.transform("_x", lambda x, i: F.struct(x["a"].alias("start_anchor"), after(i).alias("end_anchor"), F.concat(F.lit("topic "), x["a"]).alias("topic_summary"),
+                                                                 x["t"].rlike(self.passage).alias("on"))), lambda x: x["on"])
+        context = F.transform("_x", lambda x: F.struct(x["a"].alias("anchor_id"), (~x["t"].rlike(self.idle)).alias("keep"), F.lit("rule").alias("reason")))
+        json = lambda xs, name="verdicts": F.to_json(F.struct(xs.alias(name)))
+        phase = F.regexp_replace("chunk_id", "^p[0-9][ab]?_", "")
+        content = (
+            F.when(phase.isin("candidates", "outside_mentions"), json(each(some(self.about)))).when(phase == "passages", json(begun, "passages"))
+            .when(phase == "context_filter", json(context)).when(phase == "kind", json(each("_x", "kind"))).when(phase == "strength", json(each(met, "strength")))
+            .otherwise(json(each(met, "category", "subcategory")))
+        )
+        reply = F.to_json(F.struct(F.array(F.struct(F.lit("stop").alias("finish_reason"), F.struct(content.alias("content")).alias("message"))).alias("choices")))
+        return rows.select("doc_id", "chunk_id", reply.alias("raw_response"))
+
+
 class CallAnnotator(Annotator):
     """Asks ``call(prompt, text) -> raw reply`` for each chunk on the executors; a call that fails has an empty reply."""
 

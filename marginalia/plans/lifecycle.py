@@ -7,13 +7,16 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import chunk_id
 from ..operators.align import align, align_counts
 from ..operators.annotations import dedupe_annotations, validate_annotations
-from ..operators.chunks import chunk_ranges, chunk_texts
-from ..operators.keywords import find_hits
-from ..operators.sentences import build_index
+from ..operators.chunks import chunk_arrays, chunk_rows
+from ..operators.sentences import build_index, sentence_arrays
+from ..scratch import settled
 from .annotators import Annotator, annotations_of, parse_reply
+from .prompts import numbered
 from .strategies import Strategy
+from .workflows import WORKFLOWS, Phases
 
 
 @dataclass
@@ -35,29 +38,29 @@ def missing(docs: DataFrame, runs: DataFrame, version: str) -> DataFrame:
 
 def coverage(docs: DataFrame, keywords: list[str], window_sentences: int = 20) -> DataFrame:
     """doc_id, n_sentences, n_hits, n_chunks, covered (sentences in a keyword window): what a keyword strategy would see."""
-    sentences = build_index(docs)
-    hits = find_hits(sentences, keywords)
-    ranges = chunk_ranges("keyword_window", sentences.select("doc_id", "sentence_idx"), hits.select("doc_id", "sentence_idx"), window_sentences=window_sentences)
-    n = lambda name: F.count(F.lit(1)).alias(name)
-    chunks = ranges.groupBy("doc_id").agg(n("n_chunks"), F.sum(F.col("hi") - F.col("lo") + 1).alias("covered"))
-    by_doc = sentences.groupBy("doc_id").agg(n("n_sentences")).join(hits.groupBy("doc_id").agg(n("n_hits")), "doc_id", "left")
-    return by_doc.join(chunks, "doc_id", "left").na.fill(0)
+    found = chunk_arrays(sentence_arrays(docs), "keyword_window", keywords, window_sentences=window_sentences)
+    covered = F.expr("aggregate(_r, 0L, (t, r) -> t + r.hi - r.lo + 1)")
+    long = lambda c, name: F.size(c).cast("long").alias(name)
+    return found.select("doc_id", F.col("_n").cast("long").alias("n_sentences"), long("_h", "n_hits"), long("_r", "n_chunks"), covered.alias("covered"))
 
 
 def run_strategy(docs: DataFrame, strategy: Strategy, annotator: Annotator, taxonomy: DataFrame, keywords: list[str] | None = None,
-                 prompt: str = "", human: DataFrame | None = None) -> Run:
+                 prompt: str = "", human: DataFrame | None = None, rubric: DataFrame | None = None, rules: str = "", folder: str | None = None) -> Run:
     """Index, cut, annotate, de-duplicate, validate, and align if human labels are given.
 
-    Hits are found only for chunkers that need them.
+    The single workflow asks once for each chunk, which is made within its document's row; hits are found only for chunkers that need
+    them.  A phased workflow asks phase by phase about numbered sentences (see ``plans.workflows``) and keeps replies under ``folder``.
     """
-    if strategy.workflow != "single":
-        raise ValueError("phased workflows take verdict tables: see operators.phases")
     sentences = build_index(docs)
-    hits = find_hits(sentences, keywords or []) if strategy.chunker.startswith("keyword") else None
-    chunks = chunk_texts(chunk_ranges(strategy.chunker, sentences, hits, **strategy.chunker_params), sentences)
-    raw = parse_reply(annotator.annotate(chunks, prompt))
-    unique = dedupe_annotations(annotations_of(raw))
-    valid, reasons = validate_annotations(unique, taxonomy)
+    if strategy.workflow == "single":
+        wanted = keywords or [] if strategy.chunker.startswith("keyword") else None
+        chunks = chunk_rows(sentence_arrays(docs), strategy.chunker, wanted, **strategy.chunker_params)
+        rows = annotations_of(parse_reply(annotator.annotate(chunks, prompt)))
+    else:
+        sentences = settled(sentences)
+        rows = WORKFLOWS[strategy.workflow](sentences, Phases(annotator, taxonomy, rubric, rules, folder, strategy.id))
+        chunks = numbered(sentences).withColumn("chunk_id", chunk_id(F.lit(0)))
+    valid, reasons = validate_annotations(dedupe_annotations(rows), taxonomy)
     run = Run(sentences, chunks, valid, reasons)
     if human is not None:
         run.cards = align(sentences, valid, human, taxonomy)

@@ -212,8 +212,8 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = stored(texts.select("_id", "n_bytes", "digest"), "digests")
     sizes = stored(rows.groupBy("digest").agg(F.count(F.lit(1)).alias("_rows")), "sizes")
     members = stored(write_shards(one_for_each(texts, sizes), folder, "_text"), "members")
-    # a shard's members are read in order by few tasks: hashed by shard and a span of 64 MB
-    span = F.floor(F.col("offset") / (64 << 20))
+    # a shard's members are read in order, by one task for each span of 1 MB
+    span = F.floor(F.col("offset") / (1 << 20))
     read = stored(read_shards(members.repartition("shard", span).sortWithinPartitions("shard", "offset"), folder), "media")
     found = joined_by_key(rows, stored(read.join(sizes, "digest"), "media-sizes"), "digest", "_rows")
     release(members, read, sizes)

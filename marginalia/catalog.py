@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import catalog_io
 from .functions import text as T
 from .functions.arrays import sorted_join
 from .functions.html import extract_html
@@ -552,3 +553,5 @@ QUERIES = {
     "paragraph_tokens": q_paragraph_tokens, "split_index": q_split_index, "experiment_log": q_experiment_log, "top_index": q_top_index, "ai_only": q_ai_only,
     "run_strategy": q_run_strategy, "run_sequential": _run_phases("sequential_batched"), "run_passage_aware": _run_phases("sequential_passage_aware"), "parse_replies": q_parse_replies,
 }
+
+QUERIES |= catalog_io.QUERIES

@@ -5,12 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import computed
 from ..functions.text import clean_label, excerpt, match_key, normalize_text, split_label
 
 PREFIX, LEAST, RATIO = 80, 40, 1.5
+GRAM = 20
+DIMENSION = 10_000
 UNRESOLVED = "(unresolved)"
 
 
+def small_side(df: DataFrame, bound: int = DIMENSION) -> DataFrame:
+    """A dimension for a join: broadcast if it has at most ``bound`` rows, else as it is."""
+    return F.broadcast(df) if len(df.limit(bound + 1).take(bound + 1)) <= bound else df
+
+
 def resolve_category(rows: DataFrame, taxonomy: DataFrame) -> DataFrame:
     """Adds category and subcategory to rows with ``kind`` and a raw ``subcategory``.
 
@@ -18,39 +26,58 @@ def resolve_category(rows: DataFrame, taxonomy: DataFrame) -> DataFrame:
     """
     has, head, tail = split_label(F.col("subcategory"))
     names = taxonomy.groupBy(F.col("kind").alias("_k"), F.lower("subcategory").alias("_s")).agg(F.collect_set("category").alias("_c"))
-    found = rows.join(F.broadcast(names), (F.col("kind") == F.col("_k")) & (F.lower(clean_label(F.col("subcategory"))) == F.col("_s")), "left")
+    found = rows.join(small_side(names), (F.col("kind") == F.col("_k")) & (F.lower(clean_label(F.col("subcategory"))) == F.col("_s")), "left")
     category = F.when(has, head).when(F.size("_c") == 1, F.element_at("_c", 1)).otherwise(F.lit(UNRESOLVED))
     sub = F.when(has, tail).otherwise(clean_label(F.col("subcategory")))
     return found.withColumn("category", category).withColumn("subcategory", sub).drop("_k", "_s", "_c")
 
 
+def _digest(c: Column | str) -> Column:
+    return F.unhex(F.md5(F.col(c) if isinstance(c, str) else c))
+
+
+def _grams(rows: DataFrame, text: str, *keep: str) -> DataFrame:
+    """``keep`` and ``g`` for the chosen grams of ``text``: in each run of ``LEAST - GRAM + 1`` grams the one of least hash.
+
+    Strings that share a stretch of ``LEAST`` characters or more choose a gram of it on both sides.
+    """
+    run = LEAST - GRAM + 1
+    rows = computed(
+        rows, _g=f"transform(sequence(1, char_length({text}) - {GRAM - 1}), i -> xxhash64(substring({text}, i, {GRAM})))",
+        _m=f"array_distinct(transform(sequence(1, size(_g) - {run - 1}), i -> array_min(slice(_g, i, {run}))))",
+    )
+    return rows.select(*keep, F.explode("_m").alias("g"))
+
+
 def find_anchors(queries: DataFrame, sentences: DataFrame, key_col: str = "sentence") -> DataFrame:
     """(doc_id, key) -> sentence_idx, anchor_id, stage for the distinct keys of ``queries`` that match.
 
-    The first two stages are equi-joins, on keys and on prefixes; what neither finds is compared within its document, blocked by
-    bands of length (lengths differ by at most half, so neighbours in a scale of ratio 1.5 suffice).  Of several
-    sentences the first in the document holds.
+    The first two stages are equi-joins on 16-byte digests of keys and of prefixes.  What neither finds meets the sentences of its
+    document that share a chosen gram with it: of two strings one of which holds the other, the inner one has over ``LEAST`` characters,
+    so none is missed, and only such pairs are compared.  Of several sentences the first in the document holds.
     """
     keyed = sentences.select("doc_id", "sentence_idx", match_key(F.col("text")).alias("k")).where("k != ''")
-    asked = queries.select("doc_id", match_key(F.col(key_col)).alias("key")).where("key != ''").distinct()
-    head = lambda c: F.when(F.length(c) >= PREFIX, F.substring(c, 1, PREFIX))
-    by_key = keyed.groupBy("doc_id", F.col("k").alias("key")).agg(F.min("sentence_idx").alias("i1"))
-    by_head = keyed.where(F.length("k") >= PREFIX).groupBy("doc_id", head("k").alias("head")).agg(F.min("sentence_idx").alias("i2"))
-    tried = asked.join(by_key, ["doc_id", "key"], "left").withColumn("head", F.when(F.col("i1").isNull(), head("key")))
-    tried = tried.join(by_head, ["doc_id", "head"], "left").drop("head")
-
-    index, stage = F.coalesce("i1", "i2"), F.when(F.col("i1").isNotNull(), "exact").otherwise("prefix")
-    found = tried.where(index.isNotNull()).select("doc_id", "key", index.alias("sentence_idx"), stage.alias("stage"))
-
-    left = tried.where(index.isNull() & (F.length("key") > LEAST)).select("doc_id", "key")
-    band = lambda c: F.floor(F.log(F.length(c)) / F.log(F.lit(RATIO))).cast("int")
-    left = left.withColumn("band", F.explode(F.array(band("key") - 1, band("key"), band("key") + 1)))
-    near = keyed.where(F.length("k") > LEAST).withColumn("band", band("k"))
-    a, b = F.length("key"), F.length("k")
-    inside = F.contains(F.col("k"), F.col("key")) | F.contains(F.col("key"), F.col("k"))
-    part = left.join(near, ["doc_id", "band"]).where((F.greatest(a, b) <= RATIO * F.least(a, b)) & inside)
-    part = part.groupBy("doc_id", "key").agg(F.min("sentence_idx").alias("sentence_idx")).withColumn("stage", F.lit("containment"))
-    return found.unionByName(part).withColumn("anchor_id", F.format_string("s-%05d", "sentence_idx"))
+    distinct = keyed.groupBy("doc_id", _digest("k").alias("d")).agg(F.min("sentence_idx").alias("i1"))
+    asked = queries.select("doc_id", match_key(F.col(key_col)).alias("key")).where("key != ''")
+    asked = asked.groupBy("doc_id", _digest("key").alias("d")).agg(F.first("key").alias("key"))
+    tried = asked.join(distinct, ["doc_id", "d"], "left")
+    hit = lambda rows, index, stage: rows.select("doc_id", "key", F.col(index).alias("sentence_idx"), F.lit(stage).alias("stage"))
+    found = hit(tried.where("i1 is not null"), "i1", "exact")
+
+    head = lambda c: _digest(F.substring(c, 1, PREFIX)).alias("h")
+    by_head = keyed.where(F.length("k") >= PREFIX).groupBy("doc_id", head("k")).agg(F.min("sentence_idx").alias("i2"))
+    rest = tried.where("i1 is null").select("doc_id", "d", "key")
+    long = rest.where(F.length("key") >= PREFIX).select("doc_id", "d", "key", head("key")).join(by_head, ["doc_id", "h"], "left")
+    found = found.unionByName(hit(long.where("i2 is not null"), "i2", "prefix"))
+
+    left = rest.where((F.length("key") > LEAST) & (F.length("key") < PREFIX)).unionByName(long.where("i2 is null").select("doc_id", "d", "key"))
+    near = keyed.where(F.length("k") > LEAST).groupBy("doc_id", _digest("k").alias("e")).agg(F.first("k").alias("k"), F.min("sentence_idx").alias("sentence_idx"))
+    a = _grams(left.withColumn("n", F.length("key")), "key", "doc_id", "d", "n")
+    b = _grams(near.join(left.select("doc_id").distinct(), "doc_id", "left_semi").withColumn("m", F.length("k")), "k", "doc_id", "e", "m")
+    pairs = a.join(b, ["doc_id", "g"]).where(F.greatest("n", "m") <= RATIO * F.least("n", "m")).select("doc_id", "d", "e").distinct()
+    met = pairs.join(left, ["doc_id", "d"]).join(near, ["doc_id", "e"]).where(F.contains(F.col("k"), F.col("key")) | F.contains(F.col("key"), F.col("k")))
+    part = met.groupBy("doc_id", "d").agg(F.first("key").alias("key"), F.min("sentence_idx").alias("i3"))
+    return found.unionByName(hit(part, "i3", "containment")).withColumn("anchor_id", F.format_string("s-%05d", "sentence_idx"))
 
 
 def classify_anchor(ai: Column, a: Column, b: Column) -> Column:
@@ -114,3 +141,8 @@ def align_counts(cards: DataFrame, human: DataFrame | None = None) -> DataFrame:
         one(F.col("b"), "anchors_with_b"), one(F.col("a") & F.col("b"), "anchors_with_both_coders"), one(s.startswith("ai_and"), "anchors_with_ai_and_human"),
     )
     return by_card.join(people, "doc_id", "left").join(by_anchor, "doc_id", "left").na.fill(0)
+
+
+def unresolved_cards(cards: DataFrame) -> DataFrame:
+    """Human cards whose category could not be told from kind and subcategory: what the counter ``human_unresolved`` counts, one by one."""
+    return cards.where((F.col("side") == "human") & (F.col("category") == UNRESOLVED)).select("doc_id", "coder", "coder_name", "kind", "subcategory", "sentence_excerpt")

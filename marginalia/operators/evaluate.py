@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import sorted_join
+from .align import small_side
 
 MITIGATION = "Risk Mitigation"
 NONE = "none"
@@ -87,7 +88,7 @@ def per_category(frame: DataFrame, categories: DataFrame) -> DataFrame:
     counts = indicators(frame).groupBy("category").agg(
         F.sum("t").alias("support"), F.sum("p").alias("predicted"), F.sum(F.col("t") * F.col("p")).alias("tp")
     )
-    rows = F.broadcast(categories.select("category").distinct()).join(counts, "category", "left").na.fill(0)
+    rows = categories.select("category").distinct().join(counts, "category", "left").na.fill(0)
     return rows.select(
         "category", "support", "predicted", "tp",
         _ratio(F.col("tp"), F.col("predicted")).alias("precision"), _ratio(F.col("tp"), F.col("support")).alias("recall"),
@@ -129,7 +130,7 @@ def coder_agreement(cards: DataFrame, categories: DataFrame) -> DataFrame:
     cells = human.groupBy("doc_id", "anchor_id", "category").agg(
         F.bool_or(F.col("coder") == "A").alias("a"), F.bool_or(F.col("coder") == "B").alias("b")
     )
-    known = F.broadcast(categories.select("category").distinct().withColumn("known", F.lit(True)))
+    known = small_side(categories.select("category").distinct().withColumn("known", F.lit(True)))
     cells = cells.join(known, "category", "left")
     in_tax = F.coalesce("known", F.lit(False))
     by_anchor = cells.groupBy("doc_id", "anchor_id").agg(
@@ -161,7 +162,7 @@ def strength_confusion(frame: DataFrame) -> DataFrame:
 def _dense(counts: DataFrame, labels: list[str]) -> DataFrame:
     """Counts on the whole grid of a few labels."""
     grid = counts.sparkSession.createDataFrame([(i, j, h, a) for i, h in enumerate(labels) for j, a in enumerate(labels)], "row int, col int, human string, ai string")
-    return F.broadcast(grid).join(counts, ["human", "ai"], "left").na.fill(0, ["n"]).select("row", "col", "human", "ai", "n")
+    return grid.join(counts, ["human", "ai"], "left").na.fill(0, ["n"]).select("row", "col", "human", "ai", "n")
 
 
 def category_confusion(frame: DataFrame, categories: list[str]) -> DataFrame:

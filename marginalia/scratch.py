@@ -3,19 +3,45 @@
 from __future__ import annotations
 
 import re
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 #: Used only where a local session names no checkpoint folder, as in tests.
 LOCAL_FALLBACK = "file:///tmp/checkpoints"
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` from its checkpoint: lineage is cut, how it is partitioned is known to later joins, and nothing stays in executors' memory."""
-    sc = df.sparkSession.sparkContext
+def shared_dir(spark: SparkSession) -> str:
+    """The session's checkpoint folder as a URI; one is set only where there is none, and only in a local session."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir")
         if not named and not re.match(r"local(\[|$)", sc.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(named or LOCAL_FALLBACK)
+    found = sc.getCheckpointDir()
+    return found if "://" in found or found.startswith("file:") else f"file://{found}"
+
+
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A folder below :func:`shared_dir` that nothing else uses."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def write_file(lines: DataFrame, path: str) -> str:
+    """Write the one text column of a small frame as one file of that name, in the order of its rows."""
+    spark, parts = lines.sparkSession, f"{path}-parts"
+    lines.coalesce(1).write.text(parts)
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    files = hadoop(parts).getFileSystem(spark._jsc.hadoopConfiguration())
+    part = next(f.getPath() for f in files.listStatus(hadoop(parts)) if f.getPath().getName().startswith("part-"))
+    files.mkdirs(hadoop(path).getParent())
+    files.rename(part, hadoop(path))
+    files.delete(hadoop(parts), True)
+    return path
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` from its checkpoint: lineage is cut, how it is partitioned is known to later joins, and nothing stays in executors' memory."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()

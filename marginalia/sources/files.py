@@ -129,22 +129,28 @@ def human_for_doc(rows: DataFrame, company_slug: str, year: int) -> DataFrame:
     return rows.where((F.col("company_slug") == company_slug) & (F.col("year") == year))
 
 
+def group_sizes(rows: DataFrame) -> DataFrame:
+    """How many records each company, year and coder has."""
+    return rows.groupBy("company_slug", "year", "coder").agg(F.count(F.lit(1)).alias("n"))
+
+
 def read_feedback(spark: SparkSession, paths: list[str], renames: dict[str, str] | None = None) -> DataFrame:
     """Reviewer feedback from files with different headers, by header name; rows without an anchor or decision go.
 
     ``renames``: header -> column, where a file calls a column otherwise.
     """
     out = None
-    for path in paths:
+    for number, path in enumerate(paths):  # a file with line breaks in its fields is read by one task, so places follow the file
         rows = spark.read.options(header=True, multiLine=True, quote='"', escape='"', inferSchema=False).csv(path)
+        place = F.lit(number << 40) + F.monotonically_increasing_id()
         for old, new in (renames or {}).items():
             if old in rows.columns:
                 rows = rows.withColumnRenamed(old, new)
-        rows = rows.select(*(F.nullif(F.trim(F.col(f"`{c}`")), F.lit("")).alias(c) for c in rows.columns if c in FEEDBACK))
+        rows = rows.select(*(F.nullif(F.trim(F.col(f"`{c}`")), F.lit("")).alias(c) for c in rows.columns if c in FEEDBACK), place.alias("seq"))
         out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
     for c in FEEDBACK:
         out = out.withColumn(c, F.coalesce(F.col(c) if c in out.columns else F.lit(None), F.lit("")))
-    return out.where("anchor_id != '' and decision != ''").select(*FEEDBACK).withColumn("seq", F.monotonically_increasing_id())
+    return out.where("anchor_id != '' and decision != ''").select(*FEEDBACK, "seq")
 
 
 def read_export(spark: SparkSession, path: str) -> DataFrame:

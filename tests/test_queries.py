@@ -6,8 +6,9 @@ import os
 import duckdb
 import pytest
 
-from marginalia import catalog, oracles
+from marginalia import catalog, oracles, oracles_io
 
+SQL = oracles.ORACLES | oracles_io.ORACLES
 TYPES = {"bigint": "BIGINT", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN"}
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -26,13 +27,13 @@ def canon(v):
 
 
 def test_each_query_has_sql():
-    assert set(catalog.QUERIES) == set(oracles.ORACLES)
+    assert set(catalog.QUERIES) == set(SQL)
 
 
 @pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query_equals_sql(spark, sf, duck, name):
     df = catalog.QUERIES[name](spark, sf)
-    want = duck.sql(oracles.ORACLES[name])
+    want = duck.sql(SQL[name])
     cols = sorted(df.columns)
     assert cols == sorted(want.columns)
     assert {c: TYPES[t] for c, t in df.dtypes} == dict(zip(want.columns, map(str, want.types)))

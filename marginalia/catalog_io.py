@@ -76,13 +76,10 @@ def q_two_coder_rows(spark, sf_dir):
 
 
 def q_human_for_doc(spark, sf_dir):
-    """The labels of some filings, each by company and year."""
-    rows, out = q_two_coder_file(spark, sf_dir), None
-    for company in ("france", "japan", "china", "peru", "iran", "iraq", "kenya", "egypt"):
-        for year in (2001, 2003):
-            own = files.human_for_doc(rows, company, year)
-            out = own if out is None else out.unionByName(own)
-    return _plain(out.select("company", "year", "coder", "sentence"))
+    """The labels of the filing that comes first by company and year."""
+    rows = q_two_coder_file(spark, sf_dir)
+    first = rows.agg(F.min(F.struct("company_slug", "year")).alias("f")).first().f
+    return _plain(files.human_for_doc(rows, first.company_slug, first.year).select("company", "year", "coder", "sentence"))
 
 
 def q_group_sizes(spark, sf_dir):

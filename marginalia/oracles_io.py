@@ -20,7 +20,7 @@ ORACLES = {
     "assumptions_file": "SELECT r_name AS assumption FROM region",
     "keywords_file": "SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS place, lower(n_name) AS term FROM nation WHERE n_nationkey % 4 != 0",
     "two_coder_rows": f"WITH {_TWO} SELECT * FROM two",
-    "human_for_doc": f"WITH {_TWO} SELECT company, year, coder, sentence FROM two WHERE company_slug IN ('france', 'japan', 'china', 'peru', 'iran', 'iraq', 'kenya', 'egypt') AND year IN (2001, 2003)",
+    "human_for_doc": f"WITH {_TWO} SELECT company, year, coder, sentence FROM two QUALIFY dense_rank() OVER (ORDER BY company_slug, year) = 1",
     "group_sizes": f"WITH {_TWO} SELECT company_slug, year, coder, count(*) AS n FROM two GROUP BY ALL",
     "feedback_files": """SELECT *, row_number() OVER (ORDER BY (regexp_extract(anchor_id, '[0-9]+'))::INT) - 1 AS place FROM (
         SELECT n_name AS reviewer, 's-' || n_nationkey AS anchor_id, 'Human Miss' AS decision, '' AS explanation FROM nation WHERE n_nationkey < 12 AND n_nationkey % 3 != 0

@@ -44,10 +44,6 @@ def spread(rows: DataFrame) -> DataFrame:
     return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
-def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
-
-
 def read_html(spark: SparkSession, path: str, aliases: dict[str, str] | None = None) -> DataFrame:
     """doc_id, company, year, html of ``<company>_<year>.htm`` files; other names are left out."""
     files = spark.read.text(path, wholetext=True).select(F.col("value").alias("html"), F.input_file_name().alias("path"))

@@ -116,3 +116,40 @@ def test_arriving_documents(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/out").count() == 3
     done = corpus(spark).where("doc_id = 1").withColumn("content_hash", incremental.content_hash())
     assert [r.doc_id for r in incremental.new_content(corpus(spark), done).collect()] == [2]
+
+
+def test_stream_without_repeats(spark, tmp_path):
+    rows = [(i, f"text {i % 4}", f"2024-01-01 00:{i:02d}:00") for i in range(12)]
+    spark.createDataFrame(rows, "doc_id long, text string, ts string").withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("doc_id long, text string, ts timestamp").parquet(f"{tmp_path}/in")
+    once = incremental.dedupe_stream(stream, "ts")
+    once.writeStream.option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).format("parquet").start(f"{tmp_path}/out").awaitTermination()
+    assert sorted(r.text for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [f"text {i}" for i in range(4)]
+
+
+def test_phases_are_asked_about_what_was_kept(spark, tmp_path):
+    """Replies are kept by phase: each phase has one reply a document, its text only what the phase before kept."""
+    from marginalia.plans.workflows import Phases, sequential
+
+    tax = spark.createDataFrame(TAX, files.TAXONOMY)
+    texts = {}
+
+    class Seen(annotators.PhaseRules):
+        def annotate(self, chunks, prompt=""):
+            for r in chunks.collect():
+                texts[r.chunk_id, r.doc_id] = r.text
+            return super().annotate(chunks, prompt)
+
+    rules = Seen([("legal", "Risk", "Legal", "IP", None), ("board", "Risk Mitigation", "Governance", "Board", 2)], about="risk|board|fine", passage="risk", idle="none")
+    docs = corpus(spark)
+    run = lifecycle.run_strategy(docs, strategies.get_strategy("sequential_batched"), rules, tax, folder=str(tmp_path))
+    assert sorted((r.doc_id, r.kind, r.strength) for r in run.annotations.collect()) == [(1, "Risk", None), (1, "Risk Mitigation", 2), (2, "Risk", None)]
+    assert texts["p2_kind", 1] == "[s-00000] We face legal risk.\n[s-00001] We run a board."
+    assert texts["p3b_mit_cats", 1] == "[s-00001] We run a board." and ("p3b_mit_cats", 2) not in texts
+    before = len(texts)
+    texts.clear()
+    again = sequential(run.sentences, Phases(rules, tax, folder=str(tmp_path), version="sequential_batched"))
+    assert again.count() == 4 and not texts and before
+    assert "Governance" in prompts.phase_prompt("p3b_mit_cats", tax) and "Legal" not in prompts.phase_prompt("p3b_mit_cats", tax)
+    answer = prompts.answer_schema(tax)["properties"]["annotations"]["items"]["properties"]
+    assert answer["category"]["enum"] == ["Governance", "Legal"] and answer["strength"]["enum"] == [1, 2, 3, None]

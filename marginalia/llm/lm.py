@@ -107,12 +107,12 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return np.reciprocal(x, out=x)
 
 
-def _add_rows(table: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
-    """table[rows] += values, where rows repeat."""
+def _summed_rows(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows, and the sums of the values that each has."""
     order = np.argsort(rows, kind="stable")
-    ranked = rows[order]
+    ranked = rows.take(order)
     first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
-    table[ranked[first]] += np.add.reduceat(values[order], first, axis=0)
+    return ranked.take(first), np.add.reduceat(values.take(order, axis=0), first, axis=0)
 
 
 class Network:
@@ -138,16 +138,18 @@ class Network:
         self.w["o"][:] = np.log(n[:HEAD].reshape(-1, WIDTH) / n[:HEAD].reshape(-1, WIDTH).sum(1, keepdims=True))
 
     def run(self, inputs: np.ndarray, fresh: np.ndarray, state: np.ndarray, keep: bool = False):
-        """States before each of T x B symbols.  inputs: the symbols read before; fresh: where a document starts."""
+        """States before each of T x B symbols, with a one at the end of each.  inputs: the symbols read before; fresh: where a document starts."""
         w, h, steps = self.w, SIZE, len(inputs)
         X, R, N = w["X"], w["R"], w["N"]
-        seen = np.empty((steps, state.shape[0], h), state.dtype)
-        saved = []
+        seen = np.ones((steps, state.shape[0], h + 1), state.dtype)
+        saved = np.empty((5, steps, state.shape[0], h), state.dtype) if keep else None
+        begins = fresh.any(1)
         for t in range(steps):
             gates = X.take(inputs[t], axis=0)
-            gates[fresh[t]] = 0
-            state = state.copy()
-            state[fresh[t]] = 0
+            if begins[t]:
+                gates[fresh[t]] = 0
+                state = state.copy()
+                state[fresh[t]] = 0
             zr = state @ R
             zr += gates[:, : 2 * h]
             zr = _sigmoid(zr)
@@ -157,88 +159,105 @@ class Network:
             n += gates[:, 2 * h :]
             np.tanh(n, out=n)
             if keep:
-                saved.append((state, z, r, rs, n))
+                for k, x in enumerate((state, z, r, rs, n)):
+                    saved[k, t] = x
             state = state - n
             state *= z
             state += n
-            seen[t] = state
+            seen[t, :, :h] = state
         return seen, state, saved
 
     def log_probs(self, states: np.ndarray, targets: np.ndarray, keep: bool = False):
-        """Natural log P of each target's class and, for head words, of the word in it."""
-        w, heads = self.w, HEAD // WIDTH
+        """Natural log P of each target's class and, for head words, of the word in it; ``states`` end with a one, which meets the biases."""
+        heads = HEAD // WIDTH
+        C, O = self.with_biases()
         targets = targets.astype(np.int64)
         classes = np.where(targets < HEAD, targets // WIDTH, targets - HEAD + heads)
         # a state lies in -1..1, so logits are small and need no shift before exp
-        logits = np.matmul(states, w["C"])
-        logits += w["c"]
+        logits = np.matmul(states, C)
         own = logits.ravel().take(np.arange(len(targets)) * CLASSES + classes)
         np.exp(logits, out=logits)
         total = logits @ np.ones(CLASSES, np.float32)
         out = own - np.log(total)
         order = np.argsort(classes.astype(np.int16), kind="stable")
         bounds = np.searchsorted(classes.take(order), np.arange(heads + 1))
-        mine, places, logs = states.take(order[: bounds[-1]], axis=0), targets.take(order[: bounds[-1]]) % WIDTH, np.empty(bounds[-1], out.dtype)
-        parts = []
+        n = bounds[-1]
+        mine, places, inners, sums = states.take(order[:n], axis=0), targets.take(order[:n]) % WIDTH, np.empty((n, WIDTH), states.dtype), np.empty(n, states.dtype)
         for k in range(heads):
             a, b = bounds[k], bounds[k + 1]
             if b > a:
-                inner = np.matmul(mine[a:b], w["O"][k])
-                inner += w["o"][k]
-                own = inner.ravel().take(np.arange(b - a) * WIDTH + places[a:b])
-                np.exp(inner, out=inner)
-                sums = inner @ np.ones(WIDTH, np.float32)
-                logs[a:b] = own - np.log(sums)
-                if keep:
-                    inner /= sums[:, None]
-                    parts.append((k, a, b, inner))
-        out[order[: bounds[-1]]] += logs
+                np.matmul(mine[a:b], O[k], out=inners[a:b])
+        own = inners.ravel().take(np.arange(n) * WIDTH + places)
+        np.exp(inners, out=inners)
+        np.matmul(inners, np.ones(WIDTH, states.dtype), out=sums)
+        out[order[:n]] += own - np.log(sums)
         if not keep:
             return out
         logits /= total[:, None]
-        return out, classes, logits, (order, mine, places, parts)
+        inners /= sums[:, None]
+        return out, classes, logits, (order[:n], bounds, mine, places, inners)
+
+    def with_biases(self) -> tuple[np.ndarray, np.ndarray]:
+        """Class and word weights with their biases as a last row."""
+        w = self.w
+        return np.concatenate([w["C"], w["c"][None]]), np.concatenate([w["O"], w["o"][:, None, :]], 1)
 
     def gradients(self, inputs, targets, fresh, live, state):
         """Gradients of the window's mean loss over live places; the new state; the loss."""
         w, h, (steps, b) = self.w, SIZE, inputs.shape
         seen, last, saved = self.run(inputs, fresh, state, keep=True)
-        flat, goal, on = seen.reshape(-1, h), targets.ravel(), live.ravel()
-        logp, classes, probs, (order, mine, places, parts) = self.log_probs(flat, goal, keep=True)
-        weight = (on / max(1, on.sum())).astype(flat.dtype)
-        g = {k: np.zeros_like(v) for k, v in w.items()}
+        flat, goal, all_live = seen.reshape(-1, h + 1), targets.ravel(), bool(live.all())
+        on = None if all_live else np.flatnonzero(live.ravel())
+        if on is not None:
+            flat, goal = flat.take(on, axis=0), goal.take(on)
+        logp, classes, probs, (order, bounds, mine, places, inners) = self.log_probs(flat, goal, keep=True)
+        C, O = self.with_biases()
+        share, g = 1 / max(1, len(goal)), {k: np.zeros_like(v) for k, v in w.items() if k in "ORNo"}
         probs.ravel()[np.arange(len(goal)) * CLASSES + classes] -= 1
-        probs *= weight[:, None]
-        g["C"], g["c"] = flat.T @ probs, np.ones(len(goal), flat.dtype) @ probs
+        by_class = flat.T @ probs
+        by_class *= share
+        g["C"], g["c"] = by_class[:h], by_class[h]
         dflat = probs @ w["C"].T
-        ranked, dmine = weight.take(order[: len(mine)]), np.empty_like(mine)
-        for k, at, to, inner in parts:
-            inner.ravel()[np.arange(to - at) * WIDTH + places[at:to]] -= 1
-            inner *= ranked[at:to, None]
-            g["O"][k], g["o"][k] = mine[at:to].T @ inner, np.ones(to - at, flat.dtype) @ inner
-            dmine[at:to] = inner @ w["O"][k].T
-        dflat[order[: len(mine)]] += dmine
+        inners.ravel()[np.arange(len(mine)) * WIDTH + places] -= 1
+        dmine = np.empty((len(mine), h), flat.dtype)
+        for k in range(HEAD // WIDTH):
+            at, to = bounds[k], bounds[k + 1]
+            if to > at:
+                by_word = mine[at:to].T @ inners[at:to]
+                by_word *= share
+                g["O"][k], g["o"][k] = by_word[:h], by_word[h]
+                np.matmul(inners[at:to], w["O"][k].T, out=dmine[at:to])
+        dflat[order] += dmine
+        dflat *= share
+        if on is not None:
+            part, dflat = dflat, np.zeros((steps * b, h), flat.dtype)
+            dflat[on] = part
         dseen, dstate = dflat.reshape(steps, b, h), np.zeros((b, h), flat.dtype)
         dgates = np.empty((steps, b, 3 * h), flat.dtype)
-        Rt, Nt = np.ascontiguousarray(w["R"].T), np.ascontiguousarray(w["N"].T)
+        Rt, Nt, begins = np.ascontiguousarray(w["R"].T), np.ascontiguousarray(w["N"].T), fresh.any(1)
         for t in range(steps - 1, -1, -1):
-            before, z, r, rs, n = saved[t]
+            before, z, r, rs, n = saved[:, t]
             dzr, dn = dgates[t, :, : 2 * h], dgates[t, :, 2 * h :]
             ds = dstate + dseen[t]
             keep = ds * z
-            np.multiply(ds - keep, 1 - n * n, out=dn)
+            ds -= keep
+            np.multiply(ds, 1 - n * n, out=dn)
             drs = dn @ Nt
             np.multiply((before - n) * keep, 1 - z, out=dzr[:, :h])
             drs *= r
             np.multiply(drs * before, 1 - r, out=dzr[:, h:])
-            g["N"] += rs.T @ dn
-            g["R"] += before.T @ dzr
             dstate = dzr @ Rt
             dstate += keep
             dstate += drs
-            dstate[fresh[t]] = 0
-            dgates[t][fresh[t]] = 0
-        _add_rows(g["X"], inputs.ravel(), dgates.reshape(-1, 3 * h))
-        return g, last, -float((logp * weight).sum())
+            if begins[t]:
+                dstate[fresh[t]] = 0
+                dgates[t][fresh[t]] = 0  # no symbol was read there, and the state before it is none
+        # where a document begins the state and its share of the gates are zero, so those rows add nothing below
+        flat_gates = dgates.reshape(-1, 3 * h)
+        g["N"] = saved[3].reshape(-1, h).T @ flat_gates[:, 2 * h :]
+        g["R"] = saved[0].reshape(-1, h).T @ flat_gates[:, : 2 * h]
+        g["X"] = _summed_rows(inputs.ravel(), flat_gates)
+        return g, last, -float(logp.sum() * share)
 
     def train(self, documents: list[np.ndarray], rate: float, slots: int, passes: int = 1) -> int:
         """Truncated backpropagation over whole sequences laid into slots; returns the tokens seen."""
@@ -255,7 +274,7 @@ class Network:
         out = np.zeros(len(documents))
         for inputs, targets, fresh, live, number, state in windows(documents, SLOTS, SCORE_STEPS):
             seen, state[:], _ = self.run(inputs, fresh, state)
-            flat, goal, own = seen.reshape(-1, SIZE), targets.ravel(), number.ravel()
+            flat, goal, own = seen.reshape(-1, SIZE + 1), targets.ravel(), number.ravel()
             if not live.all():
                 on = live.ravel()
                 flat, goal, own = flat[on], goal[on], own[on]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as T
 from .operators import agreement, align, keywords, render, report
+from .operators.sentences import sentence_arrays
 from .plans import annotators, lifecycle, prompts, strategies
 from .scratch import fresh_folder, write_file
 from .sources import files, sinks
@@ -279,6 +280,28 @@ def q_comments(spark, sf_dir):
     return each.select("o_orderkey", "c.name", "c.time", "c.text")
 
 
+def q_filing_people(spark, sf_dir):
+    """Statuses of two or three annotators for each day, and its comments."""
+    e = _table(spark, sf_dir, "events").select(F.date_format("ts", "yyyy-MM-dd").alias("doc_id"), (F.col("user_id") % 3).alias("u"), "event_id")
+    people = e.groupBy("doc_id", F.concat(F.lit("n"), "u").alias("annotator")).agg(F.count(F.lit(1)).alias("k"))
+    statuses = people.select("doc_id", "annotator", F.when(F.col("k") % 2 == 0, "done").otherwise("in_progress").alias("status"), F.when(F.col("k") % 2 == 0, F.col("doc_id")).alias("done_at"))
+    return agreement.filing_people(statuses, e.where("event_id % 40 = 0"))
+
+
+#: Texts that are hard to cut, beside those of the tests; how many sentences each has stands in oracles_io.py.
+SPLITTER_CASES = [
+    ("colon header", "Any of these could:\n• cost us time."), ("lower-case continuation", "controls and strategies\nsupport our decisions"),
+    ("prose", "We spent $7.4 billion, up 12.3%. Rules of the U.S. and the E.U. (e.g., the new act) cost us. See section 7.4.4 there. Few Ph.D. staff apply."),
+    ("colon inside", "Note: the colon is inside. Here is another."), ("initials", "Mr. J. K. Smith left. He was cited."), ("quotes", "“Stop.” She left! Why? “No…” he said."),
+    ("empty", ""), ("blank", " \n\t "), ("no end", "no end here"), ("many breaks", "A\n\n\nB\n \nC."),
+]
+
+
+def q_splitter_cases(spark, sf_dir):
+    docs = spark.createDataFrame(SPLITTER_CASES, "name string, text string")
+    return sentence_arrays(docs, id_col="name").select(F.col("doc_id").alias("name"), F.size("sentences").cast("long").alias("n"))
+
+
 def q_unresolved_cards(spark, sf_dir):
     rows = _catalog().lineitem_annotations(spark, sf_dir).where("kind != 'Other'").withColumn("subcategory", F.when(F.col("seq") == 2, "Other").otherwise(F.col("subcategory")))
     cards = align.resolve_category(rows.drop("category"), _catalog().small_taxonomy(spark)).withColumns({

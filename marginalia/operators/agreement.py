@@ -139,6 +139,21 @@ def filing_summary(labels: DataFrame) -> DataFrame:
     )
 
 
+def filing_people(statuses: DataFrame, comments: DataFrame) -> DataFrame:
+    """The lists that a filing's summary holds: annotators, ``Name=status`` and ``Name=time`` (of those that are done), in order of name, how
+    many there are, and how many comments there were.
+
+    statuses: doc_id, annotator, status, done_at.  comments: doc_id and one row for each comment.
+    """
+    by_name = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(c.isNotNull(), F.struct("annotator", c.alias("v"))))), lambda x: x["v"]), "; ")
+    named = lambda c: F.concat("annotator", F.lit("="), F.col(c).cast("string"))
+    people = statuses.groupBy("doc_id").agg(
+        by_name(F.col("annotator")).alias("annotators"), by_name(named("status")).alias("annotator_statuses"), by_name(named("done_at")).alias("annotator_done_at"),
+        F.count(F.lit(1)).alias("n_annotators"),
+    )
+    return people.join(comments.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_comments")), "doc_id", "left").na.fill(0, ["n_comments"])
+
+
 def parse_comments(comments: F.Column) -> F.Column:
     """``Name (time): text | ...`` as an array of (name, time, text)."""
     rx = r"(?s)^(.*?) \(([^)]*)\): (.*)$"

@@ -64,6 +64,14 @@ ORACLES = {
     "exact_duplicates": "SELECT event_id AS annotation_id, event_type, user_id % 7 AS u, row_number() OVER (PARTITION BY event_type, user_id % 7 ORDER BY event_id) AS copy FROM events",
     "comments": """SELECT o_orderkey, 'Ann' AS name, '10:00' AS time, 'see (x): ' || o_orderpriority AS text FROM orders WHERE o_orderkey % 2 = 0
         UNION ALL SELECT o_orderkey, 'Ben', '2024-01-02', o_orderstatus FROM orders WHERE o_orderkey % 2 = 0""",
+    "filing_people": """WITH e AS (SELECT strftime(ts, '%Y-%m-%d') AS doc_id, 'n' || (user_id % 3) AS annotator, event_id FROM events),
+        p AS (SELECT doc_id, annotator, count(*) % 2 = 0 AS done FROM e GROUP BY ALL),
+        c AS (SELECT doc_id, count(*) AS n FROM e WHERE event_id % 40 = 0 GROUP BY ALL)
+        SELECT p.doc_id, string_agg(annotator, '; ' ORDER BY annotator) AS annotators, string_agg(annotator || '=' || CASE WHEN done THEN 'done' ELSE 'in_progress' END, '; ' ORDER BY annotator) AS annotator_statuses,
+               coalesce(string_agg(annotator || '=' || p.doc_id, '; ' ORDER BY annotator) FILTER (done), '') AS annotator_done_at, count(*) AS n_annotators, coalesce(any_value(c.n), 0)::BIGINT AS n_comments
+        FROM p LEFT JOIN c ON p.doc_id = c.doc_id GROUP BY p.doc_id""",
+    "splitter_cases": """SELECT * FROM (VALUES ('colon header', 1::BIGINT), ('lower-case continuation', 1), ('prose', 4), ('colon inside', 2), ('initials', 2), ('quotes', 4), ('empty', 0), ('blank', 0),
+        ('no end', 1), ('many breaks', 3)) t(name, n)""",
     "unresolved_cards": f"""WITH {ANNOTATIONS}, r AS (SELECT kind, CASE seq WHEN 2 THEN 'Other' ELSE subcategory END AS subcategory, doc_id || '/' || seq AS x FROM ann WHERE kind != 'Other'),
         names AS (SELECT kind, lower(subcategory) AS sub, count(DISTINCT category) AS n FROM tax GROUP BY ALL)
         SELECT r.kind, subcategory, count(*) AS n, min(x) AS first FROM r LEFT JOIN names ON r.kind = names.kind AND lower(subcategory) = sub WHERE coalesce(names.n, 0) != 1 GROUP BY 1, 2""",

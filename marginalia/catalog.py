@@ -312,6 +312,20 @@ def _label_frame(mode):
     return query
 
 
+def _label_frame_unmatched(mode):
+    def query(spark, sf_dir):
+        """The rest of the frame: a row for each card that matches no anchor, numbered by side in the order of excerpts."""
+        f = frame(spark, sf_dir, mode).where("anchor_id like 'unmatched%'")
+        sets = [F.expr(sorted_join(c)).alias(c) for c in f.columns if c.split("_")[-1] in ("categories", "kinds", "subcats")]
+        return plain(f.select("doc_id", "anchor_id", "sentence_text", *sets, "ai_strength_max", "human_strength_max"))
+
+    return query
+
+
+def q_comparison_unmatched(spark, sf_dir):
+    return plain(evaluate.comparison_table(frame(spark, sf_dir).where("anchor_id like 'unmatched%'")).drop("sentence"))
+
+
 def q_frame_rows(spark, sf_dir):
     """Rows of the frame by mode, matched or not: what a filter removes and what it leaves empty."""
     out = None
@@ -543,6 +557,7 @@ QUERIES = {
     "context_window": q_context_window, "passage_members": q_passage_members, "dedupe_first": q_dedupe_first, "validate_reasons": q_validate_reasons,
     "validate_kept": q_validate_kept, "resolve_category": q_resolve_category, "align_cascade": q_align_cascade, "align_cards": q_align_cards,
     "anchor_sources": q_anchor_sources, "align_counts": q_align_counts, "label_frame": _label_frame("union"), "label_frame_both": _label_frame("intersection"),
+    "label_frame_unmatched": _label_frame_unmatched("union"), "label_frame_both_unmatched": _label_frame_unmatched("intersection"), "comparison_unmatched": q_comparison_unmatched,
     "frame_rows": q_frame_rows, "prf_per_category": q_prf_per_category, "prf_averages": q_prf_averages, "prf_displayed": q_prf_displayed, "kappa": q_kappa,
     "confusion_category": q_confusion_category, "confusion_strength": q_confusion_strength, "confusion_headlines": q_confusion_headlines,
     "strength_headline": q_strength_headline, "strength_levels": q_strength_levels, "fp_counts": q_fp_counts, "comparison": q_comparison, "labels_prf": q_labels_prf,

@@ -446,3 +446,19 @@ def _phased(kept: str, *ctes: str) -> str:
 
 
 ORACLES |= {"run_sequential": _phased("about"), "run_passage_aware": _phased("(begins OR follows OR about) AND NOT idle")}
+
+_LOOSE = """
+    loose AS (SELECT *, 'unmatched_' || side || '_' || (row_number() OVER (PARTITION BY doc_id, side ORDER BY key) - 1) AS anchor_id
+              FROM (SELECT *, CASE WHEN len(hc) > 0 THEN 'human' ELSE 'ai' END AS side FROM frame WHERE NOT matched))"""
+
+
+def _unmatched(mode: str) -> str:
+    return _on_frame(f"""SELECT doc_id, anchor_id, key AS sentence_text, {_J('hc')} AS human_categories, {_J('hk')} AS human_kinds, {_J('hs')} AS human_subcats,
+        {_J('ac')} AS ai_categories, {_J('ak')} AS ai_kinds, {_J('"as"')} AS ai_subcats, am::BIGINT AS ai_strength_max, hm::BIGINT AS human_strength_max FROM loose""", mode, _LOOSE)
+
+
+ORACLES |= {
+    "label_frame_unmatched": _unmatched("union"), "label_frame_both_unmatched": _unmatched("intersection"),
+    "comparison_unmatched": _on_frame(f"""SELECT doc_id, anchor_id, {_J('ac')} AS ai_categories, {_J('hc')} AS human_categories, {_J('"as"')} AS ai_subcategories, {_J('hs')} AS human_subcategories,
+        am::BIGINT AS ai_strength, hm::BIGINT AS human_strength, CASE WHEN len(hc) = 0 THEN 'ai_only' ELSE 'human_only' END AS agreement FROM loose""", "union", _LOOSE),
+}

@@ -4,7 +4,6 @@ whose hot keys or small sides are kept out of shuffles."""
 from __future__ import annotations
 
 import atexit
-import re
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -12,24 +11,11 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where a local session names no checkpoint folder, as in tests.
-LOCAL_FALLBACK = "file:///tmp/checkpoints"
+from ..scratch import shared_dir
 
 _scopes: list[list[str]] = []
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder as a URI; one is set only where there is none, and only in a local session."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = sc.getConf().get("spark.checkpoint.dir")
-        if not named and not re.match(r"local(\[|$)", sc.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(named or LOCAL_FALLBACK)
-    found = sc.getCheckpointDir()
-    return found if "://" in found or found.startswith("file:") else f"file://{found}"
-
-
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import computed
 from ..functions.text import clean_label, excerpt, match_key, normalize_text, split_label
+from ..scratch import settled
 
 PREFIX, LEAST, RATIO = 80, 40, 1.5
 GRAM = 20
@@ -49,34 +50,53 @@ def _grams(rows: DataFrame, text: str, *keep: str) -> DataFrame:
     return rows.select(*keep, F.explode("_m").alias("g"))
 
 
+def _candidates(left: DataFrame, near: DataFrame) -> DataFrame:
+    """(doc_id, d, i) of a left key and a sentence, in either of which the other may lie; none that does is missing.
+
+    A string of three pieces or more is all over the other with its inner pieces, which are whole words there: it is looked up by the
+    longest of them among the other's words.  One of one or two pieces and over ``LEAST`` characters lies in a string that has a piece
+    of over ``GRAM`` characters; those few meet by chosen grams.
+    """
+    words, apart = "split({}, ' ')", "size({}) > 2"
+    long = f"exists(_w, w -> char_length(w) > {GRAM})"
+    cut = lambda rows, text: computed(rows, _w=words.format(text))
+    a, b = cut(left.withColumn("n", F.length("key")), "key"), cut(near.withColumn("m", F.length("k")), "k")
+    inner = F.expr("array_max(transform(slice(_w, 2, size(_w) - 2), w -> named_struct('l', char_length(w), 'w', w))).w").alias("w")
+    every = F.explode(F.array_distinct("_w")).alias("w")
+    fits = F.greatest("n", "m") <= RATIO * F.least("n", "m")
+    within = a.where(apart.format("_w")).select("doc_id", "d", "n", inner).join(b.select("doc_id", "i", "m", every), ["doc_id", "w"]).where(fits & (F.col("n") <= F.col("m")))
+    around = b.where(apart.format("_w")).select("doc_id", "i", "m", inner).join(a.select("doc_id", "d", "n", every), ["doc_id", "w"]).where(fits & (F.col("m") < F.col("n")))
+    few = _grams(a.where(long), "key", "doc_id", "d", "n").join(_grams(b.where(long), "k", "doc_id", "i", "m"), ["doc_id", "g"]).where(fits)
+    pairs = [x.select("doc_id", "d", "i") for x in (within, around, few)]
+    return pairs[0].unionByName(pairs[1]).unionByName(pairs[2]).distinct()
+
+
 def find_anchors(queries: DataFrame, sentences: DataFrame, key_col: str = "sentence") -> DataFrame:
     """(doc_id, key) -> sentence_idx, anchor_id, stage for the distinct keys of ``queries`` that match.
 
     The first two stages are equi-joins on 16-byte digests of keys and of prefixes.  What neither finds meets the sentences of its
-    document that share a chosen gram with it: of two strings one of which holds the other, the inner one has over ``LEAST`` characters,
-    so none is missed, and only such pairs are compared.  Of several sentences the first in the document holds.
+    document that share a telling word with it (:func:`_candidates`), and only such pairs are compared.  Of several sentences the
+    first in the document holds.
     """
-    keyed = sentences.select("doc_id", "sentence_idx", match_key(F.col("text")).alias("k")).where("k != ''")
+    keyed = settled(sentences.select("doc_id", "sentence_idx", match_key(F.col("text")).alias("k")).where("k != ''"))  # keys are made once, for three uses
     distinct = keyed.groupBy("doc_id", _digest("k").alias("d")).agg(F.min("sentence_idx").alias("i1"))
     asked = queries.select("doc_id", match_key(F.col(key_col)).alias("key")).where("key != ''")
     asked = asked.groupBy("doc_id", _digest("key").alias("d")).agg(F.first("key").alias("key"))
-    tried = asked.join(distinct, ["doc_id", "d"], "left")
+    tried = settled(asked.join(distinct, ["doc_id", "d"], "left"))
     hit = lambda rows, index, stage: rows.select("doc_id", "key", F.col(index).alias("sentence_idx"), F.lit(stage).alias("stage"))
     found = hit(tried.where("i1 is not null"), "i1", "exact")
 
     head = lambda c: _digest(F.substring(c, 1, PREFIX)).alias("h")
     by_head = keyed.where(F.length("k") >= PREFIX).groupBy("doc_id", head("k")).agg(F.min("sentence_idx").alias("i2"))
-    rest = tried.where("i1 is null").select("doc_id", "d", "key")
+    rest = tried.where("i1 is null and length(key) > 0").select("doc_id", "d", "key")
     long = rest.where(F.length("key") >= PREFIX).select("doc_id", "d", "key", head("key")).join(by_head, ["doc_id", "h"], "left")
     found = found.unionByName(hit(long.where("i2 is not null"), "i2", "prefix"))
 
     left = rest.where((F.length("key") > LEAST) & (F.length("key") < PREFIX)).unionByName(long.where("i2 is null").select("doc_id", "d", "key"))
-    near = keyed.where(F.length("k") > LEAST).groupBy("doc_id", _digest("k").alias("e")).agg(F.first("k").alias("k"), F.min("sentence_idx").alias("sentence_idx"))
-    a = _grams(left.withColumn("n", F.length("key")), "key", "doc_id", "d", "n")
-    b = _grams(near.join(left.select("doc_id").distinct(), "doc_id", "left_semi").withColumn("m", F.length("k")), "k", "doc_id", "e", "m")
-    pairs = a.join(b, ["doc_id", "g"]).where(F.greatest("n", "m") <= RATIO * F.least("n", "m")).select("doc_id", "d", "e").distinct()
-    met = pairs.join(left, ["doc_id", "d"]).join(near, ["doc_id", "e"]).where(F.contains(F.col("k"), F.col("key")) | F.contains(F.col("key"), F.col("k")))
-    part = met.groupBy("doc_id", "d").agg(F.first("key").alias("key"), F.min("sentence_idx").alias("i3"))
+    left = settled(left)  # what is left is read by three joins
+    near = keyed.where(F.length("k") > LEAST).join(left.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.col("sentence_idx").alias("i"), "k")
+    met = _candidates(left, near).join(left, ["doc_id", "d"]).join(near, ["doc_id", "i"]).where(F.contains(F.col("k"), F.col("key")) | F.contains(F.col("key"), F.col("k")))
+    part = met.groupBy("doc_id", "d").agg(F.first("key").alias("key"), F.min("i").alias("i3"))
     return found.unionByName(hit(part, "i3", "containment")).withColumn("anchor_id", F.format_string("s-%05d", "sentence_idx"))
 
 

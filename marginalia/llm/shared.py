@@ -88,8 +88,8 @@ HEAVY_ROWS = 64
 SMALL_SIDE = 1 << 18
 
 
-def joined_by_key(rows: DataFrame, table: DataFrame, key: str, size: str) -> DataFrame:
-    """``rows`` joined to ``table``, which has one row for each key and in ``size`` how many rows have it.
+def joined_by_key(rows: DataFrame, table: DataFrame, key: str, size: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined to ``table``, which has one row for each key and in ``size`` how many rows have it; ``how`` is inner or left.
 
     Keys with at least ``HEAVY_ROWS`` rows and a ``HEAVY_KEYS``-th of all rows, so at most ``HEAVY_KEYS`` keys, are broadcast and
     joined on the map side; no key of the shuffle is larger.
@@ -98,7 +98,7 @@ def joined_by_key(rows: DataFrame, table: DataFrame, key: str, size: str) -> Dat
     least = max(HEAVY_ROWS, -(-total // HEAVY_KEYS))
     heavy = table.where(F.col(size) >= least).drop(size)
     hot = rows.join(F.broadcast(heavy), key)
-    rest = rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(table.where(F.col(size) < least).drop(size), key)
+    rest = rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(table.where(F.col(size) < least).drop(size), key, how)
     return hot.unionByName(rest)
 
 

@@ -27,3 +27,12 @@ def empty(spark):
 @pytest.fixture(scope="session")
 def labels(spark):
     return spark.createDataFrame([(i, int(i != 13), int(i == 13)) for i in range(1, 16)], "doc_id long, quality int, toxic int")
+
+
+@pytest.fixture
+def apart(spark):
+    """Small partitions stay apart, so that it shows what a range or hash deals out."""
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(name, "false")
+    yield
+    spark.conf.unset(name)

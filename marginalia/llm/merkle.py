@@ -93,15 +93,16 @@ def tops(levels: list[DataFrame]) -> DataFrame:
     return out
 
 
-def push(levels: list[DataFrame], starts: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+def push(levels: list[DataFrame], starts: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
     """The lowest level's rows with ``_sub``, ``_proof`` and ``_steps``, and the stored level above that they read.
 
-    ``starts`` has the three columns for each group's last node, by ``_g``.
+    ``starts`` has the three columns for each group's last node, by ``_g``; without it nothing stands above.
     """
-    above = None
+    above, nothing = None, {"_sub": F.lit(None).cast("binary"), "_proof": F.lit(b""), "_steps": F.array().cast("array<tinyint>")}
     for depth in range(len(levels) - 1, -1, -1):
         level = levels[depth]
-        found = level.where("_n = 1").join(starts, "_g")
+        ends = level.where("_n = 1")
+        found = ends.withColumns(nothing) if starts is None else ends.join(starts, "_g")
         if above is not None:
             up, place = F.expr(f"_pos div {RUN}"), F.expr(f"cast(_pos % {RUN} as int)")
             parents = above.select("_g", F.col("_pos").alias("_up"), F.col("_kids").alias("_run"), *PROOF)
@@ -152,8 +153,7 @@ def prove(docs: DataFrame, claimed: Column | None = None, id_col: str = "doc_id"
         above = build(heads)
         top = tops(above).first()
         root = F.unhex(F.lit(top._hash.hex() if top else ""))
-        alone = spark.range(1).select(F.lit("").alias("_g"), F.lit(None).cast("binary").alias("_sub"), F.lit(b"").alias("_proof"), F.array().cast("array<tinyint>").alias("_steps"))
-        starts, _ = push(above, F.broadcast(alone))
+        starts, _ = push(above)
         starts = stored(starts.select(F.col("_part").alias("_g"), F.col("_hash").alias("_sub"), "_proof", "_steps"), "starts")
         found, parents = push(levels, starts)
         keep += [leaves, starts, *([] if parents is None else [parents])]

@@ -4,8 +4,12 @@ import os
 import subprocess
 import sys
 import textwrap
+from hashlib import sha256
 from pathlib import Path
 
+import pyspark
+import pytest
+
 import corpus_pipeline
 from marginalia.llm import exact_dedup, mixing, queries, simhash
 
@@ -50,36 +54,58 @@ def test_hot_keys_give_the_same_join(spark, monkeypatch):
         assert sorted((r.i, r.k, r.v) for r in shared.joined_by_key(rows, table, "k", "n").collect()) == want
 
 
-def test_rows_that_repeat_an_id_have_their_own_plan(spark):
-    """Shares and mixed documents agree by source for rows of equal id and word count."""
+def words_of(text):
     import re
+
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+def test_rows_that_repeat_an_id_have_their_own_plan(spark):
+    """Shares and mixed documents agree by source and row, where rows repeat ids, and a third of all rows is one row."""
     from collections import Counter
 
     rows = [(i % 20, " ".join(f"{'ab'[i % 2]}{i}x{k}" for k in range(30)), "AB"[i % 2], 0) for i in range(400)]
+    rows += [(7, " ".join(f"c{k}" for k in range(30)), "C", 0)] * 200
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long").repartition(3)
-    taken = Counter()
     mix = mixing.Mix(docs)
-    shares = mix.shares().join(mix.sizes.selectExpr("_id as doc_id", "_source").distinct(), "doc_id")
-    goal = {r._source: r.target for r in shares.collect()}
-    words = Counter()
+    shares = mix.shares().collect()
+    assert len(shares) == len(rows) and {r.source_size for r in shares} == {6000}  # three sources of 200 rows of 30 words
+    goal = {r.target for r in shares}
+    assert sum(goal) == pytest.approx(18000) and all(g <= 3 * 6000 for g in goal)
+    taken, by_text = Counter(), Counter()
     for r in mixing.mixed_documents(docs).collect():
-        found = re.findall(r"\S+", r.text)
-        assert all(w[0] == "ab"["AB".index(r.source)] for w in found)
-        words[r.source] += len(found)
-    assert {s for s in goal} == {"A", "B"} and all(words[s] > 0 for s in goal)
-    assert not taken
+        found = words_of(r.text)
+        assert found and all(w[0] == {"A": "a", "B": "b", "C": "c"}[r.source] for w in found)
+        taken[r.source] += len(found)
+        by_text.update((r.doc_id, r.source, w) for w in found)
+    assert len(goal) == 3 and sorted(taken.values()) == pytest.approx(sorted(goal), rel=0.05)
+    assert sum(taken.values()) == pytest.approx(sum(r.taken for r in shares), rel=0.02)
+    assert max(by_text.values()) <= 3 * 200  # no word of a row more than three times, also where 200 rows have it
 
 
 def test_stages_in_sequence_on_odd_and_empty_tables(spark, odd, empty, labels, tmp_path):
+    """Each stage's rows against what it says of its own input."""
     labels.write.parquet(f"{tmp_path}/labels.parquet")
     for table in (odd, empty):
-        docs = table
+        docs, kept = table, table.collect()
         for _name, stage in corpus_pipeline.STAGES:
             before, docs = docs, stage(spark, docs, str(tmp_path))
+            was, kept = kept, docs.collect()
             if stage is not corpus_pipeline.STAGES[-1][1]:
                 assert docs.columns == before.columns
-        assert docs.count() >= 0
-        assert {"doc_id", "n_tokens", "ids"} <= set(docs.columns)
+            if stage is corpus_pipeline.keep_good_documents:
+                assert {r.doc_id for r in kept} <= {r.doc_id for r in was} and (not was or len(kept) >= 1)
+            elif stage is corpus_pipeline.drop_exact_copies:
+                assert sorted(r.text or "" for r in kept) == sorted({r.text or "" for r in was})
+            elif stage is corpus_pipeline.drop_near_copies:
+                assert {r.text or "" for r in kept} <= {r.text or "" for r in was} and (not was or len(kept) >= 1)
+            elif stage is corpus_pipeline.mix_sources:
+                assert {(r.doc_id, r.source) for r in kept} <= {(r.doc_id, r.source) for r in was}
+                assert all(set(words_of(r.text)) <= {w for x in was if x.doc_id == r.doc_id for w in words_of(x.text)} for r in kept)
+            else:
+                assert len(kept) == len(was) and all(r.n_tokens == len(r.ids) for r in kept)
+                assert sorted(r.decoded_sha256 for r in kept) == sorted(sha256((r.text or "").encode()).hexdigest() for r in was)
+        assert (len(kept) > 0) == (table is odd)
 
 
 def test_queries_of_the_entry_have_their_columns(spark, sf):
@@ -96,6 +122,11 @@ def test_queries_of_the_entry_have_their_columns(spark, sf):
 
 def test_workers_need_no_package(tmp_path):
     """All queries in a fresh process outside of the repository, whose workers cannot import the package."""
+    home = tmp_path / "home"  # workers make a folder in Spark's home, which may not be ours to write
+    (home / "work").mkdir(parents=True)
+    for item in Path(pyspark.__file__).parent.iterdir():
+        if item.name != "work":
+            (home / item.name).symlink_to(item)
     script = tmp_path / "run.py"
     script.write_text(textwrap.dedent(f"""
         import sys
@@ -114,8 +145,8 @@ def test_workers_need_no_package(tmp_path):
         print("HAS", spark.sparkContext.parallelize([1], 1).mapPartitions(has).collect())
         spark.stop()
     """))
-    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"} | {"PYSPARK_PYTHON": sys.executable, "SPARK_LOCAL_IP": "127.0.0.1", "SPARK_SCALA_VERSION": "2.13"}
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"} | {"PYSPARK_PYTHON": sys.executable, "SPARK_LOCAL_IP": "127.0.0.1", "SPARK_HOME": str(home), "SPARK_SCALA_VERSION": "2.13"}
     done = subprocess.run(["timeout", "900", sys.executable, str(script)], cwd=tmp_path, env=env, capture_output=True, text=True)
     rows = [x.split() for x in done.stdout.splitlines() if x.startswith("ROWS")]
-    assert len(rows) == 11 and all(int(n) > 0 for _, _, n in rows), done.stderr[-3000:]
+    assert len(rows) == 14 and all(int(n) > 0 for _, _, n in rows), done.stderr[-3000:]
     assert "HAS [False]" in done.stdout

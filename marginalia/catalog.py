@@ -143,8 +143,19 @@ HTML_CASES = [
 
 
 def q_html_cases(spark, sf_dir):
-    """What regular expressions would misread: nested and hidden elements, any entity, tags without an end."""
-    return spark.createDataFrame(HTML_CASES, "name string, html string").select("name", extract_html(F.col("html")).alias("text"))
+    """What regular expressions would misread: nested and hidden elements, any entity, tags without an end; after each nation's name."""
+    case = F.explode(F.array(*(F.struct(F.lit(name).alias("name"), F.lit(html).alias("html")) for name, html in HTML_CASES))).alias("c")
+    rows = table(spark, sf_dir, "nation").select("n_name", case)
+    return rows.select(F.col("n_name").alias("nation"), "c.name", extract_html(F.concat(F.lit("<p>"), "n_name", F.lit(".</p><br>"), "c.html")).alias("text"))
+
+
+def q_html_nested(spark, sf_dir):
+    """Every page after nested tables, with hidden elements in each paragraph, and with numeric entities."""
+    html = F.col("html")
+    for old, new in (("&amp;", "&#38;"), ("&nbsp;", "&#xA0;"), ("<p>", "<p><u style='color: red; DISPLAY : none'>in<u>deeper</u>still in</u>"), ("</p>", "<i hidden>a<b>b</b>c</i>&#8217;<s aria-hidden=\"true\">d</s></p>")):
+        html = F.replace(html, F.lit(old), F.lit(new))
+    head = "<table><tr><td title='a > b'><table><tr><td>x</table>y<td>z</table><!-- <p>no</p> --><section hidden><p>one<section>two</section>three</section>"
+    return table(spark, sf_dir, "pages").select("page_id", extract_html(F.concat(F.lit(head), html)).alias("text"))
 
 
 def q_normalize_text(spark, sf_dir):
@@ -485,8 +496,16 @@ def q_annotation_rows(spark, sf_dir):
 
 def q_paragraph_tokens(spark, sf_dir):
     """Single line breaks part paragraphs here, as the documents hold no blank lines."""
-    d = table(spark, sf_dir, "documents")
-    return plain(render.paragraph_tokens(d, build_index(d), separator="\\n").drop("source_class"))
+    d = spread(table(spark, sf_dir, "documents"))
+    return plain(render.paragraph_tokens(d, separator="\\n").drop("source_class"))
+
+
+def q_paragraph_tokens_joined(spark, sf_dir):
+    """The same tokens from sentences by row, with the classes of the events' sources (an anchor's source hangs on its number)."""
+    d, s = table(spark, sf_dir, "documents"), sentences(spark, sf_dir)
+    kind = F.element_at(F.array(*(F.lit(k) for k in render.SOURCE_CLASS)), (F.col("sentence_idx") % len(render.SOURCE_CLASS) + 1).cast("int"))
+    sources = s.where("sentence_idx % 3 != 0").select("doc_id", "anchor_id", kind.alias("source"))
+    return plain(render.paragraph_tokens(d, s.drop("text"), sources, separator="\\n"))
 
 
 def q_split_index(spark, sf_dir):
@@ -548,7 +567,7 @@ def q_parse_replies(spark, sf_dir):
 
 
 QUERIES = {
-    "html_extract": q_html_extract, "html_cases": q_html_cases, "normalize_text": q_normalize_text, "labels_clean": q_labels_clean, "sentence_index": q_sentence_index, "keyword_hits": q_keyword_hits,
+    "html_extract": q_html_extract, "html_cases": q_html_cases, "html_nested": q_html_nested, "normalize_text": q_normalize_text, "labels_clean": q_labels_clean, "sentence_index": q_sentence_index, "keyword_hits": q_keyword_hits,
     "coverage": q_coverage, "chunks_full": _ranges("full_doc"), "chunks_window": _ranges("keyword_window", True, window_sentences=3),
     "chunks_sentence": _ranges("keyword_per_sentence", True), "chunks_n20": _ranges("n_sentence", n_sentences=20), "chunks_n40": _ranges("n_sentence", n_sentences=40),
     "chunks_overlap": _ranges("n_sentence", n_sentences=7, stride=4), "chunks_gaps": _ranges("n_sentence", n_sentences=3, stride=5), "chunk_texts": q_chunk_texts, "chunk_texts_joined": q_chunk_texts_joined,
@@ -565,7 +584,7 @@ QUERIES = {
     "filing_summary": q_filing_summary, "adjudication_report": q_adjudication_report, "span_collapse": q_span_collapse, "coder_names": q_coder_names,
     "sequential": q_sequential, "passage_aware": q_passage_aware, "diagnosis_passages": q_diagnosis_passages, "diagnosis_phases": q_diagnosis_phases,
     "loss_buckets": q_loss_buckets, "missed_anchors": q_missed_anchors, "few_shot": q_few_shot, "annotation_rows": q_annotation_rows,
-    "paragraph_tokens": q_paragraph_tokens, "split_index": q_split_index, "experiment_log": q_experiment_log, "top_index": q_top_index, "ai_only": q_ai_only,
+    "paragraph_tokens": q_paragraph_tokens, "paragraph_tokens_joined": q_paragraph_tokens_joined, "split_index": q_split_index, "experiment_log": q_experiment_log, "top_index": q_top_index, "ai_only": q_ai_only,
     "run_strategy": q_run_strategy, "run_sequential": _run_phases("sequential_batched"), "run_passage_aware": _run_phases("sequential_passage_aware"), "parse_replies": q_parse_replies,
 }
 

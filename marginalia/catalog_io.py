@@ -56,20 +56,28 @@ def q_keywords_file(spark, sf_dir):
     return spark.createDataFrame(list(enumerate(found)), "place long, term string")
 
 
+#: Customers in a section of the two-coder file; a section is a file, so that files stay of one size however many there are.
+SECTION = 1000
+
+
 def q_two_coder_file(spark, sf_dir):
-    """Sections by nation, each with its own header; a coder without a sentence has no row."""
-    c = _table(spark, sf_dir, "customer").where("c_custkey % 3 = 0").join(F.broadcast(_table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    """Sections by nation and block of customers, each a file with its own header; a coder without a sentence has no row."""
+    c = _table(spark, sf_dir, "customer").join(F.broadcast(_table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    c = c.withColumn("section", F.concat_ws("-", "n_nationkey", F.floor(F.col("c_custkey") / SECTION)))
     quoted = lambda *parts: F.concat(F.lit('"'), *parts, F.lit('"'))
     a, b = F.col("c_custkey") % 4 != 0, F.col("c_custkey") % 6 != 0
     cells = [F.lit("x"), F.when(F.col("c_custkey") % 9 == 0, "n/a").otherwise((2000 + F.col("c_custkey") % 5).cast("string")), F.lit("ai"), F.lit("Ann"),
              F.when(a, quoted(F.lit("said ""We"", "), "c_name", F.lit("\n2"))).otherwise(""), F.lit("Mitigation"), F.lit("IP"), F.concat((F.col("c_custkey") % 3).cast("string"), F.lit(".0")),
              F.when(b, quoted(F.lit("b "), "c_name")).otherwise(""), F.lit("risk"), F.lit("n/a")]
     head = "Company,10-K Year,AI_Term,Coder A Name,Coder A: Sentences Highlighted,Coder A: Risk or Mitigation?,Coder A: Subcategory,Coder A: Strength Annotation,Coder B: Sentences Highlighted,Coder B: Risk or Mitigation?,Coder B: Strength Annotation"
-    body = c.select("n_name", F.lit(2).alias("o"), "c_custkey", F.concat_ws(",", *cells).alias("value"))
-    tops = _table(spark, sf_dir, "nation").select("n_name", F.explode(F.array(F.struct(F.lit(0).alias("o"), F.concat("n_name", F.lit(",,,")).alias("value")), F.struct(F.lit(1).alias("o"), F.lit(head).alias("value")))).alias("t"))
-    lines = tops.select("n_name", "t.o", F.lit(0).cast("long").alias("c_custkey"), "t.value").unionByName(body).orderBy("n_name", "o", "c_custkey").select("value")
+    body = c.select("section", F.lit(2).alias("o"), "c_custkey", F.concat_ws(",", *cells).alias("value"))
+    top = lambda o, value: F.struct(F.lit(o).alias("o"), value.alias("value"))
+    tops = c.select("section", "n_name").distinct().select("section", F.explode(F.array(top(0, F.concat("n_name", F.lit(",,,"))), top(1, F.lit(head)))).alias("t"))
+    lines = tops.select("section", "t.o", F.lit(0).cast("long").alias("c_custkey"), "t.value").unionByName(body)
+    dealt = lines.repartition("section").sortWithinPartitions("section", "o", "c_custkey").select("section", "value")
+    dealt.write.partitionBy("section").text(folder := fresh_folder(spark, "coders"))
     names = {r.n_name: r.n_name.lower() for r in _table(spark, sf_dir, "nation").collect()}
-    return files.read_two_coders(spark, write_file(lines, fresh_folder(spark, "coders") + "/two.csv"), names)
+    return files.read_two_coders(spark, folder, names)
 
 
 def q_two_coder_rows(spark, sf_dir):
@@ -114,10 +122,10 @@ def q_json_records(spark, sf_dir):
 
 
 def q_html_files(spark, sf_dir):
-    """Pages as files named company_year.htm; other names are left out."""
-    folder, pages = fresh_folder(spark, "filings"), _table(spark, sf_dir, "pages").where("page_id < 4").orderBy("page_id").collect()
-    for r in pages:
-        write_file(spark.createDataFrame([(r.html,)], "value string"), f"{folder}/" + ("notes.htm" if r.page_id == 3 else f"face_book_{2020 + r.page_id}.htm"))
+    """Every page as a file named company_year.htm; other names are left out."""
+    name = F.when(F.col("page_id") % 4 == 3, F.format_string("notes%d.htm", "page_id")).otherwise(F.format_string("face_book_%d.htm", 2020 + F.col("page_id")))
+    pages = _table(spark, sf_dir, "pages").select(name.alias("file"), F.col("html").alias("value"))
+    pages.repartition("file").write.partitionBy("file").text(folder := fresh_folder(spark, "filings"))
     return files.extracted(files.read_html(spark, folder, {"face_book": "meta"}))
 
 
@@ -144,12 +152,18 @@ def q_versioned_table(spark, sf_dir):
 
 
 def q_run_meta(spark, sf_dir):
-    folder = fresh_folder(spark, "meta")
-    for s in strategies.STRATEGIES.values():
-        sinks.append_meta(spark, folder, doc_id="d", version_id=s.id, display_label=s.label(), model=s.model, workflow=s.workflow, prompt_builder=s.prompt, chunker=s.chunker,
-                          chunker_params={k: str(v) for k, v in s.chunker_params.items()}, n_chunks=1)
-    rows = spark.read.parquet(f"{folder}/run_meta")
-    return rows.select("version_id", "workflow", "chunker", T.params_text(F.col("chunker_params")).alias("params"), F.col("created_at").isNotNull().alias("stamped"))
+    """A row for each nation's document and strategy, written in two runs."""
+    folder, presets = fresh_folder(spark, "meta"), strategies.STRATEGIES.values()
+    own = lambda s: F.struct(F.lit(s.id).alias("version_id"), F.lit(s.label()).alias("display_label"), F.lit(s.model).alias("model"), F.lit(s.workflow).alias("workflow"),
+                             F.lit(s.prompt).alias("prompt_builder"), F.lit(s.chunker).alias("chunker"),
+                             F.map_from_entries(F.array(*(F.struct(F.lit(k), F.lit(str(v))) for k, v in s.chunker_params.items())) if s.chunker_params else F.array().cast("array<struct<k:string,v:string>>")).alias("chunker_params"))
+    rows = _runs(spark, sf_dir).select("doc_id").distinct().select("doc_id", F.explode(F.array(*(own(s) for s in presets))).alias("s")).select("doc_id", "s.*")
+    counts = _table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.count(F.lit(1)).cast("int").alias("n_chunks"))
+    counts = counts.join(_table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.concat(F.lower("n_name"), F.lit("_2024")).alias("doc_id"), "n_chunks")
+    for part in (F.col("doc_id") < "j", F.col("doc_id") >= "j"):
+        sinks.append_meta(spark, folder, rows.join(counts, "doc_id", "left").where(part))
+    found = spark.read.parquet(f"{folder}/run_meta")
+    return _plain(found.select("doc_id", "version_id", "workflow", "chunker", T.params_text(F.col("chunker_params")).alias("params"), "n_chunks", F.col("created_at").isNotNull().alias("stamped")))
 
 
 def q_latest(spark, sf_dir):
@@ -213,8 +227,10 @@ def q_examples_block(spark, sf_dir):
 
 
 def q_schemas(spark, sf_dir):
-    """The labels that phase schemas allow."""
-    tax, rows = _catalog().small_taxonomy(spark), []
+    """The labels that phase schemas allow, of a taxonomy of regions and nations."""
+    tax = _table(spark, sf_dir, "nation").join(_table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(
+        F.when(F.col("n_nationkey") % 2 == 0, "Risk").otherwise("Risk Mitigation").alias("kind"), F.col("r_name").alias("category"), F.col("n_name").alias("subcategory"))
+    rows = []
     for phase in prompts.PHASES:
         (listed,) = prompts.phase_schema(phase, tax)["properties"].values()
         for field, kind in listed["items"]["properties"].items():
@@ -274,7 +290,7 @@ def q_exact_duplicates(spark, sf_dir):
 
 def q_comments(spark, sf_dir):
     """Comments of a filing in one text, taken apart."""
-    o = _table(spark, sf_dir, "orders").where("o_orderkey % 2 = 0")
+    o = _table(spark, sf_dir, "orders")
     text = F.concat(F.lit("Ann (10:00): see (x): "), "o_orderpriority", F.lit(" | Ben (2024-01-02): "), "o_orderstatus", F.lit(" | "))
     each = o.select("o_orderkey", F.explode(agreement.parse_comments(text)).alias("c"))
     return each.select("o_orderkey", "c.name", "c.time", "c.text")
@@ -298,8 +314,10 @@ SPLITTER_CASES = [
 
 
 def q_splitter_cases(spark, sf_dir):
-    docs = spark.createDataFrame(SPLITTER_CASES, "name string, text string")
-    return sentence_arrays(docs, id_col="name").select(F.col("doc_id").alias("name"), F.size("sentences").cast("long").alias("n"))
+    """Each case after a sentence with each nation's name, on a line of its own."""
+    case = F.explode(F.array(*(F.struct(F.lit(name).alias("name"), F.lit(text).alias("text")) for name, text in SPLITTER_CASES))).alias("c")
+    docs = _table(spark, sf_dir, "nation").select("n_name", case).select(F.struct("n_name", "c.name").alias("k"), F.concat("n_name", F.lit(" came.\n"), "c.text").alias("text"))
+    return sentence_arrays(docs, id_col="k").select(F.col("doc_id.n_name").alias("nation"), F.col("doc_id.name").alias("name"), F.size("sentences").cast("long").alias("n"))
 
 
 def q_unresolved_cards(spark, sf_dir):

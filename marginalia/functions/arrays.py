@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +21,11 @@ def computed(df: DataFrame, **columns: str | Column) -> DataFrame:
     return df
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is evaluated once, however often the body names it: it is the one element of a lambda's array."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def running_starts(lengths: str) -> str:
     """SQL for the exclusive prefix sums of an int array column.
 

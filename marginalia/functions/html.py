@@ -1,97 +1,158 @@
-"""Page source to text by the standard library's parser: an Arrow UDF for pages that regular expressions would misread."""
+"""Page source to text within the JVM: one regular expression cuts the source into tags and text, and a fold over these keeps a stack.
+
+The stack is a string, ``<name>0`` or ``<name>1`` for each open element, 1 where nothing of it is seen.  Tags become one to three small
+steps (end an element, begin one, take text), so that a page is folded in one ``aggregate``, ``STEPS`` steps at a time: strings
+grow within such a piece only, and long pages stay linear.
+"""
 
 from __future__ import annotations
 
-from html.parser import HTMLParser
+from html.entities import html5
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
-from .text import BLOCK_TAGS, DROPPED_TAGS, ENTITIES, block_breaks, decode_entities, strip_markup, tidy
+from .arrays import bound
+from .text import BLOCK_TAGS, DROPPED_TAGS, tidy
 
 # Elements without an end; what an open paragraph ends at; what ends at the next of its kind, and where that stops.
 NO_END = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr")
 ENDS_P = (*BLOCK_TAGS, "address", "aside", "center", "dl", "dt", "dd", "fieldset", "form", "hr", "nav", "ol", "pre", "table", "ul")
 ENDS_ITSELF = {"li": ("ul", "ol"), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",), "dt": ("dl",), "dd": ("dl",)}
+P_STOPS = ("td", "th", "button", "object")
+
+STEPS = 64
+#: Comments, raw elements, declarations, tags (quoted values may hold anything), tags with an odd quote, text.
+TOKEN = (
+    r"(?is)<!--.*?(?:-->|\z)|<(script|style)(?=[\s/>])[^>]*+>.*?(?:</\1\s*+>|\z)|<[!?][^>]*+>|</[^a-z][^>]*+>"
+    r"|</?[a-z](?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|</?[a-z][^>]*+>|[^<]++|<"
+)
+ATTRIBUTE = r"(?s)[\s/]([^\s=>/\"']++)(?:\s*+=\s*+(\"[^\"]*+\"|'[^']*+'|[^\s>]*+))?+"
+ENTITY = r"&(?:#[0-9]++;?|#[xX][0-9a-fA-F]++;?|[a-zA-Z][a-zA-Z0-9]*+;?)|[^&]++|&"
+TEXT, END, BEGIN = 0, 1, 2
+
+
+def _among(name: Column, names: tuple[str, ...]) -> Column:
+    return name.isin(*names)
+
+
+def _names(tags: tuple[str, ...]) -> str:
+    return f"<(?:{'|'.join(tags)})>"
+
+
+def _hides(tag: Column) -> Column:
+    """Whether the attributes of a start tag hide its element."""
+
+    def by(names: Column) -> Column:
+        values = F.transform(F.regexp_extract_all(tag, F.lit(ATTRIBUTE), F.lit(2)), lambda v: F.lower(F.regexp_replace(v, "^[\"']|[\"']$", "")))
+        given = F.arrays_zip(names.alias("n"), values.alias("v"))
+        style = lambda a: F.translate(a["v"], " ", "")
+        off = lambda a: style(a).contains("display:none") | style(a).contains("visibility:hidden")
+        return F.exists(given, lambda a: (a["n"] == "hidden") | ((a["n"] == "aria-hidden") & (a["v"] == "true")) | ((a["n"] == "style") & off(a)))
+
+    names = F.transform(F.regexp_extract_all(tag, F.lit(ATTRIBUTE), F.lit(1)), lambda n: F.lower(n))
+    return F.when(tag.rlike("(?i)hidden|display|visibility"), bound(names, by)).otherwise(F.lit(False))
+
+
+def _step(kind: int, a: Column | str = "", b: Column | str = "", gone: Column | None = None) -> Column:
+    """END: ``a`` ends unless what stands above it matches ``b``.  BEGIN: line breaks ``b``, then ``a`` is open.  TEXT: ``a``."""
+    lit = lambda c: F.lit(c) if isinstance(c, str) else c
+    return F.struct(F.lit(kind).alias("kind"), lit(a).alias("a"), lit(b).alias("b"), (F.lit(False) if gone is None else gone).alias("gone"))
+
+
+def _steps(token: Column) -> Column:
+    """What a token does, as an array of steps."""
+
+    def of_tag(name: Column) -> Column:
+        own = F.concat(F.lit("<"), name, F.lit(">"))
+        alone, block = token.endswith("/>"), _among(name, tuple(t for t in BLOCK_TAGS if t != "br"))
+        breaks = F.when(name == "br", "\n\n").when(block, F.when(alone, "\n\n").otherwise("\n")).otherwise("")
+        gone = _among(name, DROPPED_TAGS) | name.startswith("ix:hidden") | _hides(token)
+        begin = _step(BEGIN, F.when(alone | _among(name, NO_END), F.lit("")).otherwise(own), breaks, gone)
+        stops = F.lit(None).cast("string")
+        for tag, ends in ENDS_ITSELF.items():
+            stops = F.when(name == tag, _names(ends)).otherwise(stops)
+        end_p = F.when(_among(name, tuple(t for t in ENDS_P if t != "br")), _step(END, "<p>", _names(P_STOPS)))
+        end_own = F.when(stops.isNotNull(), _step(END, own, stops))
+        return F.when(token.startswith("</"), F.array(_step(END, own))).otherwise(F.array_compact(F.array(end_p, end_own, begin)))
+
+    text = ~token.startswith("<") | (token == "<")
+    tag = token.rlike("(?i)^</?[a-z]") & ~token.rlike(r"(?is)^<(script|style)(?=[\s/>])[^>]*+>.*<")
+    name = F.translate(F.lower(F.regexp_extract(token, r"^</?([a-zA-Z][^\s/>]*)", 1)), "<", "_")  # the stack's own sign
+    return F.when(text, F.array(_step(TEXT, token))).when(tag, bound(name, of_tag)).otherwise(F.array().cast("array<struct<kind:int,a:string,b:string,gone:boolean>>"))
+
+
+def _fold(state: Column, step: Column) -> Column:
+    """``state``: the stack and what is seen so far."""
+    stack, seen = state["stack"], state["seen"]
+    unseen = F.endswith(stack, F.lit("1"))
+
+    def ended(above: Column) -> Column:
+        closed = F.concat(step["a"], above)
+        free = stack.contains(step["a"]) & ((step["b"] == "") | ~F.rlike(above, step["b"]))
+        lines = F.regexp_count(closed, F.lit(f"{_names(tuple(t for t in BLOCK_TAGS if t != 'br'))}0"))
+        left = F.left(stack, F.char_length(stack) - F.char_length(closed))
+        return F.when(free, F.struct(left.alias("stack"), F.concat(seen, F.repeat(F.lit("\n"), lines)).alias("seen"))).otherwise(state)
+
+    def begun(gone: Column) -> Column:
+        opened = F.when(step["a"] == "", stack).otherwise(F.concat(stack, step["a"], F.when(gone, "1").otherwise("0")))
+        return F.struct(opened.alias("stack"), F.concat(seen, F.when(gone, "").otherwise(step["b"])).alias("seen"))
+
+    said = F.struct(stack.alias("stack"), F.when(unseen, seen).otherwise(F.concat(seen, step["a"])).alias("seen"))
+    above = F.call_function("substring_index", stack, step["a"], F.lit(-1))
+    return F.when(step["kind"] == TEXT, said).when(step["kind"] == END, bound(above, ended)).otherwise(bound(step["gone"] | unseen, begun))
+
+
+def visible(html: Column) -> Column:
+    """The text of what is neither dropped nor hidden, entities as they stand, with a line break at each block tag's start and end."""
+    whole = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?i)<[a-z/!][^<>]*\z", "")  # an element that the source breaks off in is none
+    start = F.struct(F.lit("").alias("stack"), F.array().cast("array<string>").alias("parts"))
+
+    def page(steps: Column) -> Column:
+        def piece(state: Column, i: Column) -> Column:
+            inner = F.aggregate(F.slice(steps, i * STEPS + 1, STEPS), F.struct(state["stack"].alias("stack"), F.lit("").alias("seen")), _fold)
+            return bound(inner, lambda x: F.struct(x["stack"].alias("stack"), F.array_append(state["parts"], x["seen"]).alias("parts")))
+
+        pieces = F.sequence(F.lit(0), F.floor(F.size(steps) / STEPS).cast("int"))
+        return F.array_join(F.aggregate(pieces, start, piece, lambda s: s["parts"]), "")
+
+    return bound(F.flatten(F.transform(F.regexp_extract_all(whole, F.lit(TOKEN), F.lit(0)), _steps)), page)
+
+
+def _entity_table() -> str:
+    """All named entities, and the numbers that browsers read as Windows signs, as ``name\x02sign`` lines."""
+    odd = {f"#{n}": bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(0x80, 0xA0)} | {"#0": "�", "#13": "\r"}
+    return "\x01".join(f"{name}\x02{sign}" for name, sign in (html5 | odd).items())
+
+
+#: Names that are known without a semicolon too, the longest first.
+BARE = "|".join(sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n)))
+
+
+def decode_entities(text: Column) -> Column:
+    """Named and numeric entities, each once, as browsers read them; unknown names stay."""
+    table = F.str_to_map(F.lit(_entity_table()), F.lit("\x01"), F.lit("\x02"))
+
+    def number(n: Column) -> Column:
+        sign = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+        nothing = n.between(1, 8) | n.between(14, 31) | n.between(127, 159) | n.between(0xFDD0, 0xFDEF) | (n == 11) | (n.bitwiseAND(F.lit(0xFFFE)) == 0xFFFE)
+        known = F.element_at(table, F.concat(F.lit("#"), n.cast("string")))
+        wrong = n.isNull() | (n > 0x10FFFF) | n.between(0xD800, 0xDFFF)
+        return F.when(wrong, "�").otherwise(F.coalesce(F.when((n < 160) & ((n > 127) | n.isin(0, 13)), known), F.when(nothing, "").otherwise(sign)))
 
+    def decoded(piece: Column) -> Column:
+        digits = F.regexp_extract(piece, "^&#[xX]?([0-9a-fA-F]+)", 1)
+        base = F.when(piece.rlike("^&#[xX]"), 16).otherwise(10)
+        value = F.when(F.char_length(F.ltrim(digits, F.lit("0"))) <= 8, F.call_function("conv", digits, base, F.lit(10)))
+        named = F.element_at(table, F.substr(piece, F.lit(2)))
+        bare = F.regexp_extract(piece, f"^&({BARE})", 1)
+        prefix = F.when(bare != "", F.concat(F.element_at(table, bare), F.substr(piece, F.char_length(bare) + 2)))
+        return F.when(digits != "", bound(value.try_cast("bigint"), number)).otherwise(F.coalesce(named, prefix, piece))
 
-def visible_text(html: str | None) -> str:
-    """The text of what is neither dropped nor hidden, entities decoded, with a line break at each block tag's start and end."""
-    blocks, dropped = set(BLOCK_TAGS) - {"br"}, set(DROPPED_TAGS)
-    out: list[str] = []
-    stack: list[tuple[str, bool]] = []  # open elements, and whether what they hold is out
-
-    def close(at: int) -> None:
-        while len(stack) > at:
-            tag, gone = stack.pop()
-            if tag in blocks and not gone:
-                out.append("\n")
-
-    def last(tags: tuple[str, ...], stops: tuple[str, ...] = ()) -> int | None:
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in tags:
-                return i
-            if stack[i][0] in stops:
-                return None
-        return None
-
-    class Walk(HTMLParser):
-        def handle_starttag(self, tag, attrs):
-            if tag in ENDS_P and tag != "br" and (at := last(("p",), ("td", "th", "button", "object"))) is not None:
-                close(at)
-            if tag in ENDS_ITSELF and (at := last((tag,), ENDS_ITSELF[tag])) is not None:
-                close(at)
-            a = {k: (v or "") for k, v in attrs}
-            style = a.get("style", "").lower().replace(" ", "")
-            gone = tag in dropped or tag.startswith("ix:hidden") or "hidden" in a or a.get("aria-hidden") == "true"
-            gone = gone or "display:none" in style or "visibility:hidden" in style or bool(stack and stack[-1][1])
-            if tag == "br" and not gone:
-                out.append("\n\n")
-            elif tag in blocks and not gone:
-                out.append("\n")
-            if tag not in NO_END:
-                stack.append((tag, gone))
-
-        def handle_endtag(self, tag):
-            at = last((tag,))
-            if at is not None:
-                close(at)
-
-        def handle_data(self, data):
-            if not (stack and stack[-1][1]):
-                out.append(data)
-
-    walk = Walk(convert_charrefs=True)
-    source = html or ""
-    walk.feed(source[: source.rfind("<")] if source.rfind("<") > source.rfind(">") and source[source.rfind("<") + 1 :][:1] in _TAG_STARTS else source)
-    walk.close()
-    close(0)
-    return "".join(out)
-
-
-_TAG_STARTS = tuple("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ/!")  # an element that the source breaks off in is none
-
-
-@F.pandas_udf(StringType())
-def parsed_text(html: pd.Series) -> pd.Series:
-    return html.map(visible_text, na_action="ignore")
-
-
-def is_plain(html: Column) -> Column:
-    """Whether regular expressions read the page as the parser does: all tags well-formed, nothing hidden, no element that
-    could nest among the dropped ones, no entity but the known ones."""
-    body = F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style)(\s[^<>]*)?>.*?</\1\s*>|<!doctype[^<>]*>", "")
-    names = "|".join(e.strip("&;") for e, _ in ENTITIES)
-    rest = F.regexp_replace(body, rf'</?[a-zA-Z][a-zA-Z0-9]*(\s+[a-zA-Z-]+(="[^"<>]*")?)*\s*>|&({names});', "")
-    odd = r"(?i)<(table|noscript|svg|figure|form|button|select|textarea|iframe|template|plaintext|xmp|object)\b|hidden|display|visibility"
-    return ~(rest.contains("<") | rest.contains("&") | html.rlike(odd))
+    pieces = F.transform(F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0)), lambda p: F.when(p.startswith("&") & (p != "&"), decoded(p)).otherwise(p))
+    return F.when(text.contains("&"), F.array_join(pieces, "")).otherwise(text)
 
 
 def extract_html(html: Column) -> Column:
-    """Page source to plain text: strip, break, decode, tidy.  Plain pages stay in the JVM, only the others go through the parser."""
-    html = F.coalesce(html, F.lit(""))
-    plain = is_plain(html)
-    native = decode_entities(block_breaks(strip_markup(html)))
-    return tidy(F.when(plain, native).otherwise(parsed_text(F.when(~plain, html))))
+    """Page source to plain text: what is seen, entities decoded, tidied.  Null is an empty page."""
+    return bound(visible(html), lambda text: bound(decode_entities(text), tidy))

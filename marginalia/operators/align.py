@@ -11,6 +11,7 @@ from ..scratch import settled
 
 PREFIX, LEAST, RATIO = 80, 40, 1.5
 GRAM = 20
+SPLIT = 4096
 DIMENSION = 10_000
 UNRESOLVED = "(unresolved)"
 
@@ -38,45 +39,62 @@ def _digest(c: Column | str) -> Column:
 
 
 def _grams(rows: DataFrame, text: str, *keep: str) -> DataFrame:
-    """``keep`` and ``g`` for the chosen grams of ``text``: in each run of ``LEAST - GRAM + 1`` grams the one of least hash.
+    """``keep``, ``g`` (hashes of stretches of ``GRAM`` characters of ``text``, longer than ``LEAST``), ``own`` and ``n_own``.
 
-    Strings that share a stretch of ``LEAST`` characters or more choose a gram of it on both sides.
+    A string that lies in another has all its ``own`` grams among the other's grams.  These are the stretches that begin a word, but the
+    first word, which may be cut.  Few strings have none: their first word is longer than ``GRAM``.  They take, of each run of grams, the one
+    of least hash, and so does, besides, every string with so long a word.  Texts are cut in pieces, so that long ones stay linear.
     """
-    run = LEAST - GRAM + 1
+    run, piece = LEAST - GRAM + 1, 64
+    hashes = f"flatten(transform(_p, p -> transform(sequence(1, greatest(1, char_length(p) - {GRAM - 1})), i -> xxhash64(substring(p, i, {GRAM})))))"
     rows = computed(
-        rows, _g=f"transform(sequence(1, char_length({text}) - {GRAM - 1}), i -> xxhash64(substring({text}, i, {GRAM})))",
-        _m=f"array_distinct(transform(sequence(1, size(_g) - {run - 1}), i -> array_min(slice(_g, i, {run}))))",
+        rows, _w=f"array_distinct(transform(regexp_extract_all({text}, r'(?s)(?<= )(?=(.{{{GRAM}}}))', 1), x -> xxhash64(x)))",
+        _p=f"case when {text} rlike '[^ ]{{{GRAM + 1}}}' then regexp_extract_all({text}, r'(?s)(?=(.{{{GRAM},{piece + GRAM - 1}}})).{{1,{piece}}}', 1) else array() end",
+        _c=f"case when size(_p) > 0 then {hashes} else cast(array() as array<bigint>) end",
+        _m=f"case when size(_c) > 0 then array_except(transform(sequence(1, greatest(1, size(_c) - {run - 1})), i -> array_min(slice(_c, i, {run}))), _w) else _c end",
     )
-    return rows.select(*keep, F.explode("_m").alias("g"))
+    rows = rows.withColumn("n_own", F.when(F.size("_w") > 0, F.size("_w")).otherwise(F.size("_m")))
+    each = "concat(transform(_w, x -> named_struct('g', x, 'own', true)), transform(_m, x -> named_struct('g', x, 'own', size(_w) = 0)))"
+    return rows.select(*keep, "n_own", F.explode(F.expr(each)).alias("x")).select(*keep, "n_own", "x.g", "x.own").repartition("doc_id", "g")
+
+
+def _by_rarest(inner: DataFrame, outer: DataFrame, name: str, length: str, other: str, longer: str, often: str) -> DataFrame:
+    """(doc_id, d, i) of strings of ``inner`` and those of ``outer`` that have its rarest own gram; strings with an own gram that ``outer`` lacks have none.
+
+    ``inner`` and ``outer`` have the grams that both sides share, and how often; a gram of more than ``SPLIT`` outer strings is dealt out.
+    """
+    own = inner.where("own").groupBy("doc_id", name).agg(F.min(F.struct(often, "g")).alias("r"), F.count(F.lit(1)).alias("met"), F.first(length).alias(length), F.first("n_own").alias("n_own"))
+    own = own.where("met = n_own").select("doc_id", name, length, "r.g", F.col(f"r.{often}").alias("_often"))
+    theirs = outer.select("doc_id", "g", other, longer, F.col(often).alias("_often"))
+    fits = F.col(longer).between(F.col(length), RATIO * F.col(length))
+    light = own.where(F.col("_often") <= SPLIT).drop("_often").join(theirs.drop("_often"), ["doc_id", "g"]).where(fits)
+    parts = F.expr(f"cast(_often div {SPLIT} as int)")
+    salted = theirs.where(F.col("_often") > SPLIT).withColumn("_salt", F.pmod(F.xxhash64(other), parts + 1).cast("int")).drop("_often")
+    heavy = own.where(F.col("_often") > SPLIT).withColumn("_salt", F.explode(F.sequence(F.lit(0), parts))).drop("_often").join(salted, ["doc_id", "g", "_salt"]).where(fits)
+    return light.select("doc_id", "d", "i").unionByName(heavy.select("doc_id", "d", "i"))
 
 
 def _candidates(left: DataFrame, near: DataFrame) -> DataFrame:
-    """(doc_id, d, i) of a left key and a sentence, in either of which the other may lie; none that does is missing.
+    """(doc_id, d, i) of a left key (d, key) and a distinct sentence (i, k), in either of which the other may lie; none that does is missing.
 
-    A string of three pieces or more is all over the other with its inner pieces, which are whole words there: it is looked up by the
-    longest of them among the other's words.  One of one or two pieces and over ``LEAST`` characters lies in a string that has a piece
-    of over ``GRAM`` characters; those few meet by chosen grams.
+    Either side's strings are looked up by that of their own grams which the fewest strings of the other side have in this document.
     """
-    words, apart = "split({}, ' ')", "size({}) > 2"
-    long = f"exists(_w, w -> char_length(w) > {GRAM})"
-    cut = lambda rows, text: computed(rows, _w=words.format(text))
-    a, b = cut(left.withColumn("n", F.length("key")), "key"), cut(near.withColumn("m", F.length("k")), "k")
-    inner = F.expr("array_max(transform(slice(_w, 2, size(_w) - 2), w -> named_struct('l', char_length(w), 'w', w))).w").alias("w")
-    every = F.explode(F.array_distinct("_w")).alias("w")
-    fits = F.greatest("n", "m") <= RATIO * F.least("n", "m")
-    within = a.where(apart.format("_w")).select("doc_id", "d", "n", inner).join(b.select("doc_id", "i", "m", every), ["doc_id", "w"]).where(fits & (F.col("n") <= F.col("m")))
-    around = b.where(apart.format("_w")).select("doc_id", "i", "m", inner).join(a.select("doc_id", "d", "n", every), ["doc_id", "w"]).where(fits & (F.col("m") < F.col("n")))
-    few = _grams(a.where(long), "key", "doc_id", "d", "n").join(_grams(b.where(long), "k", "doc_id", "i", "m"), ["doc_id", "g"]).where(fits)
-    pairs = [x.select("doc_id", "d", "i") for x in (within, around, few)]
-    return pairs[0].unionByName(pairs[1]).unionByName(pairs[2]).distinct()
+    a = _grams(left.withColumn("n", F.length("key")), "key", "doc_id", "d", "n")
+    b = _grams(near.withColumn("m", F.length("k")), "k", "doc_id", "i", "m")
+    count = lambda rows, name: rows.groupBy("doc_id", "g").agg(F.count(F.lit(1)).alias(name))
+    often = count(a, "keys").join(count(b, "lines"), ["doc_id", "g"])
+    a, b = a.join(often, ["doc_id", "g"]), b.join(often, ["doc_id", "g"])
+    within = _by_rarest(a, b, "d", "n", "i", "m", "lines")
+    around = _by_rarest(b, a, "i", "m", "d", "n", "keys")
+    return within.unionByName(around).distinct()
 
 
 def find_anchors(queries: DataFrame, sentences: DataFrame, key_col: str = "sentence") -> DataFrame:
     """(doc_id, key) -> sentence_idx, anchor_id, stage for the distinct keys of ``queries`` that match.
 
-    The first two stages are equi-joins on 16-byte digests of keys and of prefixes.  What neither finds meets the sentences of its
-    document that share a telling word with it (:func:`_candidates`), and only such pairs are compared.  Of several sentences the
-    first in the document holds.
+    The first two stages are equi-joins on 16-byte digests of keys and of prefixes.  What neither finds meets the distinct sentences of
+    its document that share its rarest gram (:func:`_candidates`), and only such pairs are compared.  Of several sentences the
+    first in the document holds, so equal sentences count as their first one from the start.
     """
     keyed = settled(sentences.select("doc_id", "sentence_idx", match_key(F.col("text")).alias("k")).where("k != ''"))  # keys are made once, for three uses
     distinct = keyed.groupBy("doc_id", _digest("k").alias("d")).agg(F.min("sentence_idx").alias("i1"))
@@ -94,7 +112,8 @@ def find_anchors(queries: DataFrame, sentences: DataFrame, key_col: str = "sente
 
     left = rest.where((F.length("key") > LEAST) & (F.length("key") < PREFIX)).unionByName(long.where("i2 is null").select("doc_id", "d", "key"))
     left = settled(left)  # what is left is read by three joins
-    near = keyed.where(F.length("k") > LEAST).join(left.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.col("sentence_idx").alias("i"), "k")
+    firsts = distinct.join(left.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.col("i1").alias("sentence_idx"))
+    near = settled(keyed.where(F.length("k") > LEAST).join(firsts, ["doc_id", "sentence_idx"]).select("doc_id", F.col("sentence_idx").alias("i"), "k"))
     met = _candidates(left, near).join(left, ["doc_id", "d"]).join(near, ["doc_id", "i"]).where(F.contains(F.col("k"), F.col("key")) | F.contains(F.col("key"), F.col("k")))
     part = met.groupBy("doc_id", "d").agg(F.first("key").alias("key"), F.min("i").alias("i3"))
     return found.unionByName(hit(part, "i3", "containment")).withColumn("anchor_id", F.format_string("s-%05d", "sentence_idx"))

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import computed, running_starts
-from ..functions.text import coder_name
+from ..functions.text import anchor_id, coder_name
+from .sentences import sentence_arrays
 
 FAR = 10**9
 PIECE = 256
@@ -17,59 +18,64 @@ SOURCE_CLASS = {
 }
 
 
-def paragraphs(docs: DataFrame, separator: str = r"\n{2,}", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, para_idx, p_start, p_end of the non-empty stretches between separators."""
-    text = f"coalesce({text_col}, '')"
+def _paragraph_arrays(docs: DataFrame, separator: str, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, _text and _paras, the non-empty stretches between separators as an array of (a, b)."""
     df = computed(
-        docs.select(F.col(id_col).alias("doc_id"), F.expr(text).alias("_t")),
-        _p=f"split(regexp_replace(_t, r'({separator})', '\x01$1\x01'), '\x01')",
+        docs.select(F.col(id_col).alias("doc_id"), F.expr(f"coalesce({text_col}, '')").alias("_text")),
+        _p=f"split(regexp_replace(_text, r'({separator})', '\x01$1\x01'), '\x01')",
         _n="transform(_p, x -> char_length(x))",
         _s=running_starts("_n"),
+        _paras="filter(transform(_p, (x, i) -> named_struct('a', _s[i], 'b', _s[i] + _n[i], 'odd', i % 2)), x -> x.odd = 0 and x.b > x.a)",
     )
-    kept = F.expr("filter(transform(_p, (x, i) -> named_struct('a', _s[i], 'b', _s[i] + _n[i], 'odd', i % 2)), x -> x.odd = 0 and x.b > x.a)")
-    rows = df.select("doc_id", F.posexplode(kept).alias("para_idx", "p"))
+    return df.select("doc_id", "_text", "_paras")
+
+
+def paragraphs(docs: DataFrame, separator: str = r"\n{2,}", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, para_idx, p_start, p_end of the non-empty stretches between separators."""
+    rows = _paragraph_arrays(docs, separator, id_col, text_col).select("doc_id", F.posexplode("_paras").alias("para_idx", "p"))
     return rows.select("doc_id", "para_idx", F.col("p.a").alias("p_start"), F.col("p.b").alias("p_end"))
 
 
-def paragraph_tokens(docs: DataFrame, sentences: DataFrame, sources: DataFrame | None = None, separator: str = r"\n{2,}",
+def paragraph_tokens(docs: DataFrame, sentences: DataFrame | None = None, sources: DataFrame | None = None, separator: str = r"\n{2,}",
                      id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, para_idx, token_idx, is_sentence, anchor_id, text, source_class.
 
-    Each sentence comes once, in the first paragraph it overlaps, clipped to it; what lies between is plain text.
-    Overlaps are found by an equi-join on blocks of 4,096 code points.  Tokens meet their text once for each document: it is cut into
-    pieces of ``PIECE`` code points, and a token is made of the few that it touches, so that a long document stays linear.
+    Each sentence comes once, in the first paragraph it overlaps, clipped to it; what lies between is plain text.  All is made within the
+    document's row: paragraphs' ends and sentences' starts are sorted together, so that a sentence's place in that order tells how many
+    paragraphs end before it.  Without ``sentences`` they are cut from the text in the same row; those by row (no text is read) join the
+    documents by id.  Tokens are cut from pieces of ``PIECE`` code points, so that a long document stays linear.
     """
-    size = 4096
-    paras = paragraphs(docs, separator, id_col, text_col)
-    blocks = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / size), F.floor((F.col(b) - 1) / size))).alias("_blk")
-    p, s = paras.select("*", blocks("p_start", "p_end")), sentences.select("doc_id", "sentence_idx", "anchor_id", "char_start", "char_end", blocks("char_start", "char_end"))
-    hit = p.join(s, ["doc_id", "_blk"]).where("char_start < p_end and char_end > p_start")
-    first = hit.groupBy("doc_id", "sentence_idx", "anchor_id").agg(F.min(F.struct("para_idx", "p_start", "p_end", "char_start", "char_end")).alias("h"))
-    spans = first.select("doc_id", "h.para_idx", "anchor_id", F.greatest("h.char_start", "h.p_start").alias("a"), F.least("h.char_end", "h.p_end").alias("b"))
-    edges = spans.unionByName(paras.select("doc_id", "para_idx", F.lit(None).cast("string").alias("anchor_id"), F.col("p_end").alias("a"), F.col("p_end").alias("b")))
-    order = Window.partitionBy("doc_id", "para_idx").orderBy("a", F.col("anchor_id").isNull(), "b")
-    edges = edges.join(paras.select("doc_id", "para_idx", "p_start"), ["doc_id", "para_idx"])
-    edges = edges.withColumn("before", F.coalesce(F.lag("b").over(order), "p_start"))
-    none = F.lit(None).cast("string")
-    gap = F.struct(F.col("before").alias("a"), F.col("a").alias("b"), none.alias("anchor_id"))
-    own = F.struct(F.col("a").alias("a"), F.col("b").alias("b"), F.col("anchor_id").alias("anchor_id"))
-    tokens = edges.select("doc_id", "para_idx", F.explode(F.array(gap, own)).alias("t")).select("doc_id", "para_idx", "t.*").where("b > a")
-    place = F.row_number().over(Window.partitionBy("doc_id", "para_idx").orderBy("a")) - 1
-    tokens = tokens.withColumn("token_idx", place)
-    if sources is not None:
-        cls = F.element_at(F.create_map(*(F.lit(x) for kv in SOURCE_CLASS.items() for x in kv)), F.col("source"))
-        tokens = tokens.join(sources.select("doc_id", "anchor_id", "source"), ["doc_id", "anchor_id"], "left").withColumn("source_class", F.coalesce(cls, F.lit("")))
+    rows = _paragraph_arrays(docs, separator, id_col, text_col)
+    if sentences is None:
+        rows = computed(sentence_arrays(rows, "doc_id", "_text", ("_text", "_paras")), _s="transform(sentences, (x, i) -> named_struct('a', x.char_start, 'b', x.char_end, 'i', i))").drop("sentences")
     else:
-        tokens = tokens.withColumn("source_class", F.lit(""))
-    own = tokens.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("para_idx", "token_idx", "a", "b", "anchor_id", "source_class"))).alias("_tokens"))
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    rows = computed(own.join(texts, "doc_id"), _pieces=f"regexp_extract_all(_text, '(?s).{{1,{PIECE}}}', 0)")
+        own = F.array_sort(F.collect_list(F.struct(F.col("char_start").alias("a"), F.col("char_end").alias("b"), F.col("sentence_idx").alias("i"))))
+        spans = sentences.groupBy("doc_id").agg(own.alias("_s"))
+        rows = rows.join(spans, "doc_id", "left").withColumn("_s", F.coalesce("_s", F.array().cast("array<struct<a:int,b:int,i:int>>")))
+    rows = computed(
+        rows,
+        _e="array_sort(concat(transform(_paras, x -> named_struct('v', x.b, 'k', 0)), transform(_s, x -> named_struct('v', x.a, 'k', 1))))",
+        _r="transform(filter(transform(_e, (x, t) -> named_struct('k', x.k, 't', t)), x -> x.k = 1), (x, j) -> x.t - j)",
+        _met="filter(transform(_s, (x, j) -> named_struct('p', _r[j], 'a', greatest(x.a, get(_paras, _r[j]).a), 'b', least(x.b, get(_paras, _r[j]).b), 'i', x.i)), x -> x.p < size(_paras) and x.a < x.b)",
+        _gaps="transform(_met, (x, j) -> named_struct('p', x.p, 'a', case when j > 0 and _met[j - 1].p = x.p then _met[j - 1].b else _paras[x.p].a end, 'b', x.a, 'i', cast(null as int)))",
+        _tails="filter(transform(_met, (x, j) -> named_struct('p', x.p, 'a', x.b, 'b', _paras[x.p].b, 'i', cast(null as int), 'last', j = size(_met) - 1 or _met[j + 1].p != x.p)), x -> x.last)",
+        _bare="transform(array_except(case when size(_paras) > 0 then sequence(0, size(_paras) - 1) else array() end, transform(_met, x -> x.p)), p -> named_struct('p', p, 'a', _paras[p].a, 'b', _paras[p].b, 'i', cast(null as int)))",
+        _t="array_sort(filter(concat(_met, _gaps, transform(_tails, x -> named_struct('p', x.p, 'a', x.a, 'b', x.b, 'i', x.i)), _bare), x -> x.a < x.b))",
+        _first="filter(transform(_t, (x, j) -> case when j = 0 or _t[j - 1].p != x.p then j end), j -> j is not null)",
+        _pieces=f"regexp_extract_all(_text, '(?s).{{1,{PIECE}}}', 0)",
+    )
     near = f"array_join(slice(_pieces, cast(t.a div {PIECE} as int) + 1, cast((t.b - 1) div {PIECE} - t.a div {PIECE} as int) + 1), '')"
     cut = f"substring({near}, cast(t.a % {PIECE} as int) + 1, cast(t.b - t.a as int))"
-    each = rows.select("doc_id", F.explode(F.expr(f"transform(_tokens, t -> named_struct('t', t, 'text', {cut}))")).alias("x"))
-    return each.select(
-        "doc_id", "x.t.para_idx", "x.t.token_idx", F.col("x.t.anchor_id").isNotNull().alias("is_sentence"), "x.t.anchor_id", "x.text", "x.t.source_class",
+    each = rows.select("doc_id", F.explode(F.expr(f"transform(_t, (t, j) -> named_struct('p', t.p, 'k', j - _first[t.p], 'i', t.i, 'text', {cut}))")).alias("x"))
+    tokens = each.select(
+        "doc_id", F.col("x.p").alias("para_idx"), F.col("x.k").alias("token_idx"), F.col("x.i").isNotNull().alias("is_sentence"),
+        F.when(F.col("x.i").isNotNull(), anchor_id(F.col("x.i"))).alias("anchor_id"), "x.text",
     )
+    if sources is None:
+        return tokens.withColumn("source_class", F.lit(""))
+    cls = F.element_at(F.create_map(*(F.lit(x) for kv in SOURCE_CLASS.items() for x in kv)), F.col("source"))
+    met = tokens.join(sources.select("doc_id", "anchor_id", "source"), ["doc_id", "anchor_id"], "left")
+    return met.select(*tokens.columns, F.coalesce(cls, F.lit("")).alias("source_class"))
 
 
 def ordered_cards(cards: DataFrame, sentences: DataFrame, side: str) -> DataFrame:

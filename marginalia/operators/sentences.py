@@ -35,14 +35,14 @@ def mark_boundaries(text: str) -> str:
     return out
 
 
-def sentence_arrays(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and ``sentences``: array of (text, char_start, char_end) in order."""
+def sentence_arrays(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id and ``sentences``: array of (text, char_start, char_end) in order; and the columns ``keep``."""
     lead = r"char_length(regexp_extract(x, r'^\s*', 0))"
     body = r"regexp_replace(x, r'^\s+|\s+$', '')"
     # a piece joins the one before it if that ends with a colon, or has no hard end and this starts in lower case
     joins = r"i > 0 and (_r[i - 1].b like '%:' or (x.b rlike r'^\p{Ll}' and not _r[i - 1].b rlike r'[.?!…]$'))"
     df = computed(
-        docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_t")),
+        docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_t"), *keep),
         _p=f"split({mark_boundaries('_t')}, '{CUT}')",
         _n="transform(_p, x -> char_length(x))",
         _s=running_starts("_n"),
@@ -59,7 +59,7 @@ def sentence_arrays(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             f"'char_end', _r[{last}].s + char_length(_r[{last}].b)))"
         ),
     )
-    return df.select("doc_id", "sentences")
+    return df.select("doc_id", *keep, "sentences")
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -70,8 +70,8 @@ _STRIPPED = ["script", "style", "noscript", "head", "title", "table", "svg", "fi
 _BLOCKS = "p|div|section|article|header|footer|main|li|h1|h2|h3|h4|h5|h6|blockquote|br|tr"
 
 
-def _html() -> str:
-    out = "regexp_replace(coalesce(html, ''), '(?s)<!--.*?-->', '', 'g')"
+def _html(source: str = "html") -> str:
+    out = f"regexp_replace(coalesce({source}, ''), '(?s)<!--.*?-->', '', 'g')"
     for tag in _STRIPPED:
         out = rf"regexp_replace({out}, '(?is)<{tag}(\s[^>]*)?>.*?</{tag}\s*>', '', 'g')"
     out = rf"regexp_replace({out}, '(?i)<br(\s[^>]*)?/?>', chr(10) || chr(10), 'g')"
@@ -103,7 +103,7 @@ HTML_TEXTS = {
 
 def _html_cases() -> str:
     rows = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in HTML_TEXTS.items())
-    return f"SELECT * FROM (VALUES {rows}) t(name, text)"
+    return f"SELECT n_name AS nation, name, n_name || '.' || chr(10) || chr(10) || text AS text FROM nation, (VALUES {rows}) t(name, text)"
 
 
 def _label(x: str) -> str:
@@ -290,9 +290,24 @@ def _few_shot() -> str:
     return "WITH " + ",".join(parts) + " SELECT * FROM r0 UNION ALL SELECT * FROM r1"
 
 
+_TOKENS = """SELECT doc_id, para_idx, row_number() OVER (PARTITION BY doc_id, para_idx ORDER BY a) - 1 AS token_idx, anchor_id IS NOT NULL AS is_sentence, anchor_id,
+        substring(t, (a + 1)::BIGINT, (b - a)::BIGINT) AS text FROM tokens JOIN m0 USING (doc_id)"""
+_PARAGRAPHS = (
+    """lines AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS l, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM m0)""",
+        """starts AS (SELECT doc_id, i, length(l) AS n, sum(length(l) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(l) - 1 AS a FROM lines)""",
+        """paras AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS para_idx, a AS p0, a + n AS p1 FROM starts WHERE n > 0)""",
+        """firsts AS (SELECT s.doc_id, anchor_id, char_start, char_end, min(para_idx) AS para_idx FROM s JOIN paras ON s.doc_id = paras.doc_id AND char_start < p1 AND char_end > p0 GROUP BY ALL)""",
+        """spans AS (SELECT doc_id, para_idx, anchor_id, greatest(char_start, p0) AS a, least(char_end, p1) AS b FROM firsts JOIN paras USING (doc_id, para_idx)
+                     UNION ALL SELECT doc_id, para_idx, NULL, p1, p1 FROM paras)""",
+        """edges AS (SELECT *, lag(b) OVER (PARTITION BY doc_id, para_idx ORDER BY a, anchor_id IS NULL) AS before FROM spans)""",
+        """tokens AS (SELECT doc_id, para_idx, anchor_id, a, b FROM edges WHERE b > a
+                      UNION ALL SELECT doc_id, para_idx, NULL, coalesce(before, p0), a FROM edges JOIN paras USING (doc_id, para_idx) WHERE a > coalesce(before, p0))""",
+)
+
 ORACLES = {
     "html_extract": _html(),
     "html_cases": _html_cases(),
+    "html_nested": _html("replace(html, '</p>', '’</p>')"),
     "normalize_text": f"SELECT doc_id, {_key('text')} AS text, lower({_key('text')}) AS key, substring({_key('text')}, 1, 140) AS excerpt FROM documents",
     "labels_clean": rf"""WITH r AS (SELECT c_custkey, c_name, {_label(_RAW_LABEL)} AS label FROM customer)
         SELECT c_custkey, label, regexp_matches(label, '[;:]') AS has_parts,
@@ -412,17 +427,9 @@ ORACLES = {
     "ai_only": f"""WITH {CARDS}, {_COUNTS}, {_ROW_CARDS} SELECT rows.doc_id, coalesce(rows.anchor_id, '(unmatched)') AS anchor_id, coalesce('text ' || rows.anchor_id, sentence_excerpt) AS sentence, kind, category, subcategory,
         coalesce(strength::VARCHAR, '') AS strength, coalesce(place0, 1000000000)::BIGINT AS place FROM rows LEFT JOIN sources ON rows.doc_id = sources.doc_id AND rows.anchor_id = sources.anchor_id
         WHERE side = 'ai' AND (rows.anchor_id IS NULL OR NOT (a OR b))""",
-    "paragraph_tokens": _sentences("""SELECT doc_id, para_idx, row_number() OVER (PARTITION BY doc_id, para_idx ORDER BY a) - 1 AS token_idx, anchor_id IS NOT NULL AS is_sentence, anchor_id,
-        substring(t, (a + 1)::BIGINT, (b - a)::BIGINT) AS text FROM tokens JOIN m0 USING (doc_id)""",
-        """lines AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS l, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM m0)""",
-        """starts AS (SELECT doc_id, i, length(l) AS n, sum(length(l) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(l) - 1 AS a FROM lines)""",
-        """paras AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS para_idx, a AS p0, a + n AS p1 FROM starts WHERE n > 0)""",
-        """firsts AS (SELECT s.doc_id, anchor_id, char_start, char_end, min(para_idx) AS para_idx FROM s JOIN paras ON s.doc_id = paras.doc_id AND char_start < p1 AND char_end > p0 GROUP BY ALL)""",
-        """spans AS (SELECT doc_id, para_idx, anchor_id, greatest(char_start, p0) AS a, least(char_end, p1) AS b FROM firsts JOIN paras USING (doc_id, para_idx)
-                     UNION ALL SELECT doc_id, para_idx, NULL, p1, p1 FROM paras)""",
-        """edges AS (SELECT *, lag(b) OVER (PARTITION BY doc_id, para_idx ORDER BY a, anchor_id IS NULL) AS before FROM spans)""",
-        """tokens AS (SELECT doc_id, para_idx, anchor_id, a, b FROM edges WHERE b > a
-                      UNION ALL SELECT doc_id, para_idx, NULL, coalesce(before, p0), a FROM edges JOIN paras USING (doc_id, para_idx) WHERE a > coalesce(before, p0))"""),
+    "paragraph_tokens": _sentences(_TOKENS, *_PARAGRAPHS),
+    "paragraph_tokens_joined": _sentences(f"""SELECT *, CASE WHEN is_sentence AND substring(anchor_id, 3)::INT % 3 != 0
+        THEN ['source-ai', 'source-coder-a', 'source-coder-b', 'source-coders-both', 'source-ai-and-a', 'source-ai-and-b', 'source-ai-and-both'][substring(anchor_id, 3)::INT % 7 + 1] ELSE '' END AS source_class FROM ({_TOKENS})""", *_PARAGRAPHS),
     "run_strategy": _sentences(f"""SELECT doc_id, kind, 'c1' AS category, subcategory, strength::BIGINT AS strength, count(*) AS n FROM (
         SELECT DISTINCT doc_id, lower({_key('line')}) AS k, CASE WHEN r = 0 THEN 'Risk' ELSE 'Risk Mitigation' END AS kind, CASE WHEN r = 0 THEN 's1' ELSE 's2' END AS subcategory, CASE WHEN r = 1 THEN 2 END AS strength
         FROM (SELECT *, CASE WHEN regexp_matches(line, '(?i)tion') THEN 0 WHEN regexp_matches(line, '(?i)ment') THEN 1 END AS r

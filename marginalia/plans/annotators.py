@@ -9,9 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import bound, computed
+from ..scratch import settled
 from .prompts import ANSWER
 
 OK, ERROR, TRUNCATED, EMPTY = "ok", "refused", "truncated", "empty"
@@ -34,16 +36,28 @@ def parse_reply(rows: DataFrame, raw: str = "raw_response", schema: str = ANSWER
 def annotations_of(parsed: DataFrame) -> DataFrame:
     """doc_id, seq, sentence and labels of parsed replies, numbered by chunk and place."""
     rows = parsed.select("doc_id", "chunk_id", F.posexplode("answer.annotations").alias("at", "a")).select("doc_id", "chunk_id", "at", "a.*")
-    number = F.regexp_extract("chunk_id", "([0-9]+)$", 1).cast("long") * 100_000 + F.col("at")
+    number = F.shiftleft(F.regexp_extract("chunk_id", "([0-9]+)$", 1).cast("long"), 31) + F.col("at")  # a place is an int
     return rows.withColumn("seq", number).drop("chunk_id", "at")
 
 
 class Annotator:
-    """chunks (doc_id, chunk_id, text) -> doc_id, chunk_id, raw_response."""
+    """chunks (doc_id, chunk_id, text) -> doc_id, chunk_id, raw_response.
+
+    ``reply`` gives the answer as a Column of a chunk's text and id, if it can be had within the row.
+    """
 
     def annotate(self, chunks: DataFrame, prompt: str) -> DataFrame:
         raise NotImplementedError
 
+    def reply(self, text: Column, chunk: Column) -> Column | None:
+        return None
+
+
+def _stopped(content: Column) -> Column:
+    """A complete raw reply with this content."""
+    choice = F.struct(F.lit("stop").alias("finish_reason"), F.struct(content.alias("content")).alias("message"))
+    return F.to_json(F.struct(F.array(choice).alias("choices")))
+
 
 class RuleAnnotator(Annotator):
     """Labels each line of a chunk by the first rule (pattern, kind, category, subcategory, strength) that it matches."""
@@ -51,19 +65,20 @@ class RuleAnnotator(Annotator):
     def __init__(self, rules: list[tuple[str, str, str, str, int | None]]):
         self.rules = rules
 
-    def label(self, text: F.Column) -> F.Column:
+    def label(self, text: Column) -> Column:
         out = F.lit(None).cast("struct<kind:string,category:string,subcategory:string,strength:int>")
         for pattern, kind, category, subcategory, strength in reversed(self.rules):
             own = F.struct(F.lit(kind).alias("kind"), F.lit(category).alias("category"), F.lit(subcategory).alias("subcategory"), F.lit(strength).cast("int").alias("strength"))
             out = F.when(text.rlike(f"(?iu){pattern}"), own).otherwise(out)
         return out
 
-    def annotate(self, chunks: DataFrame, prompt: str = "") -> DataFrame:
-        found = F.filter(F.transform(F.split("text", "\n"), lambda x: F.struct(x.alias("sentence"), self.label(x).alias("l"))), lambda x: x["l"].isNotNull())
+    def reply(self, text: Column, chunk: Column) -> Column:
+        found = F.filter(F.transform(F.split(text, "\n"), lambda x: F.struct(x.alias("sentence"), self.label(x).alias("l"))), lambda x: x["l"].isNotNull())
         flat = F.transform(found, lambda x: F.struct(x["sentence"].alias("sentence"), *(x["l"][c].alias(c) for c in ("kind", "category", "subcategory", "strength"))))
-        content = F.to_json(F.struct(flat.alias("annotations")))
-        reply = F.to_json(F.struct(F.array(F.struct(F.lit("stop").alias("finish_reason"), F.struct(content.alias("content")).alias("message"))).alias("choices")))
-        return chunks.select("doc_id", "chunk_id", reply.alias("raw_response"))
+        return _stopped(F.to_json(F.struct(flat.alias("annotations"))))
+
+    def annotate(self, chunks: DataFrame, prompt: str = "") -> DataFrame:
+        return chunks.select("doc_id", "chunk_id", self.reply(F.col("text"), F.col("chunk_id")).alias("raw_response"))
 
 
 class PhaseRules(RuleAnnotator):
@@ -77,27 +92,31 @@ class PhaseRules(RuleAnnotator):
         super().__init__(rules)
         self.about, self.passage, self.idle = (f"(?iu){x}" for x in (about, passage, idle))
 
-    def annotate(self, chunks: DataFrame, prompt: str = "") -> DataFrame:
+    def reply(self, text: Column, chunk: Column) -> Column:
         named = r"(?s)^(?:target: )?\[(s-[0-9]+)\] (.*?)(?:\nsummary: .*)?$"
-        cut = lambda x: F.struct(F.regexp_extract(x, named, 1).alias("a"), F.regexp_extract(x, named, 2).alias("t"))
-        rows = chunks.withColumn("_x", F.transform(F.split("text", r"\n\n(?=target: \[s-[0-9]+\] )|\n(?=\[s-[0-9]+\] )"), cut))
-        rows = rows.withColumn("_x", F.filter(F.transform("_x", lambda x: F.struct(x["a"].alias("a"), x["t"].alias("t"), self.label(x["t"]).alias("l"))), lambda x: x["a"] != ""))
-        some = lambda pattern: F.filter("_x", lambda x: x["t"].rlike(pattern))
-        each = lambda xs, *cols: F.transform(xs, lambda x: F.struct(x["a"].alias("anchor_id"), *(x["l"][c].alias(c) for c in cols)))
-        met = F.filter("_x", lambda x: x["l"].isNotNull())
-        after = lambda i: F.coalesce(F.get("_x", i + 1)["a"], F.get("_x", i)["a"])
-        begun = F.filter(F.transform("_x", lambda x, i: F.struct(x["a"].alias("start_anchor"), after(i).alias("end_anchor"), F.concat(F.lit("topic "), x["a"]).alias("topic_summary"),
-                                                                 x["t"].rlike(self.passage).alias("on"))), lambda x: x["on"])
-        context = F.transform("_x", lambda x: F.struct(x["a"].alias("anchor_id"), (~x["t"].rlike(self.idle)).alias("keep"), F.lit("rule").alias("reason")))
-        json = lambda xs, name="verdicts": F.to_json(F.struct(xs.alias(name)))
-        phase = F.regexp_replace("chunk_id", "^p[0-9][ab]?_", "")
-        content = (
+
+        def one(x: Column) -> Column:
+            said = F.regexp_extract(x, named, 2)
+            return bound(said, lambda t: F.struct(F.regexp_extract(x, named, 1).alias("a"), t.alias("t"), self.label(t).alias("l")))
+
+        cut = F.split(text, r"\n\n(?=target: \[s-[0-9]+\] )|\n(?=\[s-[0-9]+\] )")
+        return bound(F.filter(F.transform(cut, one), lambda x: x["a"] != ""), lambda xs: self._answer(xs, chunk))
+
+    def _answer(self, xs: Column, chunk: Column) -> Column:
+        some = lambda pattern: F.filter(xs, lambda x: x["t"].rlike(pattern))
+        each = lambda of, *cols: F.transform(of, lambda x: F.struct(x["a"].alias("anchor_id"), *(x["l"][c].alias(c) for c in cols)))
+        met = F.filter(xs, lambda x: x["l"].isNotNull())
+        after = lambda i: F.coalesce(F.get(xs, i + 1)["a"], F.get(xs, i)["a"])
+        begun = F.filter(F.transform(xs, lambda x, i: F.struct(x["a"].alias("start_anchor"), after(i).alias("end_anchor"), F.concat(F.lit("topic "), x["a"]).alias("topic_summary"),
+                                                               x["t"].rlike(self.passage).alias("on"))), lambda x: x["on"])
+        context = F.transform(xs, lambda x: F.struct(x["a"].alias("anchor_id"), (~x["t"].rlike(self.idle)).alias("keep"), F.lit("rule").alias("reason")))
+        json = lambda of, name="verdicts": F.to_json(F.struct(of.alias(name)))
+        phase = F.regexp_replace(chunk, "^p[0-9][ab]?_", "")
+        return _stopped(
             F.when(phase.isin("candidates", "outside_mentions"), json(each(some(self.about)))).when(phase == "passages", json(begun, "passages"))
-            .when(phase == "context_filter", json(context)).when(phase == "kind", json(each("_x", "kind"))).when(phase == "strength", json(each(met, "strength")))
+            .when(phase == "context_filter", json(context)).when(phase == "kind", json(each(xs, "kind"))).when(phase == "strength", json(each(met, "strength")))
             .otherwise(json(each(met, "category", "subcategory")))
         )
-        reply = F.to_json(F.struct(F.array(F.struct(F.lit("stop").alias("finish_reason"), F.struct(content.alias("content")).alias("message"))).alias("choices")))
-        return rows.select("doc_id", "chunk_id", reply.alias("raw_response"))
 
 
 class CallAnnotator(Annotator):
@@ -136,3 +155,16 @@ def annotate_cached(annotator: Annotator, chunks: DataFrame, prompt: str, versio
     fresh.withColumn("version_id", F.lit(version)).write.mode("append").parquet(path)
     kept = spark.read.parquet(path).where(F.col("version_id") == version)
     return kept.join(keyed.select("doc_id", "chunk_id", "input_hash"), ["doc_id", "chunk_id", "input_hash"], "left_semi")
+
+
+def replied(annotator: Annotator, rows: DataFrame, prompt: str, version: str = "", folder: str | None = None) -> DataFrame:
+    """``rows`` (doc_id, chunk_id, text and more; one chunk a document) with ``raw_response``, null where the text is empty.
+
+    Within the row if the annotator can and nothing is to be kept; else from the settled replies, which are small beside the rows.
+    """
+    own = None if folder else annotator.reply(F.col("text"), F.col("chunk_id"))
+    if own is not None:
+        return computed(rows, raw_response=F.when(F.col("text") != "", own))
+    chunks = rows.select("doc_id", "chunk_id", "text").where("text != ''")
+    raw = annotate_cached(annotator, chunks, prompt, version, folder) if folder else settled(annotator.annotate(chunks, prompt))
+    return rows.join(raw.select("doc_id", "raw_response"), "doc_id", "left")

@@ -51,14 +51,13 @@ def run_strategy(docs: DataFrame, strategy: Strategy, annotator: Annotator, taxo
     The single workflow asks once for each chunk, which is made within its document's row; hits are found only for chunkers that need
     them.  A phased workflow asks phase by phase about numbered sentences (see ``plans.workflows``) and keeps replies under ``folder``.
     """
-    sentences = build_index(docs)
+    sentences, arrays = build_index(docs), sentence_arrays(docs)
     if strategy.workflow == "single":
         wanted = keywords or [] if strategy.chunker.startswith("keyword") else None
-        chunks = chunk_rows(sentence_arrays(docs), strategy.chunker, wanted, **strategy.chunker_params)
+        chunks = chunk_rows(arrays, strategy.chunker, wanted, **strategy.chunker_params)
         rows = annotations_of(parse_reply(annotator.annotate(chunks, prompt)))
     else:
-        sentences = settled(sentences)
-        rows = WORKFLOWS[strategy.workflow](sentences, Phases(annotator, taxonomy, rubric, rules, folder, strategy.id))
+        rows = settled(WORKFLOWS[strategy.workflow](arrays, Phases(annotator, taxonomy, rubric, rules, folder, strategy.id)))
         chunks = numbered(sentences).withColumn("chunk_id", chunk_id(F.lit(0)))
     valid, reasons = validate_annotations(dedupe_annotations(rows), taxonomy)
     run = Run(sentences, chunks, valid, reasons)

@@ -45,9 +45,12 @@ def spread(rows: DataFrame) -> DataFrame:
 
 
 def read_html(spark: SparkSession, path: str, aliases: dict[str, str] | None = None) -> DataFrame:
-    """doc_id, company, year, html of ``<company>_<year>.htm`` files; other names are left out."""
+    """doc_id, company, year, html of ``<company>_<year>.htm`` files; other names are left out.
+
+    A folder of that name, plain or as Spark writes partitions (``file=<name>``), may stand for the file that it holds.
+    """
     files = spark.read.text(path, wholetext=True).select(F.col("value").alias("html"), F.input_file_name().alias("path"))
-    name = F.regexp_extract("path", r"([^/]+)\.html?$", 1)
+    name = F.regexp_extract("path", r"/(?:[^/=]*=)?([^/=]+)\.html?(?:/[^/]*)?$", 1)
     company, year = doc_slug(name, aliases)
     return files.select(F.concat_ws("_", company, year.cast("string")).alias("doc_id"), company.alias("company"), year.alias("year"), "html").where("company is not null")
 
@@ -114,7 +117,7 @@ def read_two_coders(spark: SparkSession, path: str, companies: dict[str, str]) -
 
     columns = ["company", "company_slug", "coder", "seq", *SHARED, *BY_CODER]
     schema = ", ".join(f"{c} {'bigint' if c == 'seq' else 'string'}" for c in columns)
-    rows = spark.read.text(path, wholetext=True).mapInPandas(parse, schema).where("sentence != ''")
+    rows = spark.read.text(path, wholetext=True).select("value").mapInPandas(parse, schema).where("sentence != ''")
     return rows.select(
         "company", F.col("company").alias("company_display"), "company_slug", F.col("year").cast("int").alias("year"), "ai_term", "coder", "coder_name", "sentence",
         normalize_kind(F.col("kind")).alias("kind"), "subcategory", to_strength(F.col("strength")).alias("strength"), "discrepancy_type", "explanation", "seq",

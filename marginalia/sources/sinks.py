@@ -13,10 +13,13 @@ def write_table(rows: DataFrame, folder: str, name: str, by: tuple[str, ...] = (
     rows.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(*by).format(form).save(f"{folder}/{name}")
 
 
-def append_meta(spark: SparkSession, folder: str, **run) -> None:
-    """A row of run metadata, stamped with the current time."""
-    row = spark.createDataFrame([{**run, "created_at": None}], META).withColumn("created_at", F.current_timestamp())
-    row.write.mode("append").parquet(f"{folder}/run_meta")
+def append_meta(spark: SparkSession, folder: str, rows: DataFrame | None = None, **run) -> None:
+    """Run metadata, one run by keywords or many as ``rows`` with some of the columns, stamped with the current time."""
+    if rows is None:
+        rows = spark.createDataFrame([{**run, "created_at": None}], META)
+    known = dict(part.rsplit(" ", 1) for part in META.split(", ") if " " in part)
+    cols = [(F.col(c) if c in rows.columns else F.lit(None)).cast(kind).alias(c) for c, kind in known.items() if c != "created_at"]
+    rows.select(*cols, F.current_timestamp().alias("created_at")).write.mode("append").parquet(f"{folder}/run_meta")
 
 
 def write_csv(rows: DataFrame, folder: str) -> None:

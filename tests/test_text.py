@@ -5,9 +5,11 @@ from pyspark.sql import functions as F
 
 from marginalia.functions import text as T
 from marginalia.functions.arrays import computed, running_starts
-from marginalia.functions.html import extract_html, visible_text
+from marginalia.functions.html import decode_entities, extract_html, visible
 from marginalia.operators.sentences import build_index
 
+from pages import visible_text
+
 
 def one(spark, fn, value):
     return spark.createDataFrame([(value,)], "x string").select(fn(F.col("x")).alias("y")).first().y
@@ -82,6 +84,31 @@ def test_html(spark):
     assert visible_text(None) == ""
 
 
+PIECES = (
+    "<p> </p> <div> </div> <b> </b> <table> </table> <tr> <td> </td> <li> </li> <ul> </ul> <br> <br/> <hr> <option> <select> </select> <dl> <dt> <dd> </dl> <section hidden> </section> <h2> </h2>"
+    " <span_style='x:y;_display_:_none'> </span> <i_aria-hidden=true> </i> <p_HIDDEN> <div_title='a>b'> <ix:hidden> </ix:hidden> <svg/> <div/> <!--_<p>_--> <script>var_a='<p>';</script> <button> </button>"
+    " word two_words 12 &amp; &#8217; &#x41; &ampx &nosuch; &eacute; &notit; &#150; &#0; a_<_b \n _ <a_href=x> </a> </nothing> é😀 <td_hidden> <FORM> </form>"
+).split()
+
+
+def test_pages_as_a_parser_reads_them(spark, sf):
+    """Random and broken pages, the given ones, and those as the query rewrites them, against the standard library's parser."""
+    rng = random.Random(11)
+    soup = ["".join(rng.choice(PIECES).replace("_", " ") for _ in range(rng.randrange(1, 200))) for _ in range(250)]
+    given = [r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()]
+    odd = [None, "", "<", "<p", "a<p>b</p", "<p>" * 300 + "x", "<b>" * 200 + "y" + "</b>" * 100 + "z", "<div hidden>" * 50 + "in" + "</div>" * 50 + "out", "x" * 5000 + "<p>" + "y" * 5000]
+    pages = soup + given + odd
+    df = spark.createDataFrame(list(enumerate(pages)), "i int, html string").repartition(4)
+    got = {r.i: r.t for r in df.select("i", decode_entities(visible(F.col("html"))).alias("t")).collect()}
+    for i, page in enumerate(pages):
+        assert got[i].rstrip("\n") == visible_text(page).rstrip("\n"), page
+
+
+def test_no_page_leaves_the_jvm(spark):
+    df = spark.createDataFrame([("<p>a",)], "html string").select(extract_html(F.col("html")).alias("t"))
+    assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_small_functions(spark):
     assert one(spark, T.clean_label, " a ;; ") == "a"
     assert [one(spark, T.normalize_kind, k) for k in ("Mitigation", "RISK", "risk mitigation", "x ")] == ["Risk Mitigation", "Risk", "Risk Mitigation", "x"]

@@ -132,6 +132,11 @@ def anchor_id(index: Column) -> Column:
     return F.format_string("s-%05d", index.cast("int"))
 
 
+def anchor_place(anchor: Column) -> Column:
+    """The place that an anchor names; null for what is no anchor."""
+    return F.when(anchor.rlike("^s-([0-9]{5}|[1-9][0-9]{5,8})$"), F.substr(anchor, F.lit(3)).cast("int"))
+
+
 def chunk_id(index: Column) -> Column:
     return F.format_string("chunk_%04d", index.cast("int"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import computed
@@ -55,38 +55,36 @@ def _grams(rows: DataFrame, text: str, *keep: str) -> DataFrame:
     )
     rows = rows.withColumn("n_own", F.when(F.size("_w") > 0, F.size("_w")).otherwise(F.size("_m")))
     each = "concat(transform(_w, x -> named_struct('g', x, 'own', true)), transform(_m, x -> named_struct('g', x, 'own', size(_w) = 0)))"
-    return rows.select(*keep, "n_own", F.explode(F.expr(each)).alias("x")).select(*keep, "n_own", "x.g", "x.own").repartition("doc_id", "g")
-
-
-def _by_rarest(inner: DataFrame, outer: DataFrame, name: str, length: str, other: str, longer: str, often: str) -> DataFrame:
-    """(doc_id, d, i) of strings of ``inner`` and those of ``outer`` that have its rarest own gram; strings with an own gram that ``outer`` lacks have none.
-
-    ``inner`` and ``outer`` have the grams that both sides share, and how often; a gram of more than ``SPLIT`` outer strings is dealt out.
-    """
-    own = inner.where("own").groupBy("doc_id", name).agg(F.min(F.struct(often, "g")).alias("r"), F.count(F.lit(1)).alias("met"), F.first(length).alias(length), F.first("n_own").alias("n_own"))
-    own = own.where("met = n_own").select("doc_id", name, length, "r.g", F.col(f"r.{often}").alias("_often"))
-    theirs = outer.select("doc_id", "g", other, longer, F.col(often).alias("_often"))
-    fits = F.col(longer).between(F.col(length), RATIO * F.col(length))
-    light = own.where(F.col("_often") <= SPLIT).drop("_often").join(theirs.drop("_often"), ["doc_id", "g"]).where(fits)
-    parts = F.expr(f"cast(_often div {SPLIT} as int)")
-    salted = theirs.where(F.col("_often") > SPLIT).withColumn("_salt", F.pmod(F.xxhash64(other), parts + 1).cast("int")).drop("_often")
-    heavy = own.where(F.col("_often") > SPLIT).withColumn("_salt", F.explode(F.sequence(F.lit(0), parts))).drop("_often").join(salted, ["doc_id", "g", "_salt"]).where(fits)
-    return light.select("doc_id", "d", "i").unionByName(heavy.select("doc_id", "d", "i"))
+    return rows.select(*keep, "n_own", F.explode(F.expr(each)).alias("x")).select(*keep, "n_own", "x.g", "x.own")
 
 
 def _candidates(left: DataFrame, near: DataFrame) -> DataFrame:
-    """(doc_id, d, i) of a left key (d, key) and a distinct sentence (i, k), in either of which the other may lie; none that does is missing.
+    """(q, doc_id, i) of a left key (q, doc_id, key) and a distinct sentence (doc_id, i, k), in either of which the other may lie; none that does is missing.
 
-    Either side's strings are looked up by that of their own grams which the fewest strings of the other side have in this document.
+    Strings of either side are looked up by that of their own grams which the fewest strings of the other side have in this document, if
+    the other side has all of them.  Only numbers are shuffled: once to count grams by side, once to choose, once to meet.  A gram
+    that more than ``SPLIT`` strings of a side have is dealt out over parts, which is planned for only if there is one.
     """
-    a = _grams(left.withColumn("n", F.length("key")), "key", "doc_id", "d", "n")
-    b = _grams(near.withColumn("m", F.length("k")), "k", "doc_id", "i", "m")
-    count = lambda rows, name: rows.groupBy("doc_id", "g").agg(F.count(F.lit(1)).alias(name))
-    often = count(a, "keys").join(count(b, "lines"), ["doc_id", "g"])
-    a, b = a.join(often, ["doc_id", "g"]), b.join(often, ["doc_id", "g"])
-    within = _by_rarest(a, b, "d", "n", "i", "m", "lines")
-    around = _by_rarest(b, a, "i", "m", "d", "n", "keys")
-    return within.unionByName(around).distinct()
+    side = lambda rows, of, text, is_key: _grams(rows.select("doc_id", F.col(of).cast("long").alias("id"), F.length(text).alias("n"), F.lit(is_key).alias("is_key"), text), text, "doc_id", "id", "n", "is_key")
+    both = side(left, "q", "key", True).unionByName(side(near, "i", "k", False))
+    have = Window.partitionBy("doc_id", "g")
+    both = both.withColumn("keys", F.count_if("is_key").over(have)).withColumn("lines", F.count_if(~F.col("is_key")).over(have)).where("keys > 0 and lines > 0")
+    both = both.withColumn("peers", F.when(F.col("is_key"), F.col("keys")).otherwise(F.col("lines"))).withColumn("others", F.col("keys") + F.col("lines") - F.col("peers"))
+    met = settled(both.select("doc_id", "g", "id", "n", "is_key", "own", "n_own", "peers", "others"))
+
+    one = met.where("own").groupBy("doc_id", "id", "is_key").agg(F.min(F.struct("others", "g")).alias("r"), F.count(F.lit(1)).alias("m"), F.first("n").alias("n"), F.first("n_own").alias("n_own"))
+    one = one.where("m = n_own").select("doc_id", "r.g", F.col("id").alias("id1"), F.col("n").alias("n1"), F.col("is_key").alias("key1"), F.col("r.others").alias("many"))
+    other = met.select("doc_id", "g", "id", "n", "is_key", F.col("peers").alias("many"))
+    fits = (F.col("key1") != F.col("is_key")) & F.col("n").between(F.col("n1"), RATIO * F.col("n1"))
+    key, line = F.when(F.col("key1"), F.col("id1")).otherwise(F.col("id")).alias("q"), F.when(F.col("key1"), F.col("id")).otherwise(F.col("id1")).alias("i")
+    pairs = lambda a, b, *on: a.drop("many").join(b.drop("many"), ["doc_id", "g", *on]).where(fits).select(key, "doc_id", line)
+    most = met.agg(F.max("peers")).first()[0] or 0
+    if most <= SPLIT:
+        return pairs(one, other).distinct()
+    parts, rare, common = F.expr(f"cast(many div {SPLIT} as int)"), F.col("many") <= SPLIT, F.col("many") > SPLIT
+    dealt = other.where(common).withColumn("salt", F.pmod(F.xxhash64("id"), parts + 1).cast("int"))
+    asked = one.where(common).withColumn("salt", F.explode(F.sequence(F.lit(0), parts)))
+    return pairs(one.where(rare), other.where(rare)).unionByName(pairs(asked, dealt, "salt")).distinct()
 
 
 def find_anchors(queries: DataFrame, sentences: DataFrame, key_col: str = "sentence") -> DataFrame:
@@ -100,22 +98,20 @@ def find_anchors(queries: DataFrame, sentences: DataFrame, key_col: str = "sente
     distinct = keyed.groupBy("doc_id", _digest("k").alias("d")).agg(F.min("sentence_idx").alias("i1"))
     asked = queries.select("doc_id", match_key(F.col(key_col)).alias("key")).where("key != ''")
     asked = asked.groupBy("doc_id", _digest("key").alias("d")).agg(F.first("key").alias("key"))
-    tried = settled(asked.join(distinct, ["doc_id", "d"], "left"))
-    hit = lambda rows, index, stage: rows.select("doc_id", "key", F.col(index).alias("sentence_idx"), F.lit(stage).alias("stage"))
-    found = hit(tried.where("i1 is not null"), "i1", "exact")
+    tried = asked.join(distinct, ["doc_id", "d"], "left")
 
     head = lambda c: _digest(F.substring(c, 1, PREFIX)).alias("h")
     by_head = keyed.where(F.length("k") >= PREFIX).groupBy("doc_id", head("k")).agg(F.min("sentence_idx").alias("i2"))
-    rest = tried.where("i1 is null and length(key) > 0").select("doc_id", "d", "key")
-    long = rest.where(F.length("key") >= PREFIX).select("doc_id", "d", "key", head("key")).join(by_head, ["doc_id", "h"], "left")
-    found = found.unionByName(hit(long.where("i2 is not null"), "i2", "prefix"))
+    unmet = F.when(F.col("i1").isNull() & (F.length("key") >= PREFIX), head("key"))
+    tried = settled(tried.withColumn("h", unmet).join(by_head, ["doc_id", "h"], "left").select("doc_id", "key", "i1", "i2", F.monotonically_increasing_id().alias("q")))
+    hit = lambda rows, index, stage: rows.select("doc_id", "key", F.col(index).alias("sentence_idx"), F.lit(stage).alias("stage"))
+    found = hit(tried.where("i1 is not null"), "i1", "exact").unionByName(hit(tried.where("i2 is not null"), "i2", "prefix"))
 
-    left = rest.where((F.length("key") > LEAST) & (F.length("key") < PREFIX)).unionByName(long.where("i2 is null").select("doc_id", "d", "key"))
-    left = settled(left)  # what is left is read by three joins
+    left = tried.where((F.length("key") > LEAST) & F.col("i1").isNull() & F.col("i2").isNull()).select("q", "doc_id", "key")
     firsts = distinct.join(left.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.col("i1").alias("sentence_idx"))
-    near = settled(keyed.where(F.length("k") > LEAST).join(firsts, ["doc_id", "sentence_idx"]).select("doc_id", F.col("sentence_idx").alias("i"), "k"))
-    met = _candidates(left, near).join(left, ["doc_id", "d"]).join(near, ["doc_id", "i"]).where(F.contains(F.col("k"), F.col("key")) | F.contains(F.col("key"), F.col("k")))
-    part = met.groupBy("doc_id", "d").agg(F.first("key").alias("key"), F.min("i").alias("i3"))
+    near = settled(keyed.where(F.length("k") > LEAST).join(firsts, ["doc_id", "sentence_idx"]).select("doc_id", F.col("sentence_idx").cast("long").alias("i"), "k"))
+    met = _candidates(left, near).join(left, ["q", "doc_id"]).join(near, ["doc_id", "i"]).where(F.contains(F.col("k"), F.col("key")) | F.contains(F.col("key"), F.col("k")))
+    part = met.groupBy("q", "doc_id").agg(F.first("key").alias("key"), F.min("i").cast("int").alias("i3"))
     return found.unionByName(hit(part, "i3", "containment")).withColumn("anchor_id", F.format_string("s-%05d", "sentence_idx"))
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import computed
-from ..functions.text import anchor_id, chunk_id
+from ..functions.text import anchor_id, anchor_place, chunk_id
 from .keywords import pattern_of
 
 
@@ -133,11 +133,26 @@ def context_window(rows: DataFrame, key: str, order: str, line: str, before: int
     return rows.withColumn("_near", near).withColumn("context", F.array_join(F.transform("_near", mark), "\n")).drop("_near")
 
 
+def passage_stretches(passages: DataFrame, sentences: DataFrame) -> DataFrame:
+    """Passages (doc_id, passage, start_anchor, end_anchor, topic_summary) as disjoint stretches: doc_id, lo, hi, topic_summary.
+
+    Reversed ends are swapped, passages with unknown ends go, and where passages overlap the last one's summary holds.  A document's
+    ends are sorted in its row; between two of them the same passages hold, so that a passage of n sentences is never n rows.
+    """
+    ends = [anchor_place(F.col(c)) for c in ("start_anchor", "end_anchor")]
+    found = passages.select("doc_id", "passage", "topic_summary", *(e.alias(c) for e, c in zip(ends, "ab"))).where("a is not null and b is not null")
+    one = F.struct("passage", F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"), "topic_summary")
+    last = sentences.groupBy("doc_id").agg(F.max("sentence_idx").alias("_last"))
+    rows = found.groupBy("doc_id").agg(F.array_sort(F.collect_list(one)).alias("_all")).join(last, "doc_id")
+    over = "filter(_p, p -> p.lo <= x and x <= p.hi)"
+    rows = computed(
+        rows, _p="filter(_all, p -> p.hi <= _last)", _x="array_sort(array_distinct(flatten(transform(_p, p -> array(p.lo, p.hi + 1)))))",
+        _s=f"filter(transform(_x, (x, j) -> named_struct('lo', x, 'hi', _x[j + 1] - 1, 'p', try_element_at({over}, -1))), s -> s.p is not null)".replace("_x[j + 1]", "get(_x, j + 1)"),
+    )
+    return rows.select("doc_id", F.explode("_s").alias("s")).select("doc_id", "s.lo", "s.hi", "s.p.topic_summary")
+
+
 def passage_members(passages: DataFrame, sentences: DataFrame) -> DataFrame:
-    """Sentences within passages (doc_id, passage, start_anchor, end_anchor, topic_summary): reversed ends are swapped,
-    passages with unknown ends go, and where passages overlap the last one's summary holds."""
-    at = lambda end: sentences.select("doc_id", F.col("anchor_id").alias(f"{end}_anchor"), F.col("sentence_idx").alias(end))
-    found = passages.join(at("start"), ["doc_id", "start_anchor"]).join(at("end"), ["doc_id", "end_anchor"])
-    each = found.select("doc_id", "passage", "topic_summary", F.explode(F.sequence(F.least("start", "end"), F.greatest("start", "end"))).alias("sentence_idx"))
-    last = each.groupBy("doc_id", "sentence_idx").agg(F.max_by("topic_summary", "passage").alias("topic_summary"))
-    return last.join(sentences.select("doc_id", "sentence_idx", "anchor_id"), ["doc_id", "sentence_idx"])
+    """The sentences (a whole index) within passages: doc_id, sentence_idx, topic_summary, anchor_id; see :func:`passage_stretches`."""
+    each = passage_stretches(passages, sentences).select("doc_id", F.explode(F.sequence("lo", "hi")).alias("sentence_idx"), "topic_summary")
+    return each.withColumn("anchor_id", anchor_id(F.col("sentence_idx")))

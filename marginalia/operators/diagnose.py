@@ -30,26 +30,32 @@ def missed_anchors(cards: DataFrame) -> DataFrame:
     return some.where("side = 'human'").select(*ID).distinct().join(some.where("side = 'ai'").select(*ID).distinct(), ID, "left_anti")
 
 
-def _last(verdicts: DataFrame, column: str, name: str) -> DataFrame:
-    return verdicts.groupBy(*ID).agg(F.max_by(column, "seq").alias(name), F.lit(True).alias(f"{name}_seen"))
-
-
-def _listed(verdicts: DataFrame, name: str) -> DataFrame:
-    return verdicts.select(*ID).distinct().withColumn(name, F.lit(True))
+def _folded(**tables: DataFrame) -> DataFrame:
+    """Verdicts of all phases by (doc_id, anchor_id) in one aggregation: for each table its last row (by ``seq``, if it has one) as a struct, null without any."""
+    own = {name: [c for c in df.columns if c not in (*ID, "seq")] for name, df in tables.items()}
+    kinds = {name: ", ".join(f"{c}: {dict(df.dtypes)[c]}" for c in own[name]) for name, df in tables.items()}
+    out = None
+    for name, df in tables.items():
+        said = F.struct(*own[name], F.lit(True).alias("seen"))
+        cells = [said.alias(n) if n == name else F.lit(None).cast(f"struct<{kinds[n]}{', ' * bool(kinds[n])}seen: boolean>").alias(n) for n in tables]
+        part = df.select(*ID, (F.col("seq") if "seq" in df.columns else F.lit(0)).cast("long").alias("seq"), *cells)
+        out = part if out is None else out.unionByName(part)
+    last = [F.max_by(n, F.when(F.col(n).isNotNull(), F.col("seq"))).alias(n) for n in tables]
+    return out.groupBy(*ID).agg(*last)
 
 
 def diagnose_passages(missed: DataFrame, sentences: DataFrame, passages: DataFrame, mentions: DataFrame, context: DataFrame,
                       kinds: DataFrame, risk_cats: DataFrame, mit_cats: DataFrame) -> DataFrame:
     """Adds ``diagnosis`` for the six-phase run; where passages overlap the last one's summary counts, as in the run."""
-    rows = missed.join(passage_members(passages, sentences).select(*ID, "topic_summary"), ID, "left").join(_listed(mentions, "_mention"), ID, "left")
-    verdict = context.groupBy(*ID).agg(F.max_by(F.struct(F.coalesce("keep", F.lit(False)).alias("keep"), "reason"), "seq").alias("_v"))
-    rows = rows.join(verdict, ID, "left").join(_last(kinds, "kind", "_kind"), ID, "left")
-    rows = rows.join(_listed(risk_cats.select(*ID).unionAll(mit_cats.select(*ID)), "_cat"), ID, "left")
+    members = passage_members(passages, sentences).select(*ID, "topic_summary")
+    judged = context.select(*ID, "seq", F.coalesce("keep", F.lit(False)).alias("keep"), "reason")
+    listed = risk_cats.select(*ID).unionAll(mit_cats.select(*ID))
+    rows = missed.join(_folded(_p=members, _mention=mentions.select(*ID), _v=judged, _k=kinds.select(*ID, "seq", "kind"), _cat=listed), ID, "left")
+    kind = F.col("_k.kind")
     reason = F.concat(F.lit(DROPPED), F.btrim(F.coalesce("_v.reason", F.lit(""))), F.lit('"'))
     said = (
-        F.when((F.coalesce("topic_summary", F.lit("")) == "") & F.col("_mention").isNull(), OUTSIDE).when(F.col("_v").isNull(), NO_CONTEXT)
-        .when(~F.col("_v.keep"), reason).when(F.col("_kind").isNull() & F.col("_kind_seen").isNull(), NO_KIND)
-        .when(~F.coalesce(F.col("_kind").isin(*KINDS), F.lit(False)), F.when(F.col("_kind").isNull(), NO_KIND).otherwise(NULL_KIND))
+        F.when((F.coalesce("_p.topic_summary", F.lit("")) == "") & F.col("_mention").isNull(), OUTSIDE).when(F.col("_v").isNull(), NO_CONTEXT)
+        .when(~F.col("_v.keep"), reason).when(kind.isNull(), NO_KIND).when(~kind.isin(*KINDS), NULL_KIND)
         .when(F.col("_cat").isNull(), NO_CATEGORY).otherwise(OTHER)
     )
     return rows.select(*missed.columns, said.alias("diagnosis"))
@@ -57,12 +63,13 @@ def diagnose_passages(missed: DataFrame, sentences: DataFrame, passages: DataFra
 
 def diagnose_phases(missed: DataFrame, candidates: DataFrame, kinds: DataFrame, risk_cats: DataFrame, mit_cats: DataFrame) -> DataFrame:
     """Adds ``diagnosis`` for the four-phase run."""
-    rows = missed.join(_listed(candidates, "_cand"), ID, "left").join(_last(kinds, "kind", "_kind"), ID, "left")
-    rows = rows.join(_listed(risk_cats.select(*ID).unionAll(mit_cats.select(*ID)), "_cat"), ID, "left")
-    named = F.when(F.col("_kind").isNull(), "None").otherwise(F.concat(F.lit("'"), "_kind", F.lit("'")))
+    listed = risk_cats.select(*ID).unionAll(mit_cats.select(*ID))
+    rows = missed.join(_folded(_cand=candidates.select(*ID), _k=kinds.select(*ID, "seq", "kind"), _cat=listed), ID, "left")
+    kind = F.col("_k.kind")
+    named = F.when(kind.isNull(), "None").otherwise(F.concat(F.lit("'"), kind, F.lit("'")))
     filtered = F.concat(F.lit("P2 (kind decision): Filtered as null/non-RAI (returned kind="), named, F.lit(")."))
     said = (
-        F.when(F.col("_cand").isNull(), SHORT_OUTSIDE).when(~F.coalesce(F.col("_kind").isin(*KINDS), F.lit(False)), filtered)
+        F.when(F.col("_cand").isNull(), SHORT_OUTSIDE).when(~F.coalesce(kind.isin(*KINDS), F.lit(False)), filtered)
         .when(F.col("_cat").isNull(), SHORT_CATEGORY).otherwise(SHORT_OTHER)
     )
     return rows.select(*missed.columns, said.alias("diagnosis"))

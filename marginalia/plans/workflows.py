@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import bound, computed
-from ..functions.text import anchor_id
+from ..functions.text import anchor_id, anchor_place
 from ..operators.phases import MITIGATION, RISK
 from ..scratch import settled
 from .annotators import Annotator, parse_reply, replied
@@ -23,14 +23,9 @@ from .prompts import PHASES, VERDICTS, phase_prompt
 PLACES = "array<int>"
 
 
-def place_of(anchor: Column) -> Column:
-    """The place that an anchor names; null for what is no anchor."""
-    return F.when(anchor.rlike("^s-([0-9]{5}|[1-9][0-9]{5,8})$"), F.substr(anchor, F.lit(3)).cast("int"))
-
-
 def places(verdicts: str) -> Column:
     """The distinct places of verdicts that the document has."""
-    found = F.transform(verdicts, lambda v: place_of(v["anchor_id"]))
+    found = F.transform(verdicts, lambda v: anchor_place(v["anchor_id"]))
     return F.array_distinct(F.filter(found, lambda i: i.isNotNull() & (i < F.size("_lines"))))
 
 
@@ -84,17 +79,17 @@ class Phases:
     def labelled(self, rows: DataFrame, names: tuple[str, str, str, str]) -> DataFrame:
         """The phases from the kind on, about the places ``_kept``; then the labels by row."""
         rows = self.ask(names[0], rows, about("_kept"), "_said")
-        asked = F.filter(F.transform("_said", lambda v: F.struct(place_of(v["anchor_id"]).alias("i"), v["kind"].alias("kind"))), lambda v: F.array_contains("_kept", v["i"]))
+        asked = F.filter(F.transform("_said", lambda v: F.struct(anchor_place(v["anchor_id"]).alias("i"), v["kind"].alias("kind"))), lambda v: F.array_contains("_kept", v["i"]))
         half = lambda kind: F.array_distinct(F.transform(F.filter("_kinds", lambda v: v["kind"] == kind), lambda v: v["i"]))
         rows = computed(computed(rows, _kinds=asked), _risks=half(RISK), _mits=half(MITIGATION)).drop("_said", "_kinds", "_kept")
         rows = self.ask(names[1], rows, about("_risks"), "_risk_cats")
         rows = self.ask(names[2], rows, about("_mits"), "_mit_cats")
         rows = self.ask(names[3], computed(rows, _graded=F.array_intersect(places("_mit_cats"), "_mits")), about("_graded"), "_strengths")
-        graded = F.transform("_strengths", lambda v: F.struct(place_of(v["anchor_id"]).alias("i"), v["strength"].alias("strength")))
+        graded = F.transform("_strengths", lambda v: F.struct(anchor_place(v["anchor_id"]).alias("i"), v["strength"].alias("strength")))
         rows = computed(rows, _grades=graded)
 
         def labels(cats: str, among: str, kind: str, strength) -> Column:
-            each = F.transform(cats, lambda v, seq: F.struct(place_of(v["anchor_id"]).alias("i"), v["category"].alias("category"), v["subcategory"].alias("subcategory"), seq.alias("seq")))
+            each = F.transform(cats, lambda v, seq: F.struct(anchor_place(v["anchor_id"]).alias("i"), v["category"].alias("category"), v["subcategory"].alias("subcategory"), seq.alias("seq")))
             kept = F.filter(each, lambda v: F.array_contains(among, v["i"]))
             return F.transform(kept, lambda v: F.struct(v["i"].alias("i"), F.lit(kind).alias("kind"), v["category"].alias("category"), v["subcategory"].alias("subcategory"), strength(v).alias("strength"), v["seq"].alias("seq")))
 
@@ -116,7 +111,7 @@ def passage_aware(sentences: DataFrame, run: Phases, around: int = 8) -> DataFra
     """Six phases: passages, sweep outside of them, context filter, kind, category, strength."""
     rows = run.begin(sentences)
     rows = run.ask("p1_passages", rows, F.array_join("_lines", "\n"), "_said")
-    ends = lambda v: F.struct(place_of(v["start_anchor"]).alias("a"), place_of(v["end_anchor"]).alias("b"), v["topic_summary"].alias("topic_summary"))
+    ends = lambda v: F.struct(anchor_place(v["start_anchor"]).alias("a"), anchor_place(v["end_anchor"]).alias("b"), v["topic_summary"].alias("topic_summary"))
     known = lambda p: (p["a"] < F.size("_lines")) & (p["b"] < F.size("_lines"))
     rows = computed(rows, _passages=F.filter(F.transform("_said", ends), known)).drop("_said")
     every = F.when(F.size("_lines") > 0, F.sequence(F.lit(0), F.size("_lines") - 1)).otherwise(F.array().cast(PLACES))

@@ -21,7 +21,7 @@ from .functions.html import extract_html
 from .operators import agreement, align, annotations, chunks, diagnose, evaluate, feedback, keywords, phases, render, report
 from .operators.sentences import build_index, sentence_arrays
 from .plans import lifecycle
-from .plans.annotators import PhaseRules, RuleAnnotator, annotations_of, parse_reply
+from .plans.annotators import PhaseRules, RuleAnnotator, annotations_of, parse_reply, reply_items
 from .plans.strategies import Strategy, get_strategy
 from .scratch import settled
 from .sources.files import spread
@@ -184,6 +184,13 @@ def q_keyword_hits(spark, sf_dir):
     return plain(hits.select("doc_id", "sentence_idx", "anchor_id", F.array_join(F.array_sort("matched_terms"), ",").alias("terms")))
 
 
+def q_keyword_hits_large(spark, sf_dir):
+    """Hits of a large vocabulary: every word of seven letters or more that the conversations hold."""
+    words = table(spark, sf_dir, "conversations").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{7,}"), F.lit(0))).alias("w")).distinct()
+    hits = keywords.find_hits(sentences(spark, sf_dir), [r.w for r in words.collect()])
+    return plain(hits.select("doc_id", "sentence_idx", F.lower(F.get("matched_terms", F.lit(0))).alias("first"), F.size("matched_terms").alias("_n")).drop("_n"))
+
+
 def q_coverage(spark, sf_dir):
     """The flagship: documents to sentences, hits, merged keyword windows and a summary per document."""
     return plain(lifecycle.coverage(spread(table(spark, sf_dir, "documents")), VOCABULARY, 2))
@@ -553,6 +560,18 @@ def _run_phases(version):
     return query
 
 
+def q_reply_items(spark, sf_dir):
+    """Answers of three items with odd and extra fields, every other one cut off somewhere: the whole items are kept."""
+    o = table(spark, sf_dir, "orders")
+    item = F.concat(F.lit('{"sentence":"\\"{'), "o_orderpriority", F.lit('}","kind":"Risk","strength":"'), (F.col("o_orderkey") % 4).cast("string"), F.lit('","note":[1,2]}'))
+    content = F.concat(F.lit('{"annotations":['), item, F.lit(","), item, F.lit(","), item, F.lit("]}"))
+    cut = F.when(F.col("o_orderkey") % 2 == 0, F.left(content, F.length(content) - (F.col("o_orderkey") % 150).cast("int"))).otherwise(content)
+    message = F.struct(F.when(F.col("o_orderkey") % 2 == 0, "length").otherwise("stop").alias("finish_reason"), F.struct(cut.alias("content")).alias("message"))
+    rows = reply_items(o.select("o_orderkey", F.to_json(F.struct(F.array(message).alias("choices"))).alias("raw_response")))
+    first = F.get("items", F.lit(0))
+    return plain(rows.select("o_orderkey", "status", F.size("items").alias("n"), first["sentence"].alias("sentence"), first["strength"].alias("strength"), F.array_join(first["extra"], ",").alias("extra")))
+
+
 def q_parse_replies(spark, sf_dir):
     """Replies of all four states: answered, refused, cut off, empty."""
     d = table(spark, sf_dir, "orders")
@@ -567,7 +586,7 @@ def q_parse_replies(spark, sf_dir):
 
 
 QUERIES = {
-    "html_extract": q_html_extract, "html_cases": q_html_cases, "html_nested": q_html_nested, "normalize_text": q_normalize_text, "labels_clean": q_labels_clean, "sentence_index": q_sentence_index, "keyword_hits": q_keyword_hits,
+    "html_extract": q_html_extract, "html_cases": q_html_cases, "html_nested": q_html_nested, "normalize_text": q_normalize_text, "labels_clean": q_labels_clean, "sentence_index": q_sentence_index, "keyword_hits": q_keyword_hits, "keyword_hits_large": q_keyword_hits_large,
     "coverage": q_coverage, "chunks_full": _ranges("full_doc"), "chunks_window": _ranges("keyword_window", True, window_sentences=3),
     "chunks_sentence": _ranges("keyword_per_sentence", True), "chunks_n20": _ranges("n_sentence", n_sentences=20), "chunks_n40": _ranges("n_sentence", n_sentences=40),
     "chunks_overlap": _ranges("n_sentence", n_sentences=7, stride=4), "chunks_gaps": _ranges("n_sentence", n_sentences=3, stride=5), "chunk_texts": q_chunk_texts, "chunk_texts_joined": q_chunk_texts_joined,
@@ -586,6 +605,7 @@ QUERIES = {
     "loss_buckets": q_loss_buckets, "missed_anchors": q_missed_anchors, "few_shot": q_few_shot, "annotation_rows": q_annotation_rows,
     "paragraph_tokens": q_paragraph_tokens, "paragraph_tokens_joined": q_paragraph_tokens_joined, "split_index": q_split_index, "experiment_log": q_experiment_log, "top_index": q_top_index, "ai_only": q_ai_only,
     "run_strategy": q_run_strategy, "run_sequential": _run_phases("sequential_batched"), "run_passage_aware": _run_phases("sequential_passage_aware"), "parse_replies": q_parse_replies,
+    "reply_items": q_reply_items,
 }
 
 QUERIES |= catalog_io.QUERIES

@@ -307,6 +307,15 @@ _PARAGRAPHS = (
 ORACLES = {
     "html_extract": _html(),
     "html_cases": _html_cases(),
+    "keyword_hits_large": _sentences("""SELECT doc_id, sentence_idx, arg_min(w, (p, -length(w))) AS first FROM starts JOIN words ON left(w, 7) = head AND substring(t, p, length(w)) = w GROUP BY doc_id, sentence_idx""",
+        """words AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{7,}')) AS w FROM conversations)""",
+        """places AS (SELECT doc_id, sentence_idx, lower(text) AS t, unnest(range(1, length(text) - 5)) AS p FROM s)""",
+        """starts AS (SELECT doc_id, sentence_idx, p, t, substring(t, p, 7) AS head FROM places)"""),
+    "reply_items": """WITH i AS (SELECT o_orderkey, '"{' || o_orderpriority || '}' AS sentence, o_orderkey % 4 AS strength, length(o_orderpriority) + 61 AS n FROM orders),
+        c AS (SELECT *, 16 + 3 * n + 2 + 2 AS whole, CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey % 150 ELSE 0 END AS gone FROM i),
+        k AS (SELECT *, least(3, greatest(0, (whole - gone - 16 + 1) // (n + 1))) AS items FROM c)
+        SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'truncated' ELSE 'ok' END AS status, items AS n, CASE WHEN items > 0 THEN sentence END AS sentence,
+               CASE WHEN items > 0 THEN strength END AS strength, CASE WHEN items > 0 THEN 'note' END AS extra FROM k""",
     "html_nested": _html("replace(html, '</p>', '’</p>')"),
     "normalize_text": f"SELECT doc_id, {_key('text')} AS text, lower({_key('text')}) AS key, substring({_key('text')}, 1, 140) AS excerpt FROM documents",
     "labels_clean": rf"""WITH r AS (SELECT c_custkey, c_name, {_label(_RAW_LABEL)} AS label FROM customer)

@@ -33,6 +33,33 @@ def parse_reply(rows: DataFrame, raw: str = "raw_response", schema: str = ANSWER
     return rows.withColumn("answer", F.when(F.col("status") == OK, F.from_json(content, schema))).drop("_m")
 
 
+#: An object, which may hold objects that hold none; signs within its strings are none of its own.
+_FLAT = r'[^{}"]|"(?:[^"\\]|\\.)*+"'
+ITEM = rf"\{{(?:{_FLAT}|\{{(?:{_FLAT})*+\}})*+\}}"
+FIELDS = {"sentence": "string", "kind": "string", "category": "string", "subcategory": "string", "strength": "int", "reasoning": "string"}
+
+
+def reply_items(rows: DataFrame, raw: str = "raw_response", fields: dict[str, str] | None = None) -> DataFrame:
+    """Adds ``status`` and ``items``: the whole items of an answer, also of one that was cut off, each read on its own.
+
+    A field of another type is converted if it can be, else null; ``extra`` lists the names of fields that are not among ``fields``, and
+    what has none of them is no item.
+    """
+    fields = fields or FIELDS
+
+    def item(text: Column) -> Column:
+        values = lambda v: F.struct(*(F.try_variant_get(v, f"$.{name}", kind).alias(name) for name, kind in fields.items()), extra.alias("extra"))
+        extra = F.array_except(F.coalesce(F.json_object_keys(text), F.array().cast("array<string>")), F.array(*(F.lit(f) for f in fields)))
+        known = F.size(extra) < F.size(F.array_distinct(F.json_object_keys(text)))
+        return bound(F.try_parse_json(text), lambda v: F.when(v.isNotNull() & known, values(v)))
+
+    rows = parse_reply(rows, raw).withColumn("_m", F.try_element_at(F.from_json(raw, REPLY)["choices"], F.lit(1)))
+    content = F.when(F.col("status").isin(OK, TRUNCATED), F.col("_m.message.content"))
+    listed = F.regexp_replace(F.coalesce(content, F.lit("")), r'^\s*\{\s*"[^"]*"\s*:\s*\[', "")
+    found = F.filter(F.transform(F.regexp_extract_all(listed, F.lit(ITEM), F.lit(0)), item), lambda x: x.isNotNull())
+    return computed(rows, items=found).drop("_m", "answer")
+
+
 def annotations_of(parsed: DataFrame) -> DataFrame:
     """doc_id, seq, sentence and labels of parsed replies, numbered by chunk and place."""
     rows = parsed.select("doc_id", "chunk_id", F.posexplode("answer.annotations").alias("at", "a")).select("doc_id", "chunk_id", "at", "a.*")
@@ -142,19 +169,26 @@ class CallAnnotator(Annotator):
         return chunks.select("doc_id", "chunk_id", "text").mapInPandas(run, f"doc_id {kind}, chunk_id string, raw_response string")
 
 
-def annotate_cached(annotator: Annotator, chunks: DataFrame, prompt: str, version: str, folder: str) -> DataFrame:
-    """Raw replies of all chunks; only those that the table under ``folder`` lacks are asked for, and appended."""
+def annotate_cached(annotator: Annotator, chunks: DataFrame, prompt: str, version: str, folder: str, parts: int = 1) -> DataFrame:
+    """Raw replies of all chunks; only those that the table under ``folder`` lacks are asked for, and appended.
+
+    Replies are committed in ``parts`` by a hash of the chunk, one after the other, so that a run which is cut off goes on behind the last
+    part that it committed.  Of replies that two runs have appended for one chunk, one is read.
+    """
     spark, path = chunks.sparkSession, f"{folder}/replies"
+    key = ["doc_id", "chunk_id", "input_hash"]
     keyed = chunks.withColumn("input_hash", F.sha2(F.concat(F.lit(prompt + "\x1f"), F.col("text")).cast("binary"), 256))
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     todo = keyed
     if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
-        have = spark.read.parquet(path).where(F.col("version_id") == version)
-        todo = keyed.join(have, ["doc_id", "chunk_id", "input_hash"], "left_anti")
-    fresh = annotator.annotate(todo, prompt).join(todo.select("doc_id", "chunk_id", "input_hash"), ["doc_id", "chunk_id"])
-    fresh.withColumn("version_id", F.lit(version)).write.mode("append").parquet(path)
-    kept = spark.read.parquet(path).where(F.col("version_id") == version)
-    return kept.join(keyed.select("doc_id", "chunk_id", "input_hash"), ["doc_id", "chunk_id", "input_hash"], "left_semi")
+        have = settled(spark.read.parquet(path).where(F.col("version_id") == version).select(*key))  # what is appended below is not read here
+        todo = keyed.join(have, key, "left_anti")
+    for part in range(parts):
+        own = todo.where(F.pmod(F.xxhash64("doc_id", "chunk_id"), F.lit(parts)) == part) if parts > 1 else todo
+        fresh = annotator.annotate(own, prompt).join(own.select(*key), ["doc_id", "chunk_id"])
+        fresh.withColumn("version_id", F.lit(version)).write.mode("append").parquet(path)
+    kept = spark.read.parquet(path).where(F.col("version_id") == version).groupBy(*key).agg(F.min("raw_response").alias("raw_response"))
+    return kept.join(keyed.select(*key), key, "left_semi")
 
 
 def replied(annotator: Annotator, rows: DataFrame, prompt: str, version: str = "", folder: str | None = None) -> DataFrame:

@@ -11,8 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 LOCAL_FALLBACK = "file:///tmp/checkpoints"
 
 
+_owned: set[str] = set()
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder as a URI; one is set only where there is none, and only in a local session."""
+    """The session's checkpoint folder as a URI; one is set only where there is none, and only in a local session.
+
+    Spark makes this folder for one session, below the one that is named; it is removed with all that lies in it when the driver ends.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir")
@@ -20,6 +26,10 @@ def shared_dir(spark: SparkSession) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(named or LOCAL_FALLBACK)
     found = sc.getCheckpointDir()
+    if found not in _owned:
+        _owned.add(found)
+        path = spark._jvm.org.apache.hadoop.fs.Path(found)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
     return found if "://" in found or found.startswith("file:") else f"file://{found}"
 
 

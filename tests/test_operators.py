@@ -87,6 +87,23 @@ def test_dedupe_and_validation(spark, taxonomy):
     assert sorted(r.seq for r in annotations.validate_annotations(unique, taxonomy, strict=True)[0].collect()) == [1, 3, 9]
 
 
+@pytest.mark.parametrize("whole", [False, True])
+def test_an_automaton_finds_what_an_alternation_finds(spark, whole):
+    rng = random.Random(2)
+    word = lambda n: "".join(rng.choice("abAB é-") for _ in range(n))
+    terms = [word(rng.randrange(1, 6)) for _ in range(60)] + ["ab", "abab", "b.a", "(a", "É b", " "]
+    texts = [word(rng.randrange(0, 80)) for _ in range(200)] + [None, "", "b.a (A (ab) é B"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: (r.x, r.y or []) for r in df.select("i", keywords.automaton_terms(F.col("t"), terms, whole).alias("x"), keywords.matched_terms(F.col("t"), terms, whole).alias("y")).collect()}
+    assert all(x == y for x, y in got.values()) and any(x for x, _ in got.values())
+
+
+def test_many_terms_take_the_automaton(spark):
+    s = sentence_table(spark, {1: 3}, lambda d, i: ["Term77 and term7", "nothing", "a TERM99999 b"][i])
+    hits = keywords.find_hits(s, [f"term{i}" for i in range(100_000)])
+    assert {r.sentence_idx: r.matched_terms for r in hits.collect()} == {0: ["Term77", "term7"], 2: ["TERM99999"]}
+
+
 def brute_anchor(key, keys):
     if key in keys:
         return keys.index(key)
@@ -118,6 +135,63 @@ def test_anchors_equal_brute_force(spark):
         assert got.get((d, norm(t))) == (brute_anchor(norm(t), docs[d]) if norm(t) else None)
 
 
+def contained(docs, asked):
+    """(document, key) -> first sentence that holds the key or lies in it, for keys that nothing else finds."""
+    return {(d, k): hit for d, k in asked if (hit := brute_anchor(k, docs[d])) is not None}
+
+
+@pytest.mark.parametrize("split", [4096, 3])
+def test_containment_equals_brute_force_on_boilerplate(spark, monkeypatch, split):
+    """Long words, shared stretches, repeats, strings within each other in both directions; grams that many strings have are dealt out."""
+    monkeypatch.setattr(align, "SPLIT", split)
+    rng = random.Random(19)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    stock = " ".join(word(5) for _ in range(9))
+    docs = {
+        0: [f"{word(3)} {stock} {word(4)} {word(6)}" for _ in range(25)] * 2, 1: [word(rng.randrange(45, 140)) for _ in range(20)],
+        2: [f"{word(30)} {word(2)} {word(25)}" for _ in range(20)] + [word(28) + " " + stock], 3: [" ".join(word(rng.randrange(1, 5)) for _ in range(rng.randrange(12, 60))) for _ in range(30)],
+        4: ["e\u0301" * 30 + " " + word(10) + " é😀 " + word(30)],
+    }
+    asked = []
+    for d, keys in docs.items():
+        for k in dict.fromkeys(keys):
+            asked += [(d, k[a : len(k) - b].strip()) for a, b in ((2, 0), (0, 1), (3, 5), (rng.randrange(1, 15), 0))]
+            asked += [(d, f"{word(2)} {k} {word(4)}"), (d, f"x{k}"), (d, stock), (d, word(50))]
+    s = sentence_table(spark, {d: len(k) for d, k in docs.items()}, lambda d, i: docs[d][i])
+    q = spark.createDataFrame(asked, "doc_id long, sentence string")
+    got = {(r.doc_id, r.key): r.sentence_idx for r in align.find_anchors(q, s).collect()}
+    assert got == contained(docs, [(d, " ".join(t.split())) for d, t in asked])
+
+
+def test_repeats_of_a_sentence_are_met_once(spark):
+    """2,000 copies of one sentence and 503 keys that hold it, or part of it: at most one candidate a key."""
+    line = "the company may not be able to protect its rights in the systems that it uses and in the data behind them"
+    s = sentence_table(spark, {1: 2000}, lambda d, i: line)
+    keys = [f"{line} {i} more" for i in range(251)] + [line[i % 40 : 100] + f" q{i}"[: 3 * (i % 2)] for i in range(252)]
+    left = spark.createDataFrame([(i, 1, k) for i, k in enumerate(keys)], "q long, doc_id long, key string")
+    near = spark.createDataFrame([(1, 0, line)], "doc_id long, i long, k string")
+    assert align._candidates(left, near).count() <= 503
+    found = align.find_anchors(left.select("doc_id", F.col("key").alias("sentence")), s).collect()
+    assert {r.sentence_idx for r in found} == {0} and len(found) == len({k.strip() for k in keys if brute_anchor(k.strip(), [line]) is not None})
+
+
+def test_passages_as_stretches(spark):
+    rng = random.Random(5)
+    n, anchor = {1: 40, 2: 12, 3: 1}, lambda i: f"s-{i:05d}"
+    passages = [(d, k, anchor(rng.randrange(0, n[d] + 2)), anchor(rng.randrange(0, n[d] + 2)), f"t{k}" if k % 4 else None) for d in (1, 2) for k in range(14)]
+    passages += [(3, 0, "s-00000", "s-00000", "one"), (3, 1, "nowhere", "s-00000", "two"), (9, 0, "s-00000", "s-00000", "no such document"), (1, 99, None, "s-00001", "x")]
+    s = sentence_table(spark, n, lambda d, i: "x")
+    p = spark.createDataFrame(passages, "doc_id long, passage int, start_anchor string, end_anchor string, topic_summary string")
+    want = {}
+    for d, k, a, b, t in sorted(passages, key=lambda x: x[1]):
+        ends = [int(x[2:]) for x in (a, b) if x and x.startswith("s-")]
+        if len(ends) == 2 and d in n and max(ends) < n[d]:
+            want.update({(d, i): t for i in range(min(ends), max(ends) + 1)})
+    assert {(r.doc_id, r.sentence_idx): r.topic_summary for r in chunks.passage_members(p, s).collect()} == want
+    stretches = chunks.passage_stretches(p, s).collect()
+    assert len(stretches) <= 2 * len(passages) and sum(r.hi - r.lo + 1 for r in stretches) == len(want)
+
+
 def test_resolve_and_align(spark, taxonomy):
     s = sentence_table(spark, {1: 3}, lambda d, i: ["First one.", "Second one.", "Third one."][i])
     ai = spark.createDataFrame([(1, "first ONE.", "Risk", "Legal", "IP", None), (1, "nowhere", "Risk", "Legal", "IP", None)], "doc_id long, sentence string, kind string, category string, subcategory string, strength int")

@@ -1,5 +1,7 @@
 import json
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from marginalia.plans import annotators, lifecycle, prompts, strategies
@@ -91,6 +93,39 @@ def test_replies_are_asked_for_once(spark, tmp_path):
     assert asked.value == before
 
 
+def test_a_run_that_is_cut_off_goes_on_behind_its_last_part(spark, tmp_path):
+    chunks = spark.createDataFrame([(i, "chunk_0000", f"t{i}") for i in range(40)], "doc_id long, chunk_id string, text string")
+
+    class Breaks(annotators.RuleAnnotator):
+        asked, left = [], 2
+
+        def annotate(self, chunks, prompt=""):
+            if self.left == 0:
+                raise RuntimeError
+            self.left -= 1
+            self.asked.append({r.doc_id for r in chunks.collect()})
+            return super().annotate(chunks, prompt)
+
+    rules = Breaks(RULES)
+    with pytest.raises(RuntimeError):
+        annotators.annotate_cached(rules, chunks, "p", "v", str(tmp_path), parts=4)
+    rules.left = 9
+    assert annotators.annotate_cached(rules, chunks, "p", "v", str(tmp_path), parts=4).count() == 40
+    first, second, *rest = rules.asked
+    assert first and second and sum(map(len, rules.asked)) == 40 and not (first | second) & set().union(*rest)
+
+
+def test_items_of_cut_and_odd_answers(spark):
+    whole = '{"annotations": [{"sentence": "a \\"{x}\\"", "kind": "Risk", "strength": "2"}, {"sentence": 7, "strength": "high", "odd": {"deep": "}"}}, {"kind": null}, {}, {"sentence": "cut", "odd": {"deep": 1}, "ki'
+    raw = lambda reason, content: json.dumps({"choices": [{"finish_reason": reason, "message": {"content": content}}]})
+    rows = [(1, raw("length", whole)), (2, raw("stop", "no json")), (3, None), (4, raw("stop", "")), (5, "{broken")]
+    found = {r.i: r for r in annotators.reply_items(spark.createDataFrame(rows, "i int, raw_response string")).collect()}
+    assert [found[i].status for i in range(1, 6)] == ["truncated", "ok", "empty", "empty", "empty"]
+    items = found[1]["items"]
+    assert items[0].sentence == 'a "{x}"' and items[0].strength == 2 and items[0].extra == []
+    assert items[1].sentence == "7" and items[1].strength is None and [x.extra for x in items] == [[], ["odd"], []] and not any(found[i]["items"] for i in (2, 3, 4, 5))
+
+
 def test_prompts(spark):
     tax = spark.createDataFrame(TAX, files.TAXONOMY)
     text = prompts.system_prompt(tax, rules="Be strict.", reasoned=True)
@@ -153,3 +188,61 @@ def test_phases_are_asked_about_what_was_kept(spark, tmp_path):
     assert "Governance" in prompts.phase_prompt("p3b_mit_cats", tax) and "Legal" not in prompts.phase_prompt("p3b_mit_cats", tax)
     answer = prompts.answer_schema(tax)["properties"]["annotations"]["items"]["properties"]
     assert answer["category"]["enum"] == ["Governance", "Legal"] and answer["strength"]["enum"] == [1, 2, 3, None]
+
+
+def test_workflows_hold_whatever_the_replies_say(spark):
+    """Unknown, repeated and foreign anchors, reversed and overlapping passages, nulls: the same as the operators by rows make of these verdicts."""
+    from marginalia.operators import phases
+    from marginalia.plans.workflows import WORKFLOWS, Phases
+
+    n, a = 8, lambda i: f"s-{i:05d}"
+    verdicts = {
+        "p1_candidates": [{"anchor_id": x} for x in (a(1), a(3), a(3), a(2), "s-3", a(50), None, a(0))],
+        "p1_passages": [{"start_anchor": x, "end_anchor": y, "topic_summary": t} for x, y, t in ((a(3), a(1), "one"), (a(2), a(4), "two"), (a(6), a(60), "out"), (a(4), a(4), None), ("x", a(1), "bad"))],
+        "p2_outside_mentions": [{"anchor_id": x} for x in (a(6), a(2), a(6), a(77))],
+        "p3_context_filter": [{"anchor_id": x, "keep": k, "reason": "r"} for x, k in ((a(1), True), (a(2), False), (a(2), True), (a(6), True), (a(3), None), (a(7), True), (a(4), True))],
+        "kind": [{"anchor_id": x, "kind": k} for x, k in ((a(1), "Risk"), (a(2), "Risk Mitigation"), (a(3), "Risk Mitigation"), (a(3), "Risk"), (a(6), "Risk Mitigation"), (a(7), "Risk"), (a(0), None), (a(4), "Odd"))],
+        "risk": [{"anchor_id": x, "category": c, "subcategory": "s"} for x, c in ((a(3), "c1"), (a(1), "c2"), (a(1), "c3"), (a(2), "c4"), (None, "c5"))],
+        "mit": [{"anchor_id": x, "category": c, "subcategory": None} for x, c in ((a(2), "m1"), (a(6), "m2"), (a(3), "m3"), (a(1), "m4"))],
+        "strength": [{"anchor_id": x, "strength": v} for x, v in ((a(2), 1), (a(2), 3), (a(6), None), (a(1), 2))],
+    }
+    of = {"p2_kind": "kind", "p4_kind": "kind", "p3a_risk_cats": "risk", "p5a_risk_cats": "risk", "p3b_mit_cats": "mit", "p5b_mit_cats": "mit", "p4_strength": "strength", "p6_strength": "strength"}
+
+    class Scripted(annotators.Annotator):
+        def annotate(self, chunks, prompt):
+            raw = {p: json.dumps({"choices": [{"finish_reason": "stop", "message": {"content": json.dumps({"passages" if p == "p1_passages" else "verdicts": verdicts[of.get(p, p)]})}}]}) for p in prompts.PHASES}
+            return chunks.select("doc_id", "chunk_id", F.element_at(F.create_map(*(F.lit(x) for kv in raw.items() for x in kv)), F.col("chunk_id")).alias("raw_response"))
+
+    s = spark.createDataFrame([(d, i, a(i), f"text {i}") for d in (1, 2) for i in range(n)], "doc_id long, sentence_idx int, anchor_id string, text string")
+
+    def table(name, kinds):
+        rows = [(d, k, *v.values()) for d in (1, 2) for k, v in enumerate(verdicts[name])]
+        return spark.createDataFrame(rows, "doc_id long, seq int, " + kinds)
+
+    anchor = "anchor_id string"
+    later = [table("kind", f"{anchor}, kind string"), *(table(x, f"{anchor}, category string, subcategory string") for x in ("risk", "mit")), table("strength", f"{anchor}, strength int")]
+    passages = table("p1_passages", "start_anchor string, end_anchor string, topic_summary string").withColumnRenamed("seq", "passage")
+    want = {
+        "sequential": phases.sequential(s, table("p1_candidates", anchor), *later),
+        "passage_aware": phases.passage_aware(s, passages, table("p2_outside_mentions", anchor), table("p3_context_filter", f"{anchor}, keep boolean, reason string"), *later),
+    }
+    for name, rows in want.items():
+        got = WORKFLOWS[name](s, Phases(Scripted(), spark.createDataFrame(TAX, files.TAXONOMY)))
+        assert sorted(map(repr, (tuple(r) for r in got.select(*rows.columns).collect()))) == sorted(map(repr, (tuple(r) for r in rows.collect())))
+        assert got.count()
+
+
+def test_a_workflow_by_rules_shuffles_no_text(spark):
+    from marginalia.operators.sentences import sentence_arrays
+    from marginalia.plans.workflows import Phases, passage_aware
+
+    rules = annotators.PhaseRules(RULES, about="risk|board", passage="risk", idle="none")
+    rows = passage_aware(sentence_arrays(corpus(spark)), Phases(rules, spark.createDataFrame(TAX, files.TAXONOMY)))
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString() and rows.count()
+
+
+def test_places_of_annotations_do_not_run_into_the_next_chunk(spark):
+    parsed = spark.createDataFrame([(1, f"chunk_{k:04d}", [(f"t{k}-{i}",) for i in (0, 1)]) for k in (2, 1, 0)], "doc_id long, chunk_id string, a array<struct<sentence:string>>")
+    parsed = parsed.select("doc_id", "chunk_id", F.struct(F.transform("a", lambda x: x).alias("annotations")).alias("answer"))
+    rows = annotators.annotations_of(parsed).orderBy("seq").collect()
+    assert [r.sentence for r in rows] == ["t0-0", "t0-1", "t1-0", "t1-1", "t2-0", "t2-1"] and rows[2].seq == 1 << 31

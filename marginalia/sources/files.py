@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.html import extract_html
 from ..functions.text import clean_label, doc_slug, normalize_kind, to_strength
+from ..scratch import settled
 
 TAXONOMY = "kind string, category string, subcategory string, description string"
 HITS = "doc_id string, sentence_idx int, anchor_id string, matched_terms array<string>"
@@ -82,45 +83,89 @@ def read_assumptions(spark: SparkSession, path: str) -> DataFrame:
     return rows.where(~F.lower("assumption").startswith("what human coders"))
 
 
-def read_two_coders(spark: SparkSession, path: str, companies: dict[str, str]) -> DataFrame:
-    """The multi-section two-coder file in long form, a row for each coder that has a sentence.
+FULL, HEAD, TAIL = 0, 1, 2
 
-    ``companies``: display name -> slug.  Sections start with a row that holds a known company alone, each has its own
-    header row, and the company is the section's.  Order matters within a file, so a file is one record of one task;
-    many files are read side by side.
+
+def csv_records(spark: SparkSession, path: str) -> DataFrame:
+    """file, block, seq, cells (stripped) of the records of CSV files, in the order of (block, seq); large files are read block by block.
+
+    Whether a block begins within quotes follows from the number of quotes before it, as a record has an even number of them (a quote
+    sign belongs in quotes, doubled).  Records that blocks cut are put together from their pieces, one or two a block.
     """
     import csv
     import io
 
     import pandas as pd
 
-    known = {k.lower(): v for k, v in companies.items()}
+    lines = spark.read.text(path, lineSep="\n").select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    quotes = F.char_length("value") - F.char_length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    parity = lines.groupBy("file", "block").agg((F.sum(quotes) % 2).alias("odd"))
+    inside = parity.select("file", "block", (F.coalesce(F.sum("odd").over(before), F.lit(0)) % 2).alias("inside"))  # a row for each block
+
+    def cut(batches):
+        at, state = None, None
+        for batch in batches:
+            out = []
+            for file, block, value, within in zip(batch["file"], batch["block"], batch["value"], batch["inside"]):
+                if (file, block) != at:
+                    if at and state[1]:
+                        out.append((*at, state[2], HEAD if state[3] else TAIL, "\n".join(state[1])))
+                    at, state = (file, block), [bool(within), [], 0, bool(within)]  # within quotes, lines so far, number, begun before
+                state[1].append(value)
+                state[0] ^= value.count('"') % 2 == 1
+                if not state[0]:
+                    out.append((*at, state[2], HEAD if state[3] else FULL, "\n".join(state[1])))
+                    state[1], state[2], state[3] = [], state[2] + 1, False
+            yield pd.DataFrame(out, columns=["file", "block", "seq", "piece", "text"])
+        if at and state[1]:
+            yield pd.DataFrame([(*at, state[2], HEAD if state[3] else TAIL, "\n".join(state[1]))], columns=["file", "block", "seq", "piece", "text"])
 
     def parse(batches):
         for batch in batches:
-            for body in batch["value"]:
-                out, company, places = [], None, None
-                for n, cells in enumerate(csv.reader(io.StringIO(body))):
-                    cells = [c.strip() for c in cells]
-                    if cells and cells[0].lower() in known and not any(cells[1:]):
-                        company, places = cells[0], None
-                    elif cells and cells[0] == FIRST_HEADER and {SHARED["year"], SHARED["ai_term"]} & set(cells):
-                        places = {name: i for i, name in enumerate(cells)}
-                    elif company is not None and places is not None:
-                        get = lambda name, row=cells, at=places: row[at[name]] if name in at and at[name] < len(row) else ""
-                        if get(SHARED["year"]).isdigit():
-                            shared = {k: get(v) for k, v in SHARED.items()}
-                            for coder in "AB":
-                                own = {k: get(v.format(coder)) for k, v in BY_CODER.items()}
-                                out.append({"company": company, "company_slug": known[company.lower()], "coder": coder, "seq": 2 * n + (coder == "B"), **shared, **own})
-                yield pd.DataFrame(out, columns=columns)
-
-    columns = ["company", "company_slug", "coder", "seq", *SHARED, *BY_CODER]
-    schema = ", ".join(f"{c} {'bigint' if c == 'seq' else 'string'}" for c in columns)
-    rows = spark.read.text(path, wholetext=True).select("value").mapInPandas(parse, schema).where("sentence != ''")
-    return rows.select(
-        "company", F.col("company").alias("company_display"), "company_slug", F.col("year").cast("int").alias("year"), "ai_term", "coder", "coder_name", "sentence",
-        normalize_kind(F.col("kind")).alias("kind"), "subcategory", to_strength(F.col("strength")).alias("strength"), "discrepancy_type", "explanation", "seq",
+            cells = [[c.strip() for c in next(csv.reader(io.StringIO(t)), [])] for t in batch["text"]]
+            yield batch[["file", "block", "seq"]].assign(cells=cells)
+
+    pieces = settled(lines.join(F.broadcast(inside), ["file", "block"]).mapInPandas(cut, "file string, block long, seq long, piece int, text string"))
+    order = Window.partitionBy("file").orderBy("block", "seq")
+    parts = pieces.where(F.col("piece") != FULL).withColumn("n", F.sum((F.col("piece") == TAIL).cast("int")).over(order))
+    own = F.array_sort(F.collect_list(F.struct("block", "seq", "text")))
+    joined = parts.groupBy("file", "n").agg(own.alias("p")).select("file", F.col("p")[0]["block"].alias("block"), F.col("p")[0]["seq"].alias("seq"), F.array_join("p.text", "\n").alias("text"))
+    records = pieces.where(F.col("piece") == FULL).select("file", "block", "seq", "text").unionByName(joined)
+    return records.mapInPandas(parse, "file string, block long, seq long, cells array<string>")
+
+
+def read_two_coders(spark: SparkSession, path: str, companies: dict[str, str]) -> DataFrame:
+    """The multi-section two-coder file in long form, a row for each coder that has a sentence.
+
+    ``companies``: display name -> slug.  Sections start with a row that holds a known company alone, each has its own
+    header row, and the company is the section's.  What section and header hold where a block of the file begins follows from the last
+    ones of the blocks before it, so files of any size are read by many tasks.
+    """
+    known = {k.lower(): v for k, v in companies.items()}
+    slugs = F.create_map(*(F.lit(x) for kv in known.items() for x in kv)) if known else F.lit(None).cast("map<string,string>")
+    first = F.get("cells", F.lit(0))
+    alone = F.coalesce(F.element_at(slugs, F.lower(first)).isNotNull() & ~F.exists(F.slice("cells", 2, F.greatest(F.size("cells"), F.lit(1))), lambda c: c != ""), F.lit(False))
+    header = F.coalesce((first == FIRST_HEADER) & F.arrays_overlap("cells", F.array(F.lit(SHARED["year"]), F.lit(SHARED["ai_term"]))), F.lit(False)) & ~alone
+    spot = F.struct("block", "seq")
+    rows = csv_records(spark, path).withColumn("mark", F.when(alone, F.struct(spot.alias("at"), first.alias("company")))).withColumn("head", F.when(header, F.struct(spot.alias("at"), F.col("cells").alias("names"))))
+    rows = settled(rows)
+    ends = rows.groupBy("file", "block").agg(F.max("mark").alias("m"), F.max("head").alias("h"))  # the last of a block: its place is greatest
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select("file", "block", F.max("m").over(before).alias("mark0"), F.max("h").over(before).alias("head0"))
+    sofar = Window.partitionBy("file", "block").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("mark1", F.max("mark").over(sofar)).withColumn("head1", F.max("head").over(sofar))
+    rows = rows.where("mark is null and head is null").join(F.broadcast(ends), ["file", "block"])
+    rows = rows.withColumn("mark", F.coalesce("mark1", "mark0")).withColumn("head", F.coalesce("head1", "head0")).where("mark.at < head.at")
+    get = lambda name: F.coalesce(F.get("cells", (F.size("head.names") - F.array_position(F.reverse("head.names"), F.lit(name))).cast("int")), F.lit(""))
+    named = lambda name: F.when(F.array_contains("head.names", F.lit(name)), get(name)).otherwise("")
+    shared = [named(v).alias(k) for k, v in SHARED.items()]
+    coder = lambda c: F.struct(F.lit(c).alias("coder"), *(named(v.format(c)).alias(k) for k, v in BY_CODER.items()))
+    each = rows.select(F.col("mark.company").alias("company"), "block", "seq", *shared, F.explode(F.array(coder("A"), coder("B"))).alias("c")).where("c.sentence != '' and year rlike '^[0-9]+$'")
+    return each.select(
+        "company", F.col("company").alias("company_display"), F.element_at(slugs, F.lower("company")).alias("company_slug"), F.col("year").cast("int").alias("year"), "ai_term", "c.coder", "c.coder_name", "c.sentence",
+        normalize_kind(F.col("c.kind")).alias("kind"), "c.subcategory", to_strength(F.col("c.strength")).alias("strength"), "discrepancy_type", "explanation",
+        (2 * (F.col("block") + F.col("seq")) + (F.col("c.coder") == "B").cast("int")).alias("seq"),  # a block has no more records than signs
     )
 
 

@@ -28,6 +28,54 @@ def test_two_coder_file(spark, tmp_path):
     assert files.human_for_doc(rows, "beta", 2023).count() == 1
 
 
+def by_hand(text, known):
+    """The rows of a two-coder file, record by record."""
+    import csv
+    import io
+
+    company = places = None
+    for cells in csv.reader(io.StringIO(text)):
+        cells = [c.strip() for c in cells]
+        if cells and cells[0].lower() in known and not any(cells[1:]):
+            company, places = cells[0], None
+        elif cells and cells[0] == "Company" and {"10-K Year", "AI_Term"} & set(cells):
+            places = {c: i for i, c in enumerate(cells)}
+        elif company and places:
+            get = lambda c, row=cells, at=places: row[at[c]] if c in at and at[c] < len(row) else ""
+            if get("10-K Year").isdigit():
+                yield from ((company, int(get("10-K Year")), x, s) for x in "AB" if (s := get(f"Coder {x}: Sentences Highlighted")))
+
+
+@pytest.mark.parametrize("size", [40, 97, 1 << 20])
+def test_a_file_is_read_block_by_block(spark, tmp_path, size):
+    """Sections, headers and quoted line breaks that blocks of any size cut anywhere."""
+    import random
+
+    rng, names = random.Random(8), ["Acme", "Beta", "Gamma Co"]
+    head = ["Company", "10-K Year", "AI_Term", "Coder A: Sentences Highlighted", "Coder B: Sentences Highlighted"]
+    out = ["notes,,\n"]
+    for k in range(14):
+        out.append(f"{rng.choice(names)},,,\n")
+        if k % 5 == 4:
+            out.append("x,2020,ai,lost as there is no header,\n")
+        cols = head[:1] + rng.sample(head[1:], 4)
+        out += [",".join(cols) + "\n"] * (k % 5 != 4)
+        for i in range(rng.randrange(0, 9)):
+            said = {"10-K Year": rng.choice(["2021", "n/a", " 2022 "]), "AI_Term": "ai", head[3]: f'"One, ""{i}""\n\nAcme,,,\nmore {"y" * rng.randrange(90)}"', head[4]: rng.choice(["", "Two", '"\n,"'])}
+            out.append(",".join(["x", *(said[c] for c in cols[1:])]) + "\n")
+    text = "".join(out)
+    (tmp_path / "one").mkdir()
+    (tmp_path / "one/h.csv").write_text(text)
+    name = "spark.sql.files.maxPartitionBytes"
+    spark.conf.set(name, str(size))
+    try:
+        rows = files.read_two_coders(spark, str(tmp_path / "one"), {n: n.lower() for n in names}).orderBy("seq").collect()
+    finally:
+        spark.conf.unset(name)
+    want = list(by_hand(text, {n.lower() for n in names}))
+    assert [(r.company, r.year, r.coder, r.sentence) for r in rows] == want and len(want) > 30
+
+
 def test_other_files(spark, tmp_path):
     (tmp_path / "kw.txt").write_text("ai\n\n ml \nai\n")
     assert files.read_keywords(spark, str(tmp_path / "kw.txt")) == ["ai", "ml", "ai"]

@@ -581,7 +581,8 @@ def q_parse_replies(spark, sf_dir):
     n = F.col("o_orderkey") % 4
     raw = F.when(n == 0, reply("stop", refusal=F.lit("no"))).when(n == 1, reply("length", content=F.lit("{"))).when(n == 2, reply("stop", content=F.lit(""))).otherwise(reply("stop", content=content))
     rows = parse_reply(d.select(F.col("o_orderkey").alias("doc_id"), F.lit("chunk_0002").alias("chunk_id"), raw.alias("raw_response")))
-    found = annotations_of(rows.where("status = 'ok'")).select("doc_id", "seq", "sentence", "kind")
+    chunk, place = F.shiftright("seq", 31), F.col("seq").bitwiseAND(F.lit(2**31 - 1))
+    found = annotations_of(rows.where("status = 'ok'")).select("doc_id", (chunk * 100_000 + place).alias("seq"), "sentence", "kind")
     return rows.select("doc_id", "status").join(found, "doc_id", "left")
 
 

@@ -138,4 +138,5 @@ def test_planted_keys_are_found_outside_of_base_spans(spark):
                 if good:
                     recall[list(ALPHABETS)[r.doc_id // 2 % 4]] += 1
     print("found", dict(recall), "of 200 each; false", false)
-    assert all(recall[k] >= 160 for k in ALPHABETS) and false <= 0.1 * (hits + false)
+    least = {"base62": 175, "base64": 181, "base36": 194, "base32": 200}  # the README's figures
+    assert all(recall[k] >= least[k] for k in ALPHABETS) and false <= 0.014 * (hits + false)

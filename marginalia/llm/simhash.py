@@ -44,17 +44,21 @@ KEY_LOAD = 4
 PROBES = 17  # rows that a fingerprint has in the low table on average: itself and half of 32 flips
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """The unsigned 64-bit SimHash of a whole text."""
+def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """The unsigned 64-bit hashes of a whole text's shingles, in order."""
     words = (text or "").encode().lower().split()
-    if not words:
-        return 0
     digest = xxhash.xxh64_intdigest
     if len(words) <= shingle:
-        return digest(b" ".join(words), SEED)
+        return np.array([digest(b" ".join(words), SEED)] if words else [], dtype="<u8")
     runs = zip(*(words[i:] for i in range(shingle)), strict=False)
-    hashes = np.array([digest(b" ".join(run), SEED) for run in runs], dtype="<u8")
+    return np.array([digest(b" ".join(run), SEED) for run in runs], dtype="<u8")
+
+
+def folded(hashes: np.ndarray) -> int:
+    """The bits that are set in over half the hashes."""
     n = len(hashes)
+    if not n:
+        return 0
     bits = np.unpackbits(hashes.view(np.uint8).reshape(n, 8), axis=1, bitorder="little")
     # bytes can count to 255, and adding bytes is what vector units do best
     full = n - n % 255
@@ -64,6 +68,11 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little")
 
 
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """The unsigned 64-bit SimHash of a whole text."""
+    return folded(shingle_hashes(text, shingle))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """Columns _id and _fp (the fingerprint as a signed long)."""
 
@@ -133,23 +142,23 @@ def components(edges: DataFrame) -> DataFrame:
     while not edges.isEmpty():
         rank = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("n"))
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min(rank("b")).alias("m"))
-        move = stored(least.select(F.col("a").alias("node"), F.least(rank("a"), F.col("m"))["n"].alias("root")), "move")
+        least = both.groupBy("a").agg(F.min(rank("b")).alias("m"), F.count(F.lit(1)).alias("size"))
+        move = stored(least.select(F.col("a").alias("node"), F.least(rank("a"), F.col("m"))["n"].alias("root"), "size"), "move")
         moves.append(move)
-        first = edges.join(move, F.col("a") == F.col("node")).select(F.col("root").alias("a"), "b")
-        second = first.join(move, F.col("b") == F.col("node")).select("a", F.col("root").alias("b"))
+        ends = lambda c: move.select(F.col("node").alias(c), F.col("root").alias("to"), "size")  # noqa: B023, E731
+        first = joined_by_key(edges, ends("a"), "a", "size").select(F.col("to").alias("a"), "b")
+        second = joined_by_key(first, ends("b"), "b", "size").select("a", F.col("to").alias("b"))
         before, edges = edges, stored(
             second.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges"
         )
         release(before)
     if not moves:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    labels = moves[0]
+    labels = moves[0].select("node", "root")
     for move in moves[1:]:
-        step = move.select(F.col("node").alias("at"), F.col("root").alias("next"))
-        labels = labels.join(step, F.col("root") == F.col("at"), "left").select(
-            "node", F.coalesce("next", "root").alias("root")
-        )
+        sizes = labels.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
+        steps = stored(sizes.join(move.select(F.col("node").alias("root"), F.col("root").alias("to")), "root"), "steps")
+        labels = stored(joined_by_key(labels, steps, "root", "size", "left").select("node", F.coalesce("to", "root").alias("root")), "labels")
     return labels
 
 
@@ -176,7 +185,12 @@ def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Rows that share an id stay or go together.  Texts are not shuffled while the ids that go are few, see :func:`without`.
     """
-    found = near_duplicates(docs, id_col, text_col).select(F.col(f"`{id_col}`").alias("_id"), "component_id")
+    return keep_least(docs, near_duplicates(docs, id_col, text_col), id_col)
+
+
+def keep_least(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` whose id is their component's in ``found`` (a row for each of theirs: id, component_id)."""
+    found = found.select(F.col(f"`{id_col}`").alias("_id"), "component_id")
     ids = found.groupBy("_id").agg(F.max(F.col("_id").eqNullSafe(F.col("component_id"))).alias("_stays"))
     (name,) = fresh(docs, "_gone_id")
     gone = stored(ids.where("not _stays").select(F.col("_id").alias(name)), "gone")

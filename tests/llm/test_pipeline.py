@@ -1,14 +1,14 @@
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from marginalia.llm import exact_dedup, mixing, quality, simhash
+from marginalia.llm import exact_dedup, mixing, near_copies, quality
 from marginalia.llm.shared import stored
 
 
 def test_stages_keep_the_columns_and_take_effect(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     columns = docs.columns
-    calls = {"quality classifier": quality, "exact dedup": exact_dedup, "simhash near-dedup": simhash, "mixing sources": mixing}
+    calls = {"quality classifier": quality, "exact dedup": exact_dedup, "simhash near-dedup": near_copies, "mixing sources": mixing}
     sizes = [docs.count()]
     for name, stage in corpus_pipeline.STAGES:
         before, docs = docs, stored(stage(spark, docs, sf), "test")
@@ -19,7 +19,7 @@ def test_stages_keep_the_columns_and_take_effect(spark, sf):
         if name == "exact dedup":
             assert docs.count() == before.select(F.coalesce("text", F.lit(""))).distinct().count()
         if name == "simhash near-dedup":
-            assert docs.count() == simhash.near_duplicates(before).select("component_id").distinct().count()
+            assert docs.count() == near_copies.near_groups(before).select("component_id").distinct().count()
     assert sizes[1] <= sizes[0] and sizes[2] < sizes[1] and sizes[5] == sizes[4] > 0
     assert {"doc_id", "ids", "n_tokens"} <= set(docs.columns)
 

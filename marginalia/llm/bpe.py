@@ -8,7 +8,7 @@ decoded by the inverse mapping.  Nothing is trained.
 
 Defined results: null text counts as empty; an empty text has no ids; every row comes back, repeated
 rows too; an empty table gives an empty result; very long texts are encoded whole; other columns of any name are ignored.  Memory:
-some thousand texts at a time, of a few million characters but for a single longer one.
+some thousand texts at a time, of a million characters but for a single longer one.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .shared import pruned
+from .shared import pruned, trimmed
 
 JOINED = 256  # pre-tokens that are one string for the model
 GAP = "\x01"
@@ -137,7 +137,7 @@ def digests(pieces: pa.Array, bounds: np.ndarray, less: int) -> list[str]:
     return [hashlib.sha256(data[a : max(a, b - less)]).hexdigest() for a, b in zip(at, at[1:])]
 
 
-def pieces_of_batch(column: pa.Array, rows: int = 1024, chars: int = 1 << 22) -> Iterator[pa.Array]:
+def pieces_of_batch(column: pa.Array, rows: int = 1024, chars: int = 1 << 20) -> Iterator[pa.Array]:
     """Slices of a column of texts, of bounded rows and, but for a single long text, characters."""
     lengths = pc.fill_null(pc.binary_length(column), 0).to_pylist()
     start = held = 0
@@ -169,4 +169,4 @@ def encode_documents(
     kind = rows.schema["_id"].dataType.simpleString()
     out = ["_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
     schema = f"_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return rows.mapInArrow(run, schema).withColumnRenamed("_id", id_col)
+    return rows.mapInArrow(trimmed(run), schema).withColumnRenamed("_id", id_col)

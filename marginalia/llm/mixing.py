@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import fresh, pruned, release, stored
+from .shared import fresh, pruned, release, stored, trimmed
 
 BLOCK = 128
 FEW = 32  # a source that would have fewer blocks has shorter ones: about BLOCK of them, of one word at least
@@ -164,7 +164,7 @@ class Mix:
                     index = permuted(k % p.blocks, np.full(len(k), p.blocks), key)
                     yield pd.DataFrame({"shard": p.shard, "_s": p[1], "slot": k, "index": index})
 
-        return pieces.mapInPandas(run, "shard int, _s int, slot long, index long")
+        return pieces.mapInPandas(trimmed(run), "shard int, _s int, slot long, index long")
 
     def placed(self) -> DataFrame:
         """Documents with their source's number and their first word's place in its stream (_at)."""
@@ -262,4 +262,4 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             ]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return joined.select(*(F.col(f"`{n}`") for n in names), plan, size).mapInArrow(run, types)
+    return joined.select(*(F.col(f"`{n}`") for n in names), plan, size).mapInArrow(trimmed(run), types)

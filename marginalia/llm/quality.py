@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import Adam, held_out, prior_shift, score_documents, sigmoid, training_sample
+from .shared import trimmed
 
 PASSAGE = 50
 PER_CLASS = 1500
@@ -198,4 +199,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.7, id_col: st
                 scores = model.scores(features, [t or "" for t in part.column(at).to_pylist()])
                 yield part.filter(pc.greater_equal(scores, least))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import atexit
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -131,6 +131,28 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_ROWS))
 
 
+def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` over a task's batches; at its end freed memory goes back to the system, since Python workers live on into the next stage's tasks."""
+
+    def task(batches: Iterator) -> Iterator:
+        import ctypes
+        import gc
+
+        import pyarrow as pa
+
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except AttributeError:  # not the GNU C library
+                pass
+
+    return task
+
+
 def pruned(docs: DataFrame, **columns: str) -> DataFrame:
     """Select the needed columns under private names, so that no other column can clash."""
     small_batches(docs.sparkSession)

@@ -66,3 +66,27 @@ def test_documents(odd, empty, oracle):
         want.append((repr(i), len(ids), sha256(" ".join(map(str, ids)).encode()).hexdigest(), sha256(t.encode()).hexdigest(), ids))
     assert sorted((repr(r.doc_id), r.n_tokens, r.ids_sha256, r.decoded_sha256, r.ids) for r in got) == sorted(want)
     assert bpe.encode_documents(empty, PATH, public_tokenizers.PATTERN).count() == 0
+
+
+def test_a_task_gives_its_memory_back():
+    """Python workers serve the next stage too: what a task freed must not stay with them."""
+    import pyarrow as pa
+
+    from marginalia.llm.shared import trimmed
+
+    def own():
+        return int(open("/proc/self/statm").read().split()[1]) * 4 // 1024
+
+    def run(batches):
+        for batch in batches:
+            held = [bytearray(60_000) for _ in range(4000)]
+            held[:-1] = []  # the last one keeps the heap from shrinking by itself
+            rest.append(held)
+            yield batch
+
+    rest = []
+    before = own()
+    plain = list(run(iter([pa.record_batch([[1]], ["a"])])))
+    grown = own() - before
+    assert list(trimmed(run)(iter(plain))) == plain
+    assert own() - before < grown / 2

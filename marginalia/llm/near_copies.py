@@ -9,9 +9,10 @@ SimHash alone can't give them: pairs at 0.8 lie 3 to 15 of 64 bits apart, and Ha
 Equal sets are one node.  A band's key with more than ``GROUP`` nodes is dealt into parts of about so many, by another hash for each band,
 so that a large family is joined up across bands and no group or key is large.  Comparison goes in steps that each see
 the groups found so far and compare only nodes of different ones: first neighbours of four bands, which joins up large families at a few
-comparisons a node; then neighbours up to ``NEAR`` places apart; then whatever pairs of a part are still apart.  No pair of a part is left
-out, and none is compared whose ends are linked already.  Nodes of two parts meet only through other bands, so that a text
-close to a few members of a large family alone can be missed.  Sets are made again from the texts of candidates alone, never stored for all.
+comparisons a node; then neighbours up to ``NEAR`` places apart; then whatever pairs of a part are still apart; then whatever pairs of two parts
+of a key are.  So no pair of a key is left out, and none is compared whose ends are linked already: the last step compares no node of a key's largest
+group with another of it, and is quadratic only in what a crowded key still holds of other groups.  Pairs are compared in slices of ``PAIRS``,
+so that scratch stays bounded.  Sets are made again from the texts of candidates alone, never stored for all.
 
 Defined results: words as in :mod:`.simhash`; null text counts as empty; texts without words are one group; fewer words than a shingle: the
 whole sequence is the one shingle; every row comes back, repeated rows too; null ids are kept and lose to any other as component id; texts
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import SMALL_SIDE, joined_by_key, pruned, release, stored
+from .shared import SMALL_SIDE, joined_by_key, pruned, release, stored, trimmed
 from .simhash import components, folded, keep_least, links, shingle_hashes
 from .url_filter import bloom_filter, passes_filter
 
@@ -37,6 +38,7 @@ SIMILARITY = 0.8
 BANDS, ROWS = 16, 5
 GROUP = 64
 NEAR = 8
+PAIRS = 1 << 22
 
 _FACTORS = np.array([xxhash.xxh64_intdigest(b"factor%d" % i) | 1 for i in range(BANDS * ROWS)], dtype="<u8")[:, None]
 _MASKS = np.array([xxhash.xxh64_intdigest(b"mask%d" % i) for i in range(BANDS * ROWS)], dtype="<u8")[:, None]
@@ -88,7 +90,7 @@ def shapes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
 
     rows = _texts(docs, _id=id_col, _text=text_col).select("_id", "_text", "_t")
     kind = rows.schema["_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"_id {kind}, _t bigint, _fp bigint, node binary, n int, bands array<bigint>")
+    return rows.mapInArrow(trimmed(run), f"_id {kind}, _t bigint, _fp bigint, node binary, n int, bands array<bigint>")
 
 
 def fingerprint_links(rows: DataFrame) -> DataFrame:
@@ -103,15 +105,24 @@ def fingerprint_links(rows: DataFrame) -> DataFrame:
 
 
 def band_members(nodes: DataFrame) -> DataFrame:
-    """band, key, part, node, t, n for each band of a node whose key other nodes have too."""
+    """band, key, part, parts, node, t, n for each band of a node whose key other nodes have too."""
     rows = nodes.select("node", "t", "n", F.posexplode("bands").alias("band", "key"))
     shared = stored(rows.groupBy("key").agg(F.count(F.lit(1)).alias("_rows")).where("_rows > 1").withColumn("size", F.col("_rows")), "keys")
     parts = F.ceil(F.col("size") / GROUP)
     return joined_by_key(rows, shared, "key", "_rows").select(
-        "band", "key", F.pmod(F.xxhash64("key", "node"), parts).alias("part"), "node", "t", "n"
+        "band", "key", F.pmod(F.xxhash64("key", "node"), parts).alias("part"), parts.alias("parts"), "node", "t", "n"
     )
 
 
+def _pairs(rows: DataFrame, x: str, y: str) -> DataFrame:
+    """Distinct pairs (a, b, ta, tb), a the lesser, of the nodes in the structs ``x`` and ``y``."""
+    turned = F.col(f"{x}.node") < F.col(f"{y}.node")
+    low, high = F.when(turned, F.col(x)).otherwise(F.col(y)), F.when(turned, F.col(y)).otherwise(F.col(x))
+    return rows.select(low.alias("x"), high.alias("y")).select(
+        F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.t").alias("ta"), F.col("y.t").alias("tb")
+    ).distinct()
+
+
 def candidates(members: DataFrame, roots: DataFrame, first: int, last: int, similarity: float) -> DataFrame:
     """Distinct pairs (a, b, ta, tb) of nodes ``first`` to ``last`` places apart in a part, whose groups differ and whose sizes allow the similarity."""
     known = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -122,11 +133,26 @@ def candidates(members: DataFrame, roots: DataFrame, first: int, last: int, simi
             transform(slice(l, 1, size(l) - d), (x, i) -> struct(x as a, l[i + d] as b)),
             p -> p.a.root != p.b.root and least(p.a.n, p.b.n) >= {similarity} * greatest(p.a.n, p.b.n) - 1e-9)))"""
     )).alias("p"))
-    turned = F.col("p.a.node") < F.col("p.b.node")
-    low, high = F.when(turned, F.col("p.a")).otherwise(F.col("p.b")), F.when(turned, F.col("p.b")).otherwise(F.col("p.a"))
-    return pairs.select(low.alias("x"), high.alias("y")).select(
-        F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.t").alias("ta"), F.col("y.t").alias("tb")
-    ).distinct()
+    return _pairs(pairs, "p.a", "p.b")
+
+
+def across(members: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """Distinct pairs (a, b, ta, tb) of nodes in two parts of a key, whose groups differ and whose sizes allow the similarity.
+
+    The nodes outside of a key's largest group go to all parts of the key, and meet there those of any other group.
+    """
+    known = stored(members.where("parts > 1").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "known")
+    groups = known.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+    homes = groups.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("home"), F.sum("n").alias("_rows"), F.count(F.lit(1)).alias("_groups"))
+    homes = stored(homes.where("_groups > 1").drop("_groups"), "homes")
+    rows = stored(joined_by_key(known, homes, "key", "_rows"), "apart")
+    node = F.struct("node", "t", "n", "root", F.col("part").alias("own"))
+    others = rows.where("root != home").select("key", node.alias("x"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    met = others.join(rows.select("key", "part", "home", node.alias("y")).hint("merge"), ["key", "part"]).where(
+        f"""x.own != part and x.root != y.root and (y.root = home or x.node < y.node)
+            and least(x.n, y.n) >= {similarity} * greatest(x.n, y.n) - 1e-9"""
+    )
+    return _pairs(met, "x", "y")
 
 
 def _set_batch(nodes: list[bytes], sets: list[np.ndarray]) -> pa.RecordBatch:
@@ -157,7 +183,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, text_col: str, shingle: int
                     nodes, sets, held = [], [], 0
             yield _set_batch(nodes, sets)
 
-    made = texts.select("_text").mapInArrow(run, "node binary, set array<bigint>")
+    made = texts.select("_text").mapInArrow(trimmed(run), "node binary, set array<bigint>")
     return made.groupBy("node").agg(F.first("set").alias("set"))
 
 
@@ -185,10 +211,21 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     edges = stored(fingerprint_links(rows), "links")
     members = stored(band_members(nodes), "members")
     roots = stored(components(edges), "groups")
-    for some, first, last in ((members.where("band < 4"), 1, 1), (members, 1, NEAR), (members, NEAR + 1, 1 << 30)):
-        pairs = stored(candidates(some, roots, first, last, similarity), "pairs")
-        if not pairs.isEmpty():
-            edges = stored(edges.unionAll(alike(docs, pairs, text_col, shingle, similarity)), "links")
+    steps = [
+        lambda: candidates(members.where("band < 4"), roots, 1, 1, similarity),
+        lambda: candidates(members, roots, 1, NEAR, similarity),
+        lambda: candidates(members, roots, NEAR + 1, 1 << 30, similarity),
+        lambda: across(members, roots, similarity),
+    ]
+    if members.where("parts > 1").isEmpty():
+        steps.pop()
+    for step in steps:
+        pairs = stored(step(), "pairs")
+        slices = -(-pairs.count() // PAIRS)
+        for i in range(slices):
+            some = pairs.where(F.pmod(F.xxhash64("a", "b"), F.lit(slices)) == i)
+            edges = stored(edges.unionAll(alike(docs, some, text_col, shingle, similarity)), "links")
+        if slices:
             release(roots)
             roots = stored(components(edges), "groups")
         release(pairs)

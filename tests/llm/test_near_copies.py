@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from marginalia.llm import near_copies, simhash
 
@@ -95,6 +96,24 @@ def test_parts_of_a_crowded_key_are_joined(spark, monkeypatch):
     assert set(got.values()) == {0}
 
 
+def test_no_pair_of_a_crowded_key_is_lost(spark, monkeypatch):
+    """One key for all texts, and no fingerprints: near copies are linked whatever parts of the key they are dealt into, slice by slice."""
+    whole = near_copies.shapes
+    one = lambda *a: whole(*a).withColumn("bands", F.array(F.lit(7).cast("long"))).withColumn("_fp", F.xxhash64("node"))
+    monkeypatch.setattr(near_copies, "shapes", one)
+    monkeypatch.setattr(near_copies, "GROUP", 4)
+    monkeypatch.setattr(near_copies, "PAIRS", 500, raising=False)
+    rng = random.Random(11)
+    family, texts = rng.choices(WORDS, k=90), []
+    for _ in range(25):
+        own = rng.choices(WORDS, k=90)
+        texts += [own, changed(rng, own, 1)]
+    texts += [changed(rng, family, 1) for _ in range(20)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    got = labels_of(near_copies.near_groups(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert [got[i] for i, _ in rows] == [i - i % 2 for i in range(50)] + [50] * 20
+
+
 def test_many_candidates_go_by_a_filter(spark, monkeypatch):
     monkeypatch.setattr(near_copies, "SMALL_SIDE", 10)
     rows = planted(7)[:400]

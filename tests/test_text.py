@@ -120,3 +120,22 @@ def test_small_functions(spark):
     assert spark.range(1).select(T.table_row(F.lit("a\nb"), F.lit(None))).first()[0] == "| a b |  |"
     names = spark.createDataFrame([("A", "x"), ("A", None), (None, None)], "c string, n string").select(T.coder_name(F.col("c"), F.col("n")))
     assert [r[0] for r in names.collect()] == ["A — x", "A", "Human"]
+
+
+def test_marks_take_two_passes_over_a_text(spark):
+    """What five replacements in a row said: a sign after a mark's white space, gone before small letters, gone after abbreviations and initials; one after line breaks."""
+    from pyspark.sql import functions as F
+
+    from marginalia.operators.sentences import ABBREVIATIONS, CUT, mark_boundaries
+
+    short = rf"(^|[^\p{{L}}\p{{N}}])({'|'.join(ABBREVIATIONS)}|\p{{Lu}})\.(\s+){CUT}"
+    five = [(r"([.!?…][\"”’)\]]*)(\s+)", rf"$1$2{CUT}"), (rf"{CUT}(\p{{Ll}})", "$1"), (short, "$1$2.$3"), (short, "$1$2.$3"), (r"(\n\s*)", rf"$1{CUT}")]
+    want = F.replace("t", F.lit(CUT), F.lit(" "))
+    for pattern, to in five:
+        want = F.regexp_replace(want, pattern, to)
+    bits = ["Mr", "Dr", "A", "B", "É", "x", "\U0001d400", "\U0001f600", "1", "_", ".", ". ", ".  ", "? ", '." ', ".) ", "\n", " \n ", " ", CUT, "\u00a0", "(", "é", "St. "]
+    rng = random.Random(4)
+    texts = ["".join(rng.choices(bits, k=rng.randrange(1, 14))) for _ in range(20_000)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", want.alias("want"), F.expr(mark_boundaries("t")).alias("got"))
+    assert rows.where("want != got").take(3) == []
+    assert mark_boundaries("t").count("regexp_replace") == 2

@@ -9,9 +9,10 @@ SimHash alone can't give them: pairs at 0.8 lie 3 to 15 of 64 bits apart, and Ha
 Equal sets are one node.  A band's key with more than ``GROUP`` nodes is dealt into parts of about so many, by another hash for each band,
 so that a large family is joined up across bands and no group or key is large.  Comparison goes in steps that each see
 the groups found so far and compare only nodes of different ones: first neighbours of four bands, which joins up large families at a few
-comparisons a node; then neighbours up to ``NEAR`` places apart; then whatever pairs of a part are still apart; then whatever pairs of two parts
-of a key are.  So no pair of a key is left out, and none is compared whose ends are linked already: the last step compares no node of a key's largest
-group with another of it, and is quadratic only in what a crowded key still holds of other groups.  Pairs are compared in slices of ``PAIRS``,
+comparisons a node; then neighbours up to ``NEAR`` places apart; then whatever pairs of a key are still apart, in one part of it or
+in two.  So no pair of a key is left out, and none is compared whose ends an earlier step linked: the last step compares no node of a key's largest
+group with another of it, and is quadratic only in what a crowded key still holds of other groups.  A step's links join groups that are known: only
+they are contracted, never all links again, and nothing is if there are none.  Pairs are compared in slices of ``PAIRS``,
 so that scratch stays bounded.  Sets are made again from the texts of candidates alone, never stored for all.
 
 Defined results: words as in :mod:`.simhash`; null text counts as empty; texts without words are one group; fewer words than a shingle: the
@@ -22,6 +23,7 @@ of any length are read whole; other columns of any name are ignored; an empty ta
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import SMALL_SIDE, joined_by_key, pruned, release, stored, trimmed
-from .simhash import components, folded, keep_least, links, shingle_hashes
+from .simhash import FEW, components, folded, keep_least, links, relabelled, shingle_hashes
 from .url_filter import bloom_filter, passes_filter
 
 SHINGLE = 5
@@ -94,14 +96,14 @@ def shapes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
 
 
 def fingerprint_links(rows: DataFrame) -> DataFrame:
-    """Edges (a, b) from each node to the least node of its fingerprint's component."""
+    """Edges (a, b) that connect the nodes of each fingerprint, and the least nodes of fingerprints that link."""
     pairs = stored(rows.select("node", "_fp").distinct(), "fingerprints")
     fps = stored(pairs.groupBy("_fp").agg(F.min("node").alias("_least"), F.count(F.lit(1)).alias("_n")), "distinct")
-    roots = stored(components(links(fps.select("_fp"))), "roots")
-    labelled = fps.join(roots, F.col("_fp") == F.col("node"), "left").select("_fp", "_least", "_n", F.coalesce("root", "_fp").alias("_root"))
-    hubs = labelled.groupBy("_root").agg(F.min("_least").alias("b"), F.count(F.lit(1)).alias("_members"))
-    by_fp = stored(joined_by_key(labelled, hubs, "_root", "_members").select("_fp", "b", "_n"), "hubs")
-    return joined_by_key(pairs, by_fp, "_fp", "_n").select(F.col("node").alias("a"), "b").where("a != b")
+    near = stored(links(fps.select("_fp")), "near")
+    end = lambda c: fps.select(F.col("_fp").alias(c), F.col("_least").alias(f"_{c}"))
+    apart = near.join(end("a"), "a").join(end("b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+    same = joined_by_key(pairs, fps.where("_n > 1"), "_fp", "_n").select(F.col("node").alias("a"), F.col("_least").alias("b"))
+    return apart.unionAll(same).where("a != b")
 
 
 def band_members(nodes: DataFrame) -> DataFrame:
@@ -115,16 +117,16 @@ def band_members(nodes: DataFrame) -> DataFrame:
 
 
 def _pairs(rows: DataFrame, x: str, y: str) -> DataFrame:
-    """Distinct pairs (a, b, ta, tb), a the lesser, of the nodes in the structs ``x`` and ``y``."""
+    """Distinct pairs (a, b, ta, tb, ra, rb), a the lesser, of the nodes in the structs ``x`` and ``y``."""
     turned = F.col(f"{x}.node") < F.col(f"{y}.node")
     low, high = F.when(turned, F.col(x)).otherwise(F.col(y)), F.when(turned, F.col(y)).otherwise(F.col(x))
     return rows.select(low.alias("x"), high.alias("y")).select(
-        F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.t").alias("ta"), F.col("y.t").alias("tb")
+        F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.t").alias("ta"), F.col("y.t").alias("tb"), F.col("x.root").alias("ra"), F.col("y.root").alias("rb")
     ).distinct()
 
 
 def candidates(members: DataFrame, roots: DataFrame, first: int, last: int, similarity: float) -> DataFrame:
-    """Distinct pairs (a, b, ta, tb) of nodes ``first`` to ``last`` places apart in a part, whose groups differ and whose sizes allow the similarity."""
+    """Distinct pairs (a, b, ta, tb, ra, rb: their groups) of nodes ``first`` to ``last`` places apart in a part, whose groups differ and whose sizes allow the similarity."""
     known = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     row = F.struct(F.xxhash64("node", "key").alias("h"), "node", "t", "n", "root")
     parts = known.groupBy("key", "part").agg(F.array_sort(F.collect_list(row)).alias("l")).where(f"size(l) > {first}")
@@ -137,7 +139,7 @@ def candidates(members: DataFrame, roots: DataFrame, first: int, last: int, simi
 
 
 def across(members: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
-    """Distinct pairs (a, b, ta, tb) of nodes in two parts of a key, whose groups differ and whose sizes allow the similarity.
+    """Distinct pairs (a, b, ta, tb, ra, rb: their groups) of nodes in two parts of a key, whose groups differ and whose sizes allow the similarity.
 
     The nodes outside of a key's largest group go to all parts of the key, and meet there those of any other group.
     """
@@ -188,17 +190,29 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, text_col: str, shingle: int
 
 
 def alike(docs: DataFrame, pairs: DataFrame, text_col: str, shingle: int, similarity: float) -> DataFrame:
-    """Those of the ``pairs`` (stored) whose sets' Jaccard similarity is at least ``similarity``."""
+    """The groups (a, b) of those of the ``pairs`` (stored) whose sets' Jaccard similarity is at least ``similarity``."""
     wanted = stored(pairs.select(F.explode(F.array("ta", "tb")).alias("_t")).distinct(), "wanted")
     sets = stored(shingle_sets(docs, wanted, text_col, shingle), "sets")
-    left = pairs.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")).hint("merge"), "a")
+    left = pairs.select("a", "b", "ra", "rb").join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")).hint("merge"), "a")
     both = left.join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")).hint("merge"), "b")
     common = F.size(F.array_intersect("sa", "sb"))
-    found = stored(both.where(common / (F.size("sa") + F.size("sb") - common) >= similarity).select("a", "b"), "alike")
+    found = stored(both.where(common / (F.size("sa") + F.size("sb") - common) >= similarity).select(F.col("ra").alias("a"), F.col("rb").alias("b")), "alike")
     release(wanted, sets)
     return found
 
 
+def joined_up(roots: DataFrame, found: list[DataFrame]) -> DataFrame:
+    """``roots`` (stored: node, root) after the groups in the pairs of ``found`` (stored) are joined; groups of one node come in with them."""
+    n = sum(f.count() for f in found)
+    if not n:
+        return roots
+    onto = stored(components(reduce(DataFrame.unionAll, found)), "onto")
+    alone = onto.join(roots.select("node"), "node", "left_anti")
+    after = stored(relabelled(roots, onto, n <= FEW).unionByName(alone), "groups")
+    release(onto)
+    return after
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """One row per input row: id, component_id (the smallest id of its group)."""
     rows = stored(shapes(docs, id_col, text_col, shingle), "shapes")
@@ -208,31 +222,30 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         ),
         "nodes",
     )
-    edges = stored(fingerprint_links(rows), "links")
     members = stored(band_members(nodes), "members")
-    roots = stored(components(edges), "groups")
+    roots = stored(components(fingerprint_links(rows)), "groups")
+    crowded = not members.where("parts > 1").isEmpty()
+    rest = lambda: candidates(members, roots, NEAR + 1, 1 << 30, similarity)
     steps = [
         lambda: candidates(members.where("band < 4"), roots, 1, 1, similarity),
         lambda: candidates(members, roots, 1, NEAR, similarity),
-        lambda: candidates(members, roots, NEAR + 1, 1 << 30, similarity),
-        lambda: across(members, roots, similarity),
+        lambda: rest().unionAll(across(members, roots, similarity)).distinct() if crowded else rest(),
     ]
-    if members.where("parts > 1").isEmpty():
-        steps.pop()
     for step in steps:
         pairs = stored(step(), "pairs")
         slices = -(-pairs.count() // PAIRS)
-        for i in range(slices):
-            some = pairs.where(F.pmod(F.xxhash64("a", "b"), F.lit(slices)) == i)
-            edges = stored(edges.unionAll(alike(docs, some, text_col, shingle, similarity)), "links")
-        if slices:
-            release(roots)
-            roots = stored(components(edges), "groups")
-        release(pairs)
+        found = [
+            alike(docs, pairs.where(F.pmod(F.xxhash64("a", "b"), F.lit(slices)) == i) if slices > 1 else pairs, text_col, shingle, similarity)
+            for i in range(slices)
+        ]
+        before, roots = roots, joined_up(roots, found)
+        release(pairs, *found, *([before] if roots is not before else []))
     release(members)
-    labelled = nodes.join(roots, "node", "left").select("node", "_rep", "_rows", F.coalesce("root", "node").alias("root"))
-    least = labelled.groupBy("root").agg(F.min("_rep").alias("_component"), F.count(F.lit(1)).alias("_members"))
-    named = stored(joined_by_key(labelled, least, "root", "_members").select("node", "_component", "_rows"), "components")
+    grouped = stored(nodes.join(roots, "node").select("node", "_rep", "root"), "grouped")
+    least = stored(grouped.groupBy("root").agg(F.min("_rep").alias("_component"), F.count(F.lit(1)).alias("_members")), "least")
+    by_node = joined_by_key(grouped, least, "root", "_members").select("node", "_component")
+    named = nodes.join(by_node, "node", "left").select("node", F.coalesce("_component", "_rep").alias("_component"), "_rows")
+    named = stored(named, "components")
     return joined_by_key(rows.select("_id", "node"), named, "node", "_rows").select(
         F.col("_id").alias(id_col), F.col("_component").alias("component_id")
     )

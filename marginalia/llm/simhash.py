@@ -41,6 +41,7 @@ SHINGLE = 3
 SEED = 42
 KEY_ROWS = 32
 KEY_LOAD = 4
+FEW = 1 << 16  # edges whose ends are renamed by a broadcast table, at most two rows for each
 PROBES = 17  # rows that a fingerprint has in the low table on average: itself and half of 32 flips
 
 
@@ -135,33 +136,44 @@ def components(edges: DataFrame) -> DataFrame:
     """node -> root for every node of ``edges``, by rounds of contraction.
 
     In a round each node goes to the neighbour (or itself) of least hash, and edges are rewritten;
-    the hash order makes long chains shrink by a constant factor.  Loops and repeated edges go.
+    the hash order makes long chains shrink by a constant factor.  Loops go, and repeated edges while there are more than ``FEW``;
+    what is left then is rewritten by broadcast moves, without a shuffle.
     """
     edges = stored(edges, "edges")
-    moves: list[DataFrame] = []
-    while not edges.isEmpty():
+    moves: list[tuple[DataFrame, bool]] = []
+    while n := edges.count():
+        few = n <= FEW
         rank = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("n"))
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min(rank("b")).alias("m"), F.count(F.lit(1)).alias("size"))
         move = stored(least.select(F.col("a").alias("node"), F.least(rank("a"), F.col("m"))["n"].alias("root"), "size"), "move")
-        moves.append(move)
+        moves.append((move, few))
         ends = lambda c: move.select(F.col("node").alias(c), F.col("root").alias("to"), "size")  # noqa: B023, E731
-        first = joined_by_key(edges, ends("a"), "a", "size").select(F.col("to").alias("a"), "b")
-        second = joined_by_key(first, ends("b"), "b", "size").select("a", F.col("to").alias("b"))
-        before, edges = edges, stored(
-            second.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges"
-        )
+        step = lambda rows, c: rows.join(F.broadcast(ends(c)), c) if few else joined_by_key(rows, ends(c), c, "size")  # noqa: B023, E731
+        first = step(edges, "a").select(F.col("to").alias("a"), "b")
+        second = step(first, "b").select("a", F.col("to").alias("b")).where("a != b")
+        turned = second.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        before, edges = edges, stored(turned if few else turned.distinct(), "edges")
         release(before)
     if not moves:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    labels = moves[0].select("node", "root")
-    for move in moves[1:]:
-        sizes = labels.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
-        steps = stored(sizes.join(move.select(F.col("node").alias("root"), F.col("root").alias("to")), "root"), "steps")
-        labels = stored(joined_by_key(labels, steps, "root", "size", "left").select("node", F.coalesce("to", "root").alias("root")), "labels")
+    labels = moves[0][0].select("node", "root")
+    for move, few in moves[1:]:
+        labels = relabelled(labels, move, few) if few else stored(relabelled(labels, move, few), "labels")
     return labels
 
 
+def relabelled(labels: DataFrame, move: DataFrame, few: bool) -> DataFrame:
+    """``labels`` (node, root) whose roots go where ``move`` (node, root; broadcast if ``few``) takes them."""
+    to = move.select(F.col("node").alias("root"), F.col("root").alias("to"))
+    if few:
+        found = labels.join(F.broadcast(to), "root", "left")
+    else:
+        sizes = labels.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
+        found = joined_by_key(labels, stored(sizes.join(to, "root"), "steps"), "root", "size", "left")
+    return found.select("node", F.coalesce("to", "root").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """One row per input row: id, fingerprint (16 hex digits), component_id."""
     rows = stored(fingerprints(docs, id_col, text_col, shingle), "fingerprints")

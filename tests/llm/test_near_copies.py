@@ -114,6 +114,32 @@ def test_no_pair_of_a_crowded_key_is_lost(spark, monkeypatch):
     assert [got[i] for i, _ in rows] == [i - i % 2 for i in range(50)] + [50] * 20
 
 
+def test_only_new_links_are_contracted(spark, monkeypatch):
+    """No step contracts a link again that an earlier one had, and one without links contracts nothing."""
+    whole, given = near_copies.components, []
+
+    def seen(edges):
+        given.append({(min(r), max(r)) for r in ((bytes(r.a), bytes(r.b)) for r in edges.collect())})
+        return whole(edges)
+
+    monkeypatch.setattr(near_copies, "components", seen)
+    rows = planted(9)
+    near_copies.near_groups(spark.createDataFrame(rows, "doc_id long, text string"))
+    node = [e for e in given if e]
+    assert len(node) > 1 and sum(map(len, node)) == len(set().union(*node))
+
+
+@pytest.mark.parametrize("few", [0, 20])
+def test_many_links_give_the_same_groups(spark, monkeypatch, few):
+    """Above ``FEW`` links, roots are renamed by shuffles."""
+    rows = planted(9)[:500]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    want = labels_of(near_copies.near_groups(frame))
+    for module in (near_copies, simhash):
+        monkeypatch.setattr(module, "FEW", few)
+    assert labels_of(near_copies.near_groups(frame)) == want and len(set(want.values())) < len(rows)
+
+
 def test_many_candidates_go_by_a_filter(spark, monkeypatch):
     monkeypatch.setattr(near_copies, "SMALL_SIDE", 10)
     rows = planted(7)[:400]

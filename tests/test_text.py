@@ -104,6 +104,22 @@ def test_pages_as_a_parser_reads_them(spark, sf):
         assert got[i].rstrip("\n") == visible_text(page).rstrip("\n"), page
 
 
+def test_pages_that_break_off_in_an_entity_equal_their_sql(spark, tmp_path):
+    """A title is cut after some number of characters, in the midst of an entity too."""
+    import duckdb
+
+    from marginalia import catalog, oracles
+
+    whole = "token = &quot;ab&quot; &amp; &lt;x&gt; &nbsp;y&copy;&middot; &amp;quot; z"
+    pages = [(i, f"<head><title>{whole[:i]}</title></head><h1>{whole[:i]}</h1><p>{whole[:i]} and {whole[:i]}x</p>") for i in range(len(whole) + 1)]
+    spark.createDataFrame(pages, "page_id long, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view pages as from '{tmp_path}/pages.parquet/*.parquet'")
+    for name in ("html_extract", "html_nested"):
+        got = {r.page_id: r.text for r in catalog.QUERIES[name](spark, str(tmp_path)).collect()}
+        assert got == dict(con.sql(oracles.ORACLES[name]).fetchall())
+
+
 def test_no_page_leaves_the_jvm(spark):
     df = spark.createDataFrame([("<p>a",)], "html string").select(extract_html(F.col("html")).alias("t"))
     assert "Python" not in df._jdf.queryExecution().executedPlan().toString()

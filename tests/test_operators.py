@@ -265,3 +265,29 @@ def test_split_writes_one_folder_per_filing(spark, tmp_path):
     back = spark.read.options(header=True, multiLine=True, escape='"').csv(str(tmp_path / "out"))
     assert sorted(r.v for r in back.collect()) == ['q"q', "x", "y\nz"]
     assert report.write_ai_zip(rows, str(tmp_path / "o.zip")) == 2
+
+
+def test_anchors_leave_only_what_is_found_on_disk(spark):
+    """Shuffle files of settled frames go at once, checkpoints that only led to the anchors with them; the session's setting stays."""
+    import os
+    import time
+
+    from marginalia import scratch
+
+    env = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: {f for f in map(os.path.basename, env.getAllFiles().mkString("\n").split("\n")) if f.startswith("shuffle_") and f.endswith(".data")}
+    folder = scratch.shared_dir(spark).removeprefix("file://").removeprefix("file:")
+    checkpoints = lambda: {f for f in os.listdir(folder) if f.startswith("rdd-")}
+    docs = {d: [f"the company {d} may not be able to protect its rights in system {i} that it uses" for i in range(20)] for d in range(5)}
+    s = sentence_table(spark, {d: 20 for d in docs}, lambda d, i: docs[d][i])
+    q = spark.createDataFrame([(d, t) for d, k in docs.items() for t in (k[0], k[3][4:], k[5] + " now", "none such")], "doc_id long, sentence string")
+    files, kept = shuffles(), checkpoints()
+    found = align.find_anchors(q, s)
+    assert len(checkpoints() - kept) == 1
+    for _ in range(100):  # Spark removes files in the background
+        if len(shuffles() - files) <= 1:
+            break
+        time.sleep(0.1)
+    assert len(shuffles() - files) <= 1  # how common the most common gram is: one row
+    assert spark.conf.get(scratch.CLEANUP) == "false"
+    assert {(r.doc_id, r.sentence_idx, r.stage) for r in found.collect()} == {(d, i, st) for d in docs for i, st in ((0, "exact"), (3, "containment"), (5, "containment"))}

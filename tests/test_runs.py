@@ -294,3 +294,22 @@ def test_places_of_annotations_do_not_run_into_the_next_chunk(spark):
     parsed = parsed.select("doc_id", "chunk_id", F.struct(F.transform("a", lambda x: x).alias("annotations")).alias("answer"))
     rows = annotators.annotations_of(parsed).orderBy("seq").collect()
     assert [r.sentence for r in rows] == ["t0-0", "t0-1", "t1-0", "t1-1", "t2-0", "t2-1"] and rows[2].seq == 1 << 31
+
+
+def test_listing_pages_takes_no_task_for_each_folder(spark, tmp_path):
+    """A hundred pages in folders of their own, as html_files writes them: few tasks list them, and the session's setting stays."""
+    from marginalia.sources.files import read_html
+
+    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    for i in range(100):
+        (tmp_path / f"file=acme_{2000 + i}.htm").mkdir()
+        (tmp_path / f"file=acme_{2000 + i}.htm" / "part-0.txt").write_text(f"<p>{i}\n</p>")
+    before, sc = spark.conf.get(key), spark.sparkContext
+    sc.setJobGroup("listing", "listing")
+    rows = read_html(spark, str(tmp_path))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    tracker = sc.statusTracker()
+    stages = [s for j in tracker.getJobIdsForGroup("listing") for s in tracker.getJobInfo(j).stageIds]
+    assert stages and all(tracker.getStageInfo(int(s)).numTasks <= 4 * sc.defaultParallelism for s in stages)
+    assert spark.conf.get(key) == before
+    assert {(r.doc_id, r.html) for r in rows.collect()} == {(f"acme_{2000 + i}", f"<p>{i}\n</p>") for i in range(100)}
